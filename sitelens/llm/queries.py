@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .line_dedup import OP10_SQL, op10_line_dedup
+from .mixing import OP8_SQL, op8_mixing
 from .piece_codec import op2_sentencepiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op8_mixing": op8_mixing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_mixing": OP8_SQL,
+    "op10_line_dedup": OP10_SQL,
+}
