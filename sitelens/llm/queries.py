@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP8_SQL, op8_mixing
 from .piece_codec import op2_sentencepiece
+from .quality import op4_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_quality": op4_quality,
     "op8_mixing": op8_mixing,
     "op10_line_dedup": op10_line_dedup,
 }
