@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_text import op3_html_extraction
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP8_SQL, op8_mixing
 from .piece_codec import op2_sentencepiece
@@ -13,6 +14,7 @@ from .quality import op4_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_html_extraction": op3_html_extraction,
     "op4_quality": op4_quality,
     "op8_mixing": op8_mixing,
     "op10_line_dedup": op10_line_dedup,
