@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import op6_embedding_dedup
 from .html_text import op3_html_extraction
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP8_SQL, op8_mixing
+from .permutation_index import op7_nearest_neighbours
 from .piece_codec import op2_sentencepiece
 from .quality import op4_quality
 
@@ -16,6 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_html_extraction": op3_html_extraction,
     "op4_quality": op4_quality,
+    "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_mixing": op8_mixing,
     "op10_line_dedup": op10_line_dedup,
 }
