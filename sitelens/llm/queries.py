@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import op6_embedding_dedup
 from .html_text import op3_html_extraction
+from .license_scan import op9_license_scan
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP8_SQL, op8_mixing
 from .permutation_index import op7_nearest_neighbours
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_mixing": op8_mixing,
+    "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
 }
 

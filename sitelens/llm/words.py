@@ -51,10 +51,10 @@ def parts(offsets: np.ndarray, size: int = 1 << 21) -> Iterator[tuple[int, int]]
         first = last
 
 
-def word_hashes(offsets: np.ndarray, data: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(offsets: np.ndarray, data: np.ndarray, lower: bool = True, separator: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end byte of each word, and the range of words (n + 1 offsets) of each row."""
     n = len(data)
-    space = _SPACE[data]
+    space = separator[data]
     starts = ~space
     starts[1:] &= space[:-1]
     edges = offsets[(offsets > 0) & (offsets < n)]
