@@ -10,6 +10,7 @@ from .embedding_dedup import op6_embedding_dedup
 from .html_text import op3_html_extraction
 from .license_scan import op9_license_scan
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .minhash_dedup import op5_minhash_dedup
 from .mixing import OP8_SQL, op8_mixing
 from .permutation_index import op7_nearest_neighbours
 from .piece_codec import op2_sentencepiece
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_html_extraction": op3_html_extraction,
     "op4_quality": op4_quality,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_mixing": op8_mixing,
