@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import op6_embedding_dedup
 from .html_text import op3_html_extraction
+from .lattice_lm import op1_lattice_lm
 from .license_scan import op9_license_scan
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .minhash_dedup import op5_minhash_dedup
@@ -17,6 +18,7 @@ from .piece_codec import op2_sentencepiece
 from .quality import op4_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lattice_lm": op1_lattice_lm,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_html_extraction": op3_html_extraction,
     "op4_quality": op4_quality,
