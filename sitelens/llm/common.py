@@ -77,3 +77,24 @@ def stream_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         held = rows.slice(a).combine_chunks() if a < rows.num_rows else None
     if held is not None:
         yield held
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of batches that are sorted by keys (integers), with the groups' offsets."""
+    held: pa.Table | None = None
+
+    def edges(rows: pa.Table) -> np.ndarray:
+        values = [rows.column(k).to_numpy() for k in keys]
+        return np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in values])) + 1
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if held is not None:
+            rows = pa.concat_tables([held, rows]).combine_chunks()
+        starts = edges(rows)
+        if len(starts):
+            yield rows.slice(0, int(starts[-1])), np.concatenate([[0], starts])
+            rows = rows.slice(int(starts[-1]))
+        held = rows if rows.num_rows else None
+    if held is not None:
+        yield held, np.array([0, held.num_rows])

@@ -5,13 +5,14 @@ representative of each. A signature of minwise tokens places each representative
 signature place at random, or two for every fourth node, and sends each document to the child of its token there. Documents
 that meet in a node are candidates:
 
-1. Each document is compared with the node's first one, later with two more. What that links, of whatever size, is one
-   component, and pairs inside a component need no comparison of their own, as only reachability is asked for.
-2. Nodes that still hold several components are compared exhaustively across these if they have at most LEAF documents, or
-   branch again; what is still larger after DEPTH levels is compared in blocks, each pair of blocks in a task of its own.
+1. Nodes of at most LEAF documents are compared exhaustively, larger ones branch again; after DEPTH levels nodes are compared
+   whatever their size. Nodes of more than BLOCK documents are compared in pairs of blocks, each in a task of its own.
+2. The first comparison is of whole signatures, with a bound that pairs at the threshold fail once in millions. It returns the
+   documents of a node that agree with another one, not the pairs. Of nodes that so hold the same documents one stays.
+3. The second comparison is of the full sets of what is left, again by nodes or pairs of blocks, with an inverted file of the
+   block's shingles. It skips pairs that are connected already and returns a forest of the links found.
 
-Candidates pass a comparison of whole signatures that pairs at the threshold fail once in millions, and are confirmed on their
-full sets. Links go to distributed connected components. No node, group of copies or hot key is gathered in one task.
+The links go to distributed connected components. No node, group of copies or hot key is gathered in one task.
 
 Documents of fewer words than a shingle have their whole word sequence as the one element. Null texts, empty ones and such
 without words have no set and link with nothing. Rows of the same doc_id are one document. Rows without doc_id link with nothing.
@@ -29,17 +30,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, stream_groups, table, utf8_parts
+from .common import cut, table, utf8_parts, whole_groups
 from .components import connected_components
 from .words import mix, parts, shingles, word_hashes
 
 SHINGLE = 4
 THRESHOLD = 80  # per cent
 PLACES = 64
-TREES = 16
-LEAF = 32
+TREES = 8
+LEAF = 4096
 DEPTH = 6
-BLOCK = 512
+BLOCK = 1024
 #: Signature places that must agree: five standard deviations below what a pair at the threshold has.
 AGREE = 35
 FILTER_BITS = 1 << 24
@@ -112,58 +113,112 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, sig_a, sig_b -> a, b of those whose signatures agree well."""
-    for batch in batches:
-        good = (_tokens(batch.column(2)) == _tokens(batch.column(3))).sum(axis=1) >= AGREE
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], names=["a", "b"])
+    """Rows of (pairs of blocks of) nodes, sorted by path, i, j -> path, rep of those whose signature agrees with another row's."""
+    for rows, offsets in whole_groups(batches, ["path", "i", "j"]):
+        path, i, j, own = (rows.column(c).to_numpy() for c in ("path", "i", "j", "own"))
+        tokens, good = _tokens(rows.column("sig")), np.zeros(len(path), dtype=bool)
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            x = tokens[a:b]
+            if b - a <= 48 and i[a] == j[a]:
+                close = (x[:, None, :] == x[None, :, :]).sum(axis=2) >= AGREE
+                np.fill_diagonal(close, False)
+                good[a:b] = close.any(axis=1)
+                continue
+            left, right = np.flatnonzero(own[a:b] == i[a]), np.flatnonzero(own[a:b] == j[a])
+            for p in left.tolist():
+                q = right[right > p] if i[a] == j[a] else right
+                close = q[(x[q] == x[p]).sum(axis=1) >= AGREE]
+                if len(close):
+                    good[a + p] = True
+                    good[a + close] = True
+        if good.any():
+            yield pa.RecordBatch.from_arrays([pa.array(path[good]), pa.array(rows.column("rep").to_numpy()[good])], names=["path", "rep"])
+
+
+def _links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """A forest of the pairs (of left and right) at the threshold."""
+    above = list(range(len(sets)))
+
+    def root(v: int) -> int:
+        while above[v] != v:
+            above[v] = above[above[v]]
+            v = above[v]
+        return v
+
+    out: list[tuple[int, int]] = []
+    size = np.array([len(x) for x in sets])
+    keys = np.concatenate([sets[q] for q in right.tolist()])
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], np.repeat(right, size[right])[order]
+    roots = np.arange(len(sets))
+    for p in left.tolist():
+        mine = root(p)
+        if (roots[right] == mine).all():
+            continue
+        low, high = np.searchsorted(keys, sets[p], "left"), np.searchsorted(keys, sets[p], "right")
+        n = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        both = np.bincount(owner[at], minlength=len(sets))
+        for q in np.flatnonzero((both > 0) & (100 * both >= THRESHOLD * (size[p] + size - both))).tolist():
+            if q != p and (a := root(p)) != (b := root(q)):
+                above[max(a, b)] = min(a, b)
+                out.append((p, q))
+        if out:
+            roots = np.array([root(v) for v in range(len(sets))])
+    return out
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, x_a, x_b (sorted sets) -> a, b of those at the threshold."""
-    for batch in batches:
-        good = []
-        for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            p, q = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
-            p, q = (p, q) if len(p) < len(q) else (q, p)
-            both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(p) * 100 >= THRESHOLD * len(q) else 0
-            good.append(100 * both >= THRESHOLD * (len(p) + len(q) - both))
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
-
-def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of pairs of blocks of a node (rep, component, sig, own; sorted by path, i, j) -> agreeing pairs across components."""
-    for rows in stream_groups(batches, ["path", "i", "j"]):
-        own, component, reps, tokens = rows.column("own").to_numpy(), rows.column("component").to_numpy(), rows.column("rep").to_numpy(), _tokens(rows.column("sig"))
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        right = np.flatnonzero(own == j)
-        for p in np.flatnonzero(own == i).tolist():
-            q = right[(component[right] != component[p]) & ((reps[right] > reps[p]) | (i != j))]
-            q = q[(tokens[q] == tokens[p]).sum(axis=1) >= AGREE]
-            if len(q):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(reps[p], reps[q])), pa.array(np.maximum(reps[p], reps[q]))], names=["a", "b"])
+    """Rows of (pairs of blocks of) nodes with sets x, sorted by path, i, j -> a, b of a forest of their links."""
+    for rows, offsets in whole_groups(batches, ["path", "i", "j"]):
+        reps, i, j, own, x = rows.column("rep").to_numpy(), rows.column("i").to_numpy(), rows.column("j").to_numpy(), rows.column("own").to_numpy(), rows.column("x")
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            sets = [np.frombuffer(v, dtype=np.uint64) for v in x.slice(a, b - a).to_pylist()]
+            found = _links_of(sets, np.flatnonzero(own[a:b] == i[a]), np.flatnonzero(own[a:b] == j[a])) if b - a > 1 else []
+            if found:
+                p, q = np.array(found).T + a
+                yield pa.RecordBatch.from_arrays([pa.array(reps[p]), pa.array(reps[q])], names=["a", "b"])
+
+
+def _in_blocks(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """rows (path, rep, n) with values (rep, ...), dealt and sorted by path and pair of blocks (i <= j)."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    tasks = own.join(values, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = tasks.select("path", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", *(c for c in values.columns if c != "rep"))
+    return tasks.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
 
 
 class _Search:
     def __init__(self, docs: DataFrame, key: str, text: str, k: int, classes: DataFrame):
-        self.docs, self.key, self.text, self.k, self.classes = docs, key, text, k, classes
+        self.docs, self.key, self.text, self.k = docs, key, text, k
         self.sigs = classes.select("rep", "sig")
-        self.sets: DataFrame | None = None
-        self.links: DataFrame | None = None
-        self.components: DataFrame | None = None
 
     def nodes(self, rows: DataFrame) -> DataFrame:
-        """Rows of nodes with two documents or more, with the node's size and three of its documents."""
-        by = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("p1"), F.min(F.struct(F.xxhash64("rep"), "rep"))["rep"].alias("p2"), F.max("rep").alias("p3"))
+        """Rows of nodes with two documents or more, with the node's size."""
+        by = rows.groupBy("path").agg(F.count("*").alias("n"))
         return cut(rows.join(cut(by.where(F.col("n") > 1), "nodes"), "path"), "node-rows")
 
-    def take_sets(self, reps: DataFrame) -> None:
+    def leaves(self) -> DataFrame:
+        """path, rep, n of all nodes to be compared."""
+        rows = self.nodes(self.sigs.mapInArrow(_roots, "path long, rep long"))
+        out = rows.where(F.col("n") <= LEAF)
+        for _ in range(DEPTH):
+            large = rows.where(F.col("n") > LEAF)
+            if large.isEmpty():
+                return out
+            rows = self.nodes(large.join(self.sigs, "rep").select("path", "rep", "sig").mapInArrow(_children, "path long, rep long"))
+            out = out.unionByName(rows.where(F.col("n") <= LEAF))
+        return out.unionByName(rows.where(F.col("n") > LEAF))
+
+    def sets(self, reps: DataFrame) -> DataFrame:
         """Full sets of the documents in reps; a filter of fixed size keeps other texts from being read into Python or dealt out."""
         slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
         bits = reps.select(slot("rep").alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("bits"))
         texts = self.docs.select(F.col(self.key).cast("long").alias("rep"), F.col(self.text).alias("text")).withColumn("s", slot("rep")).withColumn("bucket", F.expr("bitmap_bucket_number(s)")).withColumn("bit", F.expr("bitmap_bit_position(s)"))
         near = texts.join(F.broadcast(cut(bits, "bits")), "bucket")  # FILTER_BITS / 8 bytes at most
         byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        near = near.where(F.shiftright(byte, 0).bitwiseAND(F.pow(F.lit(2), F.col("bit") % 8).cast("int")) != 0).select("rep", "text")
+        near = near.where(byte.bitwiseAND(F.pow(F.lit(2), F.col("bit") % 8).cast("int")) != 0).select("rep", "text")
         k = self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,71 +230,19 @@ class _Search:
                     found = [np.unique(x[p:q]).tobytes() for p, q in zip(ranges[:-1].tolist(), ranges[1:].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.binary())], names=["rep", "x"])
 
-        some = near.mapInArrow(run, "rep long, x binary").where(F.length("x") > 0)
-        self.sets = cut(some, "sets")
-
-    def confirm(self, pairs: DataFrame) -> None:
-        """Compare pairs (a, b), on signatures and then on sets, and take what links into the components."""
-        pairs = cut(pairs.where("a < b").groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one"), "pairs")
-        one, two = (self.sigs.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-        near = cut(pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a long, b long"), "near-pairs")
-        one, two = (self.sets.select(F.col("rep").alias(c), F.col("x").alias(f"x_{c}")) for c in "ab")
-        links = cut(near.join(two, "b").join(one, "a").select("a", "b", "x_a", "x_b").mapInArrow(_confirmed, "a long, b long"), "links")
-        if self.components is not None:
-            if links.isEmpty():
-                return
-            links = self.links.unionByName(links)
-        self.links = links
-        self.components = cut(connected_components(links), "components")
-
-    def mixed(self, rows: DataFrame) -> DataFrame:
-        """Rows of nodes that hold several components, with their own; nodes of two have been compared."""
-        known = rows.where("n > 2").join(self.components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        known = cut(known, "known")
-        several = known.groupBy("path").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("path")
-        return cut(known.join(cut(several, "several"), "path"), "mixed")
-
-    def across(self, rows: DataFrame) -> DataFrame:
-        """Pairs across components of mixed nodes of at most LEAF documents."""
-        lists = rows.where(F.col("n") <= LEAF).groupBy("path").agg(F.collect_list(F.struct("rep", "component")).alias("l"))
-        each = lists.select("l", F.explode("l").alias("x"))
-        return each.select(F.col("x.rep").alias("a"), F.explode(F.filter("l", lambda y: (y["rep"] > F.col("x.rep")) & (y["component"] != F.col("x.component"))).alias("y")).alias("y")).select("a", F.col("y.rep").alias("b"))
-
-    def in_blocks(self, rows: DataFrame) -> DataFrame:
-        """Agreeing pairs across components of large nodes, which stay whole."""
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        own = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-        tasks = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(self.sigs, "rep")
-        tasks = tasks.select("path", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "sig")
-        return tasks.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_in_blocks, "a long, b long")
+        return cut(near.mapInArrow(run, "rep long, x binary").where(F.length("x") > 0), "sets")
 
     def run(self) -> DataFrame | None:
         """node and component of all that is linked, or None."""
-        rows = self.nodes(self.sigs.mapInArrow(_roots, "path long, rep long"))
-        if rows.isEmpty():
+        agree = cut(_in_blocks(self.leaves(), self.sigs).mapInArrow(_agreeing, "path long, rep long").distinct(), "agreeing")
+        if agree.isEmpty():
             return None
-        self.take_sets(rows.select("rep"))
-        self.confirm(rows.select(F.col("p1").alias("a"), F.col("rep").alias("b")))
-        for level in range(DEPTH + 1):
-            rows = self.mixed(rows)
-            if rows.isEmpty():
-                break
-            if level == 0:
-                # Two more documents of each node, where they are of another component.
-                stars = [rows.select("component", "rep", F.col(p).alias("p")) for p in ("p2", "p3")]
-                other = self.components.select(F.col("node").alias("p"), F.col("component").alias("of_p"))
-                star = stars[0].unionByName(stars[1]).join(other, "p", "left").where(F.coalesce("of_p", "p") != F.col("component"))
-                self.confirm(star.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")))
-                rows = self.mixed(rows.drop("component"))
-            self.confirm(self.across(rows))
-            rows = self.mixed(rows.where(F.col("n") > LEAF).drop("component"))
-            if rows.isEmpty():
-                break
-            if level == DEPTH:
-                self.confirm(self.in_blocks(rows))
-                break
-            rows = self.nodes(rows.join(self.sigs, "rep").select("path", "rep", "sig").mapInArrow(_children, "path long, rep long"))
-        return self.components
+        members = F.sum(F.xxhash64("rep").cast("decimal(38,0)")), F.sum(F.xxhash64(F.lit("second"), "rep").cast("decimal(38,0)"))
+        nodes = agree.groupBy("path").agg(F.count("*").alias("n"), members[0].alias("s1"), members[1].alias("s2"))
+        once = cut(nodes.groupBy("n", "s1", "s2").agg(F.min("path").alias("path")).select("path", "n"), "distinct-nodes")
+        rows = cut(agree.join(once, "path"), "near-rows")
+        links = _in_blocks(rows, self.sets(rows.select("rep"))).mapInArrow(_confirmed, "a long, b long")
+        return connected_components(cut(links, "links"))
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
