@@ -67,11 +67,8 @@ def extension_of(url: Column) -> Column:
 
 
 def mime_from_extension(url: Column) -> Column:
-    ext = extension_of(url)
-    chain = F
-    for mime, names in MIME_EXTENSIONS.items():
-        chain = chain.when(ext.isin(names.split()), mime)
-    return chain
+    pairs = [F.lit(x) for mime, names in MIME_EXTENSIONS.items() for name in names.split() for x in (name, mime)]
+    return F.element_at(F.create_map(*pairs), extension_of(url))
 
 
 def media_type_from_extension(url: Column) -> Column:
@@ -85,16 +82,23 @@ def classify(url: Column, final_url: Column, status: Column, content_type: Colum
     Errors come before the status, the status before the header, the header before the extension; on failure the extension
     says what was asked for, as the header then describes the error page.
     """
-    mime = normalize_content_type(content_type)
-    target = F.coalesce(F.nullif(final_url, F.lit("")), url)
+    return F.transform(F.array(F.struct(normalize_content_type(content_type).alias("mime"), mime_from_extension(F.coalesce(F.nullif(final_url, F.lit("")), url)).alias("final"), mime_from_extension(url).alias("own"))), lambda x: _classified(x["mime"], x["final"], x["own"], status, error_type, redirects))[0]
+
+
+def _kind_of_extension(mime: Column) -> Column:
+    return F.when(mime == "text/plain", "OTHER_ASSET").otherwise(media_type_from_mime(mime))
+
+
+def _classified(mime: Column, final: Column, own: Column, status: Column, error_type: Column, redirects: Column) -> Column:
+    """classify() from the MIME types of the header, the final URL's extension and the URL's own: each worked out once."""
     by_mime = media_type_from_mime(mime)
-    by_extension = F.coalesce(media_type_from_extension(target), media_type_from_extension(url))
+    by_extension = F.coalesce(_kind_of_extension(final), _kind_of_extension(own))
     hard = F.coalesce((error_type != "") & (error_type != "UNSUPPORTED_CONTENT"), F.lit(False))
     failed = hard | status.isNull() | (status >= 400)
     prefer = failed & by_extension.isNotNull()
     media = F.when(prefer, by_extension).otherwise(F.coalesce(by_mime, by_extension, F.lit("UNKNOWN")))
     source = F.when(prefer, "extension").when(by_mime.isNotNull(), "header").when(by_extension.isNotNull(), "extension").otherwise("none")
-    expected = F.coalesce(mime_from_extension(target), mime_from_extension(url))
+    expected = F.coalesce(final, own)
     mismatch = F.coalesce(~is_generic_mime(mime) & (expected != mime), F.lit(False))
     kind = F.when(failed, "ERROR").when(status >= 300, "REDIRECT").otherwise(media)
     redirected = F.coalesce(F.size(redirects) > 0, F.lit(False)) | F.coalesce(status.between(300, 399), F.lit(False))

@@ -60,10 +60,10 @@ def hits(nodes: DataFrame, edges: DataFrame, *, iterations: int = 100, tolerance
     before = None
     authorities = hubs.select("id", F.lit(0.0).alias("authority")).limit(0)
     for k in range(1, iterations + 1):
-        authorities = scaled(simple.join(hubs.select(F.col("id").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("authority")), "authority")
-        hubs = scaled(simple.join(authorities.select(F.col("id").alias("dst"), "authority"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("authority").alias("hub")), "hub")
-        if k % every == 0 or k == iterations:
-            hubs = cut(hubs, "hubs")
+        authorities = simple.join(hubs.select(F.col("id").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("authority"))
+        hubs = (simple.join(authorities.select(F.col("id").alias("dst"), "authority"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("authority").alias("hub")))
+        if k % every == 0 or k == iterations:  # scaled only now and then: only the proportions matter
+            hubs = scaled(cut(hubs, "hubs"), "hub")
             change = None if before is None else hubs.join(before.withColumnRenamed("hub", "old"), "id").agg(F.max(F.abs(F.col("hub") - F.col("old")))).first()[0]
             before = hubs
             if change is None and before.isEmpty() or change is not None and change < tolerance:
