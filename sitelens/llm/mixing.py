@@ -35,7 +35,7 @@ def smoothed_units(rows: DataFrame, exponent: float = EXPONENT, resolution: int
 
 
 def period(units: DataFrame) -> DataFrame:
-    """One period of the schedule: __source, turn (from 0), slot, units and period_slots."""
+    """One period of the schedule: __source, __turn (from 0), __in_period, __units and __period (slots)."""
     one = units.agg(F.array_sort(F.collect_list(F.struct("__source", "units"))).alias("s"), F.sum("units").alias("total")).where("total > 0")
 
     def step(state: Column, slot: Column) -> Column:
@@ -52,7 +52,7 @@ def period(units: DataFrame) -> DataFrame:
     start = F.struct(F.transform("s", lambda x: F.lit(0).cast("long")).alias("turn"), F.array().cast("array<struct<i:int,turn:bigint>>").alias("order"))
     done = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("total") - 1), start, step, lambda x: x["order"])
     slots = one.select("s", "total", F.posexplode(done).alias("slot", "x"))
-    return slots.select(F.element_at("s", F.col("x.i") + 1)["__source"].alias("__source"), F.col("x.turn").alias("turn"), F.col("slot").cast("long").alias("slot"), F.element_at("s", F.col("x.i") + 1)["units"].alias("units"), F.col("total").alias("period_slots"))
+    return slots.select(F.element_at("s", F.col("x.i") + 1)["__source"].alias("__source"), F.col("x.turn").alias("__turn"), F.col("slot").cast("long").alias("__in_period"), F.element_at("s", F.col("x.i") + 1)["units"].alias("__units"), F.col("total").alias("__period"))
 
 
 def schedule(docs: DataFrame, weights: dict[str, int] | None = None, *, source: str = "source", key: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -60,9 +60,9 @@ def schedule(docs: DataFrame, weights: dict[str, int] | None = None, *, source:
     rows = docs.withColumn("__source", F.coalesce(F.col(source).cast("string"), F.lit(""))).withColumn("__hash", F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")))
     rows = rows.withColumn("__bucket", F.substring("__hash", 1, BUCKET_DIGITS))
     small = docs.select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__source"), F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, BUCKET_DIGITS).alias("__bucket"))
-    sizes = small.groupBy("__source", "__bucket").agg(F.count("*").alias("n"))
+    sizes = small.groupBy("__source", "__bucket").agg(F.count("*").alias("__n"))
     before = W.Window.partitionBy("__source").orderBy("__bucket").rowsBetween(W.Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("__offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    offsets = sizes.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     if weights is None:
         units = smoothed_units(small)
     else:
@@ -73,10 +73,9 @@ def schedule(docs: DataFrame, weights: dict[str, int] | None = None, *, source:
     ranked = rows.withColumn("__rank", F.row_number().over(within) - 1).join(offsets, ["__source", "__bucket"])
     ranked = ranked.withColumn("__at", F.col("__rank") + F.col("__offset")).withColumn("__block", F.floor(F.col("__at") / block_rows))
     plan = period(units)
-    sized = ranked.join(F.broadcast(units.withColumnRenamed("units", "__units")), "__source")  # a row for each source
-    sized = sized.withColumn("turn", F.col("__block") % F.col("__units"))
-    placed = sized.join(F.broadcast(plan), ["__source", "turn"])  # RESOLUTION rows, and one more for each source at most
-    placed = placed.withColumn("__slot", F.floor(F.col("__block") / F.col("units")) * F.col("period_slots") + F.col("slot"))
+    sized = ranked.join(F.broadcast(units.withColumnRenamed("units", "__of")), "__source").withColumn("__turn", F.col("__block") % F.col("__of"))  # a row for each source
+    placed = sized.join(F.broadcast(plan), ["__source", "__turn"])  # RESOLUTION rows, and one more for each source at most
+    placed = placed.withColumn("__slot", F.floor(F.col("__block") / F.col("__units")) * F.col("__period") + F.col("__in_period"))
     return placed.withColumn("__position", F.col("__slot") * block_rows + F.col("__at") % block_rows).select(*docs.columns, "__block", "__slot", "__position")
 
 

@@ -263,11 +263,12 @@ def _batches(batch: pa.RecordBatch, texts: pa.Array, size: int = 8 << 20) -> Ite
 
 
 def encode(df: DataFrame, model_path: str, *, column: str = "text", keep: list[str] | None = None, ids: bool = True, digests: bool = False) -> DataFrame:
-    """The columns in keep (all but the text if None), n_tokens, and on demand ids (array<int>) and SHA-256 of ids and decoded text."""
+    """The columns in keep (all but the text, and those named as what is made, if None), n_tokens, and on demand ids (array<int>) and SHA-256 of ids and decoded text."""
     with open(model_path, "rb") as f:
         model = f.read()
     shared = df.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in df.columns if c != column] if keep is None else keep
+    made = ("n_tokens", *["ids"] * ids, *["ids_sha256", "decoded_sha256"] * digests)
+    keep = [c for c in df.columns if c != column and c not in made] if keep is None else keep
     fields = [df.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType())]
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids + [T.StructField(c, T.StringType()) for c in ("ids_sha256", "decoded_sha256")] * digests
 
