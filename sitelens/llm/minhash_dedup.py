@@ -37,7 +37,8 @@ from .words import mix, parts, shingles, word_hashes
 SHINGLE = 4
 THRESHOLD = 80  # per cent
 PLACES = 64
-TREES = 8
+#: A pair at the threshold misses all of six trees (one place or two in each) with a probability under 1e-4.
+TREES = 6
 LEAF = 4096
 DEPTH = 6
 BLOCK = 1024
