@@ -117,7 +117,7 @@ def normalize_target(target: Column) -> Column:
 
 
 def split_patterns(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[\r\n,]+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[\r\n,]+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def top_organic(items: Column, most: int = 10) -> Column:

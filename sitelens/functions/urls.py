@@ -79,7 +79,7 @@ def resolve(url: str, base: str | None = None) -> tuple[str, str, str, str, str]
             return scheme, user, host, quote(_no_dots(path), safe=_PATH_SAFE), query
     if scheme not in ("http", "https"):
         return None
-    if not authority:
+    if not authority.lstrip("/"):  # any number of slashes may stand before the host
         authority, _, path = path.lstrip("/").partition("/")
         authority, path = "//" + authority, "/" + path
     user, at, place = authority.lstrip("/").rpartition("@")
