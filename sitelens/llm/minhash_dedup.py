@@ -10,7 +10,8 @@ that meet in a node are candidates:
 2. The first comparison is of whole signatures, with a bound that pairs at the threshold fail once in millions. It returns the
    documents of a node that agree with another one, not the pairs. Of nodes that so hold the same documents one stays.
 3. The second comparison is of the full sets of what is left, again by nodes or pairs of blocks, with an inverted file of the
-   block's shingles. It skips pairs that are connected already and returns a forest of the links found.
+   block's shingles. It skips pairs that are connected already and returns a forest of the links found. Each document's
+   largest node comes first; of the others only those follow that then still hold several components.
 
 The links go to distributed connected components. No node, group of copies or hot key is gathered in one task.
 
@@ -241,9 +242,16 @@ class _Search:
         members = F.sum(F.xxhash64("rep").cast("decimal(38,0)")), F.sum(F.xxhash64(F.lit("second"), "rep").cast("decimal(38,0)"))
         nodes = agree.groupBy("path").agg(F.count("*").alias("n"), members[0].alias("s1"), members[1].alias("s2"))
         once = cut(nodes.groupBy("n", "s1", "s2").agg(F.min("path").alias("path")).select("path", "n"), "distinct-nodes")
-        rows = cut(agree.join(once, "path"), "near-rows")
-        links = _in_blocks(rows, self.sets(rows.select("rep"))).mapInArrow(_confirmed, "a long, b long")
-        return connected_components(cut(links, "links"))
+        rows, sets = cut(agree.join(once, "path"), "near-rows"), self.sets(agree.select("rep"))
+        compared = lambda some: _in_blocks(some, sets).mapInArrow(_confirmed, "a long, b long")
+        # Each document's largest node first: after it most other nodes hold one component, and their sets needn't be sent.
+        largest = cut(rows.groupBy("rep").agg(F.max(F.struct("n", "path"))["path"].alias("path")).select("path").distinct(), "largest")
+        links = cut(compared(rows.join(largest, "path", "left_semi")), "links")
+        known = connected_components(links).withColumnRenamed("node", "rep")
+        other = rows.join(largest, "path", "left_anti").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        mixed = cut(other, "other-rows").groupBy("path").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("path")
+        more = cut(compared(rows.join(cut(mixed, "mixed"), "path", "left_semi")), "links")
+        return connected_components(links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
