@@ -180,12 +180,12 @@ def louvain(nodes: DataFrame, edges: DataFrame, *, group: str = "crawl_id") -> D
     task use label_propagation().
     """
     pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    own = nodes.select(group, F.col("id").alias("a"), F.lit(None).cast("long").alias("b"))
+    own = nodes.select(group, F.col("id").alias("a"), F.col("id").alias("b"))  # a node by itself
     rows = own.unionByName(pairs.join(nodes.select(group, F.col("id").alias("a")), "a").select(group, "a", "b"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(pdf.loc[pdf["b"].isna(), "a"])
-        links = pdf.dropna(subset=["b"])
+        ids = sorted(pdf.loc[pdf["b"] == pdf["a"], "a"])
+        links = pdf[pdf["b"] != pdf["a"]]
         labels, modularity = louvain_labels(ids, [(int(a), int(b)) for a, b in zip(links["a"], links["b"], strict=True)])
         return pd.DataFrame({group: key[0], "id": ids, "community": [labels[i] for i in ids], "modularity": modularity})
 

@@ -34,7 +34,8 @@ class Rule:
 
 
 def page_rules() -> list[Rule]:
-    """The 25 page rules in their order; limits are those of the product."""
+    """The 25 page rules in their order."""
+    # Codes, severities, titles, texts of the details and limits, as users of the product know them.
     c = F.col
     status = F.coalesce(c("status_code"), F.lit(0))
     a = is_auditable(c("resource_type"), c("content_type"), c("status_code"))
