@@ -61,24 +61,6 @@ def utf8_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
 
 
 
-def stream_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The groups of batches that are sorted by keys (integers), one at a time; no more than a batch and a group are held."""
-    held: pa.Table | None = None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        if held is not None:
-            rows = pa.concat_tables([held, rows])
-        values = [rows.column(k).to_numpy() for k in keys]
-        starts = np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in values])) + 1
-        a = 0
-        for b in starts.tolist():
-            yield rows.slice(a, b - a)
-            a = b
-        held = rows.slice(a).combine_chunks() if a < rows.num_rows else None
-    if held is not None:
-        yield held
-
-
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups of batches that are sorted by keys (integers), with the groups' offsets."""
     held: pa.Table | None = None
