@@ -40,7 +40,7 @@ THRESHOLD = 80  # per cent
 PLACES = 64
 #: A pair at the threshold misses all of six trees (one place or two in each) with a probability under 1e-4.
 TREES = 6
-LEAF = 4096
+LEAF = 1024
 DEPTH = 6
 BLOCK = 1024
 #: Signature places that must agree: five standard deviations below what a pair at the threshold has.
