@@ -1,7 +1,7 @@
 """A training corpus from the documents table: five stages, each a table that the next one reads.
 
 1. quality: documents that the rule ensemble scores below its threshold go.
-2. line_dedup: lines on several sites go, but for their first occurrence; n_chars follows the text.
+2. line_dedup: lines on several sites, short ones too, go, but for their first occurrence; n_chars follows the text.
 3. near_dedup: one document of each group of near-duplicates stays (five-word shingles, similarity 0.8).
 4. mixing: all rows, in the order in which the source schedule takes them.
 5. tokenise: ids, their number and digests; the text that the ids decode to is checked by its digest.
@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup_lines(docs).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    return dedup_lines(docs, min_words=1).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ threshold are boilerplate; those near it get an exact distinct count. Of a boile
 doc_id (then the first in it) stays and every other goes, so that one copy of the passage is left in the corpus and a document
 that others copied keeps its text.
 
-Lines end at a line feed. Lines of fewer than min_words words (parted by single spaces) are never boilerplate: such lines meet
-by chance. Null texts stay null, empty ones empty; texts without removed lines stay as they are, byte for byte. A null site is
+Lines end at a line feed. Lines of fewer than min_words words (parted by single spaces) are never boilerplate; with min_words 1
+every non-empty line counts, as in the corpus pipeline. Empty lines are never boilerplate. OP10_SQL sets MIN_WORDS for the query. Null texts stay null, empty ones empty; texts without removed lines stay as they are, byte for byte. A null site is
 one more site. Repeated rows (same doc_id and text) are treated alike. Other columns, whatever their names, pass through.
 """
 
@@ -28,7 +28,7 @@ def _lines(docs: DataFrame, text: str, site: str, key: str, min_words: int) -> D
     """A row for each line that can be boilerplate: document (id and text hash), place, 128-bit hash of the line, site."""
     split = F.split(F.col(text), "\n", -1)
     rows = docs.select(F.coalesce(F.col(key), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("th"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(split).alias("at", "line"))
-    return rows.where(F.size(F.split("line", " ", -1)) >= min_words).select("id", "th", "site", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
+    return rows.where((F.col("line") != "") & (F.size(F.split("line", " ", -1)) >= min_words)).select("id", "th", "site", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:

@@ -331,6 +331,15 @@ def test_lines(spark):
     assert dedup_lines(empty(spark)).count() == 0
 
 
+def test_pipeline_removes_short_lines(spark, sf):
+    import corpus_pipeline
+
+    rows = [(i, f"own line {i}\nLes.\n\nAll rights reserved.\n\n{'on two' if i < 2 else i}", "en", f"s{i}", 0) for i in range(6)]
+    out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, frame(spark, rows), sf).collect()}
+    want = {i: t if i == 0 else "\n".join(x for x in t.split("\n") if x not in ("Les.", "All rights reserved.")) for i, t, *_ in rows}
+    assert out == {i: (t, len(t)) for i, t in want.items()}
+
+
 # Pipeline
 
 
