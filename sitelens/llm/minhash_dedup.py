@@ -2,8 +2,9 @@
 
 A document's set holds the hashes of its distinct word shingles. Documents with equal sets are one class; the rest works on one
 representative of each. A signature of minwise tokens places each representative in TREES independent trees: a node picks one
-signature place at random, or two for every fourth node, and sends each document to the child of its token there. Documents
-that meet in a node are candidates:
+signature place at random, or two for every fourth root, and sends each document to the child of its token there; below the
+roots every node that branches picks two, so that a pair at the threshold has 1.6 expected children in common and stays together
+at every depth. Documents that meet in a node are candidates:
 
 1. Nodes of at most LEAF documents are compared exhaustively, larger ones branch again; after DEPTH levels nodes are compared
    whatever their size. Nodes of more than BLOCK documents are compared in pairs of blocks, each in a task of its own.
@@ -37,8 +38,8 @@ from .words import mix, parts, shingles, word_hashes
 SHINGLE = 4
 THRESHOLD = 80  # per cent
 PLACES = 64
-#: A pair at the threshold misses all of six trees (one place or two in each) with a probability under 1e-4.
-TREES = 6
+#: A pair at the threshold misses all trees with a probability under 1e-4, also where all nodes branch DEPTH times.
+TREES = 8
 LEAF = 4096
 DEPTH = 6
 BLOCK = 1024
@@ -60,12 +61,12 @@ def signatures(x: np.ndarray, ranges: np.ndarray) -> np.ndarray:
     return out
 
 
-def branch(paths: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and path of each child that rows (their node's path, their signature) go to."""
+def branch(paths: np.ndarray, tokens: np.ndarray, root: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Row and path of each child that rows (their node's path, their signature) go to: two, but of three in four roots one."""
     rows, children = [], []
     for turn in range(2):
         pick = mix(paths + np.uint64((2 * turn + 1) * 0x9E3779B97F4A7C15 % 2**64))
-        go = np.arange(len(paths)) if turn == 0 else np.flatnonzero(pick >> np.uint64(62) == 0)
+        go = np.arange(len(paths)) if turn == 0 or not root else np.flatnonzero(pick >> np.uint64(62) == 0)
         place = (pick[go] % np.uint64(PLACES)).astype(np.int64)
         rows.append(go)
         children.append(mix(mix(paths[go] ^ (place.astype(np.uint64) + np.uint64(turn * 1000 + 17))) + tokens[go, place].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
@@ -102,7 +103,7 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, reps = _tokens(batch.column(1)), np.asarray(batch.column(0))
         for tree in range(TREES):
             root = mix(np.full(1, tree + 1, dtype=np.uint64))
-            rows, children = branch(np.repeat(root, len(reps)), tokens)
+            rows, children = branch(np.repeat(root, len(reps)), tokens, root=True)
             yield pa.RecordBatch.from_arrays([pa.array(children.view(np.int64)), pa.array(reps[rows])], names=["path", "rep"])
 
 

@@ -216,6 +216,29 @@ def test_minhash(spark, corpus, k, monkeypatch):
     assert sorted((r["doc_id"] or -1, r["kept"]) for r in alone) == [(-1, True), (-1, True), (4, True)]
 
 
+def test_minhash_pairs_in_branched_nodes():
+    import pyarrow as pa
+
+    from sitelens.llm import minhash_dedup as m
+
+    rng, n = np.random.default_rng(1), 5000
+    a = rng.integers(0, 2**31, (n, m.PLACES), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < m.THRESHOLD / 100, a, a + np.uint32(1))
+
+    def grown(step, *columns):
+        out = [*step(iter([pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=[*"abc"[: len(columns)]])]))]
+        return (np.concatenate([x.column(c).to_numpy() for x in out]) for c in ("path", "rep"))
+
+    def sigs(x):
+        return [r.tobytes() for r in x]
+
+    (path, rep), (other, _) = (grown(m._roots, np.arange(n), sigs(x)) for x in (a, b))
+    for _ in range(m.DEPTH):  # a pair stays a candidate while it has a path in common
+        path, rep = path[path == other], rep[path == other]
+        (path, rep), (other, _) = (grown(m._children, path, rep, sigs(x[rep])) for x in (a, b))
+    assert n - len(np.unique(rep[path == other])) <= 3
+
+
 # 6 and 7
 
 VECTORS = "vec_id long, embedding array<float>, label int"
