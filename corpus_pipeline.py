@@ -4,7 +4,8 @@
 2. line_dedup: lines on several sites, short ones too, go, but for their first occurrence; n_chars follows the text.
 3. near_dedup: one document of each group of near-duplicates stays (five-word shingles, similarity 0.8).
 4. mixing: all rows, in the order in which the source schedule takes them.
-5. tokenise: ids, their number and digests; the text that the ids decode to is checked by its digest.
+5. tokenise: position in that schedule, ids, their number and digests; the text that the ids decode to is checked by its digest.
+   Tables keep no order of rows, so the position is worked out again from the same rows; sorted by it, they are the mix.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id", "lang", "source"], digests=True)
+    placed = schedule(docs).withColumnRenamed("__position", "position")
+    return encode(placed, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id", "lang", "source", "position"], digests=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

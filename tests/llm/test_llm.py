@@ -379,3 +379,42 @@ def test_pipeline(spark, sf):
     assert all(c == DOCUMENT_COLUMNS for *_, c in seen[:4]) and seen[1][1] == seen[0][1] and seen[2][1] == seen[3][1] == seen[4][1]
     bad = {r["doc_id"] for r in table(spark, sf, "labels").where("quality = 0").collect()}
     assert len(bad & {r["doc_id"] for r in docs.collect()}) <= len(bad) * 0.2
+
+
+def test_pipeline_rows(spark, sf):
+    import corpus_pipeline
+    import public_tokenizers
+    import sentencepiece
+
+    from sitelens.llm import mixing, quality
+    from sitelens.llm.common import table
+
+    docs = table(spark, sf, "documents")
+    model = quality.fit(docs, table(spark, sf, "labels"))
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    text = {i: r["text"] for i, r in rows.items() if model.predict(quality.statistics_of(np.array([0, len(t := (r["text"] or "").encode())]), np.frombuffer(t, np.uint8))[:1])[0] >= quality.THRESHOLD}
+    source = {i: rows[i]["source"] or "" for i in text}
+    sites, first = defaultdict(set), {}
+    for i in sorted(text):
+        for k, line in enumerate((text[i] or "").split("\n")):
+            sites[line].add(source[i])
+            first.setdefault(line, (i, k))
+    text = {i: t and "\n".join(x for k, x in enumerate(t.split("\n")) if not x or len(sites[x]) < 3 or first[x] == (i, k)) for i, t in text.items()}
+    sets = {i: shingle_set(t, 5) for i, t in text.items()}
+    ids = sorted(i for i in sets if sets[i])
+    pairs = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if 100 * (both := len(sets[a] & sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - both)]
+    text = {i: text[i] for i, root in brute_components(pairs, sets).items() if root == i}
+    size = Counter(source[i] for i in text)
+    units = {s: max(1, math.floor(round(1000 * n**0.5 / sum(m**0.5 for m in size.values()), 6))) for s, n in sorted(size.items())}
+    total, turn, slot = sum(units.values()), dict.fromkeys(units, 0), {}
+    for t in range(total):
+        due, s = min((-(-(turn[s] + 1) * total // a), s) for s, a in units.items() if turn[s] * total // a <= t)
+        slot[s, turn[s]] = t
+        turn[s] += 1
+    library, want, rank = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")), {}, Counter()
+    for i in sorted(text, key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+        block, s = rank[source[i]] // mixing.BLOCK_ROWS, source[i]
+        want[i] = (rows[i]["lang"], rows[i]["source"], (block // units[s] * total + slot[s, block % units[s]]) * mixing.BLOCK_ROWS + rank[s] % mixing.BLOCK_ROWS, library.encode(text[i] or ""))
+        rank[s] += 1
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert len(out) == len(want) and {r["doc_id"]: (r["lang"], r["source"], r["position"], r["ids"]) for r in out} == want
