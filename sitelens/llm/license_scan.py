@@ -29,6 +29,8 @@ WORDS = 5
 CONTAINMENT = 0.8
 COLLISION = 0.9999
 STEPS = 8
+#: A match's shingles may lie within so many template lengths.
+SPAN = 1.5
 
 # License notices as their holders ask to state them, and short statements in common use.
 TEMPLATES: dict[str, list[str]] = {
@@ -65,9 +67,9 @@ _SEPARATOR[128:] = False
 
 
 def bands_needed(containment: float = CONTAINMENT, steps: int = STEPS, collision: float = COLLISION) -> int:
-    """Bands of one MinHash value with which the worst-placed window over a match still meets its template."""
-    shift = 1 / (2 * steps)
-    least = (containment - shift) / (2 - containment + shift)
+    """Bands of one MinHash value with which the worst-placed window over a match, spread over SPAN, still meets its template."""
+    held = containment / SPAN - 1 / (2 * steps)
+    least = held / (2 - held)
     return math.ceil(math.log(1 - collision) / math.log(1 - least))
 
 
@@ -127,10 +129,10 @@ class Templates:
         return sorted(out, key=lambda m: m[1])
 
     def _densest(self, x: np.ndarray, places: np.ndarray, i: int) -> tuple[int, int, float] | None:
-        """The shortest span of places, of those with most of template i's shingles within 1.5 times its length, if enough."""
+        """The shortest span of places, of those with most of template i's shingles within SPAN times its length, if enough."""
         size, best = len(self.sets[i]), (0, 0, 0, 0)
         for k, a in enumerate(places.tolist()):
-            some = places[k : np.searchsorted(places, a + max(size, int(1.5 * size)))]
+            some = places[k : np.searchsorted(places, a + max(size, int(SPAN * size)))]
             n = len(np.unique(x[some]))
             best = max(best, (n, -int(some[-1] - a), -a, int(some[-1])))
         if best[0] >= CONTAINMENT * size:

@@ -338,6 +338,13 @@ def test_licenses(spark, corpus):
     assert 1 - (1 - (ls.CONTAINMENT - 1 / 16) / (2 - ls.CONTAINMENT + 1 / 16)) ** ls.bands_needed() >= ls.COLLISION
 
 
+def test_license_bands_cover_spread_matches():
+    from sitelens.llm import license_scan as ls
+
+    held = ls.CONTAINMENT / 1.5  # what a window holds of a match spread over 1.5 template lengths
+    assert (1 - held / (2 - held)) ** ls.bands_needed() <= 1 - ls.COLLISION
+
+
 # 10
 
 
