@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of this machine where none is set (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or on a local master (tests) a folder of this machine if unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="sitelens-")
@@ -36,7 +39,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sitelens/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote; nothing that is still to run may read them."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """names, each with as many underscores in front as keep it apart from the columns (case doesn't part names in Spark)."""
+    taken = {c.lower() for c in columns}
+    return [next(n for k in itertools.count() if (n := "_" * k + name).lower() not in taken) for name in names]
 
 
 def remainder_is(key: str | Column, modulus: int, value: int) -> Column:
@@ -60,7 +79,6 @@ def utf8_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return offsets - offsets[0], data[offsets[0] : offsets[-1]]
 
 
-
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups of batches that are sorted by keys (integers), with the groups' offsets."""
     held: pa.Table | None = None

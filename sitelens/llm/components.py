@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and component (the smallest node reachable) for each node of an edge; self-links and repeated edges are harmless.
 
     Each round points every node to its smallest neighbour, links that neighbour to the node's others, and lets the node skip to
-    where its neighbour points. All three keep what is connected together; the pointers' paths halve.
+    where its neighbour points. All three keep what is connected together; the pointers' paths halve. A round's tables go when
+    the next round's are written.
     """
     now = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     while True:
@@ -21,7 +22,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         jumped = lowest.join(above, "p", "left").select("u", F.coalesce("pp", "p").alias("v"), F.col("pp").isNotNull().alias("moved"))
         beside = now.join(lowest, "u").where(F.col("v") != F.col("p")).select(F.greatest("v", "p").alias("u"), F.least("v", "p").alias("v"), F.lit(True).alias("moved"))
         both = cut(jumped.unionByName(beside), "edges")
-        if both.where("moved").isEmpty():
+        done = both.where("moved").isEmpty()
+        discard(now)
+        if done:
+            discard(both)
             return lowest.select(F.col("u").alias("node"), F.col("p").alias("component")).unionByName(lowest.select(F.col("p").alias("node"), F.col("p").alias("component")).distinct())
-        now = both.groupBy("u", "v").agg(F.lit(1).alias("one")).drop("one")
-        now = cut(now, "edges")
+        now = cut(both.groupBy("u", "v").agg(F.lit(1).alias("one")).drop("one"), "edges")
+        discard(both, lowest)

@@ -6,12 +6,17 @@ signature place at random, or two for every fourth root, and sends each document
 roots every node that branches picks two, so that a pair at the threshold has 1.6 expected children in common and stays together
 at every depth. Documents that meet in a node are candidates:
 
-1. Nodes of at most LEAF documents are compared exhaustively, larger ones branch again; after DEPTH levels nodes are compared
-   whatever their size. Nodes of more than BLOCK documents are compared in pairs of blocks, each in a task of its own.
-2. The first comparison is of whole signatures, with a bound that pairs at the threshold fail once in millions. It returns the
-   documents of a node that agree with another one, not the pairs. Of nodes that so hold the same documents one stays.
-3. The second comparison is of the full sets of what is left, again by nodes or pairs of blocks, with an inverted file of the
-   block's shingles. It skips pairs that are connected already and returns a forest of the links found.
+1. Nodes of at most LEAF documents are compared exhaustively, larger ones branch again. The comparison is of one byte for each
+   signature place, with a bound that pairs at the threshold fail once in millions. It returns, of each node, the groups of
+   documents that agree, not the pairs.
+2. What is connected by such groups in all trees is compared exhaustively in one task, on the full sets, if it is small: so a text
+   is sent once, however many trees it meets others in. An inverted file of the task's shingles counts the intersections; pairs
+   that are connected already are skipped, and a forest of the links found is returned.
+
+Groups beyond one task (nodes still over LEAF after DEPTH levels, and groups that agree of more than BLOCK documents or WEIGHT
+shingles) first meet LEADERS documents of their own, in blocks, and the links found name their parts. Links inside a part add
+nothing, so that then only the documents outside the largest part meet all others of their node, in pairs of blocks. A large
+group of near copies so costs a pass over its texts, and no link between parts is lost.
 
 The links go to distributed connected components. No node, group of copies or hot key is gathered in one task.
 
@@ -24,14 +29,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import window as W
 
-from .common import cut, table, utf8_parts, whole_groups
+from .common import cut, discard, table, utf8_parts, whole_groups
 from .components import connected_components
 from .words import mix, parts, shingles, word_hashes
 
@@ -42,10 +48,17 @@ PLACES = 64
 TREES = 8
 LEAF = 4096
 DEPTH = 6
+#: Documents and shingles that are compared in one task.
 BLOCK = 1024
+WEIGHT = 2_000_000
+LEADERS = 16
 #: Signature places that must agree: five standard deviations below what a pair at the threshold has.
 AGREE = 35
-FILTER_BITS = 1 << 24
+#: Bits of the filter for each candidate, and in all (16 MB).
+FILTER_SHARE = 16
+FILTER_BITS = 1 << 27
+#: Roles in a comparison: each LEFT row meets each RIGHT one.
+LEFT, RIGHT = 1, 2
 
 _RANDOM = np.random.Generator(np.random.PCG64(77))
 _XOR = _RANDOM.integers(0, 2**63, PLACES, dtype=np.uint64)
@@ -114,27 +127,50 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(children.view(np.int64)), pa.array(np.asarray(batch.column(1))[rows])], names=["path", "rep"])
 
 
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rep, sig -> rep, few: a byte of each place."""
+    for batch in batches:
+        few = _tokens(batch.column(1)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in few], pa.binary())], names=["rep", "few"])
+
+
+def _groups_of(few: np.ndarray, reps: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """For each row the smallest row that it is connected with by agreement."""
+    label = np.arange(len(few))
+    left, right = np.flatnonzero(side & LEFT), np.flatnonzero(side & RIGHT)
+    if len(few) <= 48:
+        close = ((few[left][:, None, :] == few[right][None, :, :]).sum(axis=2) >= AGREE) & (reps[left][:, None] != reps[right][None, :])
+        p, q = left[np.nonzero(close)[0]], right[np.nonzero(close)[1]]
+        while len(p):
+            low, before = np.minimum(label[p], label[q]), label.copy()
+            np.minimum.at(label, p, low)
+            np.minimum.at(label, q, low)
+            if (label == before).all():
+                break
+        return label
+    for p in left.tolist():
+        q = right[(right > p) | (side[right] != LEFT | RIGHT)] if side[p] == LEFT | RIGHT else right
+        q = q[(few[q] == few[p]).sum(axis=1) >= AGREE]
+        q = q[reps[q] != reps[p]]
+        old = np.unique(label[q])
+        old = old[old != label[p]]
+        if len(old):
+            low = min(label[p], old[0])
+            label[np.isin(label, np.append(old, label[p]))] = low
+    return label
+
+
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (pairs of blocks of) nodes, sorted by path, i, j -> path, rep of those whose signature agrees with another row's."""
-    for rows, offsets in whole_groups(batches, ["path", "i", "j"]):
-        path, i, j, own = (rows.column(c).to_numpy() for c in ("path", "i", "j", "own"))
-        tokens, good = _tokens(rows.column("sig")), np.zeros(len(path), dtype=bool)
+    """task, rep, side, few, sorted by task -> task, g, rep: the groups of two documents or more that agree; g is one of each."""
+    for rows, offsets in whole_groups(batches, ["task"]):
+        task, reps, side = (rows.column(c).to_numpy() for c in ("task", "rep", "side"))
+        few = np.frombuffer(b"".join(rows.column("few").to_pylist()), dtype=np.uint8).reshape(-1, PLACES)
+        group = np.empty(len(task), dtype=np.int64)
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            x = tokens[a:b]
-            if b - a <= 48 and i[a] == j[a]:
-                close = (x[:, None, :] == x[None, :, :]).sum(axis=2) >= AGREE
-                np.fill_diagonal(close, False)
-                good[a:b] = close.any(axis=1)
-                continue
-            left, right = np.flatnonzero(own[a:b] == i[a]), np.flatnonzero(own[a:b] == j[a])
-            for p in left.tolist():
-                q = right[right > p] if i[a] == j[a] else right
-                close = q[(x[q] == x[p]).sum(axis=1) >= AGREE]
-                if len(close):
-                    good[a + p] = True
-                    good[a + close] = True
-        if good.any():
-            yield pa.RecordBatch.from_arrays([pa.array(path[good]), pa.array(rows.column("rep").to_numpy()[good])], names=["path", "rep"])
+            group[a:b] = a + _groups_of(few[a:b], reps[a:b], side[a:b])
+        good = np.flatnonzero(np.bincount(group, minlength=len(group))[group] > 1)
+        if len(good):
+            yield pa.RecordBatch.from_arrays([pa.array(task[good]), pa.array(reps[group[good]]), pa.array(reps[good])], names=["task", "g", "rep"])
 
 
 def _links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -170,96 +206,151 @@ def _links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> li
     return out
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (pairs of blocks of) nodes with sets x, sorted by path, i, j -> a, b of a forest of their links."""
-    for rows, offsets in whole_groups(batches, ["path", "i", "j"]):
-        reps, i, j, own, x = rows.column("rep").to_numpy(), rows.column("i").to_numpy(), rows.column("j").to_numpy(), rows.column("own").to_numpy(), rows.column("x")
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            sets = [np.frombuffer(v, dtype=np.uint64) for v in x.slice(a, b - a).to_pylist()]
-            found = _links_of(sets, np.flatnonzero(own[a:b] == i[a]), np.flatnonzero(own[a:b] == j[a])) if b - a > 1 else []
-            if found:
-                p, q = np.array(found).T + a
-                yield pa.RecordBatch.from_arrays([pa.array(reps[p]), pa.array(reps[q])], names=["a", "b"])
+def _sets(column: pa.Array | pa.ChunkedArray, k: int) -> Iterator[np.ndarray]:
+    offsets, data = utf8_parts(column)
+    for a, b in parts(offsets):
+        hashes, _, _, rows = word_hashes(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
+        x, ranges = shingles(hashes, rows, k)
+        for p, q in zip(ranges[:-1].tolist(), ranges[1:].tolist(), strict=True):
+            yield np.unique(x[p:q])
+
+
+def _comparison(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """task, rep, side, text, sorted by task -> a, b of a forest of each task's links."""
+        for rows, offsets in whole_groups(batches, ["task"]):
+            reps, side, sets = rows.column("rep").to_numpy(), rows.column("side").to_numpy(), _sets(rows.column("text"), k)
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                own = [next(sets) for _ in range(b - a)]
+                left, right = np.flatnonzero(side[a:b] & LEFT), np.flatnonzero(side[a:b] & RIGHT)
+                found = _links_of(own, left, right) if len(left) and len(right) else []
+                if found:
+                    p, q = np.array(found).T + a
+                    yield pa.RecordBatch.from_arrays([pa.array(reps[p]), pa.array(reps[q])], names=["a", "b"])
 
+    return run
 
-def _in_blocks(rows: DataFrame, values: DataFrame) -> DataFrame:
-    """rows (path, rep, n) with values (rep, ...), dealt and sorted by path and pair of blocks (i <= j)."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    tasks = own.join(values, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = tasks.select("path", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", *(c for c in values.columns if c != "rep"))
-    return tasks.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
+
+def _blocks(n: str, w: str | None, block: int) -> Column:
+    """Number of blocks for n documents with w shingles (if any are held)."""
+    by_n = F.ceil(F.col(n) / block)
+    return F.greatest(F.lit(1), by_n if w is None else F.greatest(by_n, F.ceil(F.col(w) / WEIGHT))).cast("int")
+
+
+def _own(n: Column) -> Column:
+    return F.pmod(F.xxhash64("rep"), n).cast("int")
+
+
+def _led(rows: DataFrame) -> DataFrame:
+    """Tasks (task, rep, side) in which each of rows (path, rep, n, w) meets LEADERS of its path."""
+    first = W.Window.partitionBy("path").orderBy(F.xxhash64(F.lit("leader"), "rep"), "rep")
+    leaders = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= LEADERS)
+    task = F.xxhash64("path", "i").alias("task")
+    blocks = _blocks("n", "w", BLOCK)
+    return rows.withColumn("i", _own(blocks)).select(task, "rep", F.lit(RIGHT).alias("side")).unionByName(leaders.withColumn("i", F.explode(F.sequence(F.lit(0), blocks - 1))).select(task, "rep", F.lit(LEFT).alias("side")))
+
+
+def _others(rows: DataFrame, labels: DataFrame, w: str | None, block: int) -> DataFrame:
+    """Tasks in which those of rows (path, rep, w) outside the largest part of their path, by labels, meet all of the path."""
+    known = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("path", "rep", "w", F.coalesce("component", "rep").alias("label"))
+    parts = known.groupBy("path", "label").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    paths = parts.groupBy("path").agg(F.max(F.struct("n", "w", "label")).alias("top"), F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
+    paths = paths.select("path", F.col("top.label").alias("main"), "all_n", "all_w", (F.col("all_n") - F.col("top.n")).alias("less_n"), (F.col("all_w") - F.col("top.w")).alias("less_w")).where("less_n > 0")
+    sized = known.join(paths, "path").withColumns({"bi": _blocks("less_n", w and "less_w", block), "bj": _blocks("all_n", w and "all_w", block)})
+    task = F.xxhash64("path", "i", "j").alias("task")
+    right = sized.withColumn("j", _own(F.col("bj"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("bi") - 1))).select(task, "rep", F.lit(RIGHT).alias("side"))
+    left = sized.where(F.col("label") != F.col("main")).withColumn("i", _own(F.col("bi"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("bj") - 1))).select(task, "rep", F.lit(LEFT).alias("side"))
+    return right.unionByName(left)
 
 
 class _Search:
     def __init__(self, docs: DataFrame, key: str, text: str, k: int, classes: DataFrame):
-        self.docs, self.key, self.text, self.k = docs, key, text, k
-        self.sigs = classes.select("rep", "sig")
+        self.texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
+        self.k = k
+        self.sigs, self.weights = classes.select("rep", "sig"), classes.select("rep", F.col("n_shingles").alias("w"))
 
     def nodes(self, rows: DataFrame) -> DataFrame:
         """Rows of nodes with two documents or more, with the node's size."""
-        by = rows.groupBy("path").agg(F.count("*").alias("n"))
-        return cut(rows.join(cut(by.where(F.col("n") > 1), "nodes"), "path"), "node-rows")
-
-    def leaves(self) -> DataFrame:
-        """path, rep, n of all nodes to be compared."""
-        rows = self.nodes(self.sigs.mapInArrow(_roots, "path long, rep long"))
-        out = rows.where(F.col("n") <= LEAF)
+        by = cut(rows.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > 1), "nodes")
+        out = cut(rows.join(by, "path"), "node-rows")
+        discard(by)
+        return out
+
+    def leaves(self) -> list[DataFrame]:
+        """path, rep, n of all nodes to be compared, those over LEAF too that are left after DEPTH levels."""
+        rows = [self.nodes(self.sigs.mapInArrow(_roots, "path long, rep long"))]
         for _ in range(DEPTH):
-            large = rows.where(F.col("n") > LEAF)
+            large = rows[-1].where(F.col("n") > LEAF)
             if large.isEmpty():
-                return out
-            rows = self.nodes(large.join(self.sigs, "rep").select("path", "rep", "sig").mapInArrow(_children, "path long, rep long"))
-            out = out.unionByName(rows.where(F.col("n") <= LEAF))
-        return out.unionByName(rows.where(F.col("n") > LEAF))
-
-    def sets(self, reps: DataFrame) -> DataFrame:
-        """Full sets of the documents in reps; a filter of fixed size keeps other texts from being read into Python or dealt out."""
-        slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
-        bits = reps.select(slot("rep").alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("bits"))
-        texts = self.docs.select(F.col(self.key).cast("long").alias("rep"), F.col(self.text).alias("text")).withColumn("s", slot("rep")).withColumn("bucket", F.expr("bitmap_bucket_number(s)")).withColumn("bit", F.expr("bitmap_bit_position(s)"))
-        near = texts.join(F.broadcast(cut(bits, "bits")), "bucket")  # FILTER_BITS / 8 bytes at most
+                break
+            rows.append(self.nodes(large.join(self.sigs, "rep").select("path", "rep", "sig").mapInArrow(_children, "path long, rep long")))
+        return rows
+
+    def agreeing(self, tasks: DataFrame) -> DataFrame:
+        """task, g, rep: groups whose signatures agree in the tasks."""
+        few = self.sigs.mapInArrow(_short, "rep long, few binary")
+        dealt = tasks.join(few, "rep").select("task", "rep", "side", "few").repartition("task").sortWithinPartitions("task")
+        return cut(dealt.mapInArrow(_agreeing, "task long, g long, rep long"), "agreeing")
+
+    def confirmed(self, tasks: DataFrame) -> DataFrame:
+        """a, b: links that the full texts give in the tasks; a filter of bounded size keeps most other texts from being dealt out."""
+        tasks = cut(tasks, "tasks")
+        n = tasks.count()
+        bits = min(FILTER_BITS, 1 << max(15, (FILTER_SHARE * n).bit_length()))
+        slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+        filled = cut(tasks.select(slot("rep").alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("bits")), "bits")
+        texts = self.texts.withColumn("s", slot("rep")).withColumn("bucket", F.expr("bitmap_bucket_number(s)")).withColumn("bit", F.expr("bitmap_bit_position(s)"))
+        near = texts.join(F.broadcast(filled), "bucket")  # bits / 8 bytes at most
         byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         near = near.where(byte.bitwiseAND(F.pow(F.lit(2), F.col("bit") % 8).cast("int")) != 0).select("rep", "text")
-        k = self.k
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                offsets, data = utf8_parts(batch.column(1))
-                for a, b in parts(offsets):
-                    hashes, _, _, rows = word_hashes(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
-                    x, ranges = shingles(hashes, rows, k)
-                    found = [np.unique(x[p:q]).tobytes() for p, q in zip(ranges[:-1].tolist(), ranges[1:].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.binary())], names=["rep", "x"])
-
-        return cut(near.mapInArrow(run, "rep long, x binary").where(F.length("x") > 0), "sets")
-
-    def run(self) -> DataFrame | None:
-        """node and component of all that is linked, or None."""
-        agree = cut(_in_blocks(self.leaves(), self.sigs).mapInArrow(_agreeing, "path long, rep long").distinct(), "agreeing")
-        if agree.isEmpty():
-            return None
-        members = F.sum(F.xxhash64("rep").cast("decimal(38,0)")), F.sum(F.xxhash64(F.lit("second"), "rep").cast("decimal(38,0)"))
-        nodes = agree.groupBy("path").agg(F.count("*").alias("n"), members[0].alias("s1"), members[1].alias("s2"))
-        once = cut(nodes.groupBy("n", "s1", "s2").agg(F.min("path").alias("path")).select("path", "n"), "distinct-nodes")
-        rows = cut(agree.join(once, "path"), "near-rows")
-        links = _in_blocks(rows, self.sets(rows.select("rep"))).mapInArrow(_confirmed, "a long, b long")
-        return connected_components(cut(links, "links"))
+        dealt = tasks.join(near, "rep").select("task", "rep", "side", "text").repartition("task").sortWithinPartitions("task")
+        out = cut(dealt.mapInArrow(_comparison(self.k), "a long, b long"), "links")
+        discard(tasks, filled)
+        return out
+
+    def run(self) -> DataFrame:
+        """node and component of all that is linked."""
+        both = F.lit(LEFT | RIGHT).alias("side")
+        nodes = self.leaves()
+        rows = reduce(DataFrame.unionByName, nodes)
+        tasks, links = rows.where(F.col("n") <= LEAF).select(F.col("path").alias("task"), "rep", both), []
+        huge = nodes[-1].where(F.col("n") > LEAF)
+        if len(nodes) > DEPTH and not huge.isEmpty():
+            huge = huge.join(self.weights, "rep")
+            links.append(self.confirmed(_led(huge.join(huge.groupBy("path").agg(F.sum("w").alias("whole")), "path").select("path", "rep", "n", F.col("whole").alias("w")))))
+            tasks = tasks.unionByName(_others(huge, connected_components(links[0]), None, LEAF))
+        agree = self.agreeing(tasks)
+        discard(*nodes)
+        groups = connected_components(agree, "rep", "g")
+        members = cut(groups.join(self.weights.withColumnRenamed("rep", "node"), "node").select(F.col("component").alias("path"), F.col("node").alias("rep"), "w"), "members")
+        sized = members.drop("w").join(members.groupBy("path").agg(F.count("*").alias("n"), F.sum("w").alias("w")), "path")
+        fits = (F.col("n") <= BLOCK) & (F.col("w") <= WEIGHT)
+        large = cut(sized.where(~fits), "large-groups")
+        links.append(self.confirmed(sized.where(fits).select(F.col("path").alias("task"), "rep", both).unionByName(_led(large))))
+        if not large.isEmpty():
+            of_task = agree.join(large.select("rep", "w"), "rep").select(F.xxhash64("task", "g").alias("path"), "rep").distinct()
+            of_task = cut(of_task.join(self.weights, "rep"), "task-groups")
+            ids = F.sum(F.xxhash64("rep").cast("decimal(38,0)")), F.sum(F.xxhash64(F.lit("second"), "rep").cast("decimal(38,0)"))
+            once = of_task.groupBy("path").agg(F.count("*").alias("n"), ids[0].alias("s1"), ids[1].alias("s2")).groupBy("n", "s1", "s2").agg(F.min("path").alias("path"))
+            labels = connected_components(reduce(DataFrame.unionByName, links))
+            links.append(self.confirmed(_others(of_task.join(once.select("path"), "path"), labels, "w", BLOCK)))
+            discard(of_task)
+        discard(agree, members, large)
+        return connected_components(reduce(DataFrame.unionByName, links))
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id, kept."""
-    every = cut(described(docs, key, text, shingle), "described")
-    full = every.where(F.col("h").isNotNull() & F.col("doc_id").isNotNull())
-    classes = cut(full.groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    whole = cut(described(docs, key, text, shingle), "described")
+    full = whole.where(F.col("h").isNotNull() & F.col("doc_id").isNotNull())
+    classes = cut(full.groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
+    every = cut(whole.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("h")).alias("h")), "documents")
+    discard(whole)
     found = _Search(docs, key, text, shingle, classes).run()
     # Equal sets of one doc_id's several rows, too, make one component.
-    of = classes.select("h", "rep")
-    if found is not None:
-        of = of.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h", F.coalesce("component", "rep").alias("component_id"))
-    else:
-        of = of.withColumnRenamed("rep", "component_id")
-    out = every.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("h")).alias("h")).join(cut(of, "class-components"), "h", "left")
+    of = classes.select("h", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h", F.coalesce("component", "rep").alias("component_id"))
+    out = every.join(cut(of, "class-components"), "h", "left")
+    discard(classes)
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
