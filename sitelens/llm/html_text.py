@@ -1,10 +1,16 @@
 """Main text of web pages from text-to-tag ratios.
 
-A streaming parser (html.parser) turns a page into lines, one for each block of text, with the number of tags met in it. The
-text-to-tag ratios of the lines are smoothed with a Gaussian kernel and split by a threshold into content and other lines.
-Lines inside navigation, headers, footers, asides, forms, adverts, notices, comments and hidden elements never count as
-content. The region is the innermost container that still holds most of the content lines' text; all its remaining lines, short
-ones too, are the page's text. If no line passes the threshold, the region is the article or main element, or else the page.
+A streaming parser (html.parser) turns a page into lines, one for each block of text, with the number of tags met in it. A line's
+text-to-tag ratio counts its characters outside links. Element names give its weight: text inside navigation, headers, footers,
+asides, forms, adverts, notices, comments and hidden elements weighs nothing, and nor does text outside the articles and mains of
+a page where these hold NAMED_SHARE of the rest. The ratios are weighed, smoothed with a Gaussian kernel, weighed again, and
+split by 2-means clustering of their logarithms into content and other lines. The content lines select the text's regions:
+
+1. The regions are the articles and mains that hold content lines, else the smallest container that holds every content line,
+   from the first to the last of them.
+2. Inside, content lines stay, and so do others whose container holds content too: short paragraphs and headings. A container
+   without any content line goes if most of its text is links, as lists of links and buttons for sharing are; else it stays.
+3. Without any content line the text is all that weighs something.
 
 White space inside a line becomes one space, lines are joined by one space. Null, empty and markup-only pages give an empty
 text. Broken markup (unclosed or misplaced tags, a page that breaks off) is read as far as it goes. Repeated rows give repeated
@@ -25,8 +31,10 @@ from pyspark.sql import types as T
 from .common import table
 
 SIGMA = 1.5
-#: A container is entered while it holds this share of the content lines' text.
-SHARE = 0.7
+#: Share of the text outside page furniture that articles and mains must hold for all else to weigh nothing.
+NAMED_SHARE = 0.3
+#: Share of its text outside links that keeps a container without content lines.
+PLAIN_SHARE = 0.5
 
 # Element names of HTML by role, and words in class, id and role attributes that name page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,7 +73,7 @@ def _is_furniture(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class LineParser(HTMLParser):
-    """Collects lines (text, tags, container, out); containers are numbered, with parent and name."""
+    """Collects lines (text, tags, container, out, characters outside links); containers are numbered, with parent and name."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -73,20 +81,22 @@ class LineParser(HTMLParser):
         #: Open elements: tag, container number, whether page furniture, whether silent.
         self.open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
         self.texts: list[str] = []
-        self.tags = 0
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.tags, self.plain, self.link = 0, 0, False
+        self.lines: list[tuple[str, int, int, bool, int]] = []
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.texts).split())
         if text:
             _, container, out, silent = self.open[-1]
-            self.lines.append((text, max(1, self.tags), container, out or silent))
+            self.lines.append((text, max(1, self.tags), container, out or silent, min(self.plain, len(text))))
             self.tags = 0
-        self.texts = []
+        self.texts, self.plain = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
             self.texts.append("\n")
+        elif tag == "a":
+            self.link = True
         block = tag in BLOCKS or tag in SILENT
         out = _is_furniture(tag, attrs)
         if tag == "header" and not any(t in ("article", "main") for t, *_ in self.open):
@@ -114,6 +124,8 @@ class LineParser(HTMLParser):
             self.tags += 1
         if tag in BLOCKS:
             self._end_line()
+        if tag in BLOCKS or tag == "a":
+            self.link = False
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
                 self._end_line()
@@ -130,6 +142,8 @@ class LineParser(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.open[-1][3]:
             self.texts.append(data)
+            if not self.link:
+                self.plain += len(data.strip())
 
     def close(self) -> None:
         super().close()
@@ -144,11 +158,11 @@ def smooth(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def threshold(ratio: np.ndarray) -> float:
-    """The mid-point of two clusters of the logarithms (2-means), or 0 if they are one."""
+    """The mid-point of two clusters of the logarithms (2-means), or the least positive ratio if they are one."""
     x = np.log1p(ratio)
     low, high = x.min(), x.max()
     if high - low < 0.5:
-        return 0.0
+        return float(ratio[ratio > 0].min(initial=np.inf))
     for _ in range(30):
         cut = (low + high) / 2
         new = x[x <= cut].mean(), x[x > cut].mean()
@@ -158,42 +172,61 @@ def threshold(ratio: np.ndarray) -> float:
     return float(np.expm1((low + high) / 2))
 
 
+def is_content(weight: np.ndarray, plain: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Which lines have a weighed, smoothed text-to-tag ratio in the upper cluster."""
+    weighed = weight * smooth(weight * plain / tags)
+    return weighed >= threshold(weighed)
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     parser = LineParser()
     parser.feed(html)
     parser.close()
-    lines = [x for x in parser.lines if not x[3]]
-    if not lines:
+    if not parser.lines:
         return ""
-    ratio = smooth(np.array([len(text) / tags for text, tags, _, out in parser.lines if not out], dtype=float))
-    content = ratio >= threshold(ratio)
-    parent, name = parser.parent, parser.name
-    mass = np.zeros(len(parent))
-    whole = np.zeros(len(parent))
-    for (text, _, c, _), is_content in zip(lines, content, strict=True):
-        while c >= 0:
-            whole[c] += len(text)
-            mass[c] += len(text) * is_content
-            c = parent[c]
-    children: dict[int, list[int]] = {}
-    for c in range(1, len(parent)):
-        children.setdefault(parent[c], []).append(c)
-    region = 0
-    named = [c for c in range(1, len(parent)) if name[c] in ("article", "main") and whole[c]]
-    top = max(named, key=lambda c: (mass[c], whole[c], -c), default=0)
-    if top and mass[top] >= 0.3 * mass[0]:
-        region = top
-    while name[region] != "article" and (inner := max(children.get(region, []), key=lambda c: mass[c], default=None)) is not None:
-        if mass[inner] < SHARE * max(mass[region], 1) or name[inner] not in ("html", "body", "main", "article", "section", "div", "center"):
-            break
-        region = inner
-    inside = np.zeros(len(parent), dtype=bool)
-    inside[region] = True
-    for c in range(region + 1, len(parent)):
-        inside[c] = inside[parent[c]]
-    return " ".join(text for text, _, c, _ in lines if inside[c])
+    texts, tags, holder, out, plain = (np.array(c, dtype=t) for c, t in zip(zip(*parser.lines, strict=True), (object, float, int, bool, float), strict=True))
+    parent, n = parser.parent, len(parser.parent)
+    length = np.array([*map(len, texts)], dtype=float)
+
+    def inner(top: np.ndarray) -> np.ndarray:
+        """Containers in the given ones, themselves included."""
+        held = top.copy()
+        for c in range(1, n):  # a container's number is above its parent's
+            held[c] |= held[parent[c]]
+        return held
+
+    def summed(per_line: np.ndarray) -> np.ndarray:
+        total = np.bincount(holder, per_line, minlength=n)
+        for c in range(n - 1, 0, -1):
+            total[parent[c]] += total[c]
+        return total
+
+    named = np.array([x in ("article", "main") for x in parser.name])
+    weight = (~out).astype(float)
+    in_named = inner(named)[holder]
+    by_name = (length * weight)[in_named].sum() >= NAMED_SHARE * max((length * weight).sum(), 1)
+    if by_name:
+        weight *= in_named
+    content = is_content(weight, plain, tags)
+    if not content.any():
+        return " ".join(texts[weight > 0])
+    mass = summed(length * content)
+    first, last = np.flatnonzero(content)[[0, -1]]
+    if by_name and (content & in_named).sum() == content.sum():
+        stays = inner(named & (mass > 0))[holder]
+    else:
+        region = np.zeros(n, dtype=bool)
+        region[np.flatnonzero(mass == mass[0])[-1]] = True  # the innermost that holds all of it
+        stays = inner(region)[holder]
+        stays[:first] &= mass[holder[:first]] > 0
+        stays[last + 1 :] &= mass[holder[last + 1 :]] > 0
+    whole, outside_links = summed(length), summed(plain)
+    without = np.array([c > 0 and mass[c] == 0 and mass[parent[c]] > 0 for c in range(n)])
+    links = inner(without & (outside_links < PLAIN_SHARE * whole))
+    stays &= content | (~links[holder] & ~out)
+    return " ".join(texts[stays])
 
 
 def extract(df: DataFrame, *, html: str = "html", into: str = "text") -> DataFrame:
