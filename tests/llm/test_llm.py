@@ -139,6 +139,65 @@ def test_html(spark):
     assert extract(empty(spark, "page_id long, url string, html string")).count() == 0
 
 
+def test_html_ratios_decide(monkeypatch):
+    """The regions follow from ratio, smoothing and clustering: a plain loop finds the same lines, and without them the text is another."""
+    from sitelens.llm import html_text as h
+
+    rng = random.Random(4)
+    pages = []
+    for _ in range(60):
+        paragraphs = [f"<p>{prose(rng, rng.choice([2, 15, 60, 120]))}</p>" for _ in range(rng.randint(2, 9))]
+        share = "<div><ul>" + "".join(f"<li><a href=x>{prose(rng, 2)}</a></li>" for _ in range(rng.randint(6, 12))) + "</ul></div>"
+        paragraphs.insert(rng.randrange(len(paragraphs) + 1), share)
+        article = "".join(paragraphs)
+        pages.append("<body><nav>" + "<a href=x>Menu</a><br>" * 4 + "</nav>" + rng.choice(["<article>{}</article>", "<div><div>{}</div></div>", "<main><h1>Head</h1>{}</main>"]).format(article) + "<footer>Us</footer>")
+    changed = 0
+    for page in pages:
+        parser = h.LineParser()
+        parser.feed(page)
+        parser.close()
+        lines = parser.lines
+        weight = [0.0 if out else 1.0 for *_, out, _ in lines]
+        ratio = [w * plain / tags for w, (_, tags, _, _, plain) in zip(weight, lines, strict=True)]
+        smooth = []
+        for i in range(len(ratio)):
+            near = [(math.exp(-0.5 * ((i - j) / h.SIGMA) ** 2), ratio[j]) for j in range(len(ratio)) if abs(i - j) <= math.ceil(3 * h.SIGMA)]
+            smooth.append(weight[i] * sum(k * r for k, r in near) / sum(k for k, _ in near))
+        x = [math.log1p(r) for r in smooth]
+        low, high = min(x), max(x)
+        for _ in range(30):
+            below, above = [v for v in x if v <= (low + high) / 2], [v for v in x if v > (low + high) / 2]
+            low, high = sum(below) / len(below), sum(above) / len(above)
+        want = [v >= (low + high) / 2 for v in x]
+        got = h.is_content(np.array(weight), np.array([float(n) for *_, n in lines]), np.array([float(t) for _, t, *_ in lines]))
+        assert got.tolist() == want
+        text = h.main_text(page)
+        with monkeypatch.context() as m:
+            m.setattr(h, "is_content", lambda weight, plain, tags: np.ones(len(weight), dtype=bool))
+            changed += h.main_text(page) != text
+        words = set(text.split())
+        links = {w for t, *_, n in lines if n == 0 for w in t.split()}
+        assert "Menu" not in words and "Us" not in words
+        assert words >= {w for t, *_, out, n in lines if n and not out for w in t.split()} - links - {"Us", "Head"}
+    assert changed == len(pages)
+
+
+def test_html_edges(spark):
+    from sitelens.llm.html_text import extract, main_text
+
+    halves = "<main>" + "".join(f"<section><p>{'word ' * n}</p></section>" for n in (75, 25)) + "</main>"
+    assert len(main_text(halves).split()) == 100
+    two = "<body><div><a href=x>Menu</a></div><article><p>" + "one " * 50 + "</p></article><article><p>" + "two " * 50 + "</p><p>End.</p></article>"
+    assert main_text(two) == ("one " * 50 + "two " * 50 + "End.")
+    kept = "<article><h2><a href=x>Title</a></h2><p>" + "text " * 90 + "</p><ul><li>salt</li><li>oil</li></ul><div><p><a href=x>More</a></p><p><a href=x>Tags</a></p><p><a href=x>Share</a></p><p><a href=x>Next</a></p><p><a href=x>Print</a></p></div></article>"
+    assert main_text(kept) in {"Title " + "text " * 90 + "salt oil" + tail for tail in ("", " More Tags Share Next Print")}
+    long = "<article>" + "<p>" + "lang " * 40_000 + "</p>" * 1 + "<p>tail.</p>" * 3000 + "</article>"
+    assert len(main_text(long).split()) == 43_000
+    rows = [(1, "u", long, 7)] * 2
+    out = extract(frame(spark, rows, "page_id long, url string, html string, text int")).collect()
+    assert [r["n_chars"] for r in out] == [len(main_text(long))] * 2
+
+
 # 4
 
 
@@ -272,29 +331,47 @@ def test_embeddings(spark, vectors, monkeypatch):
     assert embedding_dedup.dedup(empty(spark, VECTORS)).count() == 0
 
 
+def brute_nearest(data, q, k=10):
+    return sorted((float(np.sqrt(((data[q] - v) ** 2).sum())), i) for i, v in data.items() if i != q and len(v) == len(data[q]))[:k]
+
+
 def test_neighbours(spark, vectors):
     from sitelens.llm import permutation_index as index
 
-    rng = np.random.default_rng(6)
-    centres = rng.standard_normal((40, 16))
-    x = (centres[rng.integers(0, 40, 4000)] + 0.5 * rng.standard_normal((4000, 16))).astype(np.float64)
-    asked = np.arange(0, 4000, 100)
-    got = index.search_chunk(x, np.arange(4000), x[asked], asked, x[:256], 10, 32, index.SHARE, index.LEAST)
-    hits = 0
-    for q in asked:
-        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
-        d[q] = np.inf
-        hits += len(set(np.argsort(d)[:10]) & set(got[1][got[0] == q]))
-    assert hits / (10 * len(asked)) >= 0.9
-    rows = frame(spark, vectors, VECTORS)
-    out = index.nearest(rows, rows.where("vec_id % 100 = 0")).collect()
-    data = {i: np.array(v, dtype=np.float64) for i, v, _ in vectors[:300]}
-    for q in (0, 100, 200):
-        best = sorted((float(np.sqrt(((data[q] - v) ** 2).sum())), i) for i, v in data.items() if i != q)[:10]
-        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in out if r["query_id"] == q)
+    rows = frame(spark, [*vectors, (400, [2.0, 2.0], 0)], VECTORS)
+    out = index.nearest(rows, rows.where("vec_id % 100 = 0"), share=1.0).collect()
+    data = {i: np.array(v, dtype=np.float64) for i, v, _ in vectors[:300]} | {306: np.array([1.0, 2.0]), 400: np.array([2.0, 2.0])}
+    for q in (0, 100, 200, 400):  # vectors of another length are an index of their own
+        best, mine = brute_nearest(data, q), sorted((r["rank"], r["vec_id"], r["score"]) for r in out if r["query_id"] == q)
         assert [m[1] for m in mine] == [i for _, i in best] and [m[2] for m in mine] == pytest.approx([d for d, _ in best])
-    assert {r["query_id"] for r in out} == {0, 100, 200}
+    assert {r["query_id"] for r in out} == {0, 100, 200, 400}
     assert index.nearest(empty(spark, VECTORS), empty(spark, VECTORS)).count() == 0
+    assert index.nearest(rows, empty(spark, VECTORS)).count() == 0
+    # Ties go to the smaller id; a repeated query is one query; two vectors of one id are two; clashing names don't matter.
+    ties = [(i, [float(i % 3), 1.0], 0) for i in range(20)] + [(0, [0.0, 1.0], 0), (100, [9.0, 9.0], 0), (100, [0.0, 1.0], 0)]
+    rows = frame(spark, ties, VECTORS).withColumn("h", F.lit("clash")).withColumn("chunk", F.lit(1))
+    out = index.nearest(rows, rows.where("vec_id % 100 = 0"), k=4, share=1.0).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in out if r["query_id"] == 0) == [(1, 3), (2, 6), (3, 9), (4, 12)]
+    assert sorted((r["rank"], r["vec_id"]) for r in out if r["query_id"] == 100) == [(1, 0), (1, 2), (2, 0), (2, 5), (3, 3), (3, 8), (4, 6), (4, 11)]
+
+
+def test_neighbours_recall(spark):
+    """Random directions, the hardest case: twelve per cent of each chunk is reranked, in five chunks and in one."""
+    from sitelens.llm import permutation_index as index
+
+    x = np.random.default_rng(6).standard_normal((20_000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    for n in (20_000, 2000):
+        rows = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x[:n].tolist())], VECTORS)
+        got = defaultdict(set)
+        for r in index.nearest(rows, rows.where("vec_id % 400 = 0")).collect():
+            got[r["query_id"]].add(r["vec_id"])
+        y, hits = x[:n].astype(np.float64), 0
+        for q in range(0, n, 400):
+            d = ((y - y[q]) ** 2).sum(axis=1)
+            d[q] = np.inf
+            hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+        assert hits / (10 * len(got)) >= 0.9 and index.SHARE < 0.5
 
 
 # 8
@@ -319,6 +396,41 @@ def test_mixing(spark):
     assert mixing.schedule(docs).count() == len(rows) and mixing.schedule(empty(spark, "doc_id long, source string")).count() == 0
     twice = mixing.schedule(frame(spark, [(1, "a"), (1, "a"), (None, "a")], "doc_id long, source string")).collect()
     assert sorted(r["__position"] for r in twice) == [0, 1, 2]
+    clash = docs.withColumns({c: F.lit(c) for c in ("__source", "__hash", "__bucket", "__slot", "hash", "row", "of", "turn", "key")})
+    out = mixing.schedule(clash, {"a": 10, "b": 0}).collect()
+    assert all(r["__source"] == "__source" and r["hash"] == "hash" and r["key"] == "key" and r["units"] == 0 for r in out)
+    assert all((r["__position"] is None) == (r["__slot"] is None) == (r["__block"] is None) == (r["source"] == "b") for r in out) and len(out) == len(rows)
+    with pytest.raises(ValueError, match="negative"):
+        mixing.schedule(docs, {"a": -1})
+
+
+def brute_schedule(units):
+    """Slot of each (source, turn): earliest deadline first, slot by slot."""
+    order = sorted(units, key=lambda s: (-units[s], hashlib.md5(s.encode()).hexdigest(), s))
+    total, turn, out = sum(units.values()), dict.fromkeys(units, 0), {}
+    for t in range(total):
+        i = min((-(-(turn[s] + 1) * total // units[s]), k) for k, s in enumerate(order) if turn[s] < units[s] and turn[s] * total // units[s] <= t)[1]
+        out[order[i], turn[order[i]]] = t
+        turn[order[i]] += 1
+    return out
+
+
+def test_mixing_schedule(spark):
+    from sitelens.llm import mixing
+
+    rng = random.Random(1)
+    for n in (1, 3, 40):
+        units = {f"s{i}": rng.choice([1, 1, 1, 2, 3, 3, 7, 20, 50]) for i in range(n)}
+        got = mixing.period(frame(spark, [*units.items()], "source string, units long")).collect()
+        assert {(r["source"], r["turn"]): r["in_period"] for r in got} == brute_schedule(units)
+
+
+def test_mixing_many_sources(spark):
+    from sitelens.llm import mixing
+
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("site "), F.col("id").cast("string")).alias("source"))
+    out = mixing.schedule(docs).agg(F.count("*").alias("n"), F.count_distinct("__slot").alias("slots"), F.max("__slot").alias("last")).first()
+    assert (out["n"], out["slots"], out["last"]) == (100_000, 100_000, 99_999)
 
 
 # 9
@@ -413,11 +525,7 @@ def test_pipeline_rows(spark, sf):
     text = {i: text[i] for i, root in brute_components(pairs, sets).items() if root == i}
     size = Counter(source[i] for i in text)
     units = {s: max(1, math.floor(round(1000 * n**0.5 / sum(m**0.5 for m in size.values()), 6))) for s, n in sorted(size.items())}
-    total, turn, slot = sum(units.values()), dict.fromkeys(units, 0), {}
-    for t in range(total):
-        due, s = min((-(-(turn[s] + 1) * total // a), s) for s, a in units.items() if turn[s] * total // a <= t)
-        slot[s, turn[s]] = t
-        turn[s] += 1
+    total, slot = sum(units.values()), brute_schedule(units)
     library, want, rank = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")), {}, Counter()
     for i in sorted(text, key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
         block, s = rank[source[i]] // mixing.BLOCK_ROWS, source[i]
