@@ -1,9 +1,14 @@
 """SentencePiece BPE encoding and decoding by vectorised merge rounds.
 
 Words (a run of spaces and what follows it, parted where letters meet marks if no piece joins these) never merge with one
-another, so each distinct word of a batch is encoded once: all its symbols lie in one flat array beside those of the other words, each round takes the best-ranked leftmost pair of every
-word at once, merges these pairs and compacts the arrays, until no word has a pair left. Words of more than LONG symbols go
-through a heap instead, which merges in the same order in n log n steps. Results of words stay in a bounded cache.
+another, so each distinct word of a batch is encoded once: all its symbols lie in one flat array beside those of the other words,
+each round takes the best-ranked leftmost pair of every word at once, merges these pairs and compacts the arrays, until no word
+has a pair left. Results of words stay in a bounded cache.
+
+In words of more than LONG symbols (blobs, scripts without spaces) a round merges the best-ranked pair of every stretch. A pair
+that no other within the longest piece's length outranks is merged before anything can touch its symbols: whatever symbol takes
+one of them in lies inside that stretch, and so does the pair that it started from. Equal pairs of a stretch are merged together
+where what they make takes part in no better-ranked pair, of overlapping ones every other from the first on; else the leftmost.
 
 Null and empty texts have no ids. Any other text is encoded whole. Repeated rows give repeated results. Characters outside the
 vocabulary become their UTF-8 bytes' pieces, or the unknown id if the model has none.
@@ -12,7 +17,6 @@ vocabulary become their UTF-8 bytes' pieces, or the unknown id if the model has
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 import string
 from collections.abc import Iterator
@@ -75,6 +79,13 @@ class PieceModel:
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], dtype=np.int64)
         self.merged = np.array([pairs[k][1] for k in self.keys.tolist()], dtype=np.int64)
+        self.reach = max(map(len, normal))
+        #: Symbols that, as part of a pair, merge only in a worse rank than they were made in.
+        self.settled = np.ones(self.width, dtype=bool)
+        for k, r in zip(self.keys.tolist(), self.ranks.tolist(), strict=True):
+            for part in divmod(k, self.width):
+                if part < self.size and r < ranks[-proto.pieces[part].score]:
+                    self.settled[part] = False
         self.slots = np.full(1 << 20, -1, dtype=np.int64)  # open addressing: a pair's row in keys
         for i, s in enumerate(self._slot(self.keys).tolist()):
             while self.slots[s] >= 0:
@@ -111,18 +122,18 @@ class PieceModel:
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word; words hold SPACE for spaces."""
         out: list[list[int]] = [[]] * len(words)
-        short = []
-        for i, w in enumerate(words):
-            if len(w) > LONG:
-                out[i] = self.with_bytes(w, *self.by_heap(w))
-            elif w:
-                short.append(i)
-        if not short:
-            return out
-        own = [words[i] for i in short]
+        for long in (False, True):
+            some = [i for i, w in enumerate(words) if w and (len(w) > LONG) == long]
+            if some:
+                self._rounds(words, some, out, long)
+        return out
+
+    def _rounds(self, words: list[str], which: list[int], out: list[list[int]], long: bool) -> None:
+        """Set the ids in out of the words in which by merge rounds."""
+        own = [words[i] for i in which]
         symbol = self.symbol_of[np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
         length = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
-        owner = np.array(short, dtype=np.int64)
+        owner = np.array(which, dtype=np.int64)
         size = np.ones(len(symbol), dtype=np.int64)  # characters that a symbol stands for
         end = np.cumsum(length)
         start = end - length
@@ -144,49 +155,42 @@ class PieceModel:
                     out[i] = self.with_bytes(words[i], ids[a:b], sizes[a:b]) if x else ids[a:b]
                     a = b
             go = ~done
-            p = best[go] & ((np.int64(1) << shift) - 1)
+            if long:
+                p = self._stretches(rank, merged)
+                word = np.searchsorted(start, p, side="right") - 1
+            else:
+                p, word = best[go] & ((np.int64(1) << shift) - 1), np.flatnonzero(go)
             keep = np.repeat(go, end - start)
             size[p] += size[p + 1]
             symbol[p] = merged[p]
-            at_end, at_start = p + 2 == end[go], p == start[go]
+            at_end, at_start = p + 2 == end[word], p == start[word]
             keep[p + 1] = False
             p = (np.cumsum(keep) - 1)[p]
-            owner, length = owner[go], (end - start)[go] - 1
+            owner, length = owner[go], ((end - start) - np.bincount(word, minlength=len(start)))[go]
             symbol, size, rank, merged = symbol[keep], size[keep], rank[keep], merged[keep]
             end = np.cumsum(length)
             start = end - length
             rank[p[at_end]] = NONE
             at = np.concatenate([p[~at_end], p[~at_start] - 1])
             rank[at], merged[at] = self.look_up(symbol[at], symbol[at + 1])
-        return out
 
-    def by_heap(self, word: str) -> tuple[list[int], list[int]]:
-        """Symbols of a long word and how many characters each stands for."""
-        symbol = [self.symbols.get(c, self.foreign) for c in word]
-        n = len(symbol)
-        size, left, right = [1] * n, [*range(-1, n - 1)], [*range(1, n), -1]
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def add(i: int) -> None:
-            j = right[i]
-            if j >= 0 and (found := self.pairs.get(symbol[i] * self.width + symbol[j])):
-                heapq.heappush(heap, (found[0], i, symbol[i], symbol[j], found[1]))
-
-        for i in range(n - 1):
-            add(i)
-        while heap:
-            _, i, a, b, new = heapq.heappop(heap)
-            j = right[i]
-            if size[i] == 0 or j < 0 or symbol[i] != a or symbol[j] != b:
-                continue
-            symbol[i], size[i], size[j], right[i] = new, size[i] + size[j], 0, right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            if left[i] >= 0:
-                add(left[i])
-            add(i)
-        alive = [i for i in range(n) if size[i]]
-        return [symbol[i] for i in alive], [size[i] for i in alive]
+    def _stretches(self, rank: np.ndarray, merged: np.ndarray) -> np.ndarray:
+        """Places of pairs that no pair within reach outranks."""
+        n, reach = len(rank), self.reach
+        beside = np.concatenate([np.full(reach, NONE), rank, np.full(reach, NONE)])
+        lowest, width = beside, 1  # of so many places from each on
+        while 2 * width <= reach:
+            lowest, width = np.minimum(lowest[:-width], lowest[width:]), 2 * width
+        lowest = np.minimum(lowest[: len(beside) - reach + 1], lowest[reach - width : len(beside) - width + 1])
+        before, after = lowest[:n], lowest[reach + 1 : reach + 1 + n]
+        good = (rank < NONE) & (rank <= after) & ((rank < before) | (rank == before) & self.settled[merged])
+        # In a run of overlapping equals every other counts, up to the first that doesn't.
+        at = np.arange(n)
+        first = np.ones(n, dtype=bool)
+        first[1:] = rank[1:] != rank[:-1]
+        first = np.maximum.accumulate(np.where(first, at, 0))
+        good &= (np.maximum.accumulate(np.where(good, -1, at)) < first) & ((at - first) % 2 == 0)
+        return np.flatnonzero(good)
 
     def with_bytes(self, word: str, symbols: list[int], sizes: list[int]) -> list[int]:
         """Ids for symbols: characters that are no piece become bytes."""
