@@ -5,9 +5,9 @@ threshold are boilerplate; those near it get an exact distinct count. Of a boile
 doc_id (then the first in it) stays and every other goes, so that one copy of the passage is left in the corpus and a document
 that others copied keeps its text.
 
-Lines end at a line feed. Lines of fewer than min_words words (parted by single spaces) are never boilerplate; with min_words 1
-every non-empty line counts, as in the corpus pipeline. Empty lines are never boilerplate. OP10_SQL sets MIN_WORDS for the query. Null texts stay null, empty ones empty; texts without removed lines stay as they are, byte for byte. A null site is
-one more site. Repeated rows (same doc_id and text) are treated alike. Other columns, whatever their names, pass through.
+Lines end at a line feed. Every non-empty line counts, however short. Null texts stay null, empty ones empty; texts without
+removed lines stay as they are, byte for byte. A null site is one more site. Repeated rows (same doc_id and text) are treated
+alike. Other columns pass through, whatever their names; those named as one of the counts give way to it if counts are asked for.
 """
 
 from __future__ import annotations
@@ -15,20 +15,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, unused
 
 MIN_SITES = 3
-MIN_WORDS = 5
 #: log2 of the sketch's registers, and the relative margin (six standard errors) inside which counts are made exactly.
 LG_REGISTERS = 12
 MARGIN = 0.1
 
 
-def _lines(docs: DataFrame, text: str, site: str, key: str, min_words: int) -> DataFrame:
-    """A row for each line that can be boilerplate: document (id and text hash), place, 128-bit hash of the line, site."""
+def _lines(docs: DataFrame, text: str, site: str, key: str) -> DataFrame:
+    """A row for each non-empty line: document (id and text hash), place, 128-bit hash of the line, site."""
     split = F.split(F.col(text), "\n", -1)
     rows = docs.select(F.coalesce(F.col(key), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("th"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(split).alias("at", "line"))
-    return rows.where((F.col("line") != "") & (F.size(F.split("line", " ", -1)) >= min_words)).select("id", "th", "site", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
+    return rows.where(F.col("line") != "").select("id", "th", "site", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
@@ -42,20 +41,23 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     return near.join(exact.select(*by), by, "left_semi").unionByName(spread.where(F.col("sites") > min_sites + margin).select(*by, "first"))
 
 
-def dedup_lines(docs: DataFrame, *, text: str = "text", site: str = "source", key: str = "doc_id", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, text: str = "text", site: str = "source", key: str = "doc_id", min_sites: int = MIN_SITES, counts: bool = False) -> DataFrame:
     """docs with boilerplate lines removed from text; with counts also __n_lines and __n_removed."""
-    lines = cut(_lines(docs, text, site, key, min_words), "lines")
+    made = ["__n_lines", "__n_removed"] if counts else []
+    keep = [c for c in docs.columns if c not in made]
+    gone, own, th = unused(docs.columns, "gone", "id", "th")
+    lines = cut(_lines(docs, text, site, key), "lines")
     flagged = boilerplate(lines, min_sites)
     again = lines.join(flagged, ["h1", "h2"]).where((F.col("first.id") != F.col("id")) | (F.col("first.at") != F.col("at")))
-    gone = again.groupBy("id", "th").agg(F.collect_set("at").alias("__gone")).withColumnsRenamed({"id": "__id", "th": "__th"})
-    keyed = docs.withColumn("__id", F.coalesce(F.col(key), F.lit(-(2**63)))).withColumn("__th", F.xxhash64(text))
-    out = keyed.join(gone, ["__id", "__th"], "left")
+    places = again.groupBy("id", "th").agg(F.collect_set("at").alias(gone)).withColumnsRenamed({"id": own, "th": th})
+    keyed = docs.select(*keep, F.coalesce(F.col(key), F.lit(-(2**63))).alias(own), F.xxhash64(text).alias(th))
+    out = keyed.join(places, [own, th], "left")
     split = F.split(F.col(text), "\n", -1)
-    if counts:
-        out = out.withColumn("__n_lines", F.when(F.length(text) > 0, F.size(split)).otherwise(0).cast("long")).withColumn("__n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-        out = out.withColumn("__n_removed", F.greatest("__n_removed", F.lit(0)))
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    return out.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)).drop("__id", "__th", "__gone").select(*docs.columns, *["__n_lines", "__n_removed"] * counts)
+    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    texts = F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept).alias(text)
+    n_lines = F.when(F.length(text) > 0, F.size(split)).otherwise(0).cast("long").alias("__n_lines")
+    n_removed = F.coalesce(F.array_size(gone), F.lit(0)).cast("long").alias("__n_removed")
+    return out.select(*(texts if c == text else F.col(c) for c in keep), *[n_lines, n_removed][: len(made)])
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +71,7 @@ WITH l AS (
   FROM documents
 ), f AS (
   SELECT line, min((doc_id, pos)) AS first FROM l
-  WHERE len(string_split(line, ' ')) >= {MIN_WORDS}
+  WHERE line <> ''
   GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}
 ), k AS (
   SELECT l.doc_id, l.pos, l.line, f.line IS NOT NULL AND f.first <> (l.doc_id, l.pos) AS gone
