@@ -3,10 +3,12 @@
 Shallow boosted trees over the statistics of labelled rows give conjunctive rules (the path to each node); a logistic model
 with lasso penalty weights them; the rules with weight left are compiled into one Spark column expression.
 
-The model is fitted on at most sample_rows labelled rows (those with the smallest hash of the id), a bound that keeps the fit
-on the driver small; every row is scored over its whole text. Null and empty texts have all statistics 0. Labels other than 0
-and 1 are left out. If fewer than two classes are labelled, the score is the labelled share of 1, or 1 without labels. Repeated
-rows get equal scores. Labels, language, source and ids are no statistics.
+The model is fitted on at most sample_rows labels (those with the smallest hash of the id), a bound that keeps the fit on the
+driver small, and on one of the rows of each labelled id and label (that with the smallest statistics, if an id has several
+texts); every row is scored over its whole text. Null and empty texts have all statistics 0. Labels other than 0 and 1 are left
+out. If fewer than two classes are labelled, the score is the labelled share of 1, or 1 without labels. Repeated rows get equal
+scores. Labels, language, source and ids are no statistics. Other columns pass through, whatever their names, but one named as
+the score gives way to it.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remainder_is, table, utf8_parts
+from .common import remainder_is, table, unused, utf8_parts
 from .words import parts, word_hashes
 
 SAMPLE_ROWS = 20_000
@@ -56,9 +58,8 @@ def statistics_of(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     return out
 
 
-def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with a double column __<name> for each of STATISTICS."""
-    names = [f"__{s}" for s in STATISTICS]
+def with_statistics(df: DataFrame, text: str, names: list[str]) -> DataFrame:
+    """df with a double column for each of STATISTICS, of the given names."""
     schema = T.StructType([*df.schema.fields, *(T.StructField(s, T.DoubleType()) for s in names)])
     all_names, place = [*df.columns, *names], df.columns.index(text)
 
@@ -151,11 +152,11 @@ class RuleModel:
     def predict(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.intercept + sum((w * holds(r, x) for r, w in self.rules), np.zeros(len(x))))))
 
-    def column(self) -> Column:
+    def column(self, names: list[str]) -> Column:
         """The score as a Spark expression over the columns of with_statistics()."""
         total = F.lit(self.intercept)
         for rule, weight in self.rules:
-            tests = [F.col(f"__{STATISTICS[j]}") > cut if above else F.col(f"__{STATISTICS[j]}") <= cut for j, above, cut in rule]
+            tests = [F.col(names[j]) > cut if above else F.col(names[j]) <= cut for j, above, cut in rule]
             total = total + F.when(reduce(Column.__and__, tests), F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
@@ -163,16 +164,18 @@ class RuleModel:
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> RuleModel:
     """Learn from at most sample_rows of labels joined to docs; rows of a crc32 remainder 0 modulo 5 are held out."""
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~remainder_is(key, 5, 0))
-    some = usable.select(F.col(key).alias("__key"), F.col(label).cast("double").alias("__label")).orderBy(F.xxhash64("__key"), "__key", "__label").limit(sample_rows)
-    texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    rows = with_statistics(texts.join(F.broadcast(some), "__key"), "__text").select("__label", *(f"__{s}" for s in STATISTICS))  # sample_rows at most
-    found = rows.orderBy(*rows.columns).limit(4 * sample_rows).toPandas().to_numpy(dtype=float)
+    some = usable.select(F.col(key).alias("id"), F.col(label).cast("double").alias("label")).distinct().orderBy(F.xxhash64("id"), "id", "label").limit(sample_rows)
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(some), "id")  # sample_rows at most
+    rows = with_statistics(texts, "text", STATISTICS).groupBy("id", "label").agg(F.min(F.struct(*STATISTICS)).alias("s"))
+    found = rows.select("label", "s.*").orderBy("label", *STATISTICS).toPandas().to_numpy(dtype=float)
     return RuleModel.fit(found[:, 1:], found[:, 0])
 
 
 def scored(docs: DataFrame, model: RuleModel, text: str = "text") -> DataFrame:
     """docs with __score."""
-    return with_statistics(docs, text).withColumn("__score", model.column()).drop(*(f"__{s}" for s in STATISTICS))
+    keep = [c for c in docs.columns if c != "__score"]
+    names = unused(docs.columns, *STATISTICS)
+    return with_statistics(docs.select(*keep), text, names).select(*keep, model.column(names).alias("__score"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
