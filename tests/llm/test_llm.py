@@ -122,6 +122,25 @@ def test_piece_codec(spark, corpus):
         assert [int(i) for i in ids.split(",") if i] == library.encode(t)
 
 
+@pytest.mark.parametrize("long", [512, 24, 1])
+def test_piece_codec_long_words(monkeypatch, long):
+    """Words that merge by stretches: blobs, runs of one character, scripts without spaces."""
+    import public_tokenizers
+    import sentencepiece
+
+    from sitelens.llm import piece_codec
+
+    monkeypatch.setattr(piece_codec, "LONG", long)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, model = sentencepiece.SentencePieceProcessor(model_file=path), piece_codec.PieceModel(open(path, "rb").read())
+    rng = random.Random(long)
+    parts = ["a", "aa", "ab", "b", "=", "==", "the", "ing", "tion", "er", "e", "你", "é", "0", "12", *WORDS]
+    texts = ["".join(rng.choice(parts) * rng.choice([1, 1, 1, 2, 9]) for _ in range(rng.choice([10, 300, 900]))) for _ in range(60)]
+    texts += ["x" * 100_001, "=-" * 3000, "".join(rng.choice("abcdefgh") for _ in range(60_000)), texts[1] + " " + texts[2]]
+    for t, ids in zip(texts, model.encode_texts(texts)[0], strict=True):
+        assert [int(i) for i in ids.split(",") if i] == library.encode(t)
+
+
 # 3
 
 
@@ -222,6 +241,12 @@ def test_quality(spark, corpus):
     assert sorted(r["__score"] for r in got) == pytest.approx(sorted(model.predict(x)), abs=1e-9)
     odd = quality.scored(frame(spark, corpus), model).collect()
     assert len(odd) == len(corpus) and all(0 <= r["__score"] <= 1 for r in odd)
+    names = ("words", "__words", "upper", "label")
+    clash = quality.scored(frame(spark, corpus).withColumns({c: F.lit(c) for c in (*names, "__score")}), model).collect()
+    assert all(r[c] == c for r in clash for c in names) and sorted(r["__score"] for r in clash) == sorted(r["__score"] for r in odd)
+    # Repeated ids don't push labelled rows out of the sample.
+    many = docs.union(docs).union(docs).union(docs).union(docs.withColumn("text", F.lit("other")))
+    assert quality.fit(many, marks, sample_rows=100).rules == quality.fit(docs.union(docs.withColumn("text", F.lit("other"))), marks, sample_rows=100).rules
     assert quality.scored(empty(spark), quality.fit(empty(spark), empty(spark, "doc_id long, quality int, toxic int"))).count() == 0
 
 
@@ -471,6 +496,30 @@ def test_lines(spark):
         want = sorted((i, t if i == 0 else "\n".join(x for x in t.split("\n") if x != common), 0 if i == 0 else t.split("\n").count(common)) for i, t, *_ in rows if t is not None)
         assert out == want
     assert dedup_lines(empty(spark)).count() == 0
+    names = ("gone", "__gone", "_id", "__id", "th", "__th", "line", "site", "h1", "first", "__n_lines")
+    clash = frame(spark, rows).withColumns({c: F.lit(c) for c in names})
+    for r in dedup_lines(clash, min_sites=3).collect():
+        assert all(r[c] == c for c in names)
+    out = dedup_lines(clash, min_sites=3, counts=True)
+    assert out.columns.count("__n_lines") == 1 and all(isinstance(r["__n_lines"], int) and r["th"] == "th" for r in out.collect())
+    short = [(i, f"Les.\nown {i}", "en", f"s{i}", 0) for i in range(3)]  # lines of one word count too
+    assert sorted(r["text"] for r in dedup_lines(frame(spark, short)).collect()) == ["Les.\nown 0", "own 1", "own 2"]
+
+
+@pytest.mark.parametrize("name", ["op8_mixing", "op10_line_dedup"])
+def test_sql(spark, sf, name):
+    import duckdb
+
+    from sitelens.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    got, want = QUERIES[name](spark, sf), con.execute(ORACLE_SQL[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(c[0] for c in want.description)
+    mine = sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr)
+    names = [c[0] for c in want.description]
+    assert mine == sorted((tuple(dict(zip(names, r, strict=True))[c] for c in columns) for r in want.fetchall()), key=repr)
 
 
 def test_pipeline_removes_short_lines(spark, sf):
