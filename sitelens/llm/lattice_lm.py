@@ -3,12 +3,19 @@
 The vocabulary is an existing tokenizer's pieces; their scores are the logarithms of their shares in the training rows' words.
 A word's probability sums over all ways to cut it into pieces (and bytes, for characters that are no piece), by a forward
 recursion in log space; as every word starts with a piece that holds the space mark, the words' probabilities multiply to the
-marginal over all segmentations of the document. Besides, each training word is an arc of the lattice of its own, weighted by
-its count less a discount; the discounts' mass goes to the pieces. A document's words are drawn from that distribution with
-Dirichlet concentration CONCENTRATION (words that it has used come up again), integrated out; its length is geometric.
+marginal over all segmentations of the document: lattice_score.
 
-What is learned from the corpus is the counts of all words of all training rows. The most frequent words, at most HEAD, go to
-every task; counts of the rest stay in a table and are joined to the documents' rare words only.
+score is the marginal of a larger lattice over the same pieces. Each training word is one more arc over the whole word, weighted
+by its count less a discount; the discounts' mass scales the pieces' paths. Besides, each earlier occurrence of the word in the
+document is an arc of weight 1 against CONCENTRATION for all the others (words that a document has used come up again). The sum
+over all paths factors into words and has a closed form for each (a ratio of gamma functions). The length is geometric. The tests
+add up all paths of whole documents.
+
+rest_score is the same without the arcs of the document's own words, and with a training document's own counts taken off: what
+all other documents say of it. Of a document that occurs twice the copy still knows every word.
+
+What is learned from the corpus is the counts of all words of all training rows. Each distinct word goes through the lattice once.
+The most frequent words, at most HEAD, go to every task; the rest stay in a table and are joined to the documents' rare words.
 
 Null texts count as empty; an empty text has the end as its one token. Without training rows every word is unknown, the pieces
 are equally likely and no discount is taken. Repeated rows are scored each. A null id counts as a training row.
@@ -19,14 +26,14 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, remainder_is, table, utf8_parts
+from .common import cut, discard, remainder_is, table, utf8_parts
 
 HEAD = 200_000
 CONCENTRATION = 2000.0
@@ -43,26 +50,29 @@ def _words(batch: pa.RecordBatch, place: int) -> Iterator[list[bytes]]:
         yield whole[a:b].lower().split()
 
 
-def word_counts(docs: DataFrame, text: str) -> DataFrame:
-    """word, n over all words of docs, with END for the documents."""
+def word_counts(docs: DataFrame, text: str, held: str) -> DataFrame:
+    """word, n over all words of docs, with END for the documents; rows where held is true give their words with a count of 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        seen: Counter[bytes] = Counter()
 
         def out() -> pa.RecordBatch:
-            found = pa.RecordBatch.from_arrays([pa.array([*held], pa.binary()).cast(pa.string()), pa.array([*held.values()], pa.int64())], names=["word", "n"])
-            held.clear()
+            found = pa.RecordBatch.from_arrays([pa.array([*seen], pa.binary()).cast(pa.string()), pa.array([*seen.values()], pa.int64())], names=["word", "n"])
+            seen.clear()
             return found
 
         for batch in batches:
-            for words in _words(batch, 0):
-                held.update(words)
-                held[END.encode()] += 1
-                if len(held) > FLUSH:
+            for words, unused in zip(_words(batch, 0), batch.column(1).to_pylist(), strict=True):
+                if unused:
+                    seen.update(dict.fromkeys(words, 0))
+                else:
+                    seen.update(words)
+                    seen[END.encode()] += 1
+                if len(seen) > FLUSH:
                     yield out()
         yield out()
 
-    return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text, held).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def piece_counts(counts: DataFrame, model: bytes) -> dict[int, float]:
@@ -80,7 +90,7 @@ def piece_counts(counts: DataFrame, model: bytes) -> dict[int, float]:
                     held[i] += n
         yield pa.RecordBatch.from_arrays([pa.array([*held], pa.int32()), pa.array([*held.values()], pa.int64())], names=["piece", "n"])
 
-    rows = counts.where(F.col("word") != END).mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    rows = counts.where((F.col("word") != END) & (F.col("n") > 0)).mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     return {r["piece"]: r["n"] for r in rows}
 
 
@@ -106,7 +116,6 @@ class Lattice:
         for p in [*self.scores]:
             for k in range(1, len(p)):
                 self.scores.setdefault(p[:k], None)
-        self.known: dict[bytes, float] = {}
 
     def log_probability(self, word: str) -> float:
         """Natural logarithm of the sum over all segmentations."""
@@ -132,19 +141,11 @@ class Lattice:
                 forward[i + 1] = v if o is None else max(v, o) + log1p(exp(-abs(v - o)))
         return forward[n]  # type: ignore[return-value]
 
-    def of(self, word: bytes) -> float:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > FLUSH:
-                self.known.clear()
-            found = self.known[word] = self.log_probability(word.decode("utf-8", "replace"))
-        return found
-
 
 _SHARED: dict[str, object] = {}
 
 
-def _once(key: str, make) -> object:
+def _once(key: str, make: Callable[[], object]) -> object:
     """make() once for each key and process; the one before goes."""
     if key not in _SHARED:
         _SHARED.clear()
@@ -153,13 +154,13 @@ def _once(key: str, make) -> object:
 
 
 class Model:
-    """What is learned: the counts' table, totals, the lattice and the most frequent words."""
+    """What is learned from the rows of docs where held is false: counts and lattice probabilities of all words, totals, the most frequent words."""
 
-    def __init__(self, train: DataFrame, text: str, model: bytes, head: int = HEAD, concentration: float = CONCENTRATION):
-        spark = train.sparkSession
-        self.counts = cut(word_counts(train, text), "word-counts")
+    def __init__(self, docs: DataFrame, text: str, held: str, model: bytes, head: int = HEAD, concentration: float = CONCENTRATION):
+        spark = docs.sparkSession
+        counts = cut(word_counts(docs, text, held), "word-counts")
         power = F.floor(F.log2("n") + 1e-9).cast("int")
-        by_power = self.counts.groupBy(power.alias("power")).agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.sum(F.when(F.col("word") == END, F.col("n"))).alias("ends"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
+        by_power = counts.where("n > 0").groupBy(power.alias("power")).agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.sum(F.when(F.col("word") == END, F.col("n"))).alias("ends"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
         rows = sorted(by_power.collect(), key=lambda r: -r["power"])  # 64 at most
         total = lambda c: sum(r[c] or 0 for r in rows)
         self.tokens, self.types, self.ends = total("n"), total("words"), total("ends")
@@ -171,14 +172,13 @@ class Model:
         self.end = (self.ends + 1) / (self.tokens + 2)
         self.concentration = concentration
         self.base = self.tokens + self.types + 1
-        self.least, held = 1, 0
+        self.least, held_so_far = 1, 0
         for r in rows:
-            if held + r["words"] > head:
+            if held_so_far + r["words"] > head:
                 self.least = 2 ** (r["power"] + 1)
                 break
-            held += r["words"]
-        self.pieces = spark.sparkContext.broadcast((model, piece_counts(self.counts, model)))
-        pieces = self.pieces
+            held_so_far += r["words"]
+        pieces = spark.sparkContext.broadcast((model, piece_counts(counts, model)))
 
         def with_lattice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lattice = Lattice(*pieces.value)
@@ -186,89 +186,93 @@ class Model:
                 found = [lattice.log_probability(w) for w in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=["word", "n", "lp"])
 
-        frequent = self.counts.where((F.col("n") >= self.least) & (F.col("word") != END)).mapInArrow(with_lattice, "word string, n long, lp double").toArrow()
+        self.counts = cut(counts.where(F.col("word") != END).mapInArrow(with_lattice, "word string, n long, lp double"), "word-scores")
+        discard(counts)
+        frequent = self.counts.where(F.col("n") >= self.least).toArrow()  # HEAD rows at most
         self.head = spark.sparkContext.broadcast((frequent.column("word").to_pylist(), frequent.column("n").to_pylist(), frequent.column("lp").to_pylist()))
 
-    def probability(self, n: int, lp: float) -> float:
-        return max(n - self.discount, 0) / max(self.words, 1) * (n > 0) + self.rest * math.exp(lp)
-
-    def score(self, docs: DataFrame, key: str, text: str) -> DataFrame:
-        """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score of docs (with __held)."""
+    def score(self, docs: DataFrame, key: str, text: str, held: str) -> DataFrame:
+        """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score and rest_score of docs."""
         a, base, discount, words_n, rest = self.concentration, self.base, self.discount, max(self.words, 1), self.rest
         end_n, log_end, log_on = self.ends, math.log(self.end), math.log1p(-self.end)
-        pieces, head, token = self.pieces, self.head, uuid.uuid4().hex
-        names = ["rk", "word", "tf", "lp", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "lattice"]
-        schema = "rk long, word string, tf int, lp double, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, lattice double"
-        types = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        head, token = self.head, uuid.uuid4().hex
+        names = ["rk", "word", "tf", "own", "others", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "lattice", "rest"]
+        schema = "rk long, word string, tf int, own int, others long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, lattice double, rest double"
+        types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), *[pa.float64()] * 4]
+
+        def frequent() -> dict[bytes, tuple[float, float, float, float, int]]:
+            out = {}
+            for w, n, lp in zip(*head.value, strict=True):
+                ap = a * (max(n - discount, 0) / words_n + rest * math.exp(lp))
+                out[w.encode()] = (math.log(ap), ap, math.log10((n + 1) / base), lp, n)
+            return out
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lattice: Lattice = _once(token, lambda: Lattice(*pieces.value))  # type: ignore[attr-defined]
-
-            def frequent() -> dict[bytes, tuple[float, float, float, float]]:
-                out = {}
-                for w, n, lp in zip(*head.value, strict=True):
-                    ap = a * (max(n - discount, 0) / words_n + rest * math.exp(lp))
-                    out[w.encode()] = (math.log(ap), ap, math.log10((n + 1) / base), lp)
-                return out
-
-            lattice.head = lattice.head if hasattr(lattice, "head") else frequent()
-            known, of, lgamma, log = lattice.head.get, lattice.of, math.lgamma, math.log
+            known = _once(token, frequent).get  # type: ignore[attr-defined]
+            lgamma, log, exp = math.lgamma, math.log, math.exp
             context = TaskContext.get()
             rk = (context.partitionId() if context else 0) << 33
             for batch in batches:
-                ids, held = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+                ids, unused = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 cells: list[list] = [[] for _ in names]
-                tails: tuple[list, list, list, list] = ([], [], [], [])
+                tails: tuple[list, ...] = ([], [], [], [], [])
                 for k, words in enumerate(_words(batch, 1)):
                     rk += 1
+                    own = 0 if unused[k] else 1
+                    others = max(words_n - own * len(words), 1)  # training words outside this document
                     base_sum = math.log10((end_n + 1) / base)
                     score_sum = log_end + len(words) * log_on + lgamma(a) - lgamma(a + len(words))
-                    lattice_sum = log_end + len(words) * log_on
+                    lattice_sum = rest_sum = log_end + len(words) * log_on
                     n_known = int(end_n > 0)
                     for w, tf in Counter(words).items():
                         h = known(w)
                         if h is None:
-                            lp = of(w)
-                            lattice_sum += tf * lp
-                            for c, v in zip(tails, (rk, w, tf, lp), strict=True):
+                            for c, v in zip(tails, (rk, w, tf, own, others), strict=True):
                                 c.append(v)
                         else:
-                            log_ap, ap, b, lp = h
+                            log_ap, ap, b, lp, n = h
                             n_known += tf
                             base_sum += tf * b
                             lattice_sum += tf * lp
+                            left = n - own * tf - discount
+                            rest_sum += tf * (log(left / others + rest * exp(lp)) if left > 0 else log(rest) + lp)
                             score_sum += log_ap if tf == 1 else log_ap + (log(ap + 1) if tf == 2 else lgamma(ap + tf) - lgamma(ap + 1))
-                    for c, v in zip(cells, (rk, b" %d" % rk, 0, 0.0, ids[k], held[k], len(words) + 1, n_known, base_sum, score_sum, lattice_sum), strict=True):
+                    for c, v in zip(cells, (rk, b" %d" % rk, 0, own, others, ids[k], unused[k], len(words) + 1, n_known, base_sum, score_sum, lattice_sum, rest_sum), strict=True):
                         c.append(v)
                     if len(tails[0]) > 50_000 or k + 1 == batch.num_rows:
-                        whole = [[*c, *t] for c, t in zip(cells[:4], tails, strict=True)] + [c + [None] * len(tails[0]) for c in cells[4:]]
+                        whole = [[*c, *t] for c, t in zip(cells[:5], tails, strict=True)] + [c + [None] * len(tails[0]) for c in cells[5:]]
                         arrays = [pa.array(c, pa.binary()).cast(t) if i == 1 else pa.array(c, t) for i, (c, t) in enumerate(zip(whole, types, strict=True))]
                         yield pa.RecordBatch.from_arrays(arrays, names=names)
-                        cells, tails = [[] for _ in names], ([], [], [], [])
+                        cells, tails = [[] for _ in names], ([], [], [], [], [])
 
-        rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), "__held").mapInArrow(run, schema)
+        rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), held).mapInArrow(run, schema)
         rare = self.counts.where(F.col("n") < self.least)
-        n = F.coalesce("n", F.lit(0))
+        n, tf = F.coalesce("n", F.lit(0)), F.col("tf")
         p = F.greatest(n - discount, F.lit(0.0)) / words_n + rest * F.exp("lp")
         log_ap = F.when(n == 0, F.lit(math.log(a * rest)) + F.col("lp")).otherwise(F.log(a * p))
-        more = F.when(F.col("tf") > 1, F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("tf") - 1, F.lit(1))), F.lit(0.0), lambda s, j: s + F.log(a * p + j))).otherwise(0.0)
-        is_word = F.col("tf") > 0
+        more = F.when(tf > 1, F.aggregate(F.sequence(F.lit(1), F.greatest(tf - 1, F.lit(1))), F.lit(0.0), lambda s, j: s + F.log(a * p + j))).otherwise(0.0)
+        left = n - tf * F.col("own") - discount
+        log_rest = F.when(left > 0, F.log(left / F.col("others") + rest * F.exp("lp"))).otherwise(F.lit(math.log(rest)) + F.col("lp"))
+        is_word = tf > 0
         each = rows.join(rare, "word", "left").select(
-            "rk", "doc_id", "held_out", "n_tokens", "lattice",
-            F.when(is_word, F.when(n > 0, F.col("tf")).otherwise(0).cast("long")).otherwise(F.col("n_known")).alias("n_known"),
-            F.when(is_word, F.col("tf") * F.log10((n + 1) / base)).otherwise(F.col("base")).alias("base"),
+            "rk", "doc_id", "held_out", "n_tokens",
+            F.when(is_word, F.when(n > 0, tf).otherwise(0).cast("long")).otherwise(F.col("n_known")).alias("n_known"),
+            F.when(is_word, tf * F.log10((n + 1) / base)).otherwise(F.col("base")).alias("base"),
             F.when(is_word, log_ap + more).otherwise(F.col("score")).alias("score"),
+            F.when(is_word, tf * F.col("lp")).otherwise(F.col("lattice")).alias("lattice"),
+            F.when(is_word, tf * log_rest).otherwise(F.col("rest")).alias("rest"),
         )
-        out = each.groupBy("rk").agg(*(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "lattice")), *(F.sum(c).alias(c) for c in ("n_known", "base", "score")))
-        return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(self.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("score") / LN10).alias("score"), (F.col("lattice") / LN10).alias("lattice_score"))
+        out = each.groupBy("rk").agg(*(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")), *(F.sum(c).alias(c) for c in ("n_known", "base", "score", "lattice", "rest")))
+        logs = [(F.col(c) / LN10).alias(name) for c, name in (("score", "score"), ("lattice", "lattice_score"), ("rest", "rest_score"))]
+        return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(self.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), *logs)
 
 
 def score_documents(docs: DataFrame, model_path: str, *, key: str = "doc_id", text: str = "text", modulus: int = 7, held_out: int = 2) -> DataFrame:
     """Scores of all docs by a model learned from those whose crc32 remainder isn't held_out."""
     with open(model_path, "rb") as f:
         pieces = f.read()
-    rows = docs.select(key, text).withColumn("__held", remainder_is(key, modulus, held_out))
-    return Model(rows.where(~F.col("__held")), text, pieces).score(rows, key, text)
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), remainder_is(key, modulus, held_out).alias("held"))
+    return Model(rows, "text", "held", pieces).score(rows, "id", "text", "held")
 
 
 def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

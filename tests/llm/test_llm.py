@@ -89,11 +89,60 @@ def test_language_model(spark, corpus):
         assert rows[i]["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens), rel=1e-9)
         assert math.isfinite(rows[i]["score"]) and rows[i]["score"] < 0 and math.isfinite(rows[i]["lattice_score"])
     # The head's size doesn't change the scores.
-    docs = frame(spark, corpus).select("doc_id", "text").withColumn("__held", F.col("doc_id") % 7 == 2)
+    docs = frame(spark, corpus).select("doc_id", "text").withColumn("held", F.col("doc_id") % 7 == 2)
     model = open(path, "rb").read()
-    a, b = (sorted(lm.Model(docs.where("not __held"), "text", model, head=h).score(docs, "doc_id", "text").collect()) for h in (5, 100_000))
-    assert [r["score"] for r in a] == pytest.approx([r["score"] for r in b], rel=1e-9)
+    a, b = (sorted(lm.Model(docs, "text", "held", model, head=h).score(docs, "doc_id", "text", "held").collect()) for h in (5, 100_000))
+    for c in ("score", "lattice_score", "rest_score"):
+        assert [r[c] for r in a] == pytest.approx([r[c] for r in b], rel=1e-9)
     assert lm.score_documents(empty(spark), path).count() == 0
+    clash = frame(spark, corpus).withColumns({c: F.lit("clash") for c in ("id", "held", "__held", "score", "word", "own")})
+    assert lm.score_documents(clash, path).columns == lm.score_documents(frame(spark, corpus), path).columns
+
+
+@pytest.mark.parametrize("head", [1, 1000])
+def test_language_model_sums_over_all_paths(spark, head):
+    """score, lattice_score and rest_score are sums over every path of a document's lattice: cuts into pieces, the word's arc, arcs of earlier occurrences."""
+    import itertools
+
+    import public_tokenizers
+
+    from sitelens.llm import lattice_lm as lm
+
+    model = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
+    texts = ["ab to ab", "to be to", "the ab the ab the", "be bé", "", None, "ab to ab"]
+    rows = [(i, t, i == 3) for i, t in enumerate(texts)]
+    docs = frame(spark, rows, "doc_id long, text string, held boolean")
+    m = lm.Model(docs, "text", "held", model, head=head)
+    got = {r["doc_id"]: r for r in m.score(docs, "doc_id", "text", "held").collect()}
+    counts = Counter(w.decode() for _, t, held in rows if not held for w in words_of(t))
+    lattice = lm.Lattice(model, lm.piece_counts(m.counts, model))
+    words = sum(counts.values())
+
+    def cuts(s):
+        if not s:
+            yield 1.0
+        for k in range(1, len(s) + 1):
+            p = lattice.scores.get(s[:k])
+            if p is not None:
+                yield from (math.exp(p) * q for q in cuts(s[k:]))
+        if s and lattice.scores.get(s[0]) is None:
+            yield from (math.exp(sum(lattice.bytes[b] for b in s[0].encode())) * q for q in cuts(s[1:]))
+
+    for i, t, held in rows:
+        tokens = [w.decode() for w in words_of(t)]
+        own = Counter() if held else Counter(tokens)
+        end = m.end * (1 - m.end) ** len(tokens)
+        a = m.concentration
+        arcs, plain, others = [], [], []
+        for k, w in enumerate(tokens):
+            paths = [m.rest * p for p in cuts("▁" + w)]
+            whole = [max(counts[w] - m.discount, 0) / words] if counts[w] else []
+            arcs.append([*(a * p / (a + k) for p in whole + paths), *[1 / (a + k)] * tokens[:k].count(w)])
+            plain.append([*cuts("▁" + w)])
+            others.append([max(counts[w] - own[w] - m.discount, 0) / max(words - sum(own.values()), 1), *paths])
+        for name, per_word in (("score", arcs), ("lattice_score", plain), ("rest_score", others)):
+            total = sum(math.prod(path) for path in itertools.product(*per_word))
+            assert got[i][name] == pytest.approx(math.log10(end * total), rel=1e-9), (name, t)
 
 
 # 2
