@@ -50,7 +50,7 @@ LEAF = 4096
 DEPTH = 6
 #: Documents and shingles that are compared in one task.
 BLOCK = 1024
-WEIGHT = 2_000_000
+WEIGHT = 1_000_000
 LEADERS = 16
 #: Signature places that must agree: five standard deviations below what a pair at the threshold has.
 AGREE = 35

@@ -24,7 +24,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        n = max(n, 1 << 22)
+        n = max(n, 1 << 20)
         for k, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(n, base)
             steps[0] = 1
@@ -42,7 +42,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def parts(offsets: np.ndarray, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def parts(offsets: np.ndarray, size: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about size bytes of text each."""
     first, n = 0, len(offsets) - 1
     while first < n:
