@@ -167,7 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     some = usable.select(F.col(key).alias("id"), F.col(label).cast("double").alias("label")).distinct().orderBy(F.xxhash64("id"), "id", "label").limit(sample_rows)
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(some), "id")  # sample_rows at most
     rows = with_statistics(texts, "text", STATISTICS).groupBy("id", "label").agg(F.min(F.struct(*STATISTICS)).alias("s"))
-    found = rows.select("label", "s.*").orderBy("label", *STATISTICS).toPandas().to_numpy(dtype=float)
+    found = rows.select("label", "s.*").toPandas().to_numpy(dtype=float)
+    found = found[np.lexsort(found.T)]  # the same model whatever the rows' order
     return RuleModel.fit(found[:, 1:], found[:, 0])
 
 
