@@ -11,16 +11,29 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of this machine where none is set (tests)."""
+    """spark.checkpoint.dir, or on a local master (tests) a folder of this machine if unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
-    if not at and app not in _OWN:
+    if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="sitelens-")
-    return (at or _OWN[app]).rstrip("/")
+    return _OWN[app]
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """df as a Parquet table of its own, which outlives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/sitelens/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote; nothing that is still to run may read them."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

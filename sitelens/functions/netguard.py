@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from .urls import host_of
 
 # Blocked host names and IPv4 ranges.
-BLOCKED_HOSTS = "localhost localhost.localdomain ip6-localhost ip6-loopback metadata.google.internal".split()
-BLOCKED_RANGES = "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.168.0.0/16 198.18.0.0/15 224.0.0.0/4 240.0.0.0/4".split()
+BLOCKED_HOSTS = ["localhost", "localhost.localdomain", "ip6-localhost", "ip6-loopback", "metadata.google.internal"]
+BLOCKED_RANGES = ["0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.168.0.0/16", "198.18.0.0/15", "224.0.0.0/4", "240.0.0.0/4"]
 _V4 = r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"
 
 
@@ -37,6 +38,18 @@ def is_private_ip(ip: Column) -> Column:
     return F.coalesce(F.when(v4.isNotNull(), private_v4).when(bare.contains(":"), local_v6).otherwise(True), F.lit(True))
 
 
+def is_private_address(ip: str) -> bool:
+    """The same of one address, for a fetcher."""
+    try:
+        address = ipaddress.ip_address(ip.strip("[]").split("%")[0])
+    except ValueError:
+        return True
+    address = getattr(address, "ipv4_mapped", None) or address
+    if address.version == 4:
+        return any(address in ipaddress.ip_network(r) for r in BLOCKED_RANGES)
+    return address in (ipaddress.ip_address("::"), ipaddress.ip_address("::1")) or any(address in ipaddress.ip_network(r) for r in ("fc00::/7", "fe80::/10"))
+
+
 def url_verdict(url: Column) -> Column:
     """Null if the URL may be fetched as far as can be told without DNS, else why not."""
     bracketed = F.regexp_extract(url, r"^[A-Za-z]+://(?:[^/?#@]*@)?\[([0-9A-Fa-f:.]+)\]", 1)

@@ -8,23 +8,63 @@ from pyspark.sql import functions as F
 from .urls import path_only
 
 # MIME types by kind, and the MIME type that a file extension promises.
-GENERIC_MIMES = "application/octet-stream binary/octet-stream application/binary application/unknown application/force-download application/download application/x-download text/plain unknown/unknown */*".split()
-HTML_MIMES = "text/html application/xhtml+xml application/xhtml text/xhtml application/vnd.wap.xhtml+xml".split()
-JS_MIMES = "application/javascript text/javascript application/x-javascript application/ecmascript text/ecmascript application/node module".split()
-FONT_MIMES = "application/font-woff application/font-woff2 application/x-font-woff application/x-font-ttf application/x-font-truetype application/x-font-opentype application/x-font-otf application/font-sfnt application/vnd.ms-fontobject".split()
-MIME_EXTENSIONS = {
-    "text/html": "html htm", "application/xhtml+xml": "xhtml",
-    "image/jpeg": "jpg jpeg jpe jfif", "image/png": "png", "image/gif": "gif", "image/webp": "webp", "image/avif": "avif", "image/svg+xml": "svg svgz",
-    "image/bmp": "bmp", "image/x-icon": "ico cur", "image/tiff": "tif tiff", "image/heic": "heic", "image/heif": "heif", "image/apng": "apng",
-    "text/css": "css", "text/javascript": "js mjs cjs",
-    "font/woff": "woff", "font/woff2": "woff2", "font/ttf": "ttf", "font/otf": "otf", "application/vnd.ms-fontobject": "eot",
-    "application/pdf": "pdf", "application/zip": "zip", "application/vnd.rar": "rar", "application/gzip": "gz",
-    "application/msword": "doc", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx",
-    "application/vnd.ms-excel": "xls", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx",
-    "application/vnd.ms-powerpoint": "ppt", "application/vnd.openxmlformats-officedocument.presentationml.presentation": "pptx",
-    "text/csv": "csv", "application/json": "json", "application/xml": "xml", "text/plain": "txt",
-    "audio/mpeg": "mp3", "audio/wav": "wav", "audio/ogg": "ogg", "video/mp4": "mp4", "video/webm": "webm", "video/quicktime": "mov", "video/x-msvideo": "avi",
-}
+GENERIC_MIMES = ["application/octet-stream", "binary/octet-stream", "application/binary", "application/unknown", "application/force-download", "application/download", "application/x-download", "text/plain", "unknown/unknown", "*/*"]
+HTML_MIMES = ["text/html", "application/xhtml+xml", "application/xhtml", "text/xhtml", "application/vnd.wap.xhtml+xml"]
+JS_MIMES = ["application/javascript", "text/javascript", "application/x-javascript", "application/ecmascript", "text/ecmascript", "application/node", "module"]
+FONT_MIMES = ["application/font-woff", "application/font-woff2", "application/x-font-woff", "application/x-font-ttf", "application/x-font-truetype", "application/x-font-opentype", "application/x-font-otf", "application/font-sfnt", "application/vnd.ms-fontobject"]
+EXTENSION_MIMES = {
+    "html": "text/html",
+    "htm": "text/html",
+    "xhtml": "application/xhtml+xml",
+    "jpg": "image/jpeg",
+    "jpeg": "image/jpeg",
+    "jpe": "image/jpeg",
+    "jfif": "image/jpeg",
+    "png": "image/png",
+    "gif": "image/gif",
+    "webp": "image/webp",
+    "avif": "image/avif",
+    "svg": "image/svg+xml",
+    "svgz": "image/svg+xml",
+    "bmp": "image/bmp",
+    "ico": "image/x-icon",
+    "cur": "image/x-icon",
+    "tif": "image/tiff",
+    "tiff": "image/tiff",
+    "heic": "image/heic",
+    "heif": "image/heif",
+    "apng": "image/apng",
+    "css": "text/css",
+    "js": "text/javascript",
+    "mjs": "text/javascript",
+    "cjs": "text/javascript",
+    "woff": "font/woff",
+    "woff2": "font/woff2",
+    "ttf": "font/ttf",
+    "otf": "font/otf",
+    "eot": "application/vnd.ms-fontobject",
+    "pdf": "application/pdf",
+    "zip": "application/zip",
+    "rar": "application/vnd.rar",
+    "gz": "application/gzip",
+    "doc": "application/msword",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "xls": "application/vnd.ms-excel",
+    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "ppt": "application/vnd.ms-powerpoint",
+    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    "csv": "text/csv",
+    "json": "application/json",
+    "xml": "application/xml",
+    "txt": "text/plain",
+    "mp3": "audio/mpeg",
+    "wav": "audio/wav",
+    "ogg": "audio/ogg",
+    "mp4": "video/mp4",
+    "webm": "video/webm",
+    "mov": "video/quicktime",
+    "avi": "video/x-msvideo",
+}
 ASSET_TYPES = ["IMAGE", "CSS", "JAVASCRIPT", "FONT", "PDF", "OTHER_ASSET"]
 # Exception codes by type of error.
 ERROR_CODES = {
@@ -67,7 +107,7 @@ def extension_of(url: Column) -> Column:
 
 
 def mime_from_extension(url: Column) -> Column:
-    pairs = [F.lit(x) for mime, names in MIME_EXTENSIONS.items() for name in names.split() for x in (name, mime)]
+    pairs = [F.lit(x) for pair in EXTENSION_MIMES.items() for x in pair]
     return F.element_at(F.create_map(*pairs), extension_of(url))
 
 

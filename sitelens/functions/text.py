@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
+from collections.abc import Callable
+from functools import reduce
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,19 +24,28 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]", " "), r"\s+"), lambda w: F.length(w) > 1)
 
 
-def _simhash(text: str | None) -> str | None:
-    words = [w for w in re.sub(r"[^\w\s]|_", " ", (text or "").lower()).split() if len(w) > 1]
-    if len(words) < SHINGLE:
-        return None
-    raw = b"".join(hashlib.md5(" ".join(words[i : i + SHINGLE]).encode()).digest()[:8] for i in range(len(words) - SHINGLE + 1))
-    votes = np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0) * 2
-    return np.packbits(votes > len(raw) // 8).tobytes().hex()
+def _shingle_head(words: Column, i: Column) -> Column:
+    """The first 64 bits of the MD5 of the i-th shingle (from 1)."""
+    digest = F.md5(F.array_join(F.slice(words, i, SHINGLE), " ").cast("binary"))
+    return F.shiftleft(hex_half(digest, True), 32).bitwiseOR(hex_half(digest, False))
 
 
-@F.pandas_udf(T.StringType())
-def simhash(text: pd.Series) -> pd.Series:
-    """64 bits as 16 hex digits, by majority over the MD5 heads of four-word shingles; null under four words."""
-    return text.map(_simhash)
+def with_simhash(df: DataFrame, key: str, text: str, into: str = "simhash") -> DataFrame:
+    """df with 64 bits as 16 hex digits, by majority over the MD5 heads of the text's four-word shingles; null under four words.
+
+    key is unique. Shingles are exploded and summed up by key: bits k and k + 32 of the heads are counted together, in the halves
+    of one long, and a text's rows are summed up where they arise.
+    """
+    words = df.select(F.col(key).alias("key"), tokens(F.col(text)).alias("words")).where(F.size("words") >= SHINGLE)
+    each = words.select("key", "words", F.explode(F.sequence(F.lit(1), F.size("words") - (SHINGLE - 1))).alias("i")).select("key", _shingle_head(F.col("words"), F.col("i")).alias("x"))
+    votes = each.groupBy("key").agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("x", k).bitwiseAND((1 << 32) | 1)).alias(f"v{k}") for k in range(32)))
+
+    def half(won: Callable[[Column], Column]) -> Column:
+        bits = [F.when(2 * won(F.col(f"v{k}")) > F.col("n"), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(32)]
+        return F.lpad(F.lower(F.hex(reduce(Column.__add__, bits[1:], bits[0].cast("long")))), 8, "0")
+
+    found = votes.select("key", F.concat(half(lambda v: F.shiftrightunsigned(v, 32)), half(lambda v: v.bitwiseAND(0xFFFFFFFF))).alias(into))
+    return df.drop(into).join(found.withColumnRenamed("key", key), key, "left")
 
 
 def hex_half(h: Column, first: bool) -> Column:

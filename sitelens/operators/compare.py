@@ -8,6 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from . import stats
+
+#: The metrics of a comparison, and whether more of them is better.
+METRICS = {
+    "crawled_urls": True, "indexable": True, "errors": False, "redirects": False, "internal_links": True, "average_depth": False, "seo_health": True, "geo_readiness": True, "issues": False,
+}
+
 
 def added(base: DataFrame, target: DataFrame) -> DataFrame:
     """Pages of target whose URL base doesn't have; removed() the other way round."""
@@ -59,3 +66,37 @@ def latest_two(crawls: DataFrame) -> DataFrame:
     w = W.Window.partitionBy("project_id").orderBy(F.desc("created_at"), F.desc("id"))
     ranked = crawls.where(F.col("status") == "COMPLETED").withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= 2)
     return ranked.groupBy("project_id").agg(F.max(F.when(F.col("__n") == 1, F.col("id"))).alias("target_id"), F.max(F.when(F.col("__n") == 2, F.col("id"))).alias("base_id"))
+
+
+def crawl_metrics(pages: DataFrame, links: DataFrame, findings: DataFrame) -> DataFrame:
+    """METRICS of one crawl, one row; readiness is 0 where the pages have no geo_signals."""
+    totals = stats.totals(pages).select(
+        F.col("requested_urls").alias("crawled_urls"), "indexable", F.col("errors_html").alias("errors"), "redirects", F.coalesce("avg_depth", F.lit(0.0)).alias("average_depth"),
+    )
+    ready = stats.geo_readiness(stats.geo_stats(pages)).select(F.col("score").alias("geo_readiness")) if "geo_signals" in pages.columns else None
+    parts = [totals, stats.link_totals(links).select(F.col("internal").alias("internal_links")), stats.seo_health(findings, pages).select("seo_health"), findings.agg(F.count("*").alias("issues"))]
+    one = reduce(lambda a, b: a.join(F.broadcast(b)), [*parts, ready] if ready is not None else parts)  # one row each
+    return one.select(*(F.coalesce(F.col(m), F.lit(0)).alias(m) if m in one.columns else F.lit(0).alias(m) for m in METRICS))
+
+
+def compare_crawls(base_id: object, target_id: object, crawls: DataFrame, pages: DataFrame, links: DataFrame, findings: DataFrame, *, most: int | None = None) -> dict[str, DataFrame]:
+    """Everything that changed from one crawl of a project to another: counts, metrics, URLs, statuses, indexability, issues.
+
+    crawls has id and project_id; pages crawl_id; links source_page_id and findings page_id of these pages. Crawls of two projects
+    are an error. most limits the lists of URLs, as the product shows 100 of each.
+    """
+    known = {r["id"]: r["project_id"] for r in crawls.where(F.col("id").isin(base_id, target_id)).select("id", "project_id").collect()}  # two rows
+    if set(known) != {base_id, target_id} or len(set(known.values())) != 1:
+        raise ValueError("two crawls of one project are needed")
+    a, b = (pages.where(F.col("crawl_id") == x) for x in (base_id, target_id))
+    own = lambda df, key, side: df.join(side.select(F.col("id").alias(key)), key, "left_semi")
+    found = [own(findings, "page_id", x) for x in (a, b)]
+    measured = [crawl_metrics(x, own(links, "source_page_id", x), f) for x, f in zip((a, b), found, strict=True)]
+    better = F.create_map(*(F.lit(x) for kv in METRICS.items() for x in kv))
+    first = lambda df: df.orderBy("normalized_url").limit(most) if most else df
+    url = lambda df: first(df.select("id", "normalized_url", "status_code"))
+    return {
+        "metrics": metric_deltas(*measured, [*METRICS]).withColumn("higher_is_better", F.element_at(better, F.col("metric"))),
+        "added": url(added(a, b)), "removed": url(removed(a, b)), "status_changes": first(status_changes(a, b)),
+        "indexability_changes": first(indexability_changes(a, b)), "issue_deltas": issue_deltas(*found).where("delta <> 0"), "counts": comparison_counts(a, b),
+    }

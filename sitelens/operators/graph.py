@@ -4,40 +4,56 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, discard
 from .links import edges_within
 
 BETWEENNESS_NODES = 5_000
+LOUVAIN_NODES = 200_000
+#: Crawls whose totals (two numbers each) are sent to every task.
+BROADCAST_CRAWLS = 100_000
+
+
+def _with_crawl(nodes: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """id and crawl (crawl_id, or one crawl for all) of nodes, and what a small enough table of one row for each crawl is joined as."""
+    keyed = nodes.select("id", (F.col("crawl_id") if "crawl_id" in nodes.columns else F.lit(0)).alias("crawl"))
+    few = keyed.select("crawl").distinct().limit(BROADCAST_CRAWLS + 1).count() <= BROADCAST_CRAWLS
+    return keyed, F.broadcast if few else (lambda df: df)
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, iterations: int = 30, tolerance: float = 1e-6, every: int = 5) -> DataFrame:
-    """id, rank. Parallel edges count, self-links don't, dangling mass is spread evenly.
+    """id, rank. Parallel edges count, self-links don't, dangling mass is spread evenly. Each crawl_id of nodes is a graph of its own.
 
     Edges are summed up by pair and weighted once; each round is one join and one partially aggregated sum. Every few rounds
-    the lineage is cut and the L1 change of the last round checked, so up to every - 1 rounds more than needed may run.
+    the lineage is cut and the L1 change of the last round checked, so up to every - 1 rounds more than needed may run; several
+    crawls go on until the last of them is done.
     """
-    n = nodes.count()
-    if not n:
-        return nodes.select("id", F.lit(0.0).alias("rank"))
+    keyed, small = _with_crawl(nodes)
     pairs = edges.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
-    degree = pairs.groupBy("src").agg(F.sum("w").alias("degree"))
+    degree = cut(pairs.groupBy("src").agg(F.sum("w").alias("degree")), "degrees")
     share = cut(pairs.join(degree, "src").select("src", "dst", (F.col("w") / F.col("degree")).alias("share")), "shares")
-    flags = cut(nodes.select("id").join(degree.select(F.col("src").alias("id"), F.lit(True).alias("out")), "id", "left").select("id", F.col("out").isNull().alias("dangling")), "nodes")
-    ranks = flags.select("id", "dangling", F.lit(1.0 / n).alias("rank"))
+    sizes = cut(keyed.groupBy("crawl").agg(F.count("*").cast("double").alias("n")), "sizes")
+    flags = keyed.join(small(sizes), "crawl").join(degree.select(F.col("src").alias("id"), F.lit(True).alias("out")), "id", "left")
+    ranks = cut(flags.select("id", "crawl", "n", F.col("out").isNull().alias("dangling"), (1 / F.col("n")).alias("rank")), "ranks")
+    kept = ranks
     for k in range(1, iterations + 1):
         got = share.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        joined = ranks.withColumnRenamed("rank", "before").join(got, "id", "left").join(F.broadcast(lost))  # one row
-        ranks = joined.select("id", "dangling", ((1 - damping) / n + damping * (F.col("lost") / n + F.coalesce("got", F.lit(0.0)))).alias("rank"), "before")
+        lost = ranks.groupBy("crawl").agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
+        joined = ranks.withColumnRenamed("rank", "before").join(got, "id", "left").join(small(lost), "crawl")
+        rank = (1 - damping) / F.col("n") + damping * (F.col("lost") / F.col("n") + F.coalesce("got", F.lit(0.0)))
+        ranks = joined.select("id", "crawl", "n", "dangling", rank.alias("rank"), "before")
         if k % every == 0 or k == iterations:
             ranks = cut(ranks, "ranks")
-            if ranks.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < tolerance:
+            discard(kept)
+            kept = ranks
+            change = ranks.groupBy("crawl").agg(F.sum(F.abs(F.col("rank") - F.col("before"))).alias("change")).agg(F.max("change")).first()[0]
+            if change is None or change < tolerance:
                 break
         ranks = ranks.drop("before")
     return ranks.select("id", "rank")
@@ -49,37 +65,40 @@ def simple_edges(edges: DataFrame) -> DataFrame:
 
 
 def hits(nodes: DataFrame, edges: DataFrame, *, iterations: int = 100, tolerance: float = 1e-8, every: int = 5) -> DataFrame:
-    """id, hub, authority; each sums to 1. Without edges all are 0."""
+    """id, hub, authority; each sums to 1 in each crawl_id of nodes. Without edges all are 0."""
+    keyed, small = _with_crawl(nodes)
     simple = cut(simple_edges(edges), "simple-edges")
-    hubs = simple.select(F.col("src").alias("id")).distinct().withColumn("hub", F.lit(1.0))
+    crawls = cut(keyed, "crawls")
+
+    def authorities(hubs: DataFrame) -> DataFrame:
+        return simple.join(hubs.select(F.col("id").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("authority"))
 
     def scaled(df: DataFrame, c: str) -> DataFrame:
-        total = df.agg(F.sum(c).alias("__t"))
-        return df.join(F.broadcast(total)).select("id", (F.col(c) / F.col("__t")).alias(c))  # one row
+        own = df.join(crawls, "id")
+        total = own.groupBy("crawl").agg(F.sum(c).alias("total"))
+        return own.join(small(total), "crawl").select("id", (F.col(c) / F.col("total")).alias(c))
 
-    before = None
-    authorities = hubs.select("id", F.lit(0.0).alias("authority")).limit(0)
+    before = hubs = cut(scaled(simple.select(F.col("src").alias("id")).distinct().withColumn("hub", F.lit(1.0)), "hub"), "hubs")
     for k in range(1, iterations + 1):
-        authorities = simple.join(hubs.select(F.col("id").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("authority"))
-        hubs = (simple.join(authorities.select(F.col("id").alias("dst"), "authority"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("authority").alias("hub")))
+        hubs = simple.join(authorities(hubs).select(F.col("id").alias("dst"), "authority"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("authority").alias("hub"))
         if k % every == 0 or k == iterations:  # scaled only now and then: only the proportions matter
-            hubs = scaled(cut(hubs, "hubs"), "hub")
-            change = None if before is None else hubs.join(before.withColumnRenamed("hub", "old"), "id").agg(F.max(F.abs(F.col("hub") - F.col("old")))).first()[0]
+            hubs = cut(scaled(hubs, "hub"), "hubs")
+            change = hubs.join(before.withColumnRenamed("hub", "old"), "id").agg(F.max(F.abs(F.col("hub") - F.col("old")))).first()[0]
+            discard(before)
             before = hubs
-            if change is None and before.isEmpty() or change is not None and change < tolerance:
+            if change is None or change < tolerance:
                 break
-    authorities = scaled(simple.join(hubs.select(F.col("id").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("authority")), "authority")
-    return nodes.select("id").join(hubs, "id", "left").join(authorities, "id", "left").fillna(0.0, ["hub", "authority"])
+    return nodes.select("id").join(hubs, "id", "left").join(scaled(authorities(hubs), "authority"), "id", "left").fillna(0.0, ["hub", "authority"])
 
 
-def _brandes(adjacency: dict[int, list[int]], source: int) -> dict[int, float]:
-    """Dependency of a source's shortest paths on each node."""
+def _brandes(starts: np.ndarray, ends: np.ndarray, source: int) -> Iterator[tuple[int, float]]:
+    """Dependency of a source's shortest paths on each node; the nodes that v leads to are ends[starts[v] : starts[v + 1]]."""
     paths, distance, before, order = defaultdict(float, {source: 1.0}), {source: 0}, defaultdict(list), []
     queue = deque([source])
     while queue:
         v = queue.popleft()
         order.append(v)
-        for w in adjacency.get(v, ()):
+        for w in ends[starts[v] : starts[v + 1]].tolist():
             if w not in distance:
                 distance[w] = distance[v] + 1
                 queue.append(w)
@@ -90,32 +109,39 @@ def _brandes(adjacency: dict[int, list[int]], source: int) -> dict[int, float]:
     for w in reversed(order):
         for v in before[w]:
             credit[v] += paths[v] / paths[w] * (1 + credit[w])
-    credit.pop(source, None)
-    return credit
+        if w != source:
+            yield w, credit[w]
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame, *, limit: int = BETWEENNESS_NODES) -> DataFrame | None:
-    """id, betweenness (directed, normalised), exact; None over limit nodes. The adjacency sent to tasks is bounded by limit."""
-    n = nodes.limit(limit + 1).count()
-    if n > limit:
+    """id, betweenness (directed, normalised), exact; None over limit nodes. Tasks get the adjacency as two arrays of 4-byte numbers.
+
+    With limit nodes there are limit * limit edges at most, and no more than that is ever sent (100 MB for 5,000 nodes that all
+    link to each other).
+    """
+    ids = nodes.select("id").distinct().limit(limit + 1).toArrow().column("id").to_numpy()
+    if len(ids) > limit:
         return None
-    adjacency: dict[int, list[int]] = defaultdict(list)
-    for r in simple_edges(edges).collect():
-        adjacency[r["src"]].append(r["dst"])
-    shared = nodes.sparkSession.sparkContext.broadcast(dict(adjacency))
+    ids = np.sort(ids)
+    n = len(ids)
+    number = nodes.sparkSession.createDataFrame([(int(i), k) for k, i in enumerate(ids)], "id long, k int")  # limit rows
+    inner = simple_edges(edges).join(F.broadcast(number.toDF("src", "a")), "src").join(F.broadcast(number.toDF("dst", "b")), "dst").select("a", "b").toArrow()
+    a, b = inner.column("a").to_numpy(), inner.column("b").to_numpy()
+    order = np.lexsort((b, a))
+    shared = nodes.sparkSession.sparkContext.broadcast((np.searchsorted(a[order], np.arange(n + 1)), b[order].astype(np.int32)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, float] = defaultdict(float)
         for batch in batches:
-            for s in batch["id"]:
-                for v, c in _brandes(shared.value, s).items():
+            for s in batch["k"]:
+                for v, c in _brandes(*shared.value, s):
                     total[v] += c
-        yield pd.DataFrame({"id": [*total.keys()], "c": [*total.values()]})
+        yield pd.DataFrame({"k": [*total.keys()], "c": [*total.values()]})
 
-    sources = nodes.select("id").repartition(min(64, max(1, n // 50 + 1)), "id")
+    sources = number.repartition(min(64, max(1, n // 50 + 1)), "k").select("k")
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    sums = sources.mapInPandas(run, "id long, c double").groupBy("id").agg(F.sum("c").alias("c"))
-    return nodes.select("id").join(sums, "id", "left").select("id", (F.coalesce("c", F.lit(0.0)) * scale).alias("betweenness"))
+    sums = sources.mapInPandas(run, "k int, c double").groupBy("k").agg(F.sum("c").alias("c"))
+    return number.join(sums, "k", "left").select("id", (F.coalesce("c", F.lit(0.0)) * scale).alias("betweenness"))
 
 
 def louvain_labels(nodes: list, pairs: list[tuple], seed: int = 7) -> tuple[dict, float]:
@@ -173,21 +199,43 @@ def louvain_labels(nodes: list, pairs: list[tuple], seed: int = 7) -> tuple[dict
     return labels, sum(inside[c] / total - (d / total) ** 2 for c, d in degrees.items()) if total else 0.0
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, *, group: str = "crawl_id") -> DataFrame:
-    """group, id, community, modularity; each crawl (bounded by the crawler's own limit of pages) in one task.
+def louvain(nodes: DataFrame, edges: DataFrame, *, group: str = "crawl_id", limit: int = LOUVAIN_NODES) -> DataFrame:
+    """group, id, community, modularity; each crawl of at most limit nodes in one task, larger ones by label propagation.
 
-    nodes has the group column and id; edges src and dst. Without edges each node is its own community. For graphs beyond one
-    task use label_propagation().
+    nodes has the group column and id; edges src and dst. Without edges each node is its own community. limit is what the
+    crawler's own limit of pages lets a crawl have.
     """
+    nodes = nodes.select(group, "id")
+    sizes = nodes.groupBy(group).agg(F.count("*").alias("n"))
+    large = cut(sizes.where(F.col("n") > limit).select(group), "large-crawls")
     pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    if large.isEmpty():
+        return _louvain_tasks(nodes, pairs, group)
+    one = _louvain_tasks(nodes.join(large, group, "left_anti"), pairs, group)
+    many = cut(nodes.join(large, group, "left_semi"), "large-nodes")
+    labels = cut(many.join(label_propagation(many.select("id"), pairs.toDF("src", "dst").join(many.select(F.col("id").alias("src")), "src", "left_semi")), "id"), "labels")
+    return one.unionByName(labels.join(modularity(labels, pairs, group), group).select(*one.columns))
+
+
+def modularity(labels: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
+    """group, modularity of the communities in labels (group, id, community) over undirected pairs (a, b)."""
+    ends = [labels.select(group, F.col("id").alias(x), F.col("community").alias(f"c{x}")) for x in "ab"]
+    inner = pairs.join(ends[0], "a").join(ends[1].drop(group), "b")
+    inside = inner.groupBy(group).agg(F.count_if(F.col("ca") == F.col("cb")).alias("inside"), F.count("*").alias("m"))
+    degrees = inner.select(group, F.explode(F.array("ca", "cb")).alias("c")).groupBy(group, "c").agg(F.count("*").alias("d")).groupBy(group).agg(F.sum(F.col("d").cast("double") * F.col("d")).alias("d2"))
+    every = labels.select(group).distinct().join(inside, group, "left").join(degrees, group, "left")
+    return every.select(group, F.coalesce(F.col("inside") / F.col("m") - F.col("d2") / (4.0 * F.col("m") * F.col("m")), F.lit(0.0)).alias("modularity"))
+
+
+def _louvain_tasks(nodes: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
     own = nodes.select(group, F.col("id").alias("a"), F.col("id").alias("b"))  # a node by itself
     rows = own.unionByName(pairs.join(nodes.select(group, F.col("id").alias("a")), "a").select(group, "a", "b"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(pdf.loc[pdf["b"] == pdf["a"], "a"])
         links = pdf[pdf["b"] != pdf["a"]]
-        labels, modularity = louvain_labels(ids, [(int(a), int(b)) for a, b in zip(links["a"], links["b"], strict=True)])
-        return pd.DataFrame({group: key[0], "id": ids, "community": [labels[i] for i in ids], "modularity": modularity})
+        labels, found = louvain_labels(ids, [(int(a), int(b)) for a, b in zip(links["a"], links["b"], strict=True)])
+        return pd.DataFrame({group: key[0], "id": ids, "community": [labels[i] for i in ids], "modularity": found})
 
     kind = dict(nodes.dtypes)[group]
     return rows.groupBy(group).applyInPandas(run, f"{group} {kind}, id long, community long, modularity double")

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.seo import severity_rank
 from .links import broken_internal_links, distinct_edges
-from .stats import directory_breakdown, is_page, status_class
+from .stats import depth_distribution, directory_breakdown, is_page, link_totals, reason_distribution, seo_health, severity_distribution, status_distribution, top_issues, totals
 
 SORTABLE = ["internal_page_rank", "normalized_url", "status_code", "depth", "word_count", "internal_inlinks", "internal_outlinks", "response_time", "title_length", "betweenness", "authority_score"]
-COLUMNS = ["id", "normalized_url", "status_code", "resource_type", "title", "depth", "word_count", "indexable", "indexability_reason", "internal_inlinks", "internal_page_rank", "directory"]
+COLUMNS = [
+    "id", "normalized_url", "status_code", "resource_type", "media_type", "content_type", "title", "title_length", "meta_description", "meta_description_length", "h1", "h1_count", "canonical", "meta_robots", "indexable",
+    "indexability_reason", "word_count", "depth", "internal_inlinks", "internal_outlinks", "external_outlinks", "internal_page_rank", "response_time", "error_type", "potential_orphan",
+]
 
 
 def clamp(value: int, low: int, high: int) -> int:
@@ -135,6 +140,31 @@ def subgraph(pages: DataFrame, links: DataFrame, *, limit: int = 500, **filters)
     return nodes, edges.orderBy("src", "dst").limit(12 * size)
 
 
+def load_pages(pages: DataFrame, limit: int, **filters) -> tuple[DataFrame, DataFrame]:
+    """The first pages of a tree or graph (least depth, then most rank), and one row of total, rendered and truncated."""
+    own = page_filter(pages, **filters)
+    rows = own.orderBy("depth", F.desc_nulls_last("internal_page_rank"), "id").limit(limit)
+    return rows, own.agg(F.count("*").alias("total")).select("total", F.least("total", F.lit(limit)).cast("long").alias("rendered"), (F.col("total") > limit).alias("truncated"))
+
+
+def page_by_id(pages: DataFrame, page_id: int) -> DataFrame:
+    return pages.where(F.col("id") == page_id)
+
+
+def page_details(page_id: int, pages: DataFrame, links: DataFrame, findings: DataFrame, **children: DataFrame) -> dict[str, DataFrame]:
+    """A page's row, its findings, inlinks with sources, outlinks with their targets' status, and its rows of each child table (page_id)."""
+    shown = {name: df.where(F.col("page_id") == page_id) for name, df in children.items()}
+    return {"page": page_by_id(pages, page_id), "issues": issues_of_page(findings, page_id), "inlinks": links_to(pages, links, page_id), "outlinks": links_from(pages, links, page_id)} | shown
+
+
+def report_list(reports: DataFrame, crawls: DataFrame, project_id: object, *, kind: str | None = None, most: int = 50) -> DataFrame:
+    """The latest reports of a project's crawls without error, with the score out of their JSON output."""
+    own = reports.where(F.col("error").isNull() & (F.col("type") == kind if kind else F.lit(True)))
+    of = crawls.where(F.col("project_id") == project_id).select(F.col("id").alias("crawl_id"), "start_url", "crawled_urls", "completed_at")
+    score = F.get_json_object("output", "$.score").try_cast("double")
+    return own.join(of, "crawl_id").orderBy(F.desc("created_at"), F.desc("id")).limit(most).select("id", "model", "type", "created_at", "crawl_id", "start_url", "crawled_urls", "completed_at", score.alias("score"))
+
+
 def owned_by(pages: DataFrame, crawls: DataFrame, projects: DataFrame, owners: list[str]) -> DataFrame:
     """Pages of crawls of projects that belong to one of the owners."""
     mine = projects.where(F.col("owner_id").isin(owners)).select(F.col("id").alias("project_id"))
@@ -157,6 +187,17 @@ def latest_log(events: DataFrame, order: str, most: int) -> DataFrame:
     return events.orderBy(F.desc(order)).limit(most)
 
 
+def crawl_summary(pages: DataFrame, links: DataFrame, findings: DataFrame) -> DataFrame:
+    """part, key, value: totals, statuses, depths, reasons, severities, leading issues and health of a crawl, as one table."""
+    one = lambda part, df: df.select(F.lit(part).alias("part"), F.explode(F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in df.columns))).alias("x")).select("part", "x.*")
+    by = lambda part, df: df.select(F.lit(part).alias("part"), F.col(df.columns[0]).cast("string").alias("key"), F.col("count").cast("double").alias("value"))
+    parts = [
+        one("totals", totals(pages)), one("links", link_totals(links)), one("health", seo_health(findings, pages)), by("status", status_distribution(pages)), by("depth", depth_distribution(pages)),
+        by("reason", reason_distribution(pages)), by("severity", severity_distribution(findings)), by("issue", top_issues(findings).select("code", "count")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 #: Named read-only tools: (pages, links, findings, **arguments) -> rows.
 TOOLS = {
     "getPagesByIssue": lambda p, li, f, code, limit=25: with_issue(p, f, code).orderBy("id").limit(clamp(limit, 1, 100)),
@@ -169,5 +210,5 @@ TOOLS = {
     "getLinksToPage": lambda p, li, f, page_id, limit=50: links_to(p, li, page_id, limit),
     "getLinksFromPage": lambda p, li, f, page_id, limit=50: links_from(p, li, page_id, limit),
     "getDirectoryBreakdown": lambda p, li, f: directory_breakdown(p),
-    "getCrawlSummary": lambda p, li, f: p.groupBy(status_class(F.col("status_code")).alias("bucket")).agg(F.count("*").alias("count")),
+    "getCrawlSummary": lambda p, li, f: crawl_summary(p, li, f),
 }

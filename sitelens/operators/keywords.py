@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions.text import normalize_keyword
+from ..functions.text import is_valid_keyword, normalize_country, normalize_device, normalize_keyword
 
 LAG_DAYS = 3
 COST_PER_CHECK = 0.005
 
 
 def best_per_query(rows: DataFrame, *, key: str = "query", order: str = "input_order", min_impressions: float = 0) -> DataFrame:
-    """The row with the best position of each normalised query; the first row wins ties. Rows are aggregated, not gathered."""
+    """The row with the best position of each normalised query; the first row wins ties, one without position only where none has one."""
     kept = rows.where(F.col("impressions") >= min_impressions) if min_impressions else rows
     normal = kept.withColumn("normalized", normalize_keyword(F.col(key)))
     whole = F.struct(*(F.col(c) for c in normal.columns))
-    return normal.groupBy("normalized").agg(F.min_by(whole, F.struct("position", order)).alias("x")).select("x.*")
+    return normal.groupBy("normalized").agg(F.min_by(whole, F.struct(F.col("position").isNull(), "position", order)).alias("x")).select("x.*")
 
 
 def match_tracked(keywords: DataFrame, best: DataFrame, day: Column) -> DataFrame:
@@ -99,10 +99,83 @@ def discover(rows: DataFrame, known: DataFrame, *, min_impressions: float = 1, l
     return flagged.withColumn("is_new", F.coalesce("is_new", F.lit(True)))
 
 
-def import_counters(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """created, updated, total of an import by keys."""
+def import_counters(incoming: DataFrame, existing: DataFrame, keys: list[str], *, read: int | None = None) -> DataFrame:
+    """created, updated, skipped, total of an import by keys; skipped: of the read lines those that are no row of incoming, and repeats."""
     known = existing.select(*keys).distinct().withColumn("__known", F.lit(True))
-    return incoming.dropDuplicates(keys).join(known, keys, "left").agg(F.count_if(F.col("__known").isNull()).alias("created"), F.count_if("__known").alias("updated"), F.count("*").alias("total"))
+    lines = F.lit(read) if read is not None else F.sum("__n")
+    one = incoming.groupBy(*keys).agg(F.count("*").alias("__n")).join(known, keys, "left")
+    return one.agg(F.count_if(F.col("__known").isNull()).alias("created"), F.count_if("__known").alias("updated"), F.coalesce(lines - F.count("*"), F.lit(0)).cast("long").alias("skipped"), F.count("*").alias("total"))
+
+
+KEYWORD_KEY = ["project_id", "normalized", "country", "device"]
+
+
+def insert_manual(wanted: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New keyword rows, and one row of created and skipped, for wanted (project_id, keyword, country, device).
+
+    Texts that are no keyword, keywords that are there already and repeats are skipped.
+    """
+    clean = wanted.withColumns({"normalized": normalize_keyword(F.col("keyword")), "country": F.coalesce(normalize_country(F.col("country")), F.lit("")), "device": F.coalesce(normalize_device(F.col("device")), F.lit(""))})
+    valid = clean.where(is_valid_keyword(F.col("normalized"))).groupBy(*KEYWORD_KEY).agg(F.min(F.substring(F.trim("keyword"), 1, 255)).alias("keyword"))
+    fresh = valid.join(existing.select(*KEYWORD_KEY).fillna("", ["country", "device"]), KEYWORD_KEY, "left_anti").withColumn("source", F.lit("MANUAL"))
+    counts = wanted.agg(F.count("*").alias("n")).join(F.broadcast(fresh.agg(F.count("*").alias("created"))))  # one row each
+    return fresh, counts.select("created", (F.col("n") - F.col("created")).alias("skipped"))
+
+
+def track_day(keywords: DataFrame, analytics: DataFrame, history: DataFrame, day: Column, *, lag_days: int = LAG_DAYS) -> dict[str, DataFrame]:
+    """A day's measurement: the new history, the keywords as they stand after it, and matched and processed.
+
+    keywords: keyword_id, normalized, tracked and last_, previous_, best_position and last_ values; analytics: query, page, clicks,
+    impressions, ctr, position, input_order; history: keyword_id, date, position, clicks, impressions, ctr, url. The day measured
+    is lag_days before day. Rows of that day are replaced where the keyword was found, and kept or added empty where not.
+    """
+    best = best_per_query(analytics).withColumns({"clicks": F.round("clicks").cast("long"), "impressions": F.round("impressions").cast("long")}).withColumnRenamed("page", "url")
+    measured = match_tracked(keywords, best, measured_day(day, lag_days))
+    hit = measured.join(keywords.select("keyword_id", "normalized").join(best.select("normalized"), "normalized", "left_semi").select("keyword_id"), "keyword_id", "left_semi")
+    missed = measured.join(hit.select("keyword_id"), "keyword_id", "left_anti").join(history.select("keyword_id", "date"), ["keyword_id", "date"], "left_anti")
+    kept = history.join(hit.select("keyword_id", "date"), ["keyword_id", "date"], "left_anti")
+    news = hit.select("keyword_id", *(F.col(c).alias(f"new_{c}") for c in ("position", "clicks", "impressions", "ctr", "url")), F.lit(True).alias("hit"))
+    after = keywords.join(news, "keyword_id", "left")
+    pick = lambda new, old: F.when(F.col("hit"), new).otherwise(F.col(old)).alias(old)
+    changed = {
+        "previous_position": pick(F.col("last_position"), "previous_position"), "last_position": pick(F.col("new_position"), "last_position"), "best_position": pick(F.least("best_position", "new_position"), "best_position"),
+        "last_clicks": pick(F.col("new_clicks"), "last_clicks"), "last_impressions": pick(F.col("new_impressions"), "last_impressions"), "last_url": pick(F.col("new_url"), "last_url"),
+    }
+    counts = measured.agg(F.count("*").alias("processed")).join(F.broadcast(hit.agg(F.count("*").alias("matched"))))  # one row each
+    return {"history": kept.unionByName(hit).unionByName(missed), "keywords": after.select(*(changed.get(c, F.col(c)) for c in keywords.columns)), "counters": counts}
+
+
+def check_batch(keywords: DataFrame, answers: DataFrame, day: Column, *, balance: float | None = None, most_errors: int = 5) -> dict[str, DataFrame]:
+    """Result-page checks of a batch of keywords: rows of the day, keywords after it, and the batch's counters.
+
+    keywords: keyword_id, project_id and serp_position, serp_previous_position, serp_best_position, serp_url; answers: keyword_id,
+    found, rank, rank_url, cost_usd, error (null if answered), as serp_checks() gives them. Keywords are asked in the order of
+    their ids until the balance of their project is used up; what comes after is not asked. Errors cost nothing.
+    """
+    asked = keywords.select("keyword_id", "project_id").join(answers, "keyword_id").withColumn("cost_usd", F.when(F.col("error").isNull(), F.coalesce("cost_usd", F.lit(0.0))).otherwise(0.0))
+    within = affordable(asked, balance) if balance is not None else asked
+    ok = within.where(F.col("error").isNull())
+    rows = ok.select("keyword_id", day.alias("date"), "found", "rank", "rank_url", "cost_usd")
+    after = keywords.join(ok.select("keyword_id", "rank", "rank_url", F.lit(True).alias("asked")), "keyword_id", "left")
+    pick = lambda new, old: F.when(F.col("asked"), new).otherwise(F.col(old)).alias(old)
+    changed = {
+        "serp_previous_position": pick(F.col("serp_position"), "serp_previous_position"), "serp_position": pick(F.col("rank"), "serp_position"),
+        "serp_best_position": pick(F.least("serp_best_position", "rank"), "serp_best_position"), "serp_url": pick(F.col("rank_url"), "serp_url"),
+    }
+    counts = within.agg(
+        F.count_if(F.col("error").isNull()).alias("checked"), F.count_if(F.col("error").isNull() & F.coalesce("found", F.lit(False))).alias("found"), F.count_if(F.col("error").isNotNull()).alias("failed"),
+        F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 6).alias("cost_usd"), F.count("*").alias("__n"),
+    )
+    counts = counts.join(F.broadcast(asked.agg(F.count("*").alias("__all")))).withColumn("out_of_balance", F.col("__n") < F.col("__all")).drop("__n", "__all")  # one row each
+    errors = within.where(F.col("error").isNotNull()).orderBy("keyword_id").limit(most_errors).select("keyword_id", "error")
+    return {"checks": rows, "keywords": after.select(*(changed.get(c, F.col(c)) for c in keywords.columns)), "counters": counts, "errors": errors}
+
+
+def locations(known: DataFrame, most: int | None = 300) -> DataFrame:
+    """Countries (names without a comma) first, then by name; total says how many there are in all."""
+    total = known.agg(F.count("*").alias("total"))
+    rows = known.join(F.broadcast(total)).orderBy(F.col("name").contains(","), "name")  # one row
+    return rows.limit(most) if most else rows
 
 
 def affordable(checks: DataFrame, balance: float, *, order: str = "keyword_id") -> DataFrame:

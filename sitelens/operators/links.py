@@ -57,8 +57,10 @@ def broken_images(images: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def image_statuses(images: DataFrame, pages: DataFrame) -> DataFrame:
-    """images with the status of their own URL where it was crawled."""
-    return images.join(pages.select("url_hash", F.col("status_code").alias("image_status")).dropDuplicates(["url_hash"]), "url_hash", "left")
+    """images with the status of their own URL where their page's crawl fetched it; of several answers, the lowest status."""
+    known = pages.groupBy("crawl_id", "url_hash").agg(F.min("status_code").alias("image_status"))
+    own = images if "crawl_id" in images.columns else images.join(pages.select(F.col("id").alias("page_id"), "crawl_id"), "page_id", "left")
+    return own.join(known, ["crawl_id", "url_hash"], "left").select(*images.columns, "image_status")
 
 
 def link_export(links: DataFrame, pages: DataFrame, link_type: str) -> DataFrame:

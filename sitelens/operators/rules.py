@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.lineage import cut
 from ..functions.resources import is_asset
 from ..functions.seo import is_auditable, is_valid_hreflang
 from ..functions.text import NEAR_DISTANCE, hamming, similarity_percent
@@ -88,16 +89,22 @@ def _finding(df: DataFrame, page_id: str, url: str, code: str, severity: str, ti
     return df.select(F.col(page_id).alias("page_id"), F.substring(url, 1, 2000).alias("url"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(title).alias("title"), details.alias("details"))
 
 
+def crawl_key(pages: DataFrame) -> list[str]:
+    """Pages of several crawls, told apart by crawl_id, are only compared within their own."""
+    return ["crawl_id"] if "crawl_id" in pages.columns else []
+
+
 def duplicates(pages: DataFrame, column: str, *, collation: str | None = None) -> DataFrame:
-    """Indexable HTML pages that share a value (its first 190 characters): id, URL, value, number of pages.
+    """Indexable HTML pages of a crawl that share a value (its first 190 characters): id, URL, value, number of pages.
 
     collation compares as a database with that collation does, e.g. UNICODE_CI_AI_RTRIM; by default bytes are compared.
     """
+    crawl = crawl_key(pages)
     value = F.substring(column, 1, DUPLICATE_PREFIX)
-    own = pages.where(F.col("indexable") & (F.col("resource_type") == "HTML_PAGE") & (F.col(column) != "")).select("id", "normalized_url", value.alias("value"))
+    own = pages.where(F.col("indexable") & (F.col("resource_type") == "HTML_PAGE") & (F.col(column) != "")).select(*crawl, "id", "normalized_url", value.alias("value"))
     key = F.collate("value", collation) if collation else F.col("value")
-    many = own.groupBy(key.alias("__k")).agg(F.count("*").alias("cnt")).where("cnt > 1")
-    return own.withColumn("__k", key).join(many, "__k").drop("__k")
+    many = own.groupBy(*crawl, key.alias("__k")).agg(F.count("*").alias("cnt")).where("cnt > 1")
+    return own.withColumn("__k", key).join(many, [*crawl, "__k"]).drop("__k", *crawl)
 
 
 def duplicate_findings(pages: DataFrame) -> DataFrame:
@@ -117,24 +124,53 @@ def broken_image_findings(images: DataFrame, pages: DataFrame) -> DataFrame:
     return _finding(broken_images(images, pages), "page_id", "source_url", "BROKEN_IMAGE", "HIGH", "Imagen rota en la página", said)
 
 
+def _comparable(pages: DataFrame, digits: int, block_cap: int | None) -> DataFrame:
+    own = pages.where(F.col("indexable") & F.col("simhash").isNotNull() & (F.col("word_count") >= 50))
+    own = own.select(*crawl_key(pages), "id", "normalized_url", "simhash", "content_hash", F.substring("simhash", 1, digits).alias("block"))
+    if block_cap is not None:
+        own = own.withColumn("__n", F.row_number().over(W.Window.partitionBy(*crawl_key(pages), "block").orderBy("id"))).where(F.col("__n") <= block_cap).drop("__n")
+    return own
+
+
+def _close(own: DataFrame, digits: int) -> DataFrame:
+    """simhash_a <= simhash_b, distance of fingerprints in one block: of NEAR_DISTANCE + 1 parts of the rest one at least is equal."""
+    keys = [*crawl_key(own), "block"]
+    prints = own.groupBy(*keys, "simhash").agg(F.count("*").alias("pages"), F.min("id").alias("first_id"), F.count_distinct("content_hash").alias("contents"), F.count_if(F.col("content_hash").isNull()).alias("unknown"))
+    rest, n = 16 - digits, NEAR_DISTANCE + 1
+    ends = [digits + rest * k // n for k in range(n + 1)]
+    cut_up = F.array(*(F.substring("simhash", a + 1, b - a) for a, b in zip(ends[:-1], ends[1:], strict=True)))
+    posted = cut(prints, "prints").withColumn("parts", cut_up).select("*", F.posexplode("parts").alias("k", "part"))
+    sides = [posted.select(*keys, "k", "part", *(F.col(c).alias(f"{c}_{x}") for c in ("simhash", "pages", "first_id", "contents", "unknown", "parts"))) for x in "ab"]
+    both = sides[0].join(sides[1], [*keys, "k", "part"]).where("simhash_a <= simhash_b")
+    first = F.array_position(F.zip_with("parts_a", "parts_b", lambda x, y: x == y), True) == F.col("k") + 1  # a pair counts where it meets first
+    found = both.where(first).withColumn("distance", hamming(F.col("simhash_a"), F.col("simhash_b")).cast("int")).where(F.col("distance") <= NEAR_DISTANCE)
+    several = F.col("contents_a") + F.col("unknown_a") > 1  # equal fingerprints of other contents
+    return found.where((F.col("simhash_a") < F.col("simhash_b")) | several).drop("k", "part", "parts_a", "parts_b", "contents_a", "contents_b", "unknown_a", "unknown_b", "block")
+
+
+def near_duplicate_prints(pages: DataFrame, *, digits: int = BLOCK_DIGITS, block_cap: int | None = None) -> DataFrame:
+    """simhash_a, simhash_b, distance, similarity, and of each the number of pages and the first id: near-duplicates by fingerprint.
+
+    Pages of one fingerprint are its members; so a large group of near copies gives a row for each two fingerprints, not for
+    each two pages. A fingerprint with itself is a row if its pages have several contents.
+    """
+    return _close(_comparable(pages, digits, block_cap), digits).withColumn("similarity", similarity_percent(F.col("distance")))
+
+
 def near_duplicate_pairs(pages: DataFrame, *, digits: int = BLOCK_DIGITS, block_cap: int | None = None) -> DataFrame:
     """Pairs of pages in one block whose fingerprints differ in at most six bits and whose contents aren't equal.
 
-    block_cap compares the first so many pages of a block only, as the product does; by default blocks are whole. Equal
-    fingerprints are compared once: pages are joined through the distinct fingerprints of their block.
+    block_cap compares the first so many pages of a block only, as the product does; by default blocks are whole.
     """
-    own = pages.where(F.col("indexable") & F.col("simhash").isNotNull() & (F.col("word_count") >= 50)).select("id", "normalized_url", "simhash", "content_hash", F.substring("simhash", 1, digits).alias("block"))
-    if block_cap is not None:
-        own = own.withColumn("__n", F.row_number().over(W.Window.partitionBy("block").orderBy("id"))).where(F.col("__n") <= block_cap).drop("__n")
-    prints = own.select("block", "simhash").distinct()
-    other = prints.select("block", F.col("simhash").alias("simhash_b"))
-    close = prints.join(other, "block").where(F.col("simhash") <= F.col("simhash_b")).withColumn("distance", hamming(F.col("simhash"), F.col("simhash_b"))).where(F.col("distance") <= NEAR_DISTANCE)
-    one = own.select("simhash", F.col("id").alias("id_x"), F.col("normalized_url").alias("url_x"), F.col("content_hash").alias("content_x"))
-    two = own.select(F.col("simhash").alias("simhash_b"), F.col("id").alias("id_y"), F.col("normalized_url").alias("url_y"), F.col("content_hash").alias("content_y"))
-    pairs = close.join(one, "simhash").join(two, "simhash_b").where(F.when(F.col("simhash") == F.col("simhash_b"), F.col("id_x") < F.col("id_y")).otherwise(True) & ~F.coalesce(F.col("content_x") == F.col("content_y"), F.lit(False)))
+    own, crawl = _comparable(pages, digits, block_cap), crawl_key(pages)
+    close = _close(own, digits).select(*crawl, "simhash_a", "simhash_b", "distance")
+    one = own.select(*crawl, F.col("simhash").alias("simhash_a"), F.col("id").alias("id_x"), F.col("normalized_url").alias("url_x"), F.col("content_hash").alias("content_x"))
+    two = own.select(*crawl, F.col("simhash").alias("simhash_b"), F.col("id").alias("id_y"), F.col("normalized_url").alias("url_y"), F.col("content_hash").alias("content_y"))
+    pairs = close.join(one, [*crawl, "simhash_a"]).join(two, [*crawl, "simhash_b"])
+    pairs = pairs.where(((F.col("simhash_a") != F.col("simhash_b")) | (F.col("id_x") < F.col("id_y"))) & ~F.coalesce(F.col("content_x") == F.col("content_y"), F.lit(False)))
     low = F.col("id_x") < F.col("id_y")
     pick = lambda a, b: F.when(low, F.col(a)).otherwise(F.col(b))
-    return pairs.select(pick("id_x", "id_y").alias("id_a"), pick("url_x", "url_y").alias("url_a"), pick("id_y", "id_x").alias("id_b"), pick("url_y", "url_x").alias("url_b"), F.col("distance").cast("int").alias("distance"), similarity_percent(F.col("distance")).alias("similarity"))
+    return pairs.select(pick("id_x", "id_y").alias("id_a"), pick("url_x", "url_y").alias("url_a"), pick("id_y", "id_x").alias("id_b"), pick("url_y", "url_x").alias("url_b"), "distance", similarity_percent(F.col("distance")).alias("similarity"))
 
 
 def near_duplicate_findings(pages: DataFrame, **options) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import window as W
 
 from ..functions.lineage import cut
 from ..functions.urls import is_system_path, path_only, segments, silo_key, slug_key
+from .inventory import clamp, load_pages
 
 MAX_CHILDREN = 40
 
@@ -119,21 +120,88 @@ def silo_flows(keyed: DataFrame, links: DataFrame) -> DataFrame:
     return pairs.groupBy("from_silo", "to_silo").agg(F.count("*").alias("links"))
 
 
-def silo_findings(summary: DataFrame, *, least_pages: int = 3) -> DataFrame:
-    """What is wrong with sections: low cohesion, orphans, no hub, a share of rank far under the share of pages."""
-    low = F.when((F.col("cohesion") < 0.3) & (F.col("internal_links") + F.col("outbound_links") > 0), "LOW_COHESION")
-    orphans = F.when(F.col("orphans") > 0, "ORPHANS")
-    no_hub = F.when((F.col("pages") >= least_pages) & (F.col("internal_links") == 0), "NO_HUB")
-    none_in = F.when((F.col("silo") != "/") & (F.col("inbound_links") == 0), "ISOLATED")
-    return summary.select("silo", F.explode(F.filter(F.array(low, orphans, no_hub, none_in), lambda x: x.isNotNull())).alias("finding"))
+def silo_findings(summary: DataFrame, flows: DataFrame, *, least_pages: int = 3) -> DataFrame:
+    """What is wrong with sections of least_pages pages or more: code, severity, silo, detail."""
+    sent = F.col("internal_links") + F.col("outbound_links")
+    own = summary.where(F.col("pages") >= least_pages)
+    tests = [
+        ("NO_HEAD", "HIGH", F.col("silo").isNotNull() & (F.col("silo") != "/") & F.col("head_url").isNull(), F.lit(None)),
+        ("WEAK_HEAD", "MEDIUM", F.col("head_inlinks") < F.col("hub_inlinks"), F.col("hub_url")),
+        ("LEAKING", "MEDIUM", (sent > 0) & (F.col("cohesion") < 0.5), F.round("cohesion", 4)),
+        ("NOT_LINKED", "HIGH", (F.col("silo") != "/") & (F.col("inbound_links") == 0), F.lit(None)),
+        ("ORPHANS", "MEDIUM", F.col("orphans") > 0, F.col("orphans")),
+    ]
+    found = F.filter(F.array(*(F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))) for code, severity, test, detail in tests)), lambda x: x.isNotNull())
+    of_silo = own.select("silo", F.explode(found).alias("x")).select("x.code", "x.severity", "silo", "x.detail")
+    leak = flows.where("from_silo <> to_silo").join(own.select(F.col("silo").alias("from_silo"), "internal_links"), "from_silo").where(F.col("links") > F.col("internal_links"))
+    return of_silo.unionByName(leak.select(F.lit("FLOW").alias("code"), F.lit("LOW").alias("severity"), F.col("from_silo").alias("silo"), F.concat(F.lit("→ "), "to_silo", F.lit(": "), F.col("links").cast("string")).alias("detail")))
+
+
+def silo_top_pages(keyed: DataFrame, most: int = 10) -> DataFrame:
+    """The pages of each section (keyed: pages with silo) with most inlinks."""
+    w = W.Window.partitionBy("silo").orderBy(F.desc_nulls_last("internal_inlinks"), F.desc_nulls_last("internal_page_rank"), "id")
+    return keyed.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("silo", "place", "id", "normalized_url", "internal_inlinks", "internal_page_rank")
+
+
+def silo_report(pages: DataFrame, links: DataFrame, *, depth: int = 1, grouping: str = "path", most: int = 10, least_pages: int = 3) -> dict[str, DataFrame]:
+    """silos, top_pages, flows between sections, findings, and one row of totals: the whole report on a site's sections."""
+    own = pages.where((F.col("resource_type") == "HTML_PAGE") & ~is_system_path(F.col("normalized_url")))
+    key, flat = silo_column(own, depth=depth, grouping=grouping)
+    keyed = own.withColumn("silo", key)
+    summary = silos(own, links, depth=depth, grouping="slug" if flat and grouping == "auto" else "path" if grouping == "auto" else grouping)
+    head = F.lower(F.regexp_replace(path_only(F.col("normalized_url")), "/+$", ""))
+    heads = keyed.where(head == F.lower(F.regexp_replace("silo", "/+$", ""))).groupBy("silo").agg(F.min("normalized_url").alias("head_url"), F.max("internal_inlinks").alias("head_inlinks"))
+    top = keyed.groupBy("silo").agg(F.max("internal_inlinks").alias("hub_inlinks"))
+    summary = summary.join(heads, "silo", "left").join(top, "silo", "left")
+    flows = silo_flows(keyed, links)
+    crossing = F.coalesce(F.sum(F.when(F.col("from_silo") != F.col("to_silo"), F.col("links"))), F.lit(0))
+    sums = flows.agg(F.coalesce(F.sum("links"), F.lit(0)).alias("internal_links"), crossing.alias("cross_silo_links"))
+    counts = pages.agg(F.count("*").alias("total_pages")).join(F.broadcast(own.agg(F.count("*").alias("analyzed_pages")))).join(F.broadcast(sums))  # one row each
+    kept = F.when(F.col("internal_links") > 0, 1 - F.col("cross_silo_links") / F.col("internal_links")).otherwise(0.0)
+    totals = counts.withColumns({"cohesion": kept, "flat_site": F.lit(flat)})
+    return {"silos": summary, "top_pages": silo_top_pages(keyed, most), "flows": flows, "findings": silo_findings(summary, flows, least_pages=least_pages), "totals": totals}
+
+
+MODES = ["path", "link", "inlinks", "cluster", "silo"]
+
+
+def build_tree(pages: DataFrame, links: DataFrame, *, mode: str = "path", limit: int = 1500, focus: int | None = None, grouping: str = "path", **filters) -> dict[str, DataFrame]:
+    """tree, counts (total, rendered, truncated) and, of the click tree, cross_links: one of MODES (others: path) over filtered pages.
+
+    At most limit pages (10 to 10,000), those nearest to the start and then with most rank, are shown. focus is the page whose
+    inlinks are shown; without one it is the page with most rank.
+    """
+    rows, counts = load_pages(pages, clamp(limit, 10, 10_000), **filters)
+    rows = cut(rows, "tree-pages")
+    inner = links.where((F.col("link_type") == "INTERNAL") & F.col("target_page_id").isNotNull())
+    shown = inner.join(rows.select(F.col("id").alias("source_page_id")), "source_page_id", "left_semi").join(rows.select(F.col("id").alias("target_page_id")), "target_page_id", "left_semi")
+    if mode == "link":
+        edges = shown.select(F.col("source_page_id").alias("src"), F.col("target_page_id").alias("dst"))
+        tree = cut(link_tree(rows, edges), "tree")
+        return {"tree": tree, "counts": counts, "cross_links": cross_links(tree, edges.distinct())}
+    if mode == "inlinks":
+        first = rows.orderBy(F.desc_nulls_last("internal_page_rank"), "id").select("id").first() if focus is None else None
+        focus = first["id"] if first else focus
+        tree = inlink_tree(rows, shown, focus) if focus is not None else rows.select("id").limit(0)
+    elif mode == "cluster":
+        tree = cluster_tree(rows, shown)
+    elif mode == "silo":
+        tree = silos(rows, shown, grouping=grouping)
+    else:
+        tree = path_tree(rows)
+    return {"tree": tree, "counts": counts}
 
 
 def pruned(tree: DataFrame, ranks: DataFrame, *, most: int = MAX_CHILDREN) -> DataFrame:
-    """Tree rows (id, parent_id) with visible (the first children of each node by rank) and hidden_children of each node."""
+    """Tree rows (id, parent_id) with visible (the first children of each node by rank) and hidden_children of each node.
+
+    Roots and orphans are always visible; they take no part in the ranking of children.
+    """
     w = W.Window.partitionBy("parent_id").orderBy(F.desc_nulls_last("rank"), "id")
-    placed = tree.join(ranks, "id", "left").withColumn("visible", F.when(F.col("parent_id").isNull(), True).otherwise(F.row_number().over(w) <= most))
+    below = tree.where(F.col("parent_id").isNotNull()).join(ranks, "id", "left").withColumn("visible", F.row_number().over(w) <= most).drop("rank")
+    placed = below.unionByName(tree.where(F.col("parent_id").isNull()).withColumn("visible", F.lit(True)))
     hidden = placed.where("not visible").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("hidden_children"))
-    return placed.join(hidden, "id", "left").fillna(0, ["hidden_children"]).drop("rank")
+    return placed.join(hidden, "id", "left").fillna(0, ["hidden_children"])
 
 
 def subtree_sizes(tree: DataFrame, *, levels: int = 200) -> DataFrame:

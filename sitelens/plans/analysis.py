@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from ..functions.resources import classify
 from ..functions.seo import crawl_failed, geo_signals, indexability, is_nofollow
-from ..functions.text import match_pattern, simhash
+from ..functions.text import match_pattern, with_simhash
 from ..functions.urls import directory_of, is_same_site, normalize_url, url_hash
 from ..operators import graph, inventory, links, rules, sinks, stats
 from ..sources.html import parse_pages
@@ -79,13 +79,13 @@ def _tables(parsed: DataFrame, edges: DataFrame, sitemap: DataFrame | None, craw
         F.xxhash64("url").alias("id"), F.lit(crawl_id).alias("crawl_id"), text(F.col("url"), 2000).alias("normalized_url"), text(F.col("url"), 2000).alias("url"), url_hash(F.col("url")).alias("url_hash"),
         F.col("status").alias("status_code"), "content_type", "error_type", F.get("redirect_chain", F.lit(0)).alias("redirect_from"), F.col("final_url").alias("redirect_url"), "kind.resource_type", "kind.media_type", "kind.mime_type", F.col("kind.extension_mismatch").alias("mime_mismatch"),
         p["title"].alias("title"), F.length(p["title"]).alias("title_length"), p["meta_description"].alias("meta_description"), F.length(p["meta_description"]).alias("meta_description_length"), p["h1"].alias("h1"), F.coalesce(p["h1_count"], F.lit(0)).alias("h1_count"), F.coalesce(p["h2_count"], F.lit(0)).alias("h2_count"),
-        p["canonical"].alias("canonical"), p["meta_robots"].alias("meta_robots"), F.coalesce(p["word_count"], F.lit(0)).alias("word_count"), p["language"].alias("language"), p["content_hash"].alias("content_hash"), simhash(p["text"]).alias("simhash"),
+        p["canonical"].alias("canonical"), p["meta_robots"].alias("meta_robots"), F.coalesce(p["word_count"], F.lit(0)).alias("word_count"), p["language"].alias("language"), p["content_hash"].alias("content_hash"), p["text"].alias("text"),
         "depth", "discovery_type", "discovered_from", F.coalesce("listed", F.lit(False)).alias("in_sitemap"), text(directory_of(F.col("url")), 250).alias("directory"), reason.alias("indexability_reason"), (reason == "INDEXABLE").alias("indexable"),
         F.greatest(F.coalesce(F.size(p["images"]), F.lit(0)), F.lit(0)).alias("images_count"), F.greatest(count(lambda i: ~i["has_alt"]), F.lit(0)).alias("images_missing_alt"), F.greatest(count(lambda i: i["has_alt"] & (F.trim(i["alt"]) == "")), F.lit(0)).alias("images_decorative"),
         geo_signals(F.coalesce(F.transform(p["schemas"], lambda s: s["schema_type"]), F.array().cast("array<string>")), F.coalesce(p["has_author"], F.lit(False)), p["published_date"], p["modified_date"], F.coalesce(p["h1_count"], F.lit(0)), F.coalesce(p["h2_count"], F.lit(0)), F.coalesce(p["word_count"], F.lit(0)), F.coalesce(p["external_citations"], F.lit(0)), p["text_ratio"]).alias("geo_signals"),
         crawl_failed(F.col("error_type"), F.col("status")).alias("failed"), F.lit(None).cast("int").alias("response_time"),
     )
-    pages = cut(pages, "pages")
+    pages = cut(with_simhash(pages, "id", "text").drop("text"), "pages")
     key = F.xxhash64("url")
     made = edges.select(
         F.xxhash64("url", "n").alias("id"), F.lit(crawl_id).alias("crawl_id"), key.alias("source_page_id"), text(F.col("target_url"), 2000).alias("target_url"), url_hash(F.col("target_url")).alias("target_hash"),

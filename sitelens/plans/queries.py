@@ -2,43 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls
+from ..functions.lineage import cut
 from ..functions.resources import classify, extension_of, media_type_from_extension
 from ..functions.seo import alt_state, has_noindex, is_nofollow, is_valid_hreflang, severity_rank
 from ..operators import compare, graph, inventory, keywords, links, rules, sinks, stats, trees
 from .crawl_view import crawl_links, crawl_pages, crawl_sql, second_crawl
+from .registry import ORACLE_SQL, QUERIES, query
+from .registry import table as _t
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return register
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
     return links.resolve_targets(crawl_links(spark, d), crawl_pages(spark, d))
 
 
+def _crawl(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pages with link counts, and links: each derived from the HTML once and written as narrow tables."""
+    edges = cut(_links(spark, d), "links")
+    return cut(links.with_link_metrics(crawl_pages(spark, d).drop("text"), edges), "pages"), edges
+
+
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    return links.with_link_metrics(crawl_pages(spark, d), _links(spark, d))
+    return links.with_link_metrics(crawl_pages(spark, d), cut(_links(spark, d), "links"))
 
 
 def _findings(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +112,7 @@ def _(spark, d):
     return stats.resource_stats(crawl_pages(spark, d))
 
 
-@query("page_inventory", crawl_sql("SELECT id, normalized_url, status_code, resource_type, title, depth, word_count, indexable, indexability_reason, internal_inlinks, internal_page_rank, directory FROM pm WHERE status_code BETWEEN 200 AND 299 AND coalesce(resource_type, 'HTML_PAGE') = 'HTML_PAGE' AND depth >= 1 AND depth <= 5 ORDER BY internal_page_rank DESC, id LIMIT 20 OFFSET 20"))
+@query("page_inventory", crawl_sql("SELECT id, normalized_url, status_code, resource_type, media_type, content_type, title, title_length, meta_description, meta_description_length, h1, h1_count, canonical, meta_robots, indexable, indexability_reason, word_count, depth, internal_inlinks, internal_outlinks, external_outlinks, internal_page_rank, response_time, error_type, potential_orphan FROM pm WHERE status_code BETWEEN 200 AND 299 AND coalesce(resource_type, 'HTML_PAGE') = 'HTML_PAGE' AND depth >= 1 AND depth <= 5 ORDER BY internal_page_rank DESC, id LIMIT 20 OFFSET 20"))
 def _(spark, d):
     return inventory.page_inventory(_metrics(spark, d), page=2, per_page=20, status="2xx", kind="pages", min_depth=1, max_depth=5)
 
@@ -185,7 +175,7 @@ def _(spark, d):
     return stats.cluster_inbound(_links(spark, d), crawl_pages(spark, d))
 
 
-@query("cluster_summary", crawl_sql("SELECT cluster_id, count(*) AS pages, avg(depth) AS avg_depth, arg_max(normalized_url, (internal_page_rank, -id)) AS top_url FROM page WHERE cluster_id IS NOT NULL GROUP BY 1"))
+@query("cluster_summary", crawl_sql("SELECT cluster_id, count(*) AS pages, avg(depth) AS avg_depth, arg_max(normalized_url, (internal_page_rank, -id)) AS top_url FROM page WHERE cluster_id IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25"))
 def _(spark, d):
     return stats.cluster_summary(crawl_pages(spark, d))
 
@@ -200,50 +190,76 @@ def _(spark, d):
 _EDGE = "edge AS (SELECT source_page_id AS src, target_page_id AS dst FROM link WHERE link_type = 'INTERNAL' AND follow AND source_page_id IN (SELECT id FROM page WHERE indexable) AND target_page_id IN (SELECT id FROM page WHERE indexable))"
 
 
+def _first_done(rounds: int, columns: str) -> tuple[str, str]:
+    """A table of the first fifth round (r5, r10, ...) whose change (c5, ...) is small, or of the last; and that round's rows."""
+    marks = [*range(5, rounds + 1, 5)]
+    stops = "CASE " + " ".join(f"WHEN (SELECT done FROM c{k}) THEN {k}" for k in marks) + f" ELSE {rounds} END"
+    return f"stop AS MATERIALIZED (SELECT {stops} AS k)", " UNION ALL ".join(f"SELECT {columns} FROM r{k} WHERE (SELECT k FROM stop) = {k}" for k in marks)
+
+
 def _pagerank_sql(rounds: int) -> str:
     parts = [
         _EDGE, "nd AS MATERIALIZED (SELECT id FROM page WHERE indexable)", "cnt AS (SELECT count(*) AS n FROM nd)", "pr AS (SELECT src, dst, count(*) AS w FROM edge WHERE src <> dst GROUP BY 1, 2)",
-        "dg AS (SELECT src, sum(w) AS dg FROM pr GROUP BY 1)", "sh AS MATERIALIZED (SELECT pr.src, pr.dst, CAST(w AS DOUBLE) / CAST(dg AS DOUBLE) AS share FROM pr JOIN dg USING (src))", "r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM nd, cnt)",
+        "dg AS MATERIALIZED (SELECT src, sum(w) AS dg FROM pr GROUP BY 1)", "sh AS MATERIALIZED (SELECT pr.src, pr.dst, CAST(w AS DOUBLE) / CAST(dg AS DOUBLE) AS share FROM pr JOIN dg USING (src))", "r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM nd, cnt)",
     ]
     for k in range(1, rounds + 1):
         parts.append(f"g{k} AS MATERIALIZED (SELECT dst AS id, sum(rank * share) AS got FROM sh JOIN r{k - 1} ON r{k - 1}.id = sh.src GROUP BY 1)")
         parts.append(f"r{k} AS MATERIALIZED (SELECT r.id, 0.15 / n + 0.85 * ((SELECT coalesce(sum(rank), 0) FROM r{k - 1} WHERE id NOT IN (SELECT src FROM dg)) / n + coalesce(got, 0)) AS rank FROM r{k - 1} r LEFT JOIN g{k} USING (id), cnt)")
-    return crawl_sql(", " + ", ".join(parts) + f" SELECT id, round(rank, 9) AS rank FROM r{rounds}")
+        if k % 5 == 0:
+            parts.append(f"c{k} AS MATERIALIZED (SELECT sum(abs(a.rank - b.rank)) < 1e-6 AS done FROM r{k} a JOIN r{k - 1} b USING (id))")
+    stop, rows = _first_done(rounds, "id, round(rank, 9) AS rank")
+    return crawl_sql(", " + ", ".join([*parts, stop]) + " " + rows)
+
+
+def _hits_sql(rounds: int) -> str:
+    parts = [_EDGE, "sm AS MATERIALIZED (SELECT DISTINCT src, dst FROM edge WHERE src <> dst)", "r0 AS (SELECT src AS id, 1.0::DOUBLE / count(*) OVER () AS hub FROM (SELECT DISTINCT src FROM sm))"]
+    for k in range(1, rounds + 1):
+        parts.append(f"a{k} AS MATERIALIZED (SELECT dst AS id, sum(hub) AS authority FROM sm JOIN r{k - 1} r ON r.id = sm.src GROUP BY 1)")
+        hub = f"SELECT src AS id, sum(authority) AS hub FROM sm JOIN a{k} a ON a.id = sm.dst GROUP BY 1"
+        parts.append(f"r{k} AS MATERIALIZED ({hub})" if k % 5 else f"r{k} AS MATERIALIZED (SELECT id, hub / sum(hub) OVER () AS hub FROM ({hub}))")
+        if k % 5 == 0:
+            parts.append(f"c{k} AS MATERIALIZED (SELECT max(abs(a.hub - b.hub)) < 1e-8 AS done FROM r{k} a JOIN r{k - 5} b USING (id))")
+    stop, rows = _first_done(rounds, "id, hub")
+    parts += [stop, f"h AS MATERIALIZED ({rows})", "aa AS (SELECT id, x / sum(x) OVER () AS authority FROM (SELECT dst AS id, sum(hub) AS x FROM sm JOIN h ON h.id = sm.src GROUP BY 1))"]
+    return crawl_sql(", " + ", ".join(parts) + " SELECT id, round(coalesce(hub, 0), 9) AS hub, round(coalesce(authority, 0), 9) AS authority FROM (SELECT id FROM page WHERE indexable) LEFT JOIN h USING (id) LEFT JOIN aa USING (id)")
+
 
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the indexable pages, written once."""
+    nodes = cut(crawl_pages(spark, d).where("indexable").select("crawl_id", "id"), "graph-nodes")
+    return nodes, cut(links.edges_within(_links(spark, d), nodes), "graph-edges")
 
-@query("pagerank", _pagerank_sql(10))
+
+@query("pagerank", _pagerank_sql(40))
 def _(spark, d):
-    nodes = crawl_pages(spark, d).where("indexable").select("id")
-    return graph.pagerank(nodes, links.edges_within(_links(spark, d), nodes), iterations=10, tolerance=0).select("id", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(*_graph(spark, d), iterations=40, tolerance=1e-6).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query("hits")
+@query("hits", _hits_sql(100))
 def _(spark, d):
-    nodes = crawl_pages(spark, d).where("indexable").select("id")
-    return graph.hits(nodes, links.edges_within(_links(spark, d), nodes), iterations=20)
+    return graph.hits(*_graph(spark, d), iterations=100).select("id", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
 
 
 @query("betweenness")
 def _(spark, d):
-    nodes = crawl_pages(spark, d).where("indexable").select("id")
-    found = graph.betweenness(nodes, links.edges_within(_links(spark, d), nodes))
+    nodes, edges = _graph(spark, d)
+    found = graph.betweenness(nodes, edges)
     return found if found is not None else nodes.select("id", F.lit(None).cast("double").alias("betweenness"))
 
 
 @query("louvain")
 def _(spark, d):
-    nodes = crawl_pages(spark, d).where("indexable").select("crawl_id", "id")
-    return graph.louvain(nodes, links.edges_within(_links(spark, d), nodes))
+    return graph.louvain(*_graph(spark, d))
 
 
-_TREE = "{edge}, bfs(id, depth) AS (SELECT id, 0 FROM (SELECT id FROM page ORDER BY regexp_matches(normalized_url, '^[a-z]+://[^/]*/?$') DESC, CASE WHEN regexp_matches(normalized_url, '^[a-z]+://[^/]*/?$') THEN 0 ELSE -internal_page_rank END, id LIMIT 1) UNION SELECT e.dst, bfs.depth + 1 FROM bfs JOIN e ON e.src = bfs.id WHERE bfs.depth < 12)"
+_TREE = "{edge}, bfs(id, depth) AS (SELECT id, 0 FROM (SELECT id FROM page ORDER BY regexp_matches(normalized_url, '^[a-z]+://[^/]*/?$') DESC, CASE WHEN regexp_matches(normalized_url, '^[a-z]+://[^/]*/?$') THEN 0 ELSE -internal_page_rank END, id LIMIT 1) UNION SELECT e.dst, bfs.depth + 1 FROM bfs JOIN e ON e.src = bfs.id WHERE bfs.depth < 200)"
 
 
 @query("bfs_link_tree", crawl_sql("", False).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", e AS (SELECT DISTINCT source_page_id AS src, target_page_id AS dst FROM link WHERE link_type = 'INTERNAL' AND target_page_id IS NOT NULL AND source_page_id <> target_page_id), " + _TREE.replace("{edge}, ", "") + " SELECT p.id, min(bfs.depth) AS depth, min(bfs.depth) IS NULL AS is_orphan FROM page p LEFT JOIN bfs USING (id) GROUP BY 1")
 def _(spark, d):
     p = crawl_pages(spark, d)
     e = _links(spark, d).where((F.col("link_type") == "INTERNAL") & F.col("target_page_id").isNotNull()).select(F.col("source_page_id").alias("src"), F.col("target_page_id").alias("dst"))
-    return trees.link_tree(p, e, levels=12).select("id", "depth", "is_orphan")
+    return trees.link_tree(cut(p.select("id", "normalized_url", "internal_page_rank"), "pages"), cut(e, "edges")).select("id", "depth", "is_orphan")
 
 
 @query("path_tree", crawl_sql("""SELECT node_id, any_value(depth) AS depth, count(*) AS pages FROM (SELECT id, k AS depth, '/' || array_to_string(s[1:k], '/') AS node_id FROM (SELECT id, list_filter(seg, lambda x: x <> '') AS s FROM page), range(0, 20) r(k) WHERE k <= len(s)) GROUP BY 1"""))
@@ -255,7 +271,7 @@ def _(spark, d):
   SELECT k.silo, count(*) AS pages, count_if(indexable) AS indexable_pages, count_if(potential_orphan) AS orphans, coalesce((SELECT CAST(sum(n) AS BIGINT) FROM f WHERE fs = k.silo AND ts = k.silo), 0) AS internal_links,
   coalesce((SELECT CAST(sum(n) AS BIGINT) FROM f WHERE fs = k.silo AND ts <> k.silo), 0) AS outbound_links, coalesce((SELECT CAST(sum(n) AS BIGINT) FROM f WHERE fs <> k.silo AND ts = k.silo), 0) AS inbound_links FROM k GROUP BY 1"""))
 def _(spark, d):
-    return trees.silos(_metrics(spark, d), _links(spark, d), grouping="path").select("silo", "pages", "indexable_pages", "orphans", "internal_links", "outbound_links", "inbound_links")
+    return trees.silos(*_crawl(spark, d), grouping="path").select("silo", "pages", "indexable_pages", "orphans", "internal_links", "outbound_links", "inbound_links")
 
 
 # Rules and findings
@@ -316,10 +332,21 @@ def _(spark, d):
     return own.join(own.groupBy("h").agg(F.count("*").alias("cnt")).where("cnt > 1"), "h").select("id", "cnt")
 
 
-@query("near_duplicate_simhash")
+_SIMHASH = r"""w AS MATERIALIZED (SELECT doc_id AS id, text, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+'), lambda x: length(x) > 1) AS w FROM documents
+), e AS MATERIALIZED (SELECT id, md5(array_to_string(w[i:i + 3], ' ')) AS h FROM (SELECT id, w, unnest(range(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 4)
+), v AS (SELECT id, b, 2 * count_if(((instr('0123456789abcdef', substr(h, CAST(b // 4 + 1 AS INT), 1)) - 1) >> CAST(3 - b % 4 AS INT)) & 1 = 1) > count(*) AS bit FROM e, range(64) r(b) GROUP BY 1, 2
+), d AS (SELECT id, b // 4 AS k, sum(CASE WHEN bit THEN 1 << CAST(3 - b % 4 AS INT) ELSE 0 END) AS x FROM v GROUP BY 1, 2
+), s AS MATERIALIZED (SELECT id, string_agg(substr('0123456789abcdef', CAST(x + 1 AS INT), 1), '' ORDER BY k) AS simhash FROM d GROUP BY 1
+), own AS MATERIALIZED (SELECT id, simhash, sha256(text) AS content FROM s JOIN w USING (id) WHERE len(regexp_split_to_array(trim(text), '\s+')) >= 50
+), p AS MATERIALIZED (SELECT simhash, count(*) AS pages, min(id) AS first_id, count(DISTINCT content) AS contents, ('0x' || substr(simhash, 1, 8))::BIGINT AS hi, ('0x' || substr(simhash, 9, 8))::BIGINT AS lo FROM own GROUP BY 1)"""
+
+
+@query("near_duplicate_simhash", f"""WITH {_SIMHASH} SELECT a.simhash AS simhash_a, b.simhash AS simhash_b, bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS distance, a.pages AS pages_a, b.pages AS pages_b, a.first_id AS first_id_a, b.first_id AS first_id_b
+  FROM p a JOIN p b ON substr(a.simhash, 1, 3) = substr(b.simhash, 1, 3) AND a.simhash <= b.simhash WHERE (a.simhash < b.simhash OR a.contents > 1) AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 6""")
 def _(spark, d):
-    own = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc:"), "doc_id").alias("normalized_url"), tx.simhash("text").alias("simhash"), F.sha2("text", 256).alias("content_hash"), F.size(F.split(F.trim("text"), r"\s+")).alias("word_count"), F.lit(True).alias("indexable"))
-    return rules.near_duplicate_pairs(own).select("id_a", "id_b", "distance", "similarity")
+    own = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.concat(F.lit("doc:"), "doc_id").alias("normalized_url"), F.sha2("text", 256).alias("content_hash"), F.size(F.split(F.trim("text"), r"\s+")).alias("word_count"), F.lit(True).alias("indexable"))
+    prints = tx.with_simhash(own, "id", "text").drop("text")
+    return rules.near_duplicate_prints(prints).select("simhash_a", "simhash_b", "distance", "pages_a", "pages_b", "first_id_a", "first_id_b")
 
 
 @query("word_counts", r"SELECT doc_id, len(regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) AS words FROM documents")
@@ -498,7 +525,10 @@ def _(spark, d):
     return _t(spark, d, "customer").select("c_custkey", tx.offset_minutes(F.col("c_custkey").cast("string")).alias("minutes"))
 
 
-@query("asset_types")
+@query("asset_types", r"""SELECT id, CASE WHEN e IN ('html', 'htm', 'xhtml') THEN 'HTML_PAGE' WHEN e IN ('jpg', 'jpeg', 'jpe', 'jfif', 'png', 'gif', 'webp', 'avif', 'svg', 'svgz', 'bmp', 'ico', 'cur', 'tif', 'tiff', 'heic', 'heif', 'apng') THEN 'IMAGE'
+  WHEN e = 'css' THEN 'CSS' WHEN e IN ('js', 'mjs', 'cjs') THEN 'JAVASCRIPT' WHEN e IN ('woff', 'woff2', 'ttf', 'otf', 'eot') THEN 'FONT' WHEN e = 'pdf' THEN 'PDF'
+  WHEN e IN ('zip', 'rar', 'gz', 'doc', 'docx', 'xls', 'xlsx', 'ppt', 'pptx', 'csv', 'json', 'xml', 'txt', 'mp3', 'wav', 'ogg', 'mp4', 'webm', 'mov', 'avi') THEN 'OTHER_ASSET' END AS media_type
+  FROM (SELECT page_id AS id, lower(regexp_extract(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '[^/]\.([A-Za-z0-9]{1,8})$', 1)) AS e FROM pages)""")
 def _(spark, d):
     return _t(spark, d, "pages").select(F.col("page_id").alias("id"), media_type_from_extension(F.col("url")).alias("media_type"))
 
@@ -533,3 +563,6 @@ def _(spark, d):
 @query("links_to_page", crawl_sql("SELECT l.id, s.normalized_url AS source_url FROM link l JOIN page s ON s.id = l.source_page_id WHERE target_page_id = 17"))
 def _(spark, d):
     return inventory.links_to(crawl_pages(spark, d), _links(spark, d), 17).select("id", "source_url")
+
+
+from . import site_queries  # noqa: E402, F401  (more queries, registered by the import)

@@ -247,25 +247,24 @@ def children(parsed: DataFrame, key: str, field: str, into: str = "parsed") -> D
     return parsed.select(key, F.explode(f"{into}.{field}").alias("x")).select(key, "x.*")
 
 
-# Properties that search engines ask of each type of structured data: required | recommended.
-SCHEMA_PROPERTIES = """
-article: headline | image datePublished dateModified author
-blogposting: headline | image datePublished dateModified author
-newsarticle: headline | image datePublished dateModified author
-product: name | image offers description
-offer: price priceCurrency | availability
-organization: name | url logo
-localbusiness: name address | telephone openingHours geo
-breadcrumblist: itemListElement |
-faqpage: mainEntity |
-person: name |
-recipe: name | image recipeIngredient recipeInstructions
-event: name startDate | location endDate
-videoobject: name thumbnailUrl uploadDate | description duration
-review: reviewRating | author itemReviewed
-website: name | url
-"""
-_PROPERTIES = {k: tuple(part.split() for part in v.split("|")) for k, v in (line.split(": ", 1) for line in SCHEMA_PROPERTIES.strip().split("\n"))}
+# Properties that search engines ask of each type of structured data, required and recommended.
+SCHEMA_PROPERTIES = {
+    "article": (["headline"], ["image", "datePublished", "dateModified", "author"]),
+    "blogposting": (["headline"], ["image", "datePublished", "dateModified", "author"]),
+    "newsarticle": (["headline"], ["image", "datePublished", "dateModified", "author"]),
+    "product": (["name"], ["image", "offers", "description"]),
+    "offer": (["price", "priceCurrency"], ["availability"]),
+    "organization": (["name"], ["url", "logo"]),
+    "localbusiness": (["name", "address"], ["telephone", "openingHours", "geo"]),
+    "breadcrumblist": (["itemListElement"], []),
+    "faqpage": (["mainEntity"], []),
+    "person": (["name"], []),
+    "recipe": (["name"], ["image", "recipeIngredient", "recipeInstructions"]),
+    "event": (["name", "startDate"], ["location", "endDate"]),
+    "videoobject": (["name", "thumbnailUrl", "uploadDate"], ["description", "duration"]),
+    "review": (["reviewRating"], ["author", "itemReviewed"]),
+    "website": (["name"], ["url"]),
+}
 
 
 def _nodes(root: object, kind: str, depth: int = 0) -> list[dict]:
@@ -286,7 +285,7 @@ def _filled(value: object) -> bool:
 
 def missing_properties(schema_type: str | None, raw: str | None) -> list[dict]:
     """What no node of the declared type has: kind (REQUIRED or RECOMMENDED) and names."""
-    wanted = _PROPERTIES.get((schema_type or "").lower())
+    wanted = SCHEMA_PROPERTIES.get((schema_type or "").lower())
     if not wanted:
         return []
     try:
@@ -318,22 +317,29 @@ def extract_json(text: str | None) -> str | None:
 def repair_truncated(body: str) -> str | None:
     """Close what a broken-off document left open, after its last whole element."""
     stack: list[str] = []
-    cuts: list[tuple[int, str]] = []
-    text = escaped = False
+    whole: tuple[int, str] | None = None  # the last place where cutting off and closing gives a document
+    key = text = escaped = False  # in an object, whether the next string is a key
     for i, c in enumerate(body):
         if text:
             text, escaped = not (c == '"' and not escaped), c == "\\" and not escaped
+            if not text and not key and stack:
+                whole = (i + 1, "".join(reversed(stack)))
         elif c == '"':
             text = True
         elif c in "{[":
             stack.append("}" if c == "{" else "]")
-            cuts.append((i + 1, "".join(reversed(stack))))
+            key = c == "{"
+            whole = (i + 1, "".join(reversed(stack)))
         elif c in "}]" and stack:
             stack.pop()
-            cuts.append((i + 1, "".join(reversed(stack))))
+            key = False
+            whole = (i + 1, "".join(reversed(stack)))
         elif c == "," and stack:
-            cuts.append((i, "".join(reversed(stack))))
-    for end, closing in [(len(body), "".join(reversed(stack))), *reversed(cuts[-200:])]:
+            key = stack[-1] == "}"
+            whole = (i, "".join(reversed(stack)))
+        elif c == ":":
+            key = False
+    for end, closing in [(len(body), "".join(reversed(stack))), *([whole] if whole else [])]:
         try:
             return json.dumps(json.loads(body[:end] + closing), ensure_ascii=False, separators=(",", ":"))
         except ValueError:

@@ -13,18 +13,18 @@ from ..functions.text import is_valid_keyword, normalize_country, normalize_devi
 MAX_ROWS = 50_000
 # Column headers by field.
 ALIASES = {
-    "keyword": "keyword, keywords, query, consulta, consultas, palabra clave, palabras clave, term, search term, búsqueda",
-    "position": "position, posicion, posición, avg position, average position, posición media, posicion media, rank, ranking, pos",
-    "clicks": "clicks, clics, clicks totales, total clicks",
-    "impressions": "impressions, impresiones, impressions totales, total impressions, impr, impr.",
-    "ctr": "ctr, click through rate, ctr medio, average ctr",
-    "url": "url, page, página, pagina, landing page, destino, target url",
-    "country": "country, país, pais, location, mercado",
-    "device": "device, dispositivo",
-    "date": "date, fecha, day, día",
-    "tags": "tags, etiquetas, grupo, group, categoría, categoria",
+    "keyword": ["keyword", "keywords", "query", "consulta", "consultas", "palabra clave", "palabras clave", "term", "search term", "búsqueda"],
+    "position": ["position", "posicion", "posición", "avg position", "average position", "posición media", "posicion media", "rank", "ranking", "pos"],
+    "clicks": ["clicks", "clics", "clicks totales", "total clicks"],
+    "impressions": ["impressions", "impresiones", "impressions totales", "total impressions", "impr", "impr."],
+    "ctr": ["ctr", "click through rate", "ctr medio", "average ctr"],
+    "url": ["url", "page", "página", "pagina", "landing page", "destino", "target url"],
+    "country": ["country", "país", "pais", "location", "mercado"],
+    "device": ["device", "dispositivo"],
+    "date": ["date", "fecha", "day", "día"],
+    "tags": ["tags", "etiquetas", "grupo", "group", "categoría", "categoria"],
 }
-_FIELD_OF = {name: field for field, names in ALIASES.items() for name in names.split(", ")}
+_FIELD_OF = {name: field for field, names in ALIASES.items() for name in names}
 
 
 def column_map(headers: list[str]) -> dict[str, int]:
@@ -45,7 +45,7 @@ def read_keywords(spark: SparkSession, path: str, *, max_rows: int = MAX_ROWS) -
     """keyword, normalized, position, clicks, impressions, ctr, url, country, device, date, tags of a file's valid rows.
 
     Headers are matched by name; a file without known headers is read as one keyword in the first column of each line.
-    Rows may be ragged. max_rows is the importer's own limit.
+    Rows may be ragged. max_rows is the importer's own limit: the file's first rows.
     """
     first = spark.read.text(path).limit(1).collect()
     line = (first[0]["value"] if first else "").lstrip("﻿")
@@ -58,7 +58,7 @@ def read_keywords(spark: SparkSession, path: str, *, max_rows: int = MAX_ROWS) -
     if "keyword" not in places:
         places = {"keyword": 0}
     text = lambda f: F.trim(F.regexp_replace(F.col(f"c{places[f]}"), "﻿", "")) if f in places else F.lit(None).cast("string")
-    rows = raw.limit(max_rows).select(
+    rows = raw.orderBy(F.monotonically_increasing_id()).limit(max_rows).select(
         text("keyword").alias("keyword"), parse_number(text("position")).alias("position"), parse_number(text("clicks")).cast("long").alias("clicks"), parse_number(text("impressions")).cast("long").alias("impressions"),
         parse_ctr(text("ctr")).alias("ctr"), text("url").alias("url"), normalize_country(text("country")).alias("country"), normalize_device(text("device")).alias("device"), parse_date(text("date")).alias("date"), text("tags").alias("tags"),
     )

@@ -10,25 +10,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "keyword_id long, ts timestamp, position double, previous_position double, best_position double"
-STATE = "last double, best double"
+STATE = "last double, best double, until timestamp"
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, best = state.get if state.exists else (None, None)
-    for batch in batches:
-        rows = []
-        for r in batch.sort_values("ts").itertuples():
-            position = None if pd.isna(r.position) else float(r.position)
-            seen = [p for p in (best, position) if p is not None]
-            best = min(seen) if seen else None
-            rows.append((key[0], r.ts, position, last, best))
-            last = position if position is not None else last
-        yield pd.DataFrame(rows, columns=["keyword_id", "ts", "position", "previous_position", "best_position"]).astype({"position": "float64", "previous_position": "float64", "best_position": "float64"})
-    state.update((last, best))
+    last, best, until = state.get if state.exists else (None, None, None)
+    until = None if until is None else pd.Timestamp(until)
+    rows = []
+    for r in pd.concat([*batches]).sort_values("ts", kind="stable").itertuples():  # a key's rows of one trigger
+        position = None if pd.isna(r.position) else float(r.position)
+        best = min((p for p in (best, position) if p is not None), default=None)
+        late = until is not None and r.ts < until
+        rows.append((key[0], r.ts, position, None if late else last, best))
+        if not late:
+            last, until = last if position is None else position, r.ts
+    yield pd.DataFrame(rows, columns=["keyword_id", "ts", "position", "previous_position", "best_position"]).astype({"position": "float64", "previous_position": "float64", "best_position": "float64"})
+    state.update((last, best, until.to_pydatetime()))
 
 
 def track_positions(stream: DataFrame) -> DataFrame:
-    """stream of keyword_id, ts, position with the last non-null position before and the best so far; state is two numbers a key."""
+    """stream of keyword_id, ts, position with the last non-null position before and the best so far; state is three values a key.
+
+    A trigger's rows of a key are put in order of time, however many batches they come in. A row older than what an earlier
+    trigger has given out counts for the best position, but gets no previous one and is none for others.
+    """
     return stream.groupBy("keyword_id").applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 

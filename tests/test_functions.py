@@ -1,5 +1,8 @@
 """Scalar functions and sources on hand-made cases."""
 
+import hashlib
+import json
+import re
 from datetime import date
 
 import pytest
@@ -96,12 +99,25 @@ def test_text(spark):
     assert column(spark, ["móvil", "Tablet", "tv"], text.normalize_device) == ["MOBILE", "TABLET", "ALL"]
     assert column(spark, ["https://www.A.com/x/y", "a.com"], text.normalize_target) == ["a.com", "a.com"]
     assert column(spark, ["a\nb, ,c", None], text.split_patterns) == [["a", "b", "c"], []]
+
+
+def simhash_loop(value):
+    """The fingerprint bit by bit."""
+    words = [w for w in re.sub(r"[^\w\s]|_", " ", (value or "").lower()).split() if len(w) > 1]
+    heads = [int.from_bytes(hashlib.md5(" ".join(words[i : i + 4]).encode()).digest()[:8], "big") for i in range(len(words) - 3)]
+    return f"{sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in heads) > len(heads)):016x}" if heads else None
+
+
+def test_simhash(spark, sf):
     words = " ".join(f"word{i} text{i % 7}" for i in range(60))
-    a, b, c = column(spark, [words, words + " more", "one two three"], text.simhash)
-    assert a and len(a) == 16 and c is None
-    pairs = spark.createDataFrame([(a, b), ("0" * 16, "f" * 16), ("8000000000000001", "0" * 16)], "a string, b string")
+    texts = [words, words + " more", "one two three", None, "", "a b c d e", "uno dos tres cuatro", "Ñandú_uno, DOS; tres—cuatro 5 66 " * 40]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = spark.createDataFrame([*enumerate(texts)], "id int, text string")
+    got = {r["id"]: r["simhash"] for r in text.with_simhash(rows, "id", "text").collect()}
+    assert got == {i: simhash_loop(t) for i, t in enumerate(texts)} and got[2] is None
+    pairs = spark.createDataFrame([(got[0], got[1]), ("0" * 16, "f" * 16), ("8000000000000001", "0" * 16)], "a string, b string")
     d = [r["d"] for r in pairs.select(text.hamming(F.col("a"), F.col("b")).alias("d")).collect()]
-    assert d[1:] == [64, 2] and d[0] == bin(int(a, 16) ^ int(b, 16)).count("1")
+    assert d[1:] == [64, 2] and d[0] == bin(int(got[0], 16) ^ int(got[1], 16)).count("1")
 
 
 PAGE = """<html lang="es"><head><title> A  title </title><meta name="description" content="About"><link rel="canonical" href="/c"><link rel="alternate" hreflang="en" href="/en">
@@ -129,6 +145,23 @@ def test_html_helpers():
     assert html.missing_properties("Product", '{"@type": "Product", "name": " "}') == [{"kind": "REQUIRED", "missing": ["name"]}, {"kind": "RECOMMENDED", "missing": ["image", "offers", "description"]}]
     assert html.missing_properties("FAQPage", '{"@graph": [{"@type": "FAQPage", "mainEntity": [1]}]}') == [] and html.missing_properties("X", "{}") == []
     assert html.extract_json('say ```json\n{"a": 1}\n``` end') == '{"a":1}' and html.extract_json('{"a": [1, 2, {"b": "x') == '{"a":[1,2,{}]}' and html.extract_json("none") is None
+    whole = json.dumps({"issues": [{"title": f"t{k}", "n": k, "urls": ["a", "b"]} for k in range(400)], "end": "x"})
+    for cut in [*range(1, 120), *range(len(whole) - 60, len(whole))]:
+        json.loads(html.repair_truncated(whole[:cut]))
+    assert len(json.loads(html.extract_json(whole[: len(whole) // 2]))["issues"]) >= 199
+    odd = '{"a": "x", ' + '"k": tru, ' * 300  # the last whole place is far back
+    assert html.repair_truncated(odd) is None or json.loads(html.repair_truncated(odd))
+
+
+def test_audit_report(spark):
+    from sitelens.functions.reports import audit_report
+
+    good = {"summary": "s", "score": 55, "criticalIssues": [{"title": "t", "impact": "i"}, {"title": "no impact"}, None], "recommendations": [{"priority": 1, "action": "a"}, {"priority": 2, "action": "b", "effort": "HUGE"}]}
+    rows = [json.dumps(good), json.dumps({"summary": "s", "score": 101}), "{broken", None, json.dumps({"summary": "s", "score": 0})]
+    got = [r["r"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").select("i", audit_report(F.col("x")).alias("r")).orderBy("i").collect()]
+    assert [r is not None for r in got] == [True, False, False, False, True]
+    assert [i["title"] for i in got[0]["criticalIssues"]] == ["t"] and got[0]["criticalIssues"][0]["evidence"] == "" and got[0]["criticalIssues"][0]["affectedUrls"] == []
+    assert [(r["action"], r["effort"]) for r in got[0]["recommendations"]] == [("a", "MEDIUM")] and got[4]["criticalIssues"] == [] and got[4]["implementationOrder"] == []
 
 
 def test_site_files(spark):
@@ -141,8 +174,23 @@ def test_site_files(spark):
     documents = spark.createDataFrame([("https://a.com/sitemap.xml", index), ("https://a.com/s1.xml", one)], "url string, body string")
     assert sorted(r["normalized_url"] for r in site_files.discover(spark, documents, ["https://a.com/sitemap.xml"]).collect()) == ["https://a.com/x", "https://a.com/y"]
     answers = {"https://a.com/1": {"status": 301, "location": "/2"}, "https://a.com/2": {"status": 200, "content_type": "text/html", "body": "b"}, "https://a.com/l": {"status": 302, "location": "/l"}}
-    assert site_files.fetch("https://a.com/1", answers.get)["status"] == 301 and site_files.fetch("https://a.com/1", answers.get)["body"] is None
-    assert site_files.fetch("https://a.com/l", answers.get)["error_type"] == "TOO_MANY_REDIRECTS" and site_files.fetch("http://localhost/", answers.get)["error_type"] == "BLOCKED_HOST"
+    names = {"a.com": ["93.184.216.34"], "in.example": ["93.184.216.34", "10.0.0.7"], "six.example": ["fe80::1%eth0"], "mapped.example": ["::ffff:127.0.0.1"]}
+    asked = []
+    answers |= {"https://a.com/in": {"status": 302, "location": "http://169.254.169.254/latest"}, "https://a.com/big": {"status": 200, "body": "x" * 50}, "https://a.com/pdf": {"status": 200, "content_type": "application/pdf", "body": "x"}}
+    fetch = lambda url, **more: site_files.fetch(url, lambda u: asked.append(u) or answers[u], resolve=lambda h: names.get(h, []), **more)
+    assert fetch("https://a.com/1")["status"] == 301 and fetch("https://a.com/1")["body"] is None and fetch("https://a.com/l")["error_type"] == "TOO_MANY_REDIRECTS"
+    assert fetch("https://a.com/big", max_bytes=10)["body"] == "x" * 10 and fetch("https://a.com/pdf")["body"] is None
+    asked.clear()
+    assert fetch("https://a.com/in")["error_type"] == "PRIVATE_IP" and asked == ["https://a.com/in"]  # a hop to a private address isn't asked
+    for url, why in (
+        ("http://169.254.169.254/latest/meta-data", "PRIVATE_IP"), ("http://[::1]/", "PRIVATE_IP"), ("http://127.0.0.1:8080/", "PRIVATE_IP"), ("http://in.example/", "PRIVATE_IP"), ("http://six.example/", "PRIVATE_IP"), ("http://mapped.example/", "PRIVATE_IP"),
+        ("http://localhost/", "BLOCKED_HOST"), ("http://x.localhost/", "BLOCKED_HOST"), ("http://metadata.google.internal/", "BLOCKED_HOST"), ("file:///etc/passwd", "PROTOCOL"), ("http:///x", "INVALID_URL"), ("http://nowhere.example/", "DNS_ERROR"),
+    ):
+        assert fetch(url)["error_type"] == why, url
+    assert asked == ["https://a.com/in"]
+    documents = spark.createDataFrame([("s0", "<sitemapindex><sitemap><loc>s1</loc></sitemap><sitemap><loc>s2</loc></sitemap><sitemap><loc>s0</loc></sitemap></sitemapindex>"), ("s1", one), ("s2", one.replace("/y", "/z"))], "url string, body string")
+    listed = lambda **more: sorted((r["normalized_url"][-1], r["sitemap"]) for r in site_files.discover(spark, documents, ["s0"], **more).collect())
+    assert listed() == [("x", "s1"), ("y", "s1"), ("z", "s2")] and listed(max_sitemaps=2) == [("x", "s1"), ("y", "s1")] and listed(max_urls=1) == [("x", "s1")]
 
 
 def test_keyword_csv(spark, tmp_path):
@@ -152,6 +200,8 @@ def test_keyword_csv(spark, tmp_path):
     assert got == {"zapatos rojos": (3.5, 1200, 0.125), "botas": (None, 4, 0.2)}
     path.write_text("uno\ndos\n", encoding="utf-8")
     assert sorted(r["normalized"] for r in keyword_csv.read_keywords(spark, str(path)).collect()) == ["dos", "uno"]
+    path.write_text("keyword\n" + "\n".join(f"word {k}" for k in range(3000)), encoding="utf-8")
+    assert {r["normalized"] for r in keyword_csv.read_keywords(spark, str(path), max_rows=100).collect()} == {f"word {k}" for k in range(100)}
 
 
 def test_near_similarity(spark):

@@ -142,9 +142,26 @@ def test_inventory(spark, sf):
     assert nodes.count() == 10 and within.where("src = dst").count() == 0
     url = pages.orderBy("id").first()["normalized_url"]
     assert inventory.find_page(pages, url).first()["normalized_url"] == url
-    found = rules.page_findings(metrics)
-    for name, extra in (("getTopPagesByPageRank", {}), ("getBrokenLinks", {}), ("getPagesByIssue", {"code": "THIN_CONTENT"}), ("getCrawlSummary", {}), ("getLinksFromPage", {"page_id": 1})):
-        assert inventory.TOOLS[name](metrics, edges, found, **extra).count() >= 0
+    found = rules.page_findings(metrics).cache()
+    run = lambda name, **extra: inventory.TOOLS[name](metrics, edges, found, **extra)
+    rows = {r["id"]: r for r in metrics.collect()}
+    top = sorted((r for r in rows.values() if r["indexable"]), key=lambda r: (-r["internal_page_rank"], r["id"]))[:20]
+    assert [r["id"] for r in run("getTopPagesByPageRank").collect()] == [r["id"] for r in top] and len(top) == 20
+    thin = sorted(r["page_id"] for r in found.where("code = 'THIN_CONTENT'").collect())[:25]
+    assert thin and [r["id"] for r in run("getPagesByIssue", code="THIN_CONTENT").collect()] == thin
+    links_of = [r for r in edges.collect() if r["link_type"] == "INTERNAL" and r["target_page_id"] is not None]
+    bad = [r for r in links_of if (rows[r["target_page_id"]]["status_code"] or 0) >= 400]
+    assert bad and run("getBrokenLinks").count() == min(25, len(bad)) and all(r["status_code"] >= 400 for r in run("getBrokenLinks").collect())
+    assert run("getLinksFromPage", page_id=1).count() == sum(r["source_page_id"] == 1 for r in edges.collect()) > 0
+    assert {r["target_page_id"] for r in run("getLinksToPage", page_id=2).collect()} == {2}
+    summary = {(r["part"], r["key"]): r["value"] for r in run("getCrawlSummary").collect()}
+    assert summary["totals", "requested_urls"] == len(rows) and summary["status", "2xx"] == sum(200 <= (r["status_code"] or 0) < 300 for r in rows.values())
+    assert run("getLowInlinkPages").collect() and all(r["internal_inlinks"] <= 1 and r["depth"] > 0 and r["indexable"] for r in run("getLowInlinkPages").collect())
+    assert [r["depth"] for r in run("getDeepPages").collect()] == sorted((r["depth"] for r in run("getDeepPages").collect()), reverse=True) != []
+    details = inventory.page_details(1, metrics, edges, found)
+    assert details["page"].count() == 1 and details["outlinks"].count() > 0
+    rows, counts = inventory.load_pages(metrics, 10, status="2xx")
+    assert rows.count() == 10 and counts.first()["truncated"] and counts.first()["rendered"] == 10
 
 
 def test_stream(spark, tmp_path):
@@ -166,3 +183,107 @@ def test_random_graph_mass(spark):
     edges = [(rng.randrange(30), rng.randrange(25)) for _ in range(80)]
     got = {r["id"]: r["rank"] for r in graph.pagerank(ids(spark, 30), spark.createDataFrame(edges, EDGES), iterations=8, tolerance=0).collect()}
     assert [got[i] for i in range(30)] == pytest.approx(pagerank_loop(30, edges, 8))
+
+
+def test_every_page_code_fires(spark):
+    pages = crawl_pages(spark, "/root/testdata/sf0.01")
+    metrics = links.with_link_metrics(pages, links.resolve_targets(crawl_links(spark, "/root/testdata/sf0.01"), pages))
+    assert {r["code"] for r in rules.page_findings(metrics).select("code").distinct().collect()} == {r.code for r in rules.page_rules()}
+
+
+def test_crawls_stay_apart(spark):
+    """Two crawls in one table: images, duplicates, near-duplicates, PageRank and HITS are those of each alone."""
+    pages = spark.createDataFrame([(1, "A", "h", 200), (2, "B", "h", 404), (3, "A", "p", 200), (4, "B", "p", 200)], "id long, crawl_id string, url_hash string, status_code int")
+    images = spark.createDataFrame([(3, "h"), (4, "h"), (4, "none")], "page_id long, url_hash string")
+    assert sorted((r["page_id"], r["url_hash"], r["image_status"]) for r in links.image_statuses(images, pages).collect()) == [(3, "h", 200), (4, "h", 404), (4, "none", None)]
+    titled = spark.createDataFrame([(1, "A", "t"), (2, "B", "t"), (3, "A", "u"), (4, "A", "u")], "id long, crawl_id string, title string").selectExpr("*", "'x' AS normalized_url", "true AS indexable", "'HTML_PAGE' AS resource_type")
+    assert sorted((r["id"], r["cnt"]) for r in rules.duplicates(titled, "title").collect()) == [(3, 2), (4, 2)]
+    prints = spark.createDataFrame([(1, "A", "0" * 16, "a"), (2, "B", "0" * 16, "b"), (3, "A", "0" * 15 + "1", "c")], "id long, crawl_id string, simhash string, content_hash string").selectExpr("*", "'x' AS normalized_url", "true AS indexable", "80 AS word_count")
+    assert [(r["id_a"], r["id_b"]) for r in rules.near_duplicate_pairs(prints).collect()] == [(1, 3)]
+    rng = random.Random(7)
+    one, two = ([(rng.randrange(n), rng.randrange(n)) for _ in range(3 * n)] for n in (12, 20))
+    edges = spark.createDataFrame([*one, *((a + 100, b + 100) for a, b in two)], EDGES)
+    nodes = ids(spark, 12).unionByName(spark.range(100, 120).select("id", F.lit("B").alias("crawl_id")))
+    rank = {r["id"]: r["rank"] for r in graph.pagerank(nodes, edges, iterations=6, tolerance=0).collect()}
+    assert [rank[i] for i in range(12)] == pytest.approx(pagerank_loop(12, one, 6)) and [rank[i + 100] for i in range(20)] == pytest.approx(pagerank_loop(20, two, 6))
+    both = {r["id"]: (r["hub"], r["authority"]) for r in graph.hits(nodes, edges, iterations=10, tolerance=0).collect()}
+    alone = {r["id"]: (r["hub"], r["authority"]) for r in graph.hits(ids(spark, 12), spark.createDataFrame(one, EDGES), iterations=10, tolerance=0).collect()}
+    assert all(both[i] == pytest.approx(alone[i]) for i in range(12)) and sum(a for i, (_, a) in both.items() if i >= 100) == pytest.approx(1)
+
+
+def test_near_duplicate_prints(spark):
+    rng = random.Random(5)
+    base = [rng.getrandbits(52) for _ in range(6)]
+    rows = []
+    for k in range(400):
+        x = base[k % 6]
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 7])):
+            x ^= 1 << rng.randrange(52)
+        rows.append((k, f"{(k % 2) << 52 | x:016x}", rng.choice(["same", f"c{k}"])))
+    rows += [(k, s, c) for k, s, c in ((500, "f" * 16, "z"), (501, "f" * 16, "z"), (502, "e" * 16, None), (503, "e" * 16, None))]
+    pages = spark.createDataFrame(rows, "id long, simhash string, content_hash string").selectExpr("*", "'x' AS normalized_url", "true AS indexable", "80 AS word_count")
+    content = lambda s: {(c if c is not None else i) for i, t, c in rows if t == s}
+    every = sorted({s for _, s, _ in rows})
+    gap = lambda a, b: bin(int(a, 16) ^ int(b, 16)).count("1")
+    want = {(a, b): gap(a, b) for a in every for b in every if a <= b and a[:3] == b[:3] and gap(a, b) <= 6 and (a < b or len(content(a)) > 1)}
+    got = {(r["simhash_a"], r["simhash_b"]): r["distance"] for r in rules.near_duplicate_prints(pages).collect()}
+    assert got == want and len(want) > 300
+    pairs = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1][:3] == b[1][:3] and gap(a[1], b[1]) <= 6 and (a[2] is None or b[2] is None or a[2] != b[2])}
+    assert {(r["id_a"], r["id_b"]) for r in rules.near_duplicate_pairs(pages).collect()} == pairs
+
+
+def test_positions_missing_and_roots(spark):
+    rows = spark.createDataFrame([("a", None, 9, 0), ("a", 3.0, 9, 1), ("b", None, 9, 2)], "query string, position double, impressions long, input_order int")
+    assert {r["normalized"]: r["input_order"] for r in keywords.best_per_query(rows).collect()} == {"a": 1, "b": 2}
+    tree = spark.createDataFrame([(1, None), (2, None), (3, 1), (4, 1), (5, None)], "id long, parent_id long")
+    ranks = spark.createDataFrame([(3, 0.1), (4, 0.9)], "id long, rank double")
+    shown = {r["id"]: (r["visible"], r["hidden_children"]) for r in trees.pruned(tree, ranks, most=1).collect()}
+    assert shown == {1: (True, 1), 2: (True, 0), 5: (True, 0), 3: (False, 0), 4: (True, 0)}
+    plan = trees.pruned(tree, ranks)._jdf.queryExecution().executedPlan().toString()
+    assert "isnotnull(parent_id" in plan.lower()  # roots and orphans take no part in the window
+
+
+def test_louvain_large(spark):
+    clique = [(a, b) for k in (0, 5) for a in range(k, k + 5) for b in range(k, k + 5) if a != b] + [(4, 5)]
+    nodes = ids(spark, 10).unionByName(spark.range(100, 103).select("id", F.lit("B").alias("crawl_id")))
+    found = {r["id"]: r for r in graph.louvain(nodes, spark.createDataFrame([*clique, (100, 101)], EDGES), limit=5).collect()}
+    assert len(found) == 13 and len({found[i]["community"] for i in range(4)}) == 1 and found[0]["modularity"] > 0.4
+    assert found[100]["community"] == found[101]["community"] != found[102]["community"]
+    inside = {i: found[i]["community"] for i in range(10)}
+    pairs = {tuple(sorted(e)) for e in clique}
+    degree = {i: sum(i in p for p in pairs) for i in range(10)}
+    q = sum(inside[a] == inside[b] for a, b in pairs) / len(pairs) - sum((sum(d for i, d in degree.items() if inside[i] == c) / (2 * len(pairs))) ** 2 for c in set(inside.values()))
+    assert found[0]["modularity"] == pytest.approx(q)
+
+
+def test_compare_needs_one_project(spark, sf):
+    crawls = spark.createDataFrame([("A", 1), ("B", 2)], "id string, project_id int")
+    pages = crawl_pages(spark, sf)
+    with pytest.raises(ValueError, match="one project"):
+        compare.compare_crawls("A", "B", crawls, pages, pages, pages)
+
+
+def test_stream_batches(spark, tmp_path):
+    """A key's rows of one trigger come in several batches out of order; a row older than what was given out gets no previous."""
+    from sitelens.streaming import positions
+
+    source, schema = str(tmp_path / "in"), "keyword_id long, ts timestamp, position double"
+    days = list(range(1, 25))
+    random.Random(3).shuffle(days)
+    spark.createDataFrame([(1, datetime(2024, 1, d), float(d * 7 % 11 + 1)) for d in days], schema).repartition(6).write.parquet(source)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        stream = positions.track_positions(spark.readStream.schema(schema).parquet(source))
+        q = stream.writeStream.format("memory").queryName("batches").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+        q.processAllAvailable()
+        spark.createDataFrame([(1, datetime(2024, 1, 10, 12), 0.5), (1, datetime(2024, 1, 30), 2.0)], schema).write.mode("append").parquet(source)
+        q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got = [(r["ts"].day, r["position"], r["previous_position"], r["best_position"]) for r in spark.sql("select * from batches order by ts").collect()]
+    values = [float(d * 7 % 11 + 1) for d in range(1, 25)]
+    want = [(d, values[d - 1], values[d - 2] if d > 1 else None, min(values[:d])) for d in range(1, 25)]
+    late = [g for g in got if g[1] == 0.5]
+    assert [g for g in got if g[0] != 30 and g[1] != 0.5] == want and late == [(10, 0.5, None, 0.5)] and got[-1] == (30, 2.0, values[-1], 0.5)
