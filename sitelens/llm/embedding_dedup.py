@@ -1,9 +1,12 @@
 """Embedding near-duplicates: sign codes of random hyperplanes in several tables, exact cosine, connected components.
 
-Equal vectors are one class with a multiplicity. Each class goes to one bucket of every table. A bucket of more than BLOCK rows
-is dealt into blocks, and each pair of blocks is compared in a task of its own, so that no task holds a large bucket; buckets
-are never cut. Within a pair of blocks the cosines of all pairs are exact (double precision); a pair counts in the first table
-where it meets. Tasks return the number of links of each vector and a forest of what they found connected, not the pairs.
+Equal vectors are one class with a multiplicity. Each class goes to one bucket of every table, first with SIGNS further signs of
+its vector only. A bucket of more than BLOCK rows is dealt into blocks, and each pair of blocks is compared in a task of its own,
+so that no task holds a large bucket; buckets are never cut. Classes whose signs differ from another's in no more places than a
+pair at the threshold does (but once in millions) are what is left of a pair of blocks; only these get their vectors.
+
+Within such a pair of blocks the cosines of all pairs are exact (double precision); a pair counts in the first table where it
+meets. Tasks return the number of links of each vector and a forest of what they found connected, not the pairs.
 
 Bits for each code grow with the number of vectors (buckets of about BUCKET rows); the number of tables follows from the bits
 so that a pair exactly at the threshold meets in some table with probability RECALL, others with more.
@@ -23,14 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, discard, table, whole_groups
 from .components import connected_components
 from .vectors import packed, usable
 
 THRESHOLD = 0.9
 RECALL = 0.995
 BUCKET = 256
-BLOCK = 256
+BLOCK = 1024
+SIGNS = 256
 SEED = 20240607
 
 
@@ -48,6 +52,33 @@ def sign_codes(x: np.ndarray, bits: int, tables: int, seed: int = SEED) -> np.nd
     return (signs * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
 
 
+def most_differing(threshold: float) -> int:
+    """Places of SIGNS in which a pair at the threshold differs at most, five standard deviations above the mean."""
+    p = math.acos(threshold) / math.pi
+    return math.ceil(SIGNS * p + 5 * math.sqrt(SIGNS * p * (1 - p)))
+
+
+def sign_bytes(x: np.ndarray, seed: int = SEED + 1) -> np.ndarray:
+    """SIGNS signs of each row as bytes."""
+    planes = np.random.default_rng([seed, x.shape[1]]).standard_normal((x.shape[1], SIGNS))
+    return np.packbits(x @ planes > 0, axis=1)
+
+
+def _near(signs: np.ndarray, block: np.ndarray, i: int, j: int, most: int) -> np.ndarray:
+    """Which rows differ from another, of the other block, in at most so many signs."""
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    words = signs.view(np.uint64)
+    good = np.zeros(len(signs), dtype=bool)
+    for a in range(0, len(left), 64):
+        p = left[a : a + 64]
+        differ = np.bitwise_count(words[p][:, None, :] ^ words[right][None, :, :]).sum(axis=2, dtype=np.int64)
+        differ[p[:, None] == right[None, :]] = SIGNS
+        close = differ <= most
+        good[p] |= close.any(axis=1)
+        good[right] |= close.any(axis=0)
+    return good
+
+
 def _compare(ids: np.ndarray, times: np.ndarray, x: np.ndarray, codes: np.ndarray, block: np.ndarray, t: int, i: int, j: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids with links, their number, and the smallest id that each is connected with here."""
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
@@ -75,65 +106,71 @@ def _compare(ids: np.ndarray, times: np.ndarray, x: np.ndarray, codes: np.ndarra
     return ids[on], links[on].astype(np.int64), label[on]
 
 
+GROUP = ["t", "code", "dim", "i", "j"]
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP)
+
+
 def links(classes: DataFrame, bits: int, tables: int, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """rep, n and low: partial counts of links and smallest ids connected, for classes (rep, times, v, dim)."""
-    coded_schema = T.StructType([*classes.schema.fields, T.StructField("codes", T.BinaryType()), T.StructField("code", T.ArrayType(T.IntegerType()))])
+    coded_schema = T.StructType([classes.schema["rep"], classes.schema["dim"], T.StructField("codes", T.BinaryType()), T.StructField("code", T.ArrayType(T.IntegerType())), T.StructField("signs", T.BinaryType())])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = np.asarray(batch.column(3))
+            dims = np.asarray(batch.column(1))
             for d in np.unique(dims):
                 some = batch.filter(pa.array(dims == d))
-                found = sign_codes(np.frombuffer(b"".join(some.column(2).to_pylist()), dtype=np.float64).reshape(-1, d), bits, tables)
+                x = np.frombuffer(b"".join(some.column(2).to_pylist()), dtype=np.float64).reshape(-1, d)
+                found = sign_codes(x, bits, tables)
                 cells = pa.array([row.tobytes() for row in found], pa.binary())
                 each = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * tables, pa.int32()), pa.array(found.ravel(), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*some.columns, cells, each], names=[f.name for f in coded_schema])
+                signs = pa.array([row.tobytes() for row in sign_bytes(x)], pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), cells, each, signs], names=[f.name for f in coded_schema])
 
-    coded = cut(classes.mapInArrow(code, coded_schema), "codes")
+    coded = cut(classes.select("rep", "dim", "v").mapInArrow(code, coded_schema), "codes")
     key = ["t", "code", "dim"]
-    large = coded.select("dim", F.posexplode("code").alias("t", "code")).groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") > block)
-    large = cut(large, "large-buckets")
-    spread = coded.select("rep", "times", "v", "dim", "codes", F.posexplode("code").alias("t", "code")).join(large, key, "left")
+    spread = coded.select("rep", "dim", "signs", F.posexplode("code").alias("t", "code"))
+    large = cut(spread.groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") > block), "large-buckets")
     blocks = F.coalesce(F.ceil(F.col("rows") / block), F.lit(1)).cast("int")
-    spread = spread.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).drop("rows")
+    spread = spread.join(large, key, "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     # Pairs of blocks (i <= j) that hold the row's own block.
     with_other = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = with_other.select("rep", "times", "v", "dim", "codes", "t", "code", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    group = [*key, "i", "j"]
-    dealt = tasks.repartition(*group).sortWithinPartitions(*group)
-    out = T.StructType([T.StructField(c, T.LongType()) for c in ("rep", "n", "low")])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def of(rows: pa.Table) -> list[np.ndarray]:
-            t, i, j, d = (rows.column(c)[0].as_py() for c in ("t", "i", "j", "dim"))
-            x = np.frombuffer(b"".join(rows.column("v").to_pylist()), dtype=np.float64).reshape(-1, d)
-            codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), dtype=np.int32).reshape(-1, tables)
-            return [*_compare(rows.column("rep").to_numpy(), rows.column("times").to_numpy(), x, codes, rows.column("own").to_numpy(), t, i, j, threshold)]
-
-        def flush(rows: pa.Table, last: bool) -> tuple[list[list[np.ndarray]], pa.Table | None]:
-            keys = np.stack([rows.column(c).to_numpy() for c in group], axis=1)
-            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            ends = [*edges.tolist(), *([rows.num_rows] if last else [])]
-            found, a = [], 0
-            for b in ends:
+    tasks = with_other.select("rep", "signs", "own", *key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    most = most_differing(threshold)
+    near_schema = T.StructType([T.StructField(c, T.LongType() if c == "rep" else T.IntegerType()) for c in (*GROUP, "own", "rep")])
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, offsets in whole_groups(batches, GROUP):
+            own, i, j = (rows.column(c).to_numpy() for c in ("own", "i", "j"))
+            signs = np.frombuffer(b"".join(rows.column("signs").to_pylist()), dtype=np.uint8).reshape(-1, SIGNS // 8)
+            good = np.zeros(len(own), dtype=bool)
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 if b - a > 1:
-                    found.append(of(rows.slice(a, b - a)))
-                a = b
-            return found, rows.slice(a).combine_chunks() if a < rows.num_rows else None
+                    good[a:b] = _near(signs[a:b], own[a:b], i[a], j[a], most)
+            if good.any():
+                kept = rows.filter(pa.array(good))
+                yield pa.RecordBatch.from_arrays([kept.column(f.name).combine_chunks().cast(pa.int64() if f.name == "rep" else pa.int32()) for f in near_schema], names=near_schema.names)
 
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            found, held = flush(pa.concat_tables([held, rows]) if held is not None else rows, False)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], names=out.names)
-        if held is not None:
-            found, _ = flush(held, True)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], names=out.names)
+    near = cut(_dealt(tasks).mapInArrow(sift, near_schema), "near")
+    out = T.StructType([T.StructField(c, T.LongType()) for c in ("rep", "n", "low")])
 
-    return dealt.mapInArrow(compare, out)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, offsets in whole_groups(batches, GROUP):
+            t, i, j, d, own, rep, times = (rows.column(c).to_numpy() for c in ("t", "i", "j", "dim", "own", "rep", "times"))
+            found = []
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                some = rows.slice(a, b - a)
+                x = np.frombuffer(b"".join(some.column("v").to_pylist()), dtype=np.float64).reshape(-1, d[a])
+                codes = np.frombuffer(b"".join(some.column("codes").to_pylist()), dtype=np.int32).reshape(-1, tables)
+                found.append(_compare(rep[a:b], times[a:b], x, codes, own[a:b], t[a], i[a], j[a], threshold))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], names=out.names)
+
+    vectors = near.select("rep").distinct().join(classes.select("rep", "times", "v"), "rep").join(coded.select("rep", "codes"), "rep")
+    found = cut(_dealt(near.join(vectors, "rep")).mapInArrow(compare, out), "links")
+    discard(coded, large, near)
+    return found
 
 
 def dedup(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -143,7 +180,7 @@ def dedup(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", thre
     members = cut(good.withColumn("h", F.sha2("v", 256)), "vectors")
     classes = cut(members.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("times"), F.first("v").alias("v")).where(F.col("rep").isNotNull()), "classes")
     bits, tables = table_plan(classes.count(), threshold)
-    found = cut(links(classes.select("rep", "times", "v", (F.length("v") / 8).cast("int").alias("dim")), bits, tables, threshold), "links")
+    found = links(classes.select("rep", "times", "v", (F.length("v") / 8).cast("int").alias("dim")), bits, tables, threshold)
     of_class = connected_components(found.select("rep", "low"), "rep", "low")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     known = classes.select("h", "rep", "times").join(counts, "rep", "left").join(of_class.withColumnRenamed("node", "rep"), "rep", "left")
