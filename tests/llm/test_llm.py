@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -524,6 +525,32 @@ def test_licenses(spark, corpus):
     assert 1 - (1 - (ls.CONTAINMENT - 1 / 16) / (2 - ls.CONTAINMENT + 1 / 16)) ** ls.bands_needed() >= ls.COLLISION
 
 
+def test_every_license_template_is_found(spark):
+    """Against brute force: each notice in prose, whole, and with a word in twenty changed; no other license but such that hold its text."""
+    from sitelens.llm import license_scan as ls
+
+    rng, rows, want = random.Random(12), [], {}
+    known = [(name, t) for name, texts in ls.TEMPLATES.items() for t in texts]
+    cut = lambda t: re.findall(r"[a-z0-9\x80-\uffff]+", t.lower())
+    shingled = lambda t: {tuple(w[k : k + 5]) for w in [cut(t)] for k in range(len(w) - 4)}
+    sets = [(name, shingled(t)) for name, t in known]
+    for k, (name, t) in enumerate(known):
+        for changed in (False, True):
+            words = t.split()
+            if changed and len(words) > 40:
+                words[rng.randrange(len(words))] = "changed"
+            text = prose(rng, 300) + ". " + " ".join(words) + " . " + prose(rng, 300)
+            rows.append((len(rows), text))
+            own = shingled(text)
+            want[rows[-1][0]] = (name, {n for n, s in sets if len(s & own) >= ls.CONTAINMENT * len(s)})
+    found = defaultdict(set)
+    for r in ls.scan(frame(spark, rows, "doc_id long, text string")).collect():
+        found[r["doc_id"]].add(r["license"])
+    for i, (name, allowed) in want.items():  # of overlapping matches the best one stays
+        assert name in allowed and found[i] and found[i] <= allowed, (name, found[i], allowed)
+        assert name in found[i] or len(allowed) > 1
+
+
 def test_license_bands_cover_spread_matches():
     from sitelens.llm import license_scan as ls
 
