@@ -21,11 +21,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         above = lowest.select(F.col("u").alias("p"), F.col("p").alias("pp"))
         jumped = lowest.join(above, "p", "left").select("u", F.coalesce("pp", "p").alias("v"), F.col("pp").isNotNull().alias("moved"))
         beside = now.join(lowest, "u").where(F.col("v") != F.col("p")).select(F.greatest("v", "p").alias("u"), F.least("v", "p").alias("v"), F.lit(True).alias("moved"))
-        both = cut(jumped.unionByName(beside), "edges")
-        done = both.where("moved").isEmpty()
-        discard(now)
-        if done:
-            discard(both)
+        last, now = now, cut(jumped.unionByName(beside).groupBy("u", "v").agg(F.max("moved").alias("moved")), "edges")
+        discard(last)
+        if now.where("moved").isEmpty():
+            discard(now)
             return lowest.select(F.col("u").alias("node"), F.col("p").alias("component")).unionByName(lowest.select(F.col("p").alias("node"), F.col("p").alias("component")).distinct())
-        now = cut(both.groupBy("u", "v").agg(F.lit(1).alias("one")).drop("one"), "edges")
-        discard(both, lowest)
+        discard(lowest)

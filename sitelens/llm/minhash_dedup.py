@@ -11,7 +11,7 @@ at every depth. Documents that meet in a node are candidates:
    documents that agree, not the pairs.
 2. What is connected by such groups in all trees is compared exhaustively in one task, on the full sets, if it is small: so a text
    is sent once, however many trees it meets others in. An inverted file of the task's shingles counts the intersections; pairs
-   that are connected already are skipped, and a forest of the links found is returned.
+   that are connected already are skipped, and each document is returned with the first of its part.
 
 Groups beyond one task (nodes still over LEAF after DEPTH levels, and groups that agree of more than BLOCK documents or WEIGHT
 shingles) first meet LEADERS documents of their own, in blocks, and the links found name their parts. Links inside a part add
@@ -174,7 +174,7 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """A forest of the pairs (of left and right) at the threshold."""
+    """What the pairs (of left and right) at the threshold connect: each row with the first of its part."""
     above = list(range(len(sets)))
 
     def root(v: int) -> int:
@@ -183,7 +183,7 @@ def _links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> li
             v = above[v]
         return v
 
-    out: list[tuple[int, int]] = []
+    linked = False
     size = np.array([len(x) for x in sets])
     keys = np.concatenate([sets[q] for q in right.tolist()])
     order = np.argsort(keys, kind="stable")
@@ -200,10 +200,10 @@ def _links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> li
         for q in np.flatnonzero((both > 0) & (100 * both >= THRESHOLD * (size[p] + size - both))).tolist():
             if q != p and (a := root(p)) != (b := root(q)):
                 above[max(a, b)] = min(a, b)
-                out.append((p, q))
-        if out:
+                linked = True
+        if linked:
             roots = np.array([root(v) for v in range(len(sets))])
-    return out
+    return [(v, r) for v, r in enumerate(roots.tolist()) if v != r]
 
 
 def _sets(column: pa.Array | pa.ChunkedArray, k: int) -> Iterator[np.ndarray]:
@@ -217,7 +217,7 @@ def _sets(column: pa.Array | pa.ChunkedArray, k: int) -> Iterator[np.ndarray]:
 
 def _comparison(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """task, rep, side, text, sorted by task -> a, b of a forest of each task's links."""
+        """task, rep, side, text, sorted by task -> a, b: what each task's links connect."""
         for rows, offsets in whole_groups(batches, ["task"]):
             reps, side, sets = rows.column("rep").to_numpy(), rows.column("side").to_numpy(), _sets(rows.column("text"), k)
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -293,7 +293,7 @@ class _Search:
         return cut(dealt.mapInArrow(_agreeing, "task long, g long, rep long"), "agreeing")
 
     def confirmed(self, tasks: DataFrame) -> DataFrame:
-        """a, b: links that the full texts give in the tasks; a filter of bounded size keeps most other texts from being dealt out."""
+        """a, b: what links of the full texts connect in the tasks; a filter of bounded size keeps most other texts from being dealt out."""
         tasks = cut(tasks, "tasks")
         n = tasks.count()
         bits = min(FILTER_BITS, 1 << max(15, (FILTER_SHARE * n).bit_length()))
