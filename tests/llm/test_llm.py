@@ -658,3 +658,50 @@ def test_pipeline_rows(spark, sf):
         rank[s] += 1
     out = corpus_pipeline.run(spark, sf).collect()
     assert len(out) == len(want) and {r["doc_id"]: (r["lang"], r["source"], r["position"], r["ids"]) for r in out} == want
+
+
+def test_pipeline_edges(spark, sf, corpus):
+    """Nulls, empty and very long texts, repeated rows and ids, extra columns and an empty table go through every stage."""
+    import corpus_pipeline
+    import public_tokenizers
+    import sentencepiece
+
+    from sitelens.llm.common import DOCUMENT_COLUMNS, cut
+
+    repeated = [corpus[3], (3, "another text of the same id, long enough to be one of its own " * 3, None, None, None), (None, "no id here", "en", None, 10), (None, None, None, None, None)]
+    clash = ("id", "rep", "__score", "words", "gone", "__position", "turn", "ids", "position", "n_tokens")
+    docs = frame(spark, [*corpus, *repeated]).withColumns({c: F.lit("clash") for c in clash})
+    labelled = spark.read.parquet(f"{sf}/documents.parquet").withColumns({c: F.lit("clash") for c in clash}).withColumn("doc_id", F.col("doc_id"))
+    texts = Counter()
+    for name, stage in corpus_pipeline.STAGES:
+        given = docs.count()
+        docs = cut(stage(spark, docs if name != "quality" else docs.unionByName(labelled), sf), name)
+        if name in ("line_dedup", "mixing", "tokenise"):
+            assert docs.count() == given
+        if name != "tokenise":
+            assert docs.columns == DOCUMENT_COLUMNS
+        if name == "mixing":
+            texts = Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    out = docs.collect()
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = Counter((i, tuple(library.encode(t or ""))) for (i, t), n in texts.items() for _ in range(n))
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in out) == want and len({r["position"] for r in out}) == len(out)
+    none = empty(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, sf)
+        assert none.count() == 0
+        none = none if "text" in none.columns else none
+
+
+def test_repeated_rows(spark, corpus):
+    """Repeated rows give repeated results in encoding, scans and extraction."""
+    import public_tokenizers
+
+    from sitelens.llm import license_scan as ls
+    from sitelens.llm import piece_codec
+
+    rows = [(1, "Licensed under the MIT License."), (1, "Licensed under the MIT License."), (None, "Licensed under the MIT License.")]
+    docs = frame(spark, rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("license", "start_word", "containment")})
+    assert sorted((r["doc_id"] or 0, r["license"]) for r in ls.scan(docs).collect()) == [(0, "MIT"), (1, "MIT"), (1, "MIT")]
+    got = piece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], digests=True).collect()
+    assert len(got) == 3 and len({r["ids_sha256"] for r in got}) == 1
