@@ -30,9 +30,9 @@ def _with_crawl(nodes: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], Data
 def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, iterations: int = 30, tolerance: float = 1e-6, every: int = 5) -> DataFrame:
     """id, rank. Parallel edges count, self-links don't, dangling mass is spread evenly. Each crawl_id of nodes is a graph of its own.
 
-    Edges are summed up by pair and weighted once; each round is one join and one partially aggregated sum. Every few rounds
-    the lineage is cut and the L1 change of the last round checked, so up to every - 1 rounds more than needed may run; several
-    crawls go on until the last of them is done.
+    Edges are summed up by pair and weighted once; each round is one join and one partially aggregated sum, and is written, as
+    the next one reads it in three places. The L1 change is checked every few rounds, so up to every - 1 rounds more than needed
+    may run; several crawls go on until the last of them is done.
     """
     keyed, small = _with_crawl(nodes)
     pairs = edges.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
@@ -41,21 +41,17 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, itera
     sizes = cut(keyed.groupBy("crawl").agg(F.count("*").cast("double").alias("n")), "sizes")
     flags = keyed.join(small(sizes), "crawl").join(degree.select(F.col("src").alias("id"), F.lit(True).alias("out")), "id", "left")
     ranks = cut(flags.select("id", "crawl", "n", F.col("out").isNull().alias("dangling"), (1 / F.col("n")).alias("rank")), "ranks")
-    kept = ranks
     for k in range(1, iterations + 1):
         got = share.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         lost = ranks.groupBy("crawl").agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        joined = ranks.withColumnRenamed("rank", "before").join(got, "id", "left").join(small(lost), "crawl")
+        joined = ranks.select("id", "crawl", "n", "dangling", F.col("rank").alias("before")).join(got, "id", "left").join(small(lost), "crawl")
         rank = (1 - damping) / F.col("n") + damping * (F.col("lost") / F.col("n") + F.coalesce("got", F.lit(0.0)))
-        ranks = joined.select("id", "crawl", "n", "dangling", rank.alias("rank"), "before")
+        last, ranks = ranks, cut(joined.select("id", "crawl", "n", "dangling", rank.alias("rank"), "before"), "ranks")
+        discard(last)
         if k % every == 0 or k == iterations:
-            ranks = cut(ranks, "ranks")
-            discard(kept)
-            kept = ranks
             change = ranks.groupBy("crawl").agg(F.sum(F.abs(F.col("rank") - F.col("before"))).alias("change")).agg(F.max("change")).first()[0]
             if change is None or change < tolerance:
                 break
-        ranks = ranks.drop("before")
     return ranks.select("id", "rank")
 
 
@@ -78,13 +74,15 @@ def hits(nodes: DataFrame, edges: DataFrame, *, iterations: int = 100, tolerance
         total = own.groupBy("crawl").agg(F.sum(c).alias("total"))
         return own.join(small(total), "crawl").select("id", (F.col(c) / F.col("total")).alias(c))
 
-    before = hubs = cut(scaled(simple.select(F.col("src").alias("id")).distinct().withColumn("hub", F.lit(1.0)), "hub"), "hubs")
+    raw = cut(simple.select(F.col("src").alias("id")).distinct().withColumn("hub", F.lit(1.0)), "hubs")
+    before = hubs = scaled(raw, "hub")
     for k in range(1, iterations + 1):
         hubs = simple.join(authorities(hubs).select(F.col("id").alias("dst"), "authority"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("authority").alias("hub"))
         if k % every == 0 or k == iterations:  # scaled only now and then: only the proportions matter
-            hubs = cut(scaled(hubs, "hub"), "hubs")
+            last, raw = raw, cut(hubs, "hubs")
+            hubs = scaled(raw, "hub")
             change = hubs.join(before.withColumnRenamed("hub", "old"), "id").agg(F.max(F.abs(F.col("hub") - F.col("old")))).first()[0]
-            discard(before)
+            discard(last)
             before = hubs
             if change is None or change < tolerance:
                 break
