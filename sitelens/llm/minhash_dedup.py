@@ -11,7 +11,7 @@ at every depth. Documents that meet in a node are candidates:
    documents that agree, not the pairs.
 2. What is connected by such groups in all trees is compared exhaustively in one task, on the full sets, if it is small: so a text
    is sent once, however many trees it meets others in. An inverted file of the task's shingles counts the intersections; pairs
-   that are connected already are skipped, and each document is returned with the first of its part.
+   that are connected already are skipped, and each document is returned with the smallest of its part.
 
 Groups beyond one task (nodes still over LEAF after DEPTH levels, and groups that agree of more than BLOCK documents or WEIGHT
 shingles) first meet LEADERS documents of their own, in blocks, and the links found name their parts. Links inside a part add
@@ -161,7 +161,7 @@ def _groups_of(few: np.ndarray, reps: np.ndarray, side: np.ndarray) -> np.ndarra
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """task, rep, side, few, sorted by task -> task, g, rep: the groups of two documents or more that agree; g is one of each."""
+    """task, rep, side, few, sorted by task -> task, g, rep: the groups of two documents or more that agree; g is the smallest of each."""
     for rows, offsets in whole_groups(batches, ["task"]):
         task, reps, side = (rows.column(c).to_numpy() for c in ("task", "rep", "side"))
         few = np.frombuffer(b"".join(rows.column("few").to_pylist()), dtype=np.uint8).reshape(-1, PLACES)
@@ -170,11 +170,13 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             group[a:b] = a + _groups_of(few[a:b], reps[a:b], side[a:b])
         good = np.flatnonzero(np.bincount(group, minlength=len(group))[group] > 1)
         if len(good):
-            yield pa.RecordBatch.from_arrays([pa.array(task[good]), pa.array(reps[group[good]]), pa.array(reps[good])], names=["task", "g", "rep"])
+            first = np.full(len(group), np.iinfo(np.int64).max)
+            np.minimum.at(first, group, reps)
+            yield pa.RecordBatch.from_arrays([pa.array(task[good]), pa.array(first[group[good]]), pa.array(reps[good])], names=["task", "g", "rep"])
 
 
-def _links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """What the pairs (of left and right) at the threshold connect: each row with the first of its part."""
+def _parts_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each row the first row that pairs (of left and right) at the threshold connect it with."""
     above = list(range(len(sets)))
 
     def root(v: int) -> int:
@@ -203,7 +205,7 @@ def _links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> li
                 linked = True
         if linked:
             roots = np.array([root(v) for v in range(len(sets))])
-    return [(v, r) for v, r in enumerate(roots.tolist()) if v != r]
+    return roots
 
 
 def _sets(column: pa.Array | pa.ChunkedArray, k: int) -> Iterator[np.ndarray]:
@@ -223,10 +225,12 @@ def _comparison(k: int):
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 own = [next(sets) for _ in range(b - a)]
                 left, right = np.flatnonzero(side[a:b] & LEFT), np.flatnonzero(side[a:b] & RIGHT)
-                found = _links_of(own, left, right) if len(left) and len(right) else []
-                if found:
-                    p, q = np.array(found).T + a
-                    yield pa.RecordBatch.from_arrays([pa.array(reps[p]), pa.array(reps[q])], names=["a", "b"])
+                part = _parts_of(own, left, right) if len(left) and len(right) else np.zeros(0, np.int64)
+                on = np.flatnonzero(np.bincount(part, minlength=len(part))[part] > 1)
+                if len(on):
+                    first = np.full(len(part), np.iinfo(np.int64).max)
+                    np.minimum.at(first, part, reps[a:b])
+                    yield pa.RecordBatch.from_arrays([pa.array(reps[a:b][on]), pa.array(first[part[on]])], names=["a", "b"])
 
     return run
 
@@ -271,10 +275,8 @@ class _Search:
 
     def nodes(self, rows: DataFrame) -> DataFrame:
         """Rows of nodes with two documents or more, with the node's size."""
-        by = cut(rows.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > 1), "nodes")
-        out = cut(rows.join(by, "path"), "node-rows")
-        discard(by)
-        return out
+        by = rows.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+        return cut(rows.join(by, "path"), "node-rows")
 
     def leaves(self) -> list[DataFrame]:
         """path, rep, n of all nodes to be compared, those over LEAF too that are left after DEPTH levels."""
@@ -333,8 +335,11 @@ class _Search:
             ids = F.sum(F.xxhash64("rep").cast("decimal(38,0)")), F.sum(F.xxhash64(F.lit("second"), "rep").cast("decimal(38,0)"))
             once = of_task.groupBy("path").agg(F.count("*").alias("n"), ids[0].alias("s1"), ids[1].alias("s2")).groupBy("n", "s1", "s2").agg(F.min("path").alias("path"))
             labels = connected_components(reduce(DataFrame.unionByName, links))
-            links.append(self.confirmed(_others(of_task.join(once.select("path"), "path"), labels, "w", BLOCK)))
+            more = self.confirmed(_others(of_task.join(once.select("path"), "path"), labels, "w", BLOCK))
+            links = [labels.select(F.col("node").alias("a"), F.col("component").alias("b")), more]
             discard(of_task)
+            if more.isEmpty():
+                return labels
         discard(agree, members, large)
         return connected_components(reduce(DataFrame.unionByName, links))
 
