@@ -4,8 +4,8 @@ Words are runs of ASCII letters (A-Z as a-z), digits and bytes beyond ASCII, so
 A text is read in windows as long as a template (in shingles of five words), an eighth of it apart. A window's MinHash bands are
 looked up among the templates of its length; the number of bands follows from the least similarity that a window over a match
 can have, so that it meets its template with probability COLLISION. Around a window found, the template's distinct shingles are
-counted exactly: CONTAINMENT of them make a match. Windows without any shingle of a template can't meet one in a band (a band
-is the hash of one shingle) and get no signature. Of overlapping
+counted exactly: CONTAINMENT of them make a match. Windows without any shingle of the templates of their length can't meet one in
+a band (a band is the hash of one shingle) and get no signature. Of overlapping
 matches the one with more containment stays, then the longer one.
 
 Templates of fewer than five words have no shingle and never match. Null and empty texts and such of fewer than five words have
@@ -121,6 +121,7 @@ class Templates:
             at = self.by_length.setdefault(len(x), {})
             for band, value in enumerate(min_hashes(x, bands).tolist()):
                 at.setdefault((band, value), []).append(i)
+        self.of_length = {size: np.unique(np.concatenate([x for x in self.sets if len(x) == size])) for size in self.by_length}
 
     def hits(self, x: np.ndarray) -> np.ndarray:
         if not len(self.every):
@@ -130,7 +131,11 @@ class Templates:
     def matches(self, x: np.ndarray, hit: np.ndarray) -> list[tuple[str, int, int, float]]:
         """License, first and last word, containment of each match in a text's shingles; hit: places of known shingles."""
         found: dict[int, list[tuple[int, int, float]]] = {}
+        every_hit = hit
         for size, table_ in self.by_length.items():
+            hit = every_hit[np.isin(x[every_hit], self.of_length[size])]
+            if not len(hit):
+                continue
             step = max(1, size // STEPS)
             first = np.maximum(0, (hit - size + step) // step)
             starts = np.unique(np.concatenate([first + k for k in range(-(-size // step) + 1)]) * step)
