@@ -32,6 +32,15 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """df as the table at path; a table that is whole there already is read instead, so that a job takes up where it stopped."""
+    spark = df.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that cut() wrote; nothing that is still to run may read them."""
     for df in tables:

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, kept
+from ..functions.reports import audit_report
 from ..functions.resources import classify
 from ..functions.seo import crawl_failed, geo_signals, indexability, is_nofollow
 from ..functions.text import match_pattern, with_simhash
@@ -24,19 +25,23 @@ def _wanted(url: Column, include: Iterable[str], exclude: Iterable[str]) -> Colu
 
 def crawl(
     spark: SparkSession, responses: DataFrame, start: str, *, max_depth: int = 10, max_urls: int | None = None, include: list[str] | None = None, exclude: list[str] | None = None,
-    follow_subdomains: bool = False, respect_nofollow: bool = True, sitemap: DataFrame | None = None, crawl_id: str = "A",
+    follow_subdomains: bool = False, respect_nofollow: bool = True, sitemap: DataFrame | None = None, crawl_id: str = "A", state: str | None = None,
 ) -> dict[str, DataFrame]:
     """pages, links, images, schemas, hreflangs of a breadth-first crawl from start over responses.
 
     responses: url (normalised), final_url, status, content_type, body, redirect_chain, error_type. Each level is one join of the
-    frontier to responses and one anti-join of the links found to what has been seen; sitemap has normalized_url.
+    frontier to responses and one anti-join of the links found to what has been seen; sitemap has normalized_url. With state, a
+    shared folder, the tables of each level stay there, and a crawl that broke off goes on after its last whole table.
     """
+    def step(df: DataFrame, depth: int, name: str) -> DataFrame:
+        return kept(df, f"{state}/{depth}/{name}") if state else cut(df, name)
+
     seeds = spark.createDataFrame([(start,)], "raw string").select(normalize_url(F.col("raw")).alias("url"))
     front = seeds.select("url", F.lit(0).alias("depth"), F.lit("START").alias("discovery_type"), F.lit(None).cast("string").alias("discovered_from"))
     if sitemap is not None:
         listed = sitemap.select(F.col("normalized_url").alias("url")).distinct().join(seeds, "url", "left_anti")
         front = front.unionByName(listed.select("url", F.lit(1).alias("depth"), F.lit("SITEMAP").alias("discovery_type"), F.lit(None).cast("string").alias("discovered_from")))
-    seen = front = cut(front, "front")
+    seen = front = step(front, 0, "front")
     pages: list[DataFrame] = []
     edges: list[DataFrame] = []
     for depth in range(max_depth + 1):
@@ -44,12 +49,12 @@ def crawl(
         kind = classify(F.col("url"), F.col("final_url"), F.col("status"), F.col("content_type"), F.col("error_type"), F.col("redirect_chain"))
         read = answered.withColumn("kind", kind)
         read = read.withColumn("html", F.when(F.col("kind.is_html_document"), F.col("body"))).drop("body")
-        parsed = cut(parse_pages(read), "parsed")
+        parsed = step(parse_pages(read), depth, "parsed")
         pages.append(parsed)
         found = parsed.select("url", F.col("parsed.meta_robots").alias("robots"), F.posexplode("parsed.links").alias("n", "l"))
         found = found.select("url", "robots", "n", "l.*").withColumn("target_url", normalize_url(F.col("href"), F.col("url"))).where(F.col("target_url").isNotNull())
         inner = is_same_site(F.col("target_url"), F.lit(start), follow_subdomains)
-        found = cut(found.withColumn("link_type", F.when(inner, "INTERNAL").otherwise("EXTERNAL")), "found")
+        found = step(found.withColumn("link_type", F.when(inner, "INTERNAL").otherwise("EXTERNAL")), depth, "found")
         edges.append(found)
         if depth == max_depth:
             break
@@ -59,10 +64,10 @@ def crawl(
         fresh = fresh.select("url", F.lit(depth + 1).alias("depth"), F.lit("LINK").alias("discovery_type"), "discovered_from")
         if max_urls is not None:  # the crawl's own budget
             fresh = fresh.orderBy("url").limit(max(0, max_urls - seen.count()))
-        front = cut(fresh, "front")
+        front = step(fresh, depth + 1, "front")
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front), "seen")
+        seen = step(seen.unionByName(front), depth + 1, "seen")
     return _tables(reduce(DataFrame.unionByName, pages), reduce(DataFrame.unionByName, edges), sitemap, crawl_id)
 
 
@@ -126,3 +131,18 @@ def crawl_report(title: str, analysis: dict[str, DataFrame]) -> str:
     """The crawl's report in Markdown."""
     heads = [("Totals", "totals"), ("Health", "health"), ("Status", "statuses"), ("Depth", "depths"), ("Indexability", "reasons"), ("Top issues", "top_issues"), ("Directories", "directories"), ("Resources", "resources"), ("Communities", "clusters"), ("Readiness", "geo_readiness")]
     return sinks.render_markdown(title, [(head, analysis[key]) for head, key in heads if key in analysis])
+
+
+def comparison_report(title: str, compared: dict[str, DataFrame]) -> str:
+    """The report on two crawls (compare_crawls()) in Markdown."""
+    heads = [("Changes", "counts"), ("Metrics", "metrics"), ("New URLs", "added"), ("Gone URLs", "removed"), ("Status", "status_changes"), ("Indexability", "indexability_changes"), ("Issues", "issue_deltas")]
+    return sinks.render_markdown(title, [(head, compared[key]) for head, key in heads if key in compared])
+
+
+def audit_document(title: str, reports: DataFrame, text: str = "output") -> str:
+    """A model's latest whole audit report (the first row that has one) in Markdown."""
+    rows = reports.select(audit_report(F.col(text)).alias("r")).where("r is not null").select("r.*").limit(1)
+    one = lambda field: rows.select(F.explode(field).alias("x")).select("x.*")
+    blocks = [("Summary", rows.select("summary", "score")), ("Critical", one("criticalIssues").select("title", "impact", "evidence")), ("High priority", one("highPriorityIssues").select("title", "impact", "evidence"))]
+    blocks += [("Recommendations", one("recommendations").orderBy("priority")), ("Order", rows.select(F.explode("implementationOrder").alias("step")))]
+    return sinks.render_markdown(title, blocks)

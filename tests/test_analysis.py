@@ -53,3 +53,29 @@ def test_analysis(spark, tables):
     assert "# Report" in analysis.crawl_report("Report", out)
     context = analysis.audit_context(out["pages"], tables["links"], f, tables["schemas"])
     assert context["broken"].count() == 2 and context["redirects"].count() == 1
+
+
+def test_crawl_resumes(spark, tmp_path):
+    """A crawl whose last tables are gone goes on from what is whole, and reads no answer of the levels that are done."""
+    import shutil
+
+    site = "https://site.example"
+    pages = {f"{site}/": f'<a href="{site}/a">a</a>', f"{site}/a": f'<a href="{site}/b">b</a>', f"{site}/b": f'<a href="{site}/c">c</a>', f"{site}/c": "end"}
+    schema = "url string, final_url string, status int, content_type string, body string, redirect_chain array<string>, error_type string"
+    rows = [(u, u, 200, "text/html", b, [], None) for u, b in pages.items()]
+    state = str(tmp_path / "state")
+    whole = sorted(r["url"] for r in analysis.crawl(spark, spark.createDataFrame(rows, schema), f"{site}/", state=state)["pages"].collect())
+    for gone in ("2/parsed", "2/found", "3", "4"):
+        shutil.rmtree(f"{state}/{gone}", ignore_errors=True)
+    rest = [r for r in rows if r[0] in (f"{site}/b", f"{site}/c")]
+    again = analysis.crawl(spark, spark.createDataFrame(rest, schema), f"{site}/", state=state)["pages"]
+    assert sorted(r["url"] for r in again.collect()) == whole == sorted(pages) and again.where("status_code is null").count() == 0
+
+
+def test_reports(spark):
+    import json
+
+    good = {"summary": "all well", "score": 55, "recommendations": [{"priority": 2, "action": "b"}, {"priority": 1, "action": "a"}], "implementationOrder": ["x"]}
+    text = analysis.audit_document("Audit", spark.createDataFrame([("{broken",), (json.dumps(good),)], "output string"))
+    assert "all well" in text and text.index("| a |") < text.index("| b |") and "# Audit" in text
+    assert "## Metrics" in analysis.comparison_report("C", {"metrics": spark.createDataFrame([("m", 1)], "metric string, delta int")})
