@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_codec import op13_byte_bpe
 from .embedding_dedup import op6_embedding_dedup
 from .html_text import op3_html_extraction
 from .lattice_lm import op1_lattice_lm
@@ -13,9 +14,11 @@ from .license_scan import op9_license_scan
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .minhash_dedup import op5_minhash_dedup
 from .mixing import OP8_SQL, op8_mixing
+from .periodic_runs import op11_periodic_runs
 from .permutation_index import op7_nearest_neighbours
 from .piece_codec import op2_sentencepiece
 from .quality import op4_quality
+from .spelling_variants import op12_spelling_variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_lm": op1_lattice_lm,
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
