@@ -8,7 +8,9 @@ has a pair left. Results of words stay in a bounded cache.
 In words of more than LONG symbols (blobs, scripts without spaces) a round merges the best-ranked pair of every stretch. A pair
 that no other within the longest piece's length outranks is merged before anything can touch its symbols: whatever symbol takes
 one of them in lies inside that stretch, and so does the pair that it started from. Equal pairs of a stretch are merged together
-where what they make takes part in no better-ranked pair, of overlapping ones every other from the first on; else the leftmost.
+where what they make takes part in no pair as good, of overlapping ones every other from the first on; else the leftmost (as in
+runs of spaces, whose pieces are all of one rank). Rounds that merge next to nothing give way to a heap of pairs; all orders give
+the same ids.
 
 Null and empty texts have no ids. Any other text is encoded whole. Repeated rows give repeated results. Characters outside the
 vocabulary become their UTF-8 bytes' pieces, or the unknown id if the model has none.
@@ -17,6 +19,7 @@ vocabulary become their UTF-8 bytes' pieces, or the unknown id if the model has
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import string
 from collections.abc import Iterator
@@ -31,6 +34,8 @@ from .common import table, utf8_parts
 
 SPACE = "▁"
 LONG = 512
+#: Long words whose rounds merge fewer than one pair for so many symbols are finished pair by pair.
+FEW = 64
 CACHE_WORDS = 400_000
 NONE = np.int64(2**62)
 
@@ -80,11 +85,11 @@ class PieceModel:
         self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], dtype=np.int64)
         self.merged = np.array([pairs[k][1] for k in self.keys.tolist()], dtype=np.int64)
         self.reach = max(map(len, normal))
-        #: Symbols that, as part of a pair, merge only in a worse rank than they were made in.
+        #: Symbols that, as part of a pair, merge only in a worse rank than they were made in; an equal one further left would come first.
         self.settled = np.ones(self.width, dtype=bool)
         for k, r in zip(self.keys.tolist(), self.ranks.tolist(), strict=True):
             for part in divmod(k, self.width):
-                if part < self.size and r < ranks[-proto.pieces[part].score]:
+                if part < self.size and r <= ranks[-proto.pieces[part].score]:
                     self.settled[part] = False
         self.slots = np.full(1 << 20, -1, dtype=np.int64)  # open addressing: a pair's row in keys
         for i, s in enumerate(self._slot(self.keys).tolist()):
@@ -173,6 +178,34 @@ class PieceModel:
             rank[p[at_end]] = NONE
             at = np.concatenate([p[~at_end], p[~at_start] - 1])
             rank[at], merged[at] = self.look_up(symbol[at], symbol[at + 1])
+            if long and len(p) * FEW < len(symbol):
+                for i, a, b in zip(owner.tolist(), start.tolist(), end.tolist(), strict=True):
+                    ids, sizes = self._in_order(symbol[a:b].tolist(), size[a:b].tolist())
+                    out[i] = self.with_bytes(words[i], ids, sizes)
+                return
+
+    def _in_order(self, symbol: list[int], size: list[int]) -> tuple[list[int], list[int]]:
+        """The symbols of one word and their sizes after all merges, one by one: best rank first, leftmost among equals."""
+        n, pairs, width = len(symbol), self.pairs, self.width
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        heap = [(x[0], i, symbol[i], symbol[i + 1]) for i in range(n - 1) if (x := pairs.get(symbol[i] * width + symbol[i + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or symbol[i] != a or symbol[j] != b:  # one of them has merged since
+                continue
+            symbol[i], symbol[j] = pairs[a * width + b][1], -1
+            size[i] += size[j]
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if x := pairs.get(symbol[i] * width + symbol[k]):
+                    heapq.heappush(heap, (x[0], i, symbol[i], symbol[k]))
+            if (k := before[i]) >= 0 and (x := pairs.get(symbol[k] * width + symbol[i])):
+                heapq.heappush(heap, (x[0], k, symbol[k], symbol[i]))
+        live = [i for i in range(n) if symbol[i] >= 0]
+        return [symbol[i] for i in live], [size[i] for i in live]
 
     def _stretches(self, rank: np.ndarray, merged: np.ndarray) -> np.ndarray:
         """Places of pairs that no pair within reach outranks."""

@@ -187,6 +187,8 @@ def test_piece_codec_long_words(monkeypatch, long):
     parts = ["a", "aa", "ab", "b", "=", "==", "the", "ing", "tion", "er", "e", "你", "é", "0", "12", *WORDS]
     texts = ["".join(rng.choice(parts) * rng.choice([1, 1, 1, 2, 9]) for _ in range(rng.choice([10, 300, 900]))) for _ in range(60)]
     texts += ["x" * 100_001, "=-" * 3000, "".join(rng.choice("abcdefgh") for _ in range(60_000)), texts[1] + " " + texts[2]]
+    texts += [" " * n for n in (*range(1, 700, 1 if long > 8 else 3), 4097, 30_000)] + ["a" + " " * 600 + "b", "x\n" + " " * 700 + "y", "\n" * 4000, " \t" * 900, "=" * 5000 + " " * 5000 + "-" * 777]
+    texts += ["".join(rng.choice([" ", "  ", "    ", "▁", "=", "a"]) * rng.choice([1, 1, 9]) for _ in range(600)) for _ in range(20)]
     for t, ids in zip(texts, model.encode_texts(texts)[0], strict=True):
         assert [int(i) for i in ids.split(",") if i] == library.encode(t)
 
