@@ -1,16 +1,14 @@
 """Main text of web pages from text-to-tag ratios.
 
 A streaming parser (html.parser) turns a page into lines, one for each block of text, with the number of tags met in it. A line's
-text-to-tag ratio counts its characters outside links. Element names give its weight: text inside navigation, headers, footers,
-asides, forms, adverts, notices, comments and hidden elements weighs nothing, and nor does text outside the articles and mains of
-a page where these hold NAMED_SHARE of the rest. The ratios are weighed, smoothed with a Gaussian kernel, weighed again, and
-split by 2-means clustering of their logarithms into content and other lines. The content lines select the text's regions:
+text-to-tag ratio counts its characters outside links. The ratios are smoothed with a Gaussian kernel and split by 2-means clustering
+of their logarithms into content and other lines. Names are a veto only: lines inside navigation, headers, footers, asides, forms,
+adverts, notices, comments and hidden elements are no content; no name makes a line content. The content lines select the region:
 
-1. The regions are the articles and mains that hold content lines, else the smallest container that holds every content line,
-   from the first to the last of them.
+1. The region is the smallest container that holds every content line, from the first to the last of them.
 2. Inside, content lines stay, and so do others whose container holds content too: short paragraphs and headings. A container
    without any content line goes if most of its text is links, as lists of links and buttons for sharing are; else it stays.
-3. Without any content line the text is all that weighs something.
+3. Without any content line the text is all that no name vetoes.
 
 White space inside a line becomes one space, lines are joined by one space. Null, empty and markup-only pages give an empty
 text. Broken markup (unclosed or misplaced tags, a page that breaks off) is read as far as it goes. Repeated rows give repeated
@@ -31,8 +29,6 @@ from pyspark.sql import types as T
 from .common import table
 
 SIGMA = 1.5
-#: Share of the text outside page furniture that articles and mains must hold for all else to weigh nothing.
-NAMED_SHARE = 0.3
 #: Share of its text outside links that keeps a container without content lines.
 PLAIN_SHARE = 0.5
 
@@ -73,11 +69,11 @@ def _is_furniture(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class LineParser(HTMLParser):
-    """Collects lines (text, tags, container, out, characters outside links); containers are numbered, with parent and name."""
+    """Collects lines (text, tags, container, out, characters outside links); containers are numbered, with their parents."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.parent, self.name = [-1], [""]
+        self.parent = [-1]
         #: Open elements: tag, container number, whether page furniture, whether silent.
         self.open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
         self.texts: list[str] = []
@@ -115,7 +111,6 @@ class LineParser(HTMLParser):
             _, container, above, silent = self.open[-1]
             if tag in CONTAINERS:
                 self.parent.append(container)
-                self.name.append(tag)
                 container = len(self.parent) - 1
             self.open.append((tag, container, above or out, silent or tag in SILENT))
 
@@ -172,10 +167,10 @@ def threshold(ratio: np.ndarray) -> float:
     return float(np.expm1((low + high) / 2))
 
 
-def is_content(weight: np.ndarray, plain: np.ndarray, tags: np.ndarray) -> np.ndarray:
-    """Which lines have a weighed, smoothed text-to-tag ratio in the upper cluster."""
-    weighed = weight * smooth(weight * plain / tags)
-    return weighed >= threshold(weighed)
+def is_content(plain: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Which lines have text outside links, and a smoothed text-to-tag ratio in the upper cluster."""
+    ratio = smooth(plain / tags)
+    return (plain > 0) & (ratio >= threshold(ratio))
 
 
 def main_text(html: str | None) -> str:
@@ -203,25 +198,16 @@ def main_text(html: str | None) -> str:
             total[parent[c]] += total[c]
         return total
 
-    named = np.array([x in ("article", "main") for x in parser.name])
-    weight = (~out).astype(float)
-    in_named = inner(named)[holder]
-    by_name = (length * weight)[in_named].sum() >= NAMED_SHARE * max((length * weight).sum(), 1)
-    if by_name:
-        weight *= in_named
-    content = is_content(weight, plain, tags)
+    content = is_content(plain, tags) & ~out
     if not content.any():
-        return " ".join(texts[weight > 0])
+        return " ".join(texts[~out])
     mass = summed(length * content)
     first, last = np.flatnonzero(content)[[0, -1]]
-    if by_name and (content & in_named).sum() == content.sum():
-        stays = inner(named & (mass > 0))[holder]
-    else:
-        region = np.zeros(n, dtype=bool)
-        region[np.flatnonzero(mass == mass[0])[-1]] = True  # the innermost that holds all of it
-        stays = inner(region)[holder]
-        stays[:first] &= mass[holder[:first]] > 0
-        stays[last + 1 :] &= mass[holder[last + 1 :]] > 0
+    region = np.zeros(n, dtype=bool)
+    region[np.flatnonzero(mass == mass[0])[-1]] = True  # the innermost that holds all of it
+    stays = inner(region)[holder]
+    stays[:first] &= mass[holder[:first]] > 0
+    stays[last + 1 :] &= mass[holder[last + 1 :]] > 0
     whole, outside_links = summed(length), summed(plain)
     without = np.array([c > 0 and mass[c] == 0 and mass[parent[c]] > 0 for c in range(n)])
     links = inner(without & (outside_links < PLAIN_SHARE * whole))

@@ -211,46 +211,45 @@ def test_html(spark):
 
 
 def test_html_ratios_decide(monkeypatch):
-    """The regions follow from ratio, smoothing and clustering: a plain loop finds the same lines, and without them the text is another."""
+    """Content follows from ratio, smoothing and clustering: a plain loop finds the same lines; no name picks the region, and where
+    no name vetoes, pages give another text without the ratios."""
     from sitelens.llm import html_text as h
 
     rng = random.Random(4)
-    pages = []
-    for _ in range(60):
-        paragraphs = [f"<p>{prose(rng, rng.choice([2, 15, 60, 120]))}</p>" for _ in range(rng.randint(2, 9))]
+    changed = same = 0
+    for k in range(90):
+        paragraphs = [f"<p>{prose(rng, rng.choice([15, 60, 120]))}</p>" for _ in range(rng.randint(3, 9))]
         share = "<div><ul>" + "".join(f"<li><a href=x>{prose(rng, 2)}</a></li>" for _ in range(rng.randint(6, 12))) + "</ul></div>"
         paragraphs.insert(rng.randrange(len(paragraphs) + 1), share)
-        article = "".join(paragraphs)
-        pages.append("<body><nav>" + "<a href=x>Menu</a><br>" * 4 + "</nav>" + rng.choice(["<article>{}</article>", "<div><div>{}</div></div>", "<main><h1>Head</h1>{}</main>"]).format(article) + "<footer>Us</footer>")
-    changed = 0
-    for page in pages:
+        menu = "".join(f"<div><i>Item</i><b>{j}</b></div>" for j in range(9)) if k % 3 else "<nav>" + "<a href=x>Menu</a><br>" * 4 + "</nav>"
+        body = menu + "<section>{}</section>".format("".join(paragraphs)) + ("" if k % 3 else "<footer>Us</footer>")
+        page = f"<body>{body}"
         parser = h.LineParser()
         parser.feed(page)
         parser.close()
         lines = parser.lines
-        weight = [0.0 if out else 1.0 for *_, out, _ in lines]
-        ratio = [w * plain / tags for w, (_, tags, _, _, plain) in zip(weight, lines, strict=True)]
+        ratio = [plain / tags for _, tags, _, _, plain in lines]
         smooth = []
         for i in range(len(ratio)):
             near = [(math.exp(-0.5 * ((i - j) / h.SIGMA) ** 2), ratio[j]) for j in range(len(ratio)) if abs(i - j) <= math.ceil(3 * h.SIGMA)]
-            smooth.append(weight[i] * sum(k * r for k, r in near) / sum(k for k, _ in near))
+            smooth.append(sum(k * r for k, r in near) / sum(k for k, _ in near))
         x = [math.log1p(r) for r in smooth]
         low, high = min(x), max(x)
         for _ in range(30):
             below, above = [v for v in x if v <= (low + high) / 2], [v for v in x if v > (low + high) / 2]
             low, high = sum(below) / len(below), sum(above) / len(above)
-        want = [v >= (low + high) / 2 for v in x]
-        got = h.is_content(np.array(weight), np.array([float(n) for *_, n in lines]), np.array([float(t) for _, t, *_ in lines]))
-        assert got.tolist() == want
+        want = [v >= (low + high) / 2 and r > 0 for v, r in zip(x, ratio, strict=True)]
+        assert h.is_content(np.array([float(n) for *_, n in lines]), np.array([float(t) for _, t, *_ in lines])).tolist() == want
         text = h.main_text(page)
         with monkeypatch.context() as m:
-            m.setattr(h, "is_content", lambda weight, plain, tags: np.ones(len(weight), dtype=bool))
+            m.setattr(h, "is_content", lambda plain, tags: np.ones(len(plain), dtype=bool))
             changed += h.main_text(page) != text
         words = set(text.split())
         links = {w for t, *_, n in lines if n == 0 for w in t.split()}
-        assert "Menu" not in words and "Us" not in words
-        assert words >= {w for t, *_, out, n in lines if n and not out for w in t.split()} - links - {"Us", "Head"}
-    assert changed == len(pages)
+        assert "Menu" not in words and "Us" not in words and "0" not in words and "1" not in words
+        assert words >= {w for t, *_, out, n in lines if n > 40 and not out for w in t.split()} - links
+        same += h.main_text(page.replace("section", "article")) == text == h.main_text(page.replace("section", "main"))
+    assert changed >= 60 and same == 90
 
 
 def test_html_edges(spark):
