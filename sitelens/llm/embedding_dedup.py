@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .common import cut, discard, table, whole_groups
 from .components import connected_components
-from .vectors import packed, usable
+from .vectors import as_matrix, balanced, packed, usable
 
 THRESHOLD = 0.9
 RECALL = 0.995
@@ -122,7 +122,7 @@ def links(classes: DataFrame, bits: int, tables: int, threshold: float = THRESHO
             dims = np.asarray(batch.column(1))
             for d in np.unique(dims):
                 some = batch.filter(pa.array(dims == d))
-                x = np.frombuffer(b"".join(some.column(2).to_pylist()), dtype=np.float64).reshape(-1, d)
+                x = balanced(as_matrix(some.column(2), d))
                 found = sign_codes(x, bits, tables)
                 cells = pa.array([row.tobytes() for row in found], pa.binary())
                 each = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * tables, pa.int32()), pa.array(found.ravel(), pa.int32()))
@@ -162,7 +162,7 @@ def links(classes: DataFrame, bits: int, tables: int, threshold: float = THRESHO
             found = []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 some = rows.slice(a, b - a)
-                x = np.frombuffer(b"".join(some.column("v").to_pylist()), dtype=np.float64).reshape(-1, d[a])
+                x = balanced(as_matrix(some.column("v"), d[a]))
                 codes = np.frombuffer(b"".join(some.column("codes").to_pylist()), dtype=np.int32).reshape(-1, tables)
                 found.append(_compare(rep[a:b], times[a:b], x, codes, own[a:b], t[a], i[a], j[a], threshold))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], names=out.names)
@@ -185,6 +185,7 @@ def dedup(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", thre
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     known = classes.select("h", "rep", "times").join(counts, "rep", "left").join(of_class.withColumnRenamed("node", "rep"), "rep", "left")
     known = cut(known.select("h", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "class-links")
+    discard(found, classes)
     linked = members.select("id", "h").join(known, "h", "left").select("id", "n_links", "component_id")
     alone = rows.where(~usable("e")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone).select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))

@@ -22,6 +22,13 @@ def as_matrix(column: pa.Array | pa.ChunkedArray, dimension: int) -> np.ndarray:
     return np.frombuffer(values, dtype=np.float64).reshape(-1, dimension)
 
 
+def balanced(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to between a half and one: exact, and products stay finite."""
+    if not len(x):
+        return x
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def packed(df: DataFrame, vector: str, into: str) -> DataFrame:
     """df with usable vectors as float64 bytes in a binary column into, in place of the array column."""
     keep = [c for c in df.columns if c != vector]

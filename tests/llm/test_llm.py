@@ -407,6 +407,17 @@ def test_embeddings(spark, vectors, monkeypatch):
     assert embedding_dedup.dedup(empty(spark, VECTORS)).count() == 0
 
 
+def test_embeddings_of_any_magnitude(spark):
+    """Components near the ends of the range of doubles: squares over- and underflow, cosines mustn't."""
+    from sitelens.llm import embedding_dedup
+
+    a, b, c = np.array([1.0, 0, 0, 0]), np.array([0.8, 0.6, 0, 0]), np.array([1.0, 0.05, 0, 0])
+    rows = [(10 * k + j, (v * size).tolist(), 0) for k, size in enumerate((1e-200, 1e200, 1.0, 1e-310, 1e308)) for j, v in enumerate((a, b, c))]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.dedup(frame(spark, rows, VECTORS.replace("float", "double"))).collect()}
+    alike = [i for i, *_ in rows if i % 10 != 1]  # cosine over 0.9 at every magnitude; the others are 0.8 from a, 0.83 from c
+    assert found == {i: (9, 0) if i in alike else (4, 1) for i, *_ in rows}
+
+
 def brute_nearest(data, q, k=10):
     return sorted((float(np.sqrt(((data[q] - v) ** 2).sum())), i) for i, v in data.items() if i != q and len(v) == len(data[q]))[:k]
 
@@ -509,6 +520,22 @@ def test_mixing_many_sources(spark):
     assert (out["n"], out["slots"], out["last"]) == (100_000, 100_000, 99_999)
 
 
+def test_mixing_small_sources_keep_targets(spark):
+    """One large source beside thousands of single rows: each has its share of the slots, and no block is a whole slot off."""
+    from sitelens.llm import mixing
+
+    sizes = {"large": 10_000, **{f"one {i}": 1 for i in range(4000)}, **{f"nine {i}": 9 for i in range(50)}}
+    docs = spark.createDataFrame([*sizes.items()], "source string, n int").select("source", F.explode(F.sequence(F.lit(1), "n")).alias("k")).select(F.concat("source", F.lit(" "), "k").alias("doc_id"), "source")
+    total = sum(n**0.5 for n in sizes.values())
+    units = {r["source"]: r["units"] for r in mixing.smoothed_units(spark.createDataFrame([*sizes.items()], "source string, n long")).collect()}
+    assert units == {s: round(n**0.5) for s, n in sizes.items()}
+    placed = mixing.schedule(docs, block_rows=1).where("source = 'large'").select("__block", "__slot").collect()
+    weight = 100 / total
+    assert len(placed) == 10_000
+    for r in placed:
+        assert (r["__block"] / weight) - 1 < r["__slot"] < (r["__block"] + 1) / weight
+
+
 # 9
 
 
@@ -583,6 +610,24 @@ def test_lines(spark):
     assert sorted(r["text"] for r in dedup_lines(frame(spark, short)).collect()) == ["Les.\nown 0", "own 1", "own 2"]
 
 
+def test_documents_of_many_lines(spark):
+    """Tens of thousands of repeated lines in one document take time in proportion."""
+    import time
+
+    from sitelens.llm.line_dedup import dedup_lines
+
+    def rows(n):
+        return [(i, f"own {i}\n" + "the same line\n" * n + f"end {i}", "en", f"s{i}", 0) for i in range(4)]
+
+    seconds = []
+    for n in (1000, 60_000):
+        began = time.time()
+        out = {r["doc_id"]: (r["text"], r["__n_removed"]) for r in dedup_lines(frame(spark, rows(n)), counts=True).collect()}
+        seconds.append(time.time() - began)
+        assert out == {i: (f"own {i}\n" + "the same line\n" * (i == 0) + f"end {i}", n - (i == 0)) for i in range(4)}
+    assert seconds[1] < seconds[0] + 20
+
+
 @pytest.mark.parametrize("name", ["op8_mixing", "op10_line_dedup"])
 def test_sql(spark, sf, name):
     import duckdb
