@@ -7,9 +7,10 @@ block meets its deadline, so that after any slot t a source that still has block
 of them. The schedule repeats every A slots, as all have had exactly their units by then.
 
 Sources with as many units as one another have the same releases and deadlines. So the k-th blocks of all of them are one batch,
-and only batches are scheduled: a batch runs until it is done or another is released. That takes two steps for each batch at most,
-whatever the number of sources: sizes smoothed to RESOLUTION units give at most RESOLUTION + 1 batches. The runs are spread over
-slots, ranks of sources and blocks by joins, so that neither sources nor documents are gathered anywhere.
+and only batches are scheduled: a batch runs until it is done or another is released. That takes two steps for each batch at most; their
+number is the sum of the different units, whatever the number of sources. The runs are spread over slots, ranks of sources and
+blocks by joins, so that neither sources nor documents are gathered anywhere. Smoothed sizes are RESOLUTION units in all, or as many
+more as the smallest source needs to have one of its own, so that no number of small sources takes from the targets of others.
 
 Slots of a source that has run out stay empty: the others keep their shares of one another. No row is dropped or repeated; rows
 of a source with weight 0 have no block, slot and position (nulls), sources without a given weight have one unit, and a negative
@@ -40,10 +41,11 @@ RESULTS = ["__block", "__slot", "__position"]
 
 
 def smoothed_units(sizes: DataFrame, exponent: float = EXPONENT, resolution: int = RESOLUTION) -> DataFrame:
-    """Units of each source of sizes (source, n) in proportion to its number of rows to the power exponent, at least one."""
+    """Units of each source of sizes (source, n) in proportion to its number of rows to the power exponent: resolution in all, or more if the smallest source would have none."""
     size = sizes.groupBy("source").agg(F.pow(F.sum("n").cast("double"), F.lit(exponent)).alias("size"))
-    total = size.agg(F.sum("size").alias("total"))
-    return size.join(F.broadcast(total)).select("source", F.greatest(F.floor(F.round(resolution * F.col("size") / F.col("total"), 6)), F.lit(1)).cast("long").alias("units"))  # total: one row
+    total = size.agg(F.sum("size").alias("total"), F.min("size").alias("least"))
+    share = F.greatest(F.lit(resolution), F.ceil(F.round(F.col("total") / F.col("least"), 6))) * F.col("size") / F.col("total")
+    return size.join(F.broadcast(total)).select("source", F.floor(F.round(share, 6)).cast("long").alias("units"))  # total: one row
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -59,7 +61,7 @@ def _before(rows: DataFrame, group: str) -> DataFrame:
 
 def batches(units: DataFrame) -> DataFrame:
     """units, turn, first, slot, length, period: runs of the period's schedule; in each, sources from the first-th on of those with so many units have their turn."""
-    classes = units.groupBy("units").agg(F.count("*").alias("sources"))  # RESOLUTION / 2 rows at most, or one for each weight given
+    classes = units.groupBy("units").agg(F.count("*").alias("sources"))  # one for each number of units
     one = classes.agg(F.sort_array(F.collect_list(F.struct("units", "sources")), asc=False).alias("c"), F.sum(F.col("units") * F.col("sources")).alias("period"), F.sum("units").alias("batches")).where("period > 0")
     c, period, never = F.col("c"), F.col("period"), F.lit(2**62)
 
@@ -142,7 +144,7 @@ OP8_SQL = f"""
 WITH RECURSIVE n AS (
   SELECT coalesce(source, '') AS s, count(*) AS c FROM documents GROUP BY 1
 ), u AS (
-  SELECT s, CAST(greatest(floor(round({RESOLUTION} * pow(c, {EXPONENT}) / (SELECT sum(pow(c, {EXPONENT})) FROM n), 6)), 1) AS BIGINT) AS a FROM n
+  SELECT s, CAST(floor(round(greatest({RESOLUTION}, ceil(round(total / least, 6))) * pow(c, {EXPONENT}) / total, 6)) AS BIGINT) AS a FROM n, (SELECT sum(pow(c, {EXPONENT})) AS total, min(pow(c, {EXPONENT})) AS least FROM n)
 ), g AS (
   SELECT list(a ORDER BY a DESC, md5(s), s) AS a, list(s ORDER BY a DESC, md5(s), s) AS s, CAST(sum(a) AS BIGINT) AS total FROM u
 ), e(slot, turn, best, took) AS (
