@@ -12,7 +12,7 @@ alike. Other columns pass through, whatever their names; those named as one of t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table, unused
@@ -41,22 +41,29 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     return near.join(exact.select(*by), by, "left_semi").unionByName(spread.where(F.col("sites") > min_sites + margin).select(*by, "first"))
 
 
+def _flags(places: str) -> Column:
+    """An array that is true at the given places (sorted) and false between them; it ends with the last."""
+    before = F.concat(F.array(F.lit(-1)), F.slice(places, F.lit(1), F.size(places) - 1))
+    return F.flatten(F.zip_with(places, before, lambda at, last: F.concat(F.array_repeat(F.lit(False), at - last - 1), F.array(F.lit(True)))))
+
+
 def dedup_lines(docs: DataFrame, *, text: str = "text", site: str = "source", key: str = "doc_id", min_sites: int = MIN_SITES, counts: bool = False) -> DataFrame:
     """docs with boilerplate lines removed from text; with counts also __n_lines and __n_removed."""
     made = ["__n_lines", "__n_removed"] if counts else []
     keep = [c for c in docs.columns if c not in made]
-    gone, own, th = unused(docs.columns, "gone", "id", "th")
+    gone, many, own, th = unused(docs.columns, "gone", "many", "id", "th")
     lines = cut(_lines(docs, text, site, key), "lines")
     flagged = boilerplate(lines, min_sites)
     again = lines.join(flagged, ["h1", "h2"]).where((F.col("first.id") != F.col("id")) | (F.col("first.at") != F.col("at")))
-    places = again.groupBy("id", "th").agg(F.collect_set("at").alias(gone)).withColumnsRenamed({"id": own, "th": th})
+    places = again.groupBy("id", "th").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    places = places.select(F.col("id").alias(own), F.col("th").alias(th), _flags("at").alias(gone), F.size("at").alias(many))
     keyed = docs.select(*keep, F.coalesce(F.col(key), F.lit(-(2**63))).alias(own), F.xxhash64(text).alias(th))
     out = keyed.join(places, [own, th], "left")
     split = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    kept = F.array_join(F.zip_with(split, F.col(gone), lambda line, flag: F.when(flag.isNull() | ~flag, line)), "\n")  # nulls aren't joined
     texts = F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept).alias(text)
     n_lines = F.when(F.length(text) > 0, F.size(split)).otherwise(0).cast("long").alias("__n_lines")
-    n_removed = F.coalesce(F.array_size(gone), F.lit(0)).cast("long").alias("__n_removed")
+    n_removed = F.coalesce(F.col(many), F.lit(0)).cast("long").alias("__n_removed")
     return out.select(*(texts if c == text else F.col(c) for c in keep), *[n_lines, n_removed][: len(made)])
 
 
