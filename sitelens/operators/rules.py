@@ -18,6 +18,7 @@ from ..functions.resources import is_asset
 from ..functions.seo import is_auditable, is_valid_hreflang
 from ..functions.text import NEAR_DISTANCE, hamming, similarity_percent
 from .links import broken_images, broken_internal_links
+from .near_duplicates import nearest_duplicates
 
 FINDING = ["page_id", "url", "code", "severity", "title", "details"]
 DUPLICATE_PREFIX = 190
@@ -173,9 +174,10 @@ def near_duplicate_pairs(pages: DataFrame, *, digits: int = BLOCK_DIGITS, block_
     return pairs.select(pick("id_x", "id_y").alias("id_a"), pick("url_x", "url_y").alias("url_a"), pick("id_y", "id_x").alias("id_b"), pick("url_y", "url_x").alias("url_b"), "distance", similarity_percent(F.col("distance")).alias("similarity"))
 
 
-def near_duplicate_findings(pages: DataFrame, **options) -> DataFrame:
-    said = F.concat(F.col("similarity").cast("string"), F.lit("% similar a "), F.col("url_b"))
-    return _finding(near_duplicate_pairs(pages, **options), "id_a", "url_a", "NEAR_DUPLICATE_CONTENT", "MEDIUM", "Contenido casi duplicado", said)
+def near_duplicate_findings(pages: DataFrame) -> DataFrame:
+    """A finding for each page that has a near-duplicate, with the nearest one; all pairs are found, whatever block they would be in."""
+    said = F.concat(F.col("similarity").cast("string"), F.lit("% similar a "), F.col("other_url"))
+    return _finding(nearest_duplicates(pages), "id", "url", "NEAR_DUPLICATE_CONTENT", "MEDIUM", "Contenido casi duplicado", said)
 
 
 def schema_findings(schemas: DataFrame, pages: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import urls
 from ..functions.lineage import cut
 from ..functions.resources import classify, extension_of, media_type_from_extension
 from ..functions.seo import alt_state, has_noindex, is_nofollow, is_valid_hreflang, severity_rank
-from ..operators import compare, graph, inventory, keywords, links, rules, sinks, stats, trees
+from ..operators import compare, graph, inventory, keywords, links, near_duplicates, rules, sinks, stats, trees
 from .crawl_view import crawl_links, crawl_pages, crawl_sql, second_crawl
 from .registry import ORACLE_SQL, QUERIES, query
 from .registry import table as _t
@@ -341,12 +341,31 @@ _SIMHASH = r"""w AS MATERIALIZED (SELECT doc_id AS id, text, list_filter(regexp_
 ), p AS MATERIALIZED (SELECT simhash, count(*) AS pages, min(id) AS first_id, count(DISTINCT content) AS contents, ('0x' || substr(simhash, 1, 8))::BIGINT AS hi, ('0x' || substr(simhash, 9, 8))::BIGINT AS lo FROM own GROUP BY 1)"""
 
 
+def _fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as pages with fingerprints."""
+    own = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.concat(F.lit("doc:"), "doc_id").alias("normalized_url"), F.sha2("text", 256).alias("content_hash"), F.size(F.split(F.trim("text"), r"\s+")).alias("word_count"), F.lit(True).alias("indexable"))
+    return tx.with_simhash(own, "id", "text").drop("text")
+
+
 @query("near_duplicate_simhash", f"""WITH {_SIMHASH} SELECT a.simhash AS simhash_a, b.simhash AS simhash_b, bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS distance, a.pages AS pages_a, b.pages AS pages_b, a.first_id AS first_id_a, b.first_id AS first_id_b
   FROM p a JOIN p b ON substr(a.simhash, 1, 3) = substr(b.simhash, 1, 3) AND a.simhash <= b.simhash WHERE (a.simhash < b.simhash OR a.contents > 1) AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 6""")
 def _(spark, d):
-    own = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.concat(F.lit("doc:"), "doc_id").alias("normalized_url"), F.sha2("text", 256).alias("content_hash"), F.size(F.split(F.trim("text"), r"\s+")).alias("word_count"), F.lit(True).alias("indexable"))
-    prints = tx.with_simhash(own, "id", "text").drop("text")
-    return rules.near_duplicate_prints(prints).select("simhash_a", "simhash_b", "distance", "pages_a", "pages_b", "first_id_a", "first_id_b")
+    return rules.near_duplicate_prints(_fingerprints(spark, d)).select("simhash_a", "simhash_b", "distance", "pages_a", "pages_b", "first_id_a", "first_id_b")
+
+
+_NEAR = """near AS MATERIALIZED (SELECT a.simhash AS f, b.simhash AS g, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INT) AS distance FROM p a, p b WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 6),
+  pair AS MATERIALIZED (SELECT a.id, b.id AS other_id, distance FROM near JOIN own a ON a.simhash = f JOIN own b ON b.simhash = g WHERE a.id <> b.id AND a.content IS DISTINCT FROM b.content)"""
+
+
+@query("near_duplicate_findings", f"""WITH {_SIMHASH}, {_NEAR} SELECT id AS page_id, 'NEAR_DUPLICATE_CONTENT' AS code, CAST(floor((64 - b[1]) / 64 * 100 + 0.5) AS INT) || '% similar a doc:' || b[2] AS details FROM (SELECT id, min((distance, other_id)) AS b FROM pair GROUP BY 1)""")
+def _(spark, d):
+    return rules.near_duplicate_findings(_fingerprints(spark, d)).select("page_id", "code", "details")
+
+
+@query("near_duplicate_groups", f"""WITH RECURSIVE {_SIMHASH}, {_NEAR}, r(id, other_id) AS (SELECT id, other_id FROM pair UNION SELECT r.id, pair.other_id FROM r JOIN pair ON pair.id = r.other_id)
+  SELECT id, simhash, group_id, count(*) OVER (PARTITION BY group_id) AS group_pages FROM (SELECT id, least(id, min(other_id)) AS group_id FROM r GROUP BY 1) JOIN own USING (id)""")
+def _(spark, d):
+    return near_duplicates.near_duplicate_groups(_fingerprints(spark, d)).select("id", "simhash", "group_id", "group_pages")
 
 
 @query("word_counts", r"SELECT doc_id, len(regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) AS words FROM documents")
