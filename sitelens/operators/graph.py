@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import math
 import random
-from collections import defaultdict, deque
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Callable
+from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ..functions.lineage import cut, discard
 from .links import edges_within
 
-BETWEENNESS_NODES = 5_000
+#: Rows (source, node) of one batch of betweenness sources.
+STATE_ROWS = 50_000_000
 LOUVAIN_NODES = 200_000
 #: Crawls whose totals (two numbers each) are sent to every task.
 BROADCAST_CRAWLS = 100_000
@@ -89,57 +92,86 @@ def hits(nodes: DataFrame, edges: DataFrame, *, iterations: int = 100, tolerance
     return nodes.select("id").join(hubs, "id", "left").join(scaled(authorities(hubs), "authority"), "id", "left").fillna(0.0, ["hub", "authority"])
 
 
-def _brandes(starts: np.ndarray, ends: np.ndarray, source: int) -> Iterator[tuple[int, float]]:
-    """Dependency of a source's shortest paths on each node; the nodes that v leads to are ends[starts[v] : starts[v + 1]]."""
-    paths, distance, before, order = defaultdict(float, {source: 1.0}), {source: 0}, defaultdict(list), []
-    queue = deque([source])
-    while queue:
-        v = queue.popleft()
-        order.append(v)
-        for w in ends[starts[v] : starts[v + 1]].tolist():
-            if w not in distance:
-                distance[w] = distance[v] + 1
-                queue.append(w)
-            if distance[w] == distance[v] + 1:
-                paths[w] += paths[v]
-                before[w].append(v)
-    credit: dict[int, float] = defaultdict(float)
-    for w in reversed(order):
-        for v in before[w]:
-            credit[v] += paths[v] / paths[w] * (1 + credit[w])
-        if w != source:
-            yield w, credit[w]
-
-
-def betweenness(nodes: DataFrame, edges: DataFrame, *, limit: int = BETWEENNESS_NODES) -> DataFrame | None:
-    """id, betweenness (directed, normalised), exact; None over limit nodes. Tasks get the adjacency as two arrays of 4-byte numbers.
-
-    With limit nodes there are limit * limit edges at most, and no more than that is ever sent (100 MB for 5,000 nodes that all
-    link to each other).
+def sources_for(n: int, error: float, confidence: float = 0.95) -> int:
+    """Sources that hold the error of every node's sampled betweenness under error with this confidence (Hoeffding's bound, summed over n nodes)."""
+    if n < 3:
+        return n
+    spread = n / (n - 1)  # a source adds this much at most to its mean
+    return min(n, math.ceil(spread * spread * math.log(2 * n / (1 - confidence)) / (2 * error * error)))
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, *, error: float | None = None, confidence: float = 0.95, state_rows: int = STATE_ROWS) -> DataFrame:
+    """id, betweenness (directed, divided by (n - 1)(n - 2)); each crawl_id of nodes is a graph of its own.
+
+    Shortest paths are searched from many sources at once: a level is a table of (source, node, number of shortest paths), the next
+    one a join with the edges, summed by node, less what was reached before. Then the levels are walked back, and each node gets
+    from those behind it its share of their paths. Sources go in batches, so that a batch has state_rows rows at most; levels are
+    written tables and deleted with their batch. All nodes are sources, and the result exact, unless an error is given: then as
+    many as sources_for() says, those with the smallest hashes of their ids, scaled up. A hub's links are summed where they are read.
     """
-    ids = nodes.select("id").distinct().limit(limit + 1).toArrow().column("id").to_numpy()
-    if len(ids) > limit:
-        return None
-    ids = np.sort(ids)
-    n = len(ids)
-    number = nodes.sparkSession.createDataFrame([(int(i), k) for k, i in enumerate(ids)], "id long, k int")  # limit rows
-    inner = simple_edges(edges).join(F.broadcast(number.toDF("src", "a")), "src").join(F.broadcast(number.toDF("dst", "b")), "dst").select("a", "b").toArrow()
-    a, b = inner.column("a").to_numpy(), inner.column("b").to_numpy()
-    order = np.lexsort((b, a))
-    shared = nodes.sparkSession.sparkContext.broadcast((np.searchsorted(a[order], np.arange(n + 1)), b[order].astype(np.int32)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, float] = defaultdict(float)
-        for batch in batches:
-            for s in batch["k"]:
-                for v, c in _brandes(*shared.value, s):
-                    total[v] += c
-        yield pd.DataFrame({"k": [*total.keys()], "c": [*total.values()]})
-
-    sources = number.repartition(min(64, max(1, n // 50 + 1)), "k").select("k")
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    sums = sources.mapInPandas(run, "k int, c double").groupBy("k").agg(F.sum("c").alias("c"))
-    return number.join(sums, "k", "left").select("id", (F.coalesce("c", F.lit(0.0)) * scale).alias("betweenness"))
+    crawl = F.col("crawl_id") if "crawl_id" in nodes.columns else F.lit(0)
+    own = cut(nodes.select("id", crawl.alias("crawl")).distinct(), "between-nodes")
+    simple = cut(simple_edges(edges).join(own.select(F.col("id").alias("src")), "src", "left_semi").join(own.select(F.col("id").alias("dst")), "dst", "left_semi"), "between-edges")
+    sizes = own.groupBy("crawl").agg(F.count("*").alias("n"))
+    if error is None:
+        wanted = F.col("n")
+    else:  # as sources_for(), for each crawl's n
+        bound = F.pow(F.col("n") / F.greatest(F.col("n") - 1, F.lit(1)), 2) * F.log(2 * F.col("n") / (1 - confidence)) / (2 * error * error)
+        wanted = F.when(F.col("n") < 3, F.col("n")).otherwise(F.least(F.col("n"), F.ceil(bound)))
+    scale = F.when(F.col("n") > 2, F.col("n") / F.col("wanted") / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(1.0)
+    sizes = cut(sizes.withColumn("wanted", wanted).select("crawl", "wanted", "n", scale.alias("scale")), "between-sizes")
+    linked = own.join(simple.select(F.col("src").alias("id")).distinct(), "id", "left_semi")  # others reach nothing
+    if error is None:
+        chosen = linked.select(F.col("id").alias("s"), "crawl")
+    else:
+        chosen = _smallest_hashes(own, sizes).join(linked.select("id"), "id", "left_semi").select(F.col("id").alias("s"), "crawl")
+    # Batches: a source's rows are as many as its crawl has nodes.
+    load = chosen.join(sizes, "crawl").agg(F.sum(F.col("n").cast("double")).alias("rows")).first()["rows"] or 0
+    batches = max(1, math.ceil(load / state_rows))
+    chosen = cut(chosen.withColumn("batch", F.pmod(F.xxhash64("s"), F.lit(batches)).cast("int")), "between-sources")
+    shares = [_dependencies(chosen.where(F.col("batch") == k).select("s"), simple) for k in range(batches)]
+    total = reduce(DataFrame.unionByName, shares).groupBy("id").agg(F.sum("c").alias("c"))
+    out = own.join(sizes, "crawl").join(total, "id", "left")
+    return out.select("id", (F.coalesce("c", F.lit(0.0)) * F.col("scale")).alias("betweenness"))
+
+
+def _smallest_hashes(own: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The wanted number of each crawl's nodes, by hash of their ids: whole buckets, and the first of the bucket where the number is reached."""
+    keyed = own.withColumn("h", F.xxhash64("id")).withColumn("bucket", F.shiftright("h", 52))
+    before = W.Window.partitionBy("crawl").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1)
+    counts = keyed.groupBy("crawl", "bucket").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(before), F.lit(0)))
+    place = F.row_number().over(W.Window.partitionBy("crawl", "bucket").orderBy("h", "id"))
+    ranked = keyed.join(counts, ["crawl", "bucket"]).join(sizes, "crawl").where(F.col("before") < F.col("wanted")).withColumn("place", place)
+    return ranked.where(F.col("before") + F.col("place") <= F.col("wanted")).select("id", "crawl")
+
+
+def _dependencies(sources: DataFrame, simple: DataFrame) -> DataFrame:
+    """id, c: summed dependencies of the shortest paths from some sources on the nodes between (Brandes' sums, level by level)."""
+    levels = [cut(sources.select("s", F.col("s").alias("id"), F.lit(1.0).alias("paths")), "level")]
+    while True:
+        ahead = levels[-1].join(simple, F.col("id") == F.col("src")).groupBy("s", "dst").agg(F.sum("paths").alias("paths"))
+        seen = reduce(DataFrame.unionByName, levels).select("s", F.col("id").alias("dst"))
+        level = cut(ahead.join(seen, ["s", "dst"], "left_anti").select("s", F.col("dst").alias("id"), "paths"), "level")
+        if level.isEmpty():
+            discard(level)
+            break
+        levels.append(level)
+    parts: list[DataFrame] = []
+    behind: DataFrame | None = None
+    for k in range(len(levels) - 1, 0, -1):  # the sources themselves are no nodes between
+        level = levels[k]
+        if behind is None:
+            credit = level.withColumn("c", F.lit(0.0))
+        else:
+            weight = (1 + F.col("c")) / F.col("paths")
+            back = simple.join(behind.select("s", F.col("id").alias("dst"), weight.alias("weight")), "dst").groupBy("s", F.col("src").alias("id")).agg(F.sum("weight").alias("weight"))
+            credit = level.join(back, ["s", "id"], "left").select("s", "id", "paths", (F.col("paths") * F.coalesce("weight", F.lit(0.0))).alias("c"))
+        behind = cut(credit, "credit")
+        parts.append(behind)
+    found = sources.select(F.col("s").alias("id"), F.lit(0.0).alias("c")) if not parts else reduce(DataFrame.unionByName, parts).select("id", "c")
+    out = cut(found.where("c > 0").groupBy("id").agg(F.sum("c").alias("c")), "between")
+    discard(*levels, *parts)
+    return out
 
 
 def louvain_labels(nodes: list, pairs: list[tuple], seed: int = 7) -> tuple[dict, float]:
@@ -252,16 +284,15 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, *, rounds: int = 10) -
     return labels
 
 
-def with_graph_metrics(pages: DataFrame, links: DataFrame, *, iterations: int = 40) -> DataFrame:
-    """pages with internal_page_rank, betweenness, hub_score, authority_score, cluster_id; rank 0 for pages not indexable."""
+def with_graph_metrics(pages: DataFrame, links: DataFrame, *, iterations: int = 40, betweenness_error: float | None = None) -> DataFrame:
+    """pages with internal_page_rank, betweenness (sampled if an error is given), hub_score, authority_score, cluster_id; rank 0 for pages not indexable."""
     nodes = cut(pages.where("indexable").select("id", "crawl_id"), "graph-nodes")
     edges = cut(edges_within(links, nodes), "graph-edges")
     out = pages.drop("internal_page_rank", "betweenness", "hub_score", "authority_score", "cluster_id")
     rank = pagerank(nodes, edges, iterations=iterations).withColumnRenamed("rank", "internal_page_rank")
     scores = hits(nodes, edges).withColumnsRenamed({"hub": "hub_score", "authority": "authority_score"})
     groups = louvain(nodes, edges).select("id", F.col("community").cast("int").alias("cluster_id"))
-    between = betweenness(nodes, edges)
-    between = between if between is not None else nodes.select("id", F.lit(None).cast("double").alias("betweenness"))
+    between = betweenness(nodes, edges, error=betweenness_error)
     for metric in (rank, scores, groups, between):
         out = out.join(metric, "id", "left")
     return out.withColumn("internal_page_rank", F.when(F.col("indexable"), F.col("internal_page_rank")).otherwise(0.0))

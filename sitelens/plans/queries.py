@@ -240,11 +240,23 @@ def _(spark, d):
     return graph.hits(*_graph(spark, d), iterations=100).select("id", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
 
 
-@query("betweenness")
-def _(spark, d):
-    nodes, edges = _graph(spark, d)
-    found = graph.betweenness(nodes, edges)
-    return found if found is not None else nodes.select("id", F.lit(None).cast("double").alias("betweenness"))
+def _betweenness_sql(levels: int) -> str:
+    """Brandes' sums with a table for each level: f (shortest paths by source and node), then c (dependencies), back from the last."""
+    parts = [_EDGE, "sm AS MATERIALIZED (SELECT DISTINCT src, dst FROM edge WHERE src <> dst)", "f0 AS MATERIALIZED (SELECT id AS s, id AS v, 1.0::DOUBLE AS paths FROM page WHERE indexable)", "seen0 AS MATERIALIZED (SELECT s, v FROM f0)"]
+    for k in range(1, levels + 1):
+        parts.append(f"f{k} AS MATERIALIZED (SELECT * FROM (SELECT s, dst AS v, sum(paths) AS paths FROM f{k - 1} JOIN sm ON sm.src = v GROUP BY 1, 2) ANTI JOIN seen{k - 1} USING (s, v))")
+        parts.append(f"seen{k} AS MATERIALIZED (SELECT * FROM seen{k - 1} UNION ALL SELECT s, v FROM f{k})")
+    parts.append(f"c{levels} AS MATERIALIZED (SELECT s, v, paths, 0.0::DOUBLE AS c FROM f{levels})")
+    for k in range(levels - 1, 0, -1):
+        parts.append(f"c{k} AS MATERIALIZED (SELECT s, v, paths, paths * coalesce(w, 0) AS c FROM f{k} LEFT JOIN (SELECT s, src AS v, sum((1 + c) / paths) AS w FROM c{k + 1} JOIN sm ON sm.dst = v GROUP BY 1, 2) USING (s, v))")
+    every = " UNION ALL ".join(f"SELECT v, c FROM c{k}" for k in range(1, levels + 1))
+    n = "(SELECT count(*) FROM page WHERE indexable)"
+    return crawl_sql(", " + ", ".join(parts) + f" SELECT id, round(coalesce(c, 0) / ({n} - 1) / ({n} - 2), 9) AS betweenness FROM page LEFT JOIN (SELECT v AS id, sum(c) AS c FROM ({every}) GROUP BY 1) USING (id) WHERE indexable")
+
+
+@query("betweenness", _betweenness_sql(24))
+def _(spark, d):
+    return graph.betweenness(*_graph(spark, d)).select("id", F.round("betweenness", 9).alias("betweenness"))
 
 
 @query("louvain")
