@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 import math
-import random
-from collections import defaultdict
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.components import components
 from ..functions.lineage import cut, discard
 from .links import edges_within
 
 #: Rows (source, node) of one batch of betweenness sources.
 STATE_ROWS = 50_000_000
-LOUVAIN_NODES = 200_000
+#: Share of the nodes that want to move to another community which do so in a round.
+SHARE = 0.7
 #: Crawls whose totals (two numbers each) are sent to every task.
 BROADCAST_CRAWLS = 100_000
 
@@ -174,77 +173,104 @@ def _dependencies(sources: DataFrame, simple: DataFrame) -> DataFrame:
     return out
 
 
-def louvain_labels(nodes: list, pairs: list[tuple], seed: int = 7) -> tuple[dict, float]:
-    """Communities (numbered by their first node) and modularity of an undirected simple graph, resolution 1."""
-    weight: dict = {v: defaultdict(float) for v in nodes}
-    for a, b in pairs:
-        weight[a][b] = weight[b][a] = 1.0
-    total = sum(sum(w.values()) for w in weight.values())  # twice the number of edges
-    member = {v: v for v in nodes}
-    if total:
-        graph, loops, rng = {v: dict(w) for v, w in weight.items()}, dict.fromkeys(nodes, 0.0), random.Random(seed)
-        while True:
-            degree = {v: sum(w.values()) + loops[v] for v, w in graph.items()}
-            label = {v: v for v in graph}
-            mass = dict(degree)
-            moved_any = moved = True
-            order = [*graph]
-            rng.shuffle(order)
-            moved_any = False
-            while moved:
-                moved = False
-                for v in order:
-                    near: dict = defaultdict(float)
-                    for u, w in graph[v].items():
-                        near[label[u]] += w
-                    own = label[v]
-                    mass[own] -= degree[v]
-                    best, gain = own, near.get(own, 0.0) - mass[own] * degree[v] / total
-                    for c, w in near.items():
-                        g = w - mass[c] * degree[v] / total
-                        if g > gain + 1e-12:
-                            best, gain = c, g
-                    mass[best] += degree[v]
-                    if best != own:
-                        label[v], moved, moved_any = best, True, True
-            if not moved_any:
-                break
-            member = {v: label[c] for v, c in member.items()}
-            bigger: dict = {c: defaultdict(float) for c in set(label.values())}
-            inner: dict = defaultdict(float)
-            for v, ws in graph.items():
-                inner[label[v]] += loops[v]
-                for u, w in ws.items():
-                    if label[u] == label[v]:
-                        inner[label[v]] += w
-                    else:
-                        bigger[label[v]][label[u]] += w
-            graph, loops = {c: dict(w) for c, w in bigger.items()}, {c: inner[c] for c in bigger}
-    number: dict = {}
-    labels = {v: number.setdefault(member[v], len(number)) for v in nodes}
-    inside, degrees = defaultdict(float), defaultdict(float)
-    for v, ws in weight.items():
-        degrees[labels[v]] += sum(ws.values())
-        inside[labels[v]] += sum(w for u, w in ws.items() if labels[u] == labels[v])
-    return labels, sum(inside[c] / total - (d / total) ** 2 for c, d in degrees.items()) if total else 0.0
-
-
-def louvain(nodes: DataFrame, edges: DataFrame, *, group: str = "crawl_id", limit: int = LOUVAIN_NODES) -> DataFrame:
-    """group, id, community, modularity; each crawl of at most limit nodes in one task, larger ones by label propagation.
-
-    nodes has the group column and id; edges src and dst. Without edges each node is its own community. limit is what the
-    crawler's own limit of pages lets a crawl have.
+def louvain(nodes: DataFrame, edges: DataFrame, *, group: str = "crawl_id", rounds: int = 60) -> DataFrame:
+    """group, id, community (numbered by the smallest id), modularity, of each crawl's undirected simple graph at resolution 1.
+
+    Louvain's method as joins: in a round each node sees the communities of its neighbours and the one it would gain most from. Of
+    those that want to move SHARE do, others each time, so that neighbours seldom swap, and into a community no more than about half
+    of what it could take before they lost by it. A round that lowers a crawl's modularity is taken back, and fewer move in the next.
+    When nobody wants to move, communities become the nodes of the next, smaller graph. From its end result the nodes get a second
+    pass over all levels. At last communities that aren't connected are parted, which never lowers the modularity. Crawls go through
+    the rounds side by side, and no crawl is in one task. nodes has the group column and id; edges src and dst. Without edges each
+    node is on its own.
     """
-    nodes = nodes.select(group, "id")
-    sizes = nodes.groupBy(group).agg(F.count("*").alias("n"))
-    large = cut(sizes.where(F.col("n") > limit).select(group), "large-crawls")
-    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    if large.isEmpty():
-        return _louvain_tasks(nodes, pairs, group)
-    one = _louvain_tasks(nodes.join(large, group, "left_anti"), pairs, group)
-    many = cut(nodes.join(large, group, "left_semi"), "large-nodes")
-    labels = cut(many.join(label_propagation(many.select("id"), pairs.toDF("src", "dst").join(many.select(F.col("id").alias("src")), "src", "left_semi")), "id"), "labels")
-    return one.unionByName(labels.join(modularity(labels, pairs, group), group).select(*one.columns))
+    own = cut(nodes.select(F.col(group).alias("g"), "id").distinct(), "louvain-nodes")
+    one_way = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    pairs = one_way.join(own.select("g", F.col("id").alias("a")), "a").join(own.select("g", F.col("id").alias("b")), ["g", "b"])
+    pairs = cut(pairs.select("g", "a", "b"), "louvain-pairs")
+    few = own.select("g").distinct().limit(BROADCAST_CRAWLS + 1).count() <= BROADCAST_CRAWLS
+    small = F.broadcast if few else (lambda df: df)
+    links = pairs.withColumn("w", F.lit(1.0)).unionByName(pairs.select("g", F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1.0).alias("w")))
+    links = cut(links, "louvain-links")
+    base = cut(links.groupBy("g", F.col("a").alias("v")).agg(F.sum("w").alias("k"), F.lit(0.0).alias("loop")), "louvain-level")
+    mass = cut(base.groupBy("g").agg(F.sum("k").alias("mass")), "louvain-mass")
+    member: DataFrame | None = None
+    for _ in range(2):
+        member = _levels(base, links, mass, member, small, rounds)
+    ends = [member.select("g", F.col("id").alias(x), F.col("v").alias(f"c{x}")) for x in "ab"]
+    inside = pairs.join(ends[0], ["g", "a"]).join(ends[1], ["g", "b"]).where("ca = cb").select(F.struct("g", "a").alias("a"), F.struct("g", F.col("b").alias("a")).alias("b"))
+    connected = components(inside, "a", "b").select(F.col("node.g").alias("g"), F.col("node.a").alias("id"), F.col("root.a").alias("first"))
+    labels = cut(own.join(connected, ["g", "id"], "left").select("g", "id", F.coalesce("first", "id").alias("first")), "louvain-labels")
+    names = _numbered(labels.select("g", "first").distinct())
+    out = labels.join(names, ["g", "first"]).select(F.col("g").alias(group), "id", F.col("number").alias("community"))
+    out = cut(out, "louvain-communities")
+    return out.join(small(modularity(out, pairs.select("a", "b"), group)), group).select(group, "id", "community", "modularity")
+
+
+def _levels(level: DataFrame, links: DataFrame, mass: DataFrame, start: DataFrame | None, small: Callable[[DataFrame], DataFrame], rounds: int) -> DataFrame:
+    """g, id, v (community) of the nodes of a level after moves on it and on the graphs of its communities; start: communities to begin with."""
+    own = member = cut(level.select("g", F.col("v").alias("id"), "v"), "louvain-members")
+    begun = level.withColumn("label", F.col("v")) if start is None else level.join(start.select("g", F.col("id").alias("v"), F.col("v").alias("label")), ["g", "v"])
+    while True:
+        labels = _moved(begun, links, mass, small, rounds)
+        if labels.where("v <> label").isEmpty():
+            return member
+        last, member = member, cut(member.join(labels.select("g", "v", "label"), ["g", "v"]).select("g", "id", F.col("label").alias("v")), "louvain-members")
+        ends = [labels.select("g", F.col("v").alias(x), F.col("label").alias(f"c{x}")) for x in "ab"]
+        whole = cut(links.join(ends[0], ["g", "a"]).join(ends[1], ["g", "b"]).groupBy("g", F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "louvain-links")
+        inner = whole.where("a = b").select("g", F.col("a").alias("v"), "w")
+        merged = labels.groupBy("g", F.col("label").alias("v")).agg(F.sum("k").alias("k"), F.sum("loop").alias("loop"))
+        joined = merged.join(inner, ["g", "v"], "left").select("g", "v", "k", (F.col("loop") + F.coalesce("w", F.lit(0.0))).alias("loop"))
+        begun = cut(joined.withColumn("label", F.col("v")), "louvain-level")
+        if last is not own:
+            discard(last)
+        links = whole.where("a <> b")
+
+
+def _numbered(firsts: DataFrame) -> DataFrame:
+    """g, first, number (from 0, by first) for each group, counted by buckets of ids."""
+    keyed = firsts.withColumn("bucket", F.shiftright("first", 12))
+    before = W.Window.partitionBy("g").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1)
+    counts = keyed.groupBy("g", "bucket").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    place = F.row_number().over(W.Window.partitionBy("g", "bucket").orderBy("first"))
+    return keyed.join(counts, ["g", "bucket"]).select("g", "first", (F.col("before") + place - 1).alias("number"))
+
+
+def _moved(level: DataFrame, links: DataFrame, mass: DataFrame, small: Callable[[DataFrame], DataFrame], rounds: int) -> DataFrame:
+    """g, v, k, loop, label of the nodes of a level (g, v, k, loop, label) when none gains from moving any more, or after so many rounds."""
+    now = level.withColumn("prior", F.col("label"))
+    state = mass.select("g", F.lit(-2.0).alias("q"), F.lit(SHARE).alias("share"), F.lit(True).alias("open"))
+    best: DataFrame | None = None
+    for r in range(rounds):
+        total = now.groupBy("g", F.col("label").alias("c")).agg(F.sum("k").alias("t"))
+        seen = links.join(now.select("g", F.col("v").alias("b"), F.col("label").alias("c")), ["g", "b"]).groupBy("g", F.col("a").alias("v"), "c").agg(F.sum("w").alias("w"))
+        offers = seen.unionByName(now.select("g", "v", F.col("label").alias("c"), F.lit(0.0).alias("w"))).groupBy("g", "v", "c").agg(F.sum("w").alias("w"))
+        offers = offers.join(total, ["g", "c"]).join(now, ["g", "v"]).join(small(mass), "g")
+        stays = F.col("c") == F.col("label")
+        gain = F.col("w") - F.col("k") * (F.col("t") - F.when(stays, F.col("k")).otherwise(0.0)) / F.col("mass")
+        found = offers.withColumn("gain", gain).groupBy("g", "v").agg(
+            *(F.first(c).alias(c) for c in ("k", "loop", "label", "prior", "mass")), F.max(F.struct("gain", (-F.col("c")).alias("c"))).alias("m"),
+            F.max(F.when(stays, F.col("gain"))).alias("stay"), F.max(F.when(stays, F.col("w"))).alias("w"), F.max(F.when(stays, F.col("t"))).alias("t"),
+        )
+        wish = F.when((F.col("m.gain") > F.col("stay") + 1e-12) & (-F.col("m.c") != F.col("label")), -F.col("m.c"))
+        room = (F.col("m.gain") - F.col("stay")) * F.col("mass") / F.col("k")  # what may join before the node loses by its move
+        last, best = best, cut(found.select("g", "v", "k", "loop", "label", "prior", wish.alias("wish"), room.alias("room"), "w", "t"), "louvain-offers")
+        # Of each community the sum over its nodes of k * t is the square of its total.
+        sums = best.groupBy("g").agg(F.sum(F.col("w") + F.col("loop")).alias("inside"), F.sum(F.col("k") * F.col("t")).alias("squares"), F.count("wish").alias("movers")).join(small(mass), "g").join(small(state), "g")
+        q = F.col("inside") / F.col("mass") - F.col("squares") / (F.col("mass") * F.col("mass"))
+        worse = q < F.col("q") - 1e-12
+        before, state = state, cut(sums.select("g", F.greatest("q", q).alias("q"), F.when(worse, F.col("share") / 2).otherwise(SHARE).alias("share"), (worse | (F.col("movers") > 0)).alias("open"), worse.alias("back")), "louvain-state")
+        admitted = best.where("wish is not null").groupBy("g", "wish").agg((0.5 * F.avg("room") / F.sum("k")).alias("admitted"))
+        joined = best.join(admitted, ["g", "wish"], "left").join(small(state.select("g", "share", "back")), "g")
+        moves = F.pmod(F.xxhash64("v", F.lit(r)), F.lit(1 << 20)) < F.least("share", "admitted") * (1 << 20)
+        label = F.when(F.col("back"), F.col("prior")).when(moves, F.coalesce("wish", "label")).otherwise(F.col("label"))
+        step = cut(joined.select("g", "v", "k", "loop", label.alias("label"), F.when(F.col("back"), F.col("prior")).otherwise(F.col("label")).alias("prior")), "louvain-step")
+        if last is not None:
+            discard(last, before, now)
+        now = step
+        if state.where("open").isEmpty():
+            break
+    return cut(now.select("g", "v", "k", "loop", F.col("prior").alias("label")), "louvain-moved")  # what has been weighed last
 
 
 def modularity(labels: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
@@ -257,20 +283,6 @@ def modularity(labels: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
     return every.select(group, F.coalesce(F.col("inside") / F.col("m") - F.col("d2") / (4.0 * F.col("m") * F.col("m")), F.lit(0.0)).alias("modularity"))
 
 
-def _louvain_tasks(nodes: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
-    own = nodes.select(group, F.col("id").alias("a"), F.col("id").alias("b"))  # a node by itself
-    rows = own.unionByName(pairs.join(nodes.select(group, F.col("id").alias("a")), "a").select(group, "a", "b"))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(pdf.loc[pdf["b"] == pdf["a"], "a"])
-        links = pdf[pdf["b"] != pdf["a"]]
-        labels, found = louvain_labels(ids, [(int(a), int(b)) for a, b in zip(links["a"], links["b"], strict=True)])
-        return pd.DataFrame({group: key[0], "id": ids, "community": [labels[i] for i in ids], "modularity": found})
-
-    kind = dict(nodes.dtypes)[group]
-    return rows.groupBy(group).applyInPandas(run, f"{group} {kind}, id long, community long, modularity double")
-
-
 def label_propagation(nodes: DataFrame, edges: DataFrame, *, rounds: int = 10) -> DataFrame:
     """id, community: each round a node takes its neighbours' most frequent label, ties to the smallest."""
     simple = simple_edges(edges)

@@ -67,3 +67,71 @@ def test_betweenness_of_samples(spark):
     own = nodes_of(spark, 150).select("id", F.col("crawl_id").alias("crawl"))
     chosen = sorted(r["id"] for r in graph._smallest_hashes(own, sizes).collect())
     assert chosen == sorted(r["id"] for r in own.orderBy(F.xxhash64("id"), "id").limit(37).collect())
+
+
+def louvain_loop(n, pairs, seed=7):
+    """Modularity that moving one node after another reaches, level by level."""
+    rng, total = random.Random(seed), 2.0 * len(pairs)
+    web, loops = {v: defaultdict(float) for v in range(n)}, dict.fromkeys(range(n), 0.0)
+    for a, b in pairs:
+        web[a][b] = web[b][a] = 1.0
+    while True:
+        degree = {v: sum(x.values()) + loops[v] for v, x in web.items()}
+        label, mass, any_moved, moved = {v: v for v in web}, dict(degree), False, True
+        order = [*web]
+        rng.shuffle(order)
+        while moved:
+            moved = False
+            for v in order:
+                near = defaultdict(float)
+                for u, w in web[v].items():
+                    near[label[u]] += w
+                mass[label[v]] -= degree[v]
+                gains = {c: w - mass[c] * degree[v] / total for c, w in near.items()} | {label[v]: near.get(label[v], 0.0) - mass[label[v]] * degree[v] / total}
+                best = max(gains, key=lambda c: (gains[c], c == label[v]))
+                mass[best] += degree[v]
+                if gains[best] > gains[label[v]] + 1e-12:
+                    label[v], moved, any_moved = best, True, True
+        if not any_moved:
+            return sum(loops[v] / total - (degree[v] / total) ** 2 for v in web)
+        bigger, inner = {c: defaultdict(float) for c in {*label.values()}}, defaultdict(float)
+        for v, x in web.items():
+            inner[label[v]] += loops[v]
+            for u, w in x.items():
+                if label[u] == label[v]:
+                    inner[label[v]] += w
+                else:
+                    bigger[label[v]][label[u]] += w
+        web, loops = bigger, {c: inner[c] for c in bigger}
+
+
+def test_louvain_reaches_the_modularity_of_single_moves(spark):
+    """Planted groups of several strengths, a ring of cliques, a hub, isolated nodes: four crawls side by side, against the best of five loops."""
+    rng = random.Random(11)
+    crawls = []
+    for n, parts, inner, outer in ((120, 6, 0.4, 0.02), (150, 5, 0.2, 0.03)):
+        crawls.append((n, {(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < (inner if a % parts == b % parts else outer)}))
+    crawls.append((80, {(5 * k + i, 5 * k + j) for k in range(16) for i in range(5) for j in range(i + 1, 5)} | {(5 * k, (5 * k + 6) % 80) for k in range(15)}))
+    crawls.append((60, {(0, i) for i in range(1, 50)} | {(i, i + 1) for i in range(1, 49, 2)}))
+    edges = spark.createDataFrame([(1000 * k + a, 1000 * k + b) for k, (_, pairs) in enumerate(crawls) for a, b in pairs], EDGES)
+    rows = graph.louvain(nodes_of(spark, *(n for n, _ in crawls), 3), edges).collect()
+    assert len(rows) == sum(n for n, _ in crawls) + 3
+    for k, (n, pairs) in enumerate(crawls):
+        label = {r["id"] - 1000 * k: r["community"] for r in rows if r["crawl_id"] == f"crawl {k}"}
+        degree = [sum(v in p for p in pairs) for v in range(n)]
+        found = sum(label[a] == label[b] for a, b in pairs) / len(pairs) - sum((sum(degree[v] for v in range(n) if label[v] == c) / (2 * len(pairs))) ** 2 for c in {*label.values()})
+        assert [*{r["modularity"] for r in rows if r["crawl_id"] == f"crawl {k}"}] == [pytest.approx(found)]
+        assert found >= 0.99 * max(louvain_loop(n, pairs, seed) for seed in range(5)), k
+        first = {}
+        for v in range(n):  # numbered by first node; each community is connected
+            first.setdefault(label[v], v)
+        assert [*first] == [*range(len(first))]
+        for c in first:
+            reached, more = {first[c]}, [first[c]]
+            while more:
+                v = more.pop()
+                new = {b if a == v else a for a, b in pairs if v in (a, b)} - reached
+                new = {u for u in new if label[u] == c}
+                reached |= new
+                more += new
+            assert reached == {v for v in range(n) if label[v] == c}

@@ -243,10 +243,10 @@ def test_positions_missing_and_roots(spark):
     assert "isnotnull(parent_id" in plan.lower()  # roots and orphans take no part in the window
 
 
-def test_louvain_large(spark):
+def test_louvain_of_two_crawls(spark):
     clique = [(a, b) for k in (0, 5) for a in range(k, k + 5) for b in range(k, k + 5) if a != b] + [(4, 5)]
     nodes = ids(spark, 10).unionByName(spark.range(100, 103).select("id", F.lit("B").alias("crawl_id")))
-    found = {r["id"]: r for r in graph.louvain(nodes, spark.createDataFrame([*clique, (100, 101)], EDGES), limit=5).collect()}
+    found = {r["id"]: r for r in graph.louvain(nodes, spark.createDataFrame([*clique, (100, 101)], EDGES)).collect()}
     assert len(found) == 13 and len({found[i]["community"] for i in range(4)}) == 1 and found[0]["modularity"] > 0.4
     assert found[100]["community"] == found[101]["community"] != found[102]["community"]
     inside = {i: found[i]["community"] for i in range(10)}
