@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, discard
 from ..functions.urls import is_system_path, path_only, segments, silo_key, slug_key
 from .inventory import clamp, load_pages
 
 MAX_CHILDREN = 40
+#: Levels of a search whose tables are put together.
+TOGETHER = 12
 
 
 def path_tree(pages: DataFrame) -> DataFrame:
@@ -23,32 +27,54 @@ def path_tree(pages: DataFrame) -> DataFrame:
     return nodes.join(own.groupBy("node_id").agg(F.min("id").alias("page_id")), "node_id", "left")
 
 
-def _bfs(start: DataFrame, edges: DataFrame, ranks: DataFrame, levels: int) -> DataFrame:
-    """id, parent_id, depth from start (id) over edges (src, dst), one round for each level.
+def _positions(reached: DataFrame, ranks: DataFrame) -> DataFrame:
+    """id, parent_id, pos: the order in which a queue would hold the nodes that their parents (at place ppos of the level above) reach first.
 
-    A node's parent is the first, in visiting order, that reaches it: order keys are the path's (minus rank, id) pairs, which
-    compare as the queue of a breadth-first search would.
+    Siblings are numbered within their parent (rank, then id), parents' children are summed up in the order of the parents, first by
+    buckets of places and then within them. So a row is of one size at every depth, and no task holds a level.
+    """
+    siblings = W.Window.partitionBy("ppos").orderBy(-F.coalesce("rank", F.lit(0.0)), "id")
+    rows = reached.join(ranks, "id", "left").withColumn("k", F.row_number().over(siblings))
+    parents = rows.groupBy("ppos").agg(F.count("*").alias("n")).withColumn("bucket", F.shiftright("ppos", 12))
+    before = W.Window.orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1)
+    buckets = parents.groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = W.Window.partitionBy("bucket").orderBy("ppos").rowsBetween(W.Window.unboundedPreceding, -1)
+    offsets = parents.withColumn("first", F.coalesce(F.sum("n").over(within), F.lit(0))).join(buckets, "bucket")
+    placed = rows.join(offsets.select("ppos", (F.col("first") + F.col("base")).alias("offset")), "ppos")
+    return placed.select("id", "parent_id", (F.col("offset") + F.col("k") - 1).alias("pos"))
+
+
+def _bfs(start: DataFrame, edges: DataFrame, ranks: DataFrame, levels: int | None = None) -> DataFrame:
+    """id, parent_id, depth from start (id) over edges (src, dst), one round for each level until none is left, or for so many levels.
+
+    A node's parent is the first in visiting order that reaches it. A node of the last level knows its place in that order; what has
+    been seen is a table for each level, put together now and then.
     """
-    order = F.array(F.struct((-F.coalesce("rank", F.lit(0.0))).alias("r"), F.col("id").alias("id")))
-    front = start.join(ranks, "id", "left").select("id", F.lit(None).cast("long").alias("parent_id"), F.lit(0).alias("depth"), order.alias("key"))
-    seen = front = cut(front, "front")
-    for depth in range(1, levels + 1):
-        reached = edges.join(front.select(F.col("id").alias("src"), "key"), "src").join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
-        best = reached.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("key", "src")).alias("m"))
-        own = F.concat(F.col("m.key"), F.array(F.struct((-F.coalesce("rank", F.lit(0.0))).alias("r"), F.col("id").alias("id"))))
-        front = cut(best.join(ranks, "id", "left").select("id", F.col("m.src").alias("parent_id"), F.lit(depth).alias("depth"), own.alias("key")), "front")
+    front = cut(start.select("id", F.lit(None).cast("long").alias("parent_id"), F.lit(0).cast("long").alias("pos")), "front")
+    done = front.select("id", "parent_id", F.lit(0).alias("depth"))
+    tables, depth = [front], 0
+    while levels is None or depth < levels:
+        depth += 1
+        reached = edges.join(front.select(F.col("id").alias("src"), "pos"), "src").join(done.select(F.col("id").alias("dst")), "dst", "left_anti")
+        best = reached.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("pos", "src")).alias("m"))
+        front = cut(_positions(best.select("id", F.col("m.src").alias("parent_id"), F.col("m.pos").alias("ppos")), ranks), "front")
+        tables.append(front)
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-    return seen.select("id", "parent_id", "depth")
+        done = done.unionByName(front.select("id", "parent_id", F.lit(depth).alias("depth")))
+        if len(tables) > TOGETHER:
+            done = cut(done, "seen")
+            discard(*tables[:-1])
+            tables = [done, front]
+    return done
 
 
-def link_tree(pages: DataFrame, edges: DataFrame, *, levels: int = 200) -> DataFrame:
-    """Click tree from the home page (path /, by id; else the page with most rank): id, parent_id, depth, is_orphan."""
+def link_tree(pages: DataFrame, edges: DataFrame) -> DataFrame:
+    """Click tree from the home page (path /, by id; else the page with most rank), however deep: id, parent_id, depth, is_orphan."""
     home = pages.select("id", (path_only(F.col("normalized_url")).isin("", "/")).alias("home"), F.coalesce("internal_page_rank", F.lit(0.0)).alias("rank"))
     root = home.orderBy(F.desc("home"), F.when(F.col("home"), 0.0).otherwise(-F.col("rank")), "id").limit(1).select("id")
     simple = edges.where("src <> dst").select("src", "dst").distinct()
-    tree = _bfs(root, simple, home.select("id", "rank"), levels)
+    tree = _bfs(root, simple, home.select("id", "rank"))
     return pages.select("id").join(tree, "id", "left").withColumn("is_orphan", F.col("depth").isNull())
 
 
@@ -204,15 +230,38 @@ def pruned(tree: DataFrame, ranks: DataFrame, *, most: int = MAX_CHILDREN) -> Da
     return placed.join(hidden, "id", "left").fillna(0, ["hidden_children"])
 
 
-def subtree_sizes(tree: DataFrame, *, levels: int = 200) -> DataFrame:
-    """id, size: nodes in each subtree, the node itself included; ancestors are walked up one level a round."""
-    parents = cut(tree.where(F.col("parent_id").isNotNull()).select("id", "parent_id"), "parents")
-    at = tree.select(F.col("id").alias("top"), F.lit(1).cast("long").alias("n"))
-    total = at
-    for k in range(levels):
-        at = at.join(parents.select(F.col("id").alias("top"), F.col("parent_id").alias("up")), "top").groupBy(F.col("up").alias("top")).agg(F.sum("n").alias("n"))
-        at = cut(at, "up")
-        if at.isEmpty():
-            break
-        total = total.unionByName(at)
-    return total.groupBy(F.col("top").alias("id")).agg(F.sum("n").alias("size"))
+def _doubled(tree: DataFrame, values: dict[str, Column], step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Tree rows (id, up: the parent) with values, after rounds in which step(now, met) works them out for twice as many levels, and up skips to twice as far."""
+    most = max(1, tree.count()).bit_length() + 1
+    now = cut(tree.select("id", F.col("parent_id").alias("up"), *(v.alias(c) for c, v in values.items())), "jumps")
+    for _ in range(most):
+        if now.where("up is not null").isEmpty():
+            return now
+        last, now = now, cut(step(now, now.select(F.col("id").alias("up"), F.col("up").alias("over"), *(F.col(c).alias(f"{c}_up") for c in values))), "jumps")
+        discard(last)
+    raise ValueError("parents go round in a circle")
+
+
+def subtree_sizes(tree: DataFrame) -> DataFrame:
+    """id, size: nodes in each subtree, the node itself included, of a tree (id, parent_id) or several, however deep.
+
+    After k rounds a node has counted what is fewer than 2^k levels below it, and points to its ancestor 2^k levels above, to which
+    it then hands its count: as many rounds as the depth has binary digits, each a join and a sum.
+    """
+
+    def step(now: DataFrame, above: DataFrame) -> DataFrame:
+        handed = now.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
+        jumped = now.join(above.select("up", "over"), "up", "left")
+        return jumped.join(handed, "id", "left").select("id", F.col("over").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+
+    return _doubled(tree, {"size": F.lit(1).cast("long")}, step).select("id", "size")
+
+
+def roots_and_depths(tree: DataFrame) -> DataFrame:
+    """id, root_id, depth (0: a root) of the nodes of a tree (id, parent_id) or several, by skipping twice as many levels each round."""
+
+    def step(now: DataFrame, above: DataFrame) -> DataFrame:
+        jumped = now.join(above, "up", "left")
+        return jumped.select("id", F.col("over").alias("up"), F.coalesce("root_id_up", "root_id").alias("root_id"), (F.col("depth") + F.coalesce("depth_up", F.lit(0))).alias("depth"))
+
+    return _doubled(tree, {"root_id": F.coalesce("parent_id", "id"), "depth": F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long")}, step).select("id", "root_id", "depth")

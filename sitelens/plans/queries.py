@@ -267,11 +267,36 @@ def _(spark, d):
 _TREE = "{edge}, bfs(id, depth) AS (SELECT id, 0 FROM (SELECT id FROM page ORDER BY regexp_matches(normalized_url, '^[a-z]+://[^/]*/?$') DESC, CASE WHEN regexp_matches(normalized_url, '^[a-z]+://[^/]*/?$') THEN 0 ELSE -internal_page_rank END, id LIMIT 1) UNION SELECT e.dst, bfs.depth + 1 FROM bfs JOIN e ON e.src = bfs.id WHERE bfs.depth < 200)"
 
 
-@query("bfs_link_tree", crawl_sql("", False).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", e AS (SELECT DISTINCT source_page_id AS src, target_page_id AS dst FROM link WHERE link_type = 'INTERNAL' AND target_page_id IS NOT NULL AND source_page_id <> target_page_id), " + _TREE.replace("{edge}, ", "") + " SELECT p.id, min(bfs.depth) AS depth, min(bfs.depth) IS NULL AS is_orphan FROM page p LEFT JOIN bfs USING (id) GROUP BY 1")
-def _(spark, d):
+def _link_tree_sql(levels: int) -> str:
+    """A table l for each level of the click tree, with each page's place in the queue."""
+    root = "SELECT id FROM page ORDER BY regexp_matches(normalized_url, '^[a-z]+://[^/]*/?$') DESC, CASE WHEN regexp_matches(normalized_url, '^[a-z]+://[^/]*/?$') THEN 0 ELSE -internal_page_rank END, id LIMIT 1"
+    parts = ["e AS MATERIALIZED (SELECT DISTINCT source_page_id AS src, target_page_id AS dst FROM link WHERE link_type = 'INTERNAL' AND target_page_id IS NOT NULL AND source_page_id <> target_page_id)", f"l0 AS MATERIALIZED (SELECT id, NULL::BIGINT AS parent_id, 0 AS depth, 1 AS pos FROM ({root}))", "t0 AS MATERIALIZED (SELECT * FROM l0)"]
+    for k in range(1, levels + 1):
+        reached = f"SELECT dst AS id, arg_min(src, pos) AS parent_id, min(pos) AS ppos FROM e JOIN l{k - 1} l ON l.id = src WHERE dst NOT IN (SELECT id FROM t{k - 1}) GROUP BY 1"
+        parts.append(f"l{k} AS MATERIALIZED (SELECT r.id, parent_id, {k} AS depth, row_number() OVER (ORDER BY ppos, -internal_page_rank, r.id) AS pos FROM ({reached}) r JOIN page p ON p.id = r.id)")
+        parts.append(f"t{k} AS MATERIALIZED (SELECT * FROM t{k - 1} UNION ALL SELECT * FROM l{k})")
+    return crawl_sql("", False).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", " + ", ".join(parts) + f", tree AS MATERIALIZED (SELECT p.id, t.parent_id, t.depth FROM page p LEFT JOIN t{levels} t ON t.id = p.id)"
+
+
+def _link_tree(spark: SparkSession, d: str) -> DataFrame:
     p = crawl_pages(spark, d)
     e = _links(spark, d).where((F.col("link_type") == "INTERNAL") & F.col("target_page_id").isNotNull()).select(F.col("source_page_id").alias("src"), F.col("target_page_id").alias("dst"))
-    return trees.link_tree(cut(p.select("id", "normalized_url", "internal_page_rank"), "pages"), cut(e, "edges")).select("id", "depth", "is_orphan")
+    return trees.link_tree(cut(p.select("id", "normalized_url", "internal_page_rank"), "pages"), cut(e, "edges"))
+
+
+@query("bfs_link_tree", crawl_sql("", False).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", e AS (SELECT DISTINCT source_page_id AS src, target_page_id AS dst FROM link WHERE link_type = 'INTERNAL' AND target_page_id IS NOT NULL AND source_page_id <> target_page_id), " + _TREE.replace("{edge}, ", "") + " SELECT p.id, min(bfs.depth) AS depth, min(bfs.depth) IS NULL AS is_orphan FROM page p LEFT JOIN bfs USING (id) GROUP BY 1")
+def _(spark, d):
+    return _link_tree(spark, d).select("id", "depth", "is_orphan")
+
+
+@query("link_tree_parents", _link_tree_sql(24) + " SELECT id, parent_id, depth FROM tree")
+def _(spark, d):
+    return _link_tree(spark, d).select("id", "parent_id", "depth")
+
+
+@query("subtree_sizes", _link_tree_sql(24) + ", up(id, top) AS (SELECT id, id FROM tree UNION ALL SELECT up.id, parent_id FROM up JOIN tree ON tree.id = up.top WHERE parent_id IS NOT NULL) SELECT top AS id, count(*) AS size FROM up GROUP BY 1")
+def _(spark, d):
+    return trees.subtree_sizes(cut(_link_tree(spark, d), "tree"))
 
 
 @query("path_tree", crawl_sql("""SELECT node_id, any_value(depth) AS depth, count(*) AS pages FROM (SELECT id, k AS depth, '/' || array_to_string(s[1:k], '/') AS node_id FROM (SELECT id, list_filter(seg, lambda x: x <> '') AS s FROM page), range(0, 20) r(k) WHERE k <= len(s)) GROUP BY 1"""))
