@@ -7,34 +7,66 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-OUT = "keyword_id long, ts timestamp, position double, previous_position double, best_position double"
-STATE = "last double, best double, until timestamp"
+OUT = "keyword_id long, at long, position double, previous_position double, best_position double"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, best, until = state.get if state.exists else (None, None, None)
-    until = None if until is None else pd.Timestamp(until)
-    rows = []
-    for r in pd.concat([*batches]).sort_values("ts", kind="stable").itertuples():  # a key's rows of one trigger
-        position = None if pd.isna(r.position) else float(r.position)
-        best = min((p for p in (best, position) if p is not None), default=None)
-        late = until is not None and r.ts < until
-        rows.append((key[0], r.ts, position, None if late else last, best))
-        if not late:
-            last, until = last if position is None else position, r.ts
-    yield pd.DataFrame(rows, columns=["keyword_id", "ts", "position", "previous_position", "best_position"]).astype({"position": "float64", "previous_position": "float64", "best_position": "float64"})
-    state.update((last, best, until.to_pydatetime()))
+class Positions(StatefulProcessor):
+    """Holds a key's measures by millisecond until the watermark has passed them, then gives them out in order of time.
+
+    A timer for each millisecond with a measure fires when no earlier one can come any more; a key's timers fire in order. So the
+    previous and the best position are right whatever the order of arrival, and a step has the measures of one millisecond of one
+    key in memory. Times are microseconds since 1970 (at).
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ms long", "at array<long>, position array<double>")
+        self.known = handle.getValueState("known", "last double, best double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for ms, some in batch.groupby(-(-batch["at"] // 1000)):  # the first millisecond that isn't before it
+                at, position = some["at"].tolist(), [None if pd.isna(p) else float(p) for p in some["position"]]
+                if self.waiting.containsKey((int(ms),)):
+                    held = self.waiting.getValue((int(ms),))
+                    at, position = [*held[0], *at], [*held[1], *position]
+                self.waiting.updateValue((int(ms),), (at, position))
+                self.handle.registerTimer(int(ms))
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ms = expiredTimerInfo.getExpiryTimeInMs()
+        last, best = self.known.get() if self.known.exists() else (None, None)
+        rows = []
+        for at, position in sorted(zip(*self.waiting.getValue((ms,)), strict=True), key=lambda x: x[0]):
+            best = min((p for p in (best, position) if p is not None), default=None)
+            rows.append((key[0], at, position, last, best))
+            last = last if position is None else position
+        self.waiting.removeKey((ms,))
+        self.known.update((last, best))
+        yield pd.DataFrame(rows, columns=["keyword_id", "at", "position", "previous_position", "best_position"]).astype({"position": "float64", "previous_position": "float64", "best_position": "float64"})
+
+    def close(self) -> None:
+        pass
 
 
-def track_positions(stream: DataFrame) -> DataFrame:
-    """stream of keyword_id, ts, position with the last non-null position before and the best so far; state is three values a key.
+def track_positions(stream: DataFrame, *, lateness: str = "3 days") -> DataFrame:
+    """stream of keyword_id, ts, position with the last position before (that isn't null) and the best so far, as the batch windows
+    give them: measures come out when the lateness has passed, whatever their order, and those that are later still are dropped.
 
-    A trigger's rows of a key are put in order of time, however many batches they come in. A row older than what an earlier
-    trigger has given out counts for the best position, but gets no previous one and is none for others.
+    Idle keys keep two numbers, so that their next measure has a previous one. State that expires by itself would need processing
+    time, with which timers on event time don't go together.
     """
-    return stream.groupBy("keyword_id").applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    conf = stream.sparkSession.conf
+    if "RocksDB" not in conf.get(STATE_STORE, ""):
+        conf.set(STATE_STORE, ROCKS)  # keyed state and timers need it
+    marked = stream.select("keyword_id", "ts", F.unix_micros("ts").alias("at"), F.col("position").cast("double").alias("position")).withWatermark("ts", lateness)
+    found = marked.groupBy("keyword_id").transformWithStateInPandas(statefulProcessor=Positions(), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+    return found.select("keyword_id", F.timestamp_micros("at").alias("ts"), "position", "previous_position", "best_position")
 
 
 def daily_best(stream: DataFrame, *, lateness: str = "3 days") -> DataFrame:
