@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.lineage import cut
 from ..functions.text import is_valid_keyword, normalize_country, normalize_device, normalize_keyword
 
 LAG_DAYS = 3
@@ -179,9 +180,19 @@ def locations(known: DataFrame, most: int | None = 300) -> DataFrame:
 
 
 def affordable(checks: DataFrame, balance: float, *, order: str = "keyword_id") -> DataFrame:
-    """Checks in order as long as the running cost stays within a balance (one project's checks)."""
-    running = F.sum("cost_usd").over(W.Window.partitionBy("project_id").orderBy(order).rowsBetween(W.Window.unboundedPreceding, 0))
-    return checks.withColumn("spent", running).where(F.col("spent") <= balance)
+    """Checks in order as long as the running cost (spent, to nine digits) of their project stays within a balance.
+
+    The checks are written in ranges of project and order; a range's costs before it are summed up from the ranges, and those
+    inside it within it. So no task holds a project, and however many ranges there are, a project's sums are the same.
+    """
+    made = ["spent", "__range"]
+    ranges = cut(checks.drop(*made).repartitionByRange("project_id", order).withColumn("__range", F.spark_partition_id()), "ranges")
+    by = ["project_id", "__range"]
+    before = W.Window.partitionBy("project_id").orderBy("__range").rowsBetween(W.Window.unboundedPreceding, -1)
+    sums = ranges.groupBy(*by).agg(F.sum("cost_usd").alias("cost")).select(*by, F.coalesce(F.sum("cost").over(before), F.lit(0.0)).alias("__before"))
+    inside = F.sum("cost_usd").over(W.Window.partitionBy(*by).orderBy(order).rowsBetween(W.Window.unboundedPreceding, 0))
+    spent = ranges.withColumn("__inside", inside).join(sums, by).withColumn("spent", F.round(F.col("__before") + F.col("__inside"), 9))
+    return spent.where(F.col("spent") <= balance).drop("__inside", "__before", "__range")
 
 
 def due_projects(projects: DataFrame, jobs: DataFrame, day: Column) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from ..functions.lineage import cut
-from ..operators import compare, inventory, keywords, links, rules, sinks, stats, trees
+from ..functions.lineage import cut, shared_dir
+from ..operators import bucket_table, compare, inventory, keywords, links, rules, sinks, stats, trees
+from ..sources import search_api
 from .crawl_view import CHILDREN_SQL, crawl_hreflangs, crawl_images, crawl_links, crawl_pages, crawl_schemas, crawl_sql, second_crawl
 from .registry import query, table
 
@@ -347,3 +351,46 @@ def _(spark, d):
     lists = p.groupBy(part.alias("url")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(F.concat(F.lit("<url><loc>"), escaped, F.lit("</loc></url>"))), ""), F.lit("</urlset>")).alias("body"))
     index = spark.createDataFrame([("https://s.example/sitemap.xml", "<sitemapindex>" + "".join(f"<sitemap><loc>https://s.example/{k}.xml</loc></sitemap>" for k in range(16)) + "</sitemapindex>")], "url string, body string")
     return discover(spark, lists.unionByName(index), ["https://s.example/sitemap.xml"]).select("normalized_url", "url_hash")
+
+
+# Tables in buckets, paged answers
+
+
+def _customers(spark: SparkSession, d: str) -> tuple[bucket_table.BucketTable, DataFrame]:
+    """The customers in buckets, and those that change: every fifth, twice."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    made = bucket_table.BucketTable.create(c, f"{shared_dir(spark)}/sitelens/customers-{uuid.uuid4().hex}", ["c_custkey"], buckets=16)
+    fresh = c.where(F.col("c_custkey") % 5 == 0).select("c_custkey", "c_name", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
+    return made, fresh.select("c_custkey", F.concat("c_name", F.lit(" "), F.col("n").cast("string")).alias("c_name"), F.col("n").cast("double").alias("c_acctbal"))
+
+
+@query("bucket_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_name || ' 2' ELSE c_name END AS c_name, CASE WHEN c_custkey % 5 = 0 THEN 2.0 ELSE c_acctbal END AS c_acctbal FROM customer")
+def _(spark, d):
+    made, fresh = _customers(spark, d)
+    made.upsert(fresh, F.col("c_acctbal"))
+    return made.read()
+
+
+@query("bucket_delete", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 5 <> 0")
+def _(spark, d):
+    made, fresh = _customers(spark, d)
+    made.delete(fresh)
+    made.vacuum()
+    return made.read()
+
+
+@query("search_pages", """WITH e AS (SELECT *, CAST(ts AS DATE) AS date, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) - 1 AS n, count(*) OVER (PARTITION BY CAST(ts AS DATE)) AS m FROM events)
+  SELECT date, CAST(max(m // 20 + 1) AS BIGINT) AS pages, count(*) AS rows, true AS whole, round(sum(value), 4) AS clicks, max(event_type || ' ' || user_id) AS last_query FROM e GROUP BY 1""")
+def _(spark, d):
+    """The events of a day as pages of 20 rows, recorded as JSON lines and read back; a day ends with a page that isn't full."""
+    by_day = W.Window.partitionBy("date").orderBy("event_id")
+    rows = table(spark, d, "events").withColumn("date", F.to_date("ts")).withColumn("n", F.row_number().over(by_day) - 1)
+    one = F.struct(F.array(F.concat_ws(" ", "event_type", "user_id"), F.col("event_id").cast("string")).alias("keys"), F.col("value").alias("clicks"), F.lit(1.0).alias("impressions"), F.lit(0.0).alias("ctr"), F.lit(1.0).alias("position"))
+    full = rows.groupBy("date", (F.floor(F.col("n") / 20) * 20).alias("start_row")).agg(F.sort_array(F.collect_list(F.struct("n", one.alias("r")))).alias("x"))  # 20 rows each
+    ends = rows.groupBy("date").agg(F.count("*").alias("m")).where("m % 20 = 0").select("date", F.col("m").alias("start_row"), F.lit("{}").alias("body"))
+    recorded = full.select("date", "start_row", F.to_json(F.struct(F.transform("x", lambda r: r["r"]).alias("rows"))).alias("body")).unionByName(ends)
+    path = f"{shared_dir(spark)}/sitelens/recorded-{uuid.uuid4().hex}"
+    recorded.select(F.lit("s").alias("site"), "date", "start_row", F.lit("2024-01-01T00:00:00Z").alias("fetched_at"), "body").write.json(path)
+    pages = search_api.read_pages(spark, path)
+    found = search_api.page_rows_of(pages, ["query", "event"]).groupBy("date").agg(F.round(F.sum("clicks"), 4).alias("clicks"), F.max("query").alias("last_query"))
+    return search_api.day_counts(pages, page_rows=20).join(found, "date").select("date", "pages", "rows", "whole", "clicks", "last_query")

@@ -1,13 +1,15 @@
-"""Recorded answers of search interfaces as rows: search analytics and result pages."""
+"""Recorded answers of search interfaces as rows: paged search analytics, in batch and as a stream, and result pages.
+
+Answers are JSON lines that Spark reads, wherever its file systems reach. A page is known by site, day and first row; which pages
+are still to be asked for follows from those that are there, so that a job that broke off goes on where it stopped.
+"""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import effective_rank, top_organic
 
@@ -31,33 +33,73 @@ def serp_checks(answers: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-class RecordedResponses(DataSource):
-    """url, status, content_type, body, location, error_type of answers recorded as JSON lines; one partition for each file."""
+#: Rows of a full page, as the interface gives them: a shorter one is a day's last.
+PAGE_ROWS = 25_000
+PAGE = "site string, date date, start_row long, fetched_at timestamp, body string"
+PAGE_KEY = ["site", "date", "start_row"]
+RESPONSE = "url string, status int, content_type string, body string, location string, error_type string"
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """Answers to fetches, recorded as JSON lines."""
+    return spark.read.schema(RESPONSE).json(path)
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Recorded pages of search analytics."""
+    return spark.read.schema(PAGE).json(path)
+
+
+def stream_pages(spark: SparkSession, path: str, *, files: int | None = None) -> DataFrame:
+    """Recorded pages as a stream of files; the checkpoint's log of files says where it goes on."""
+    reader = spark.readStream.schema(PAGE)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).json(path)
+
+
+def latest_pages(pages: DataFrame) -> DataFrame:
+    """Each page once, as it was fetched last."""
+    return pages.groupBy(*PAGE_KEY).agg(F.max(F.struct("fetched_at", "body")).alias("m")).select(*PAGE_KEY, "m.fetched_at", "m.body")
+
+
+def _sized(pages: DataFrame) -> DataFrame:
+    return latest_pages(pages).withColumn("n", F.coalesce(F.array_size(F.from_json("body", ANALYTICS)["rows"]), F.lit(0)))
+
+
+def next_requests(asked: DataFrame, pages: DataFrame, *, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """site, date, start_row of the first page that each asked day (site, date) still lacks; days that are whole give none.
+
+    A day lacks its first page, and the one behind each full page, if they aren't there.
+    """
+    days = asked.select("site", "date").distinct()
+    full = _sized(pages).where(F.col("n") >= page_rows).select("site", "date", (F.col("start_row") + page_rows).alias("start_row"))
+    wanted = days.withColumn("start_row", F.lit(0).cast("long")).unionByName(full.join(days, ["site", "date"], "left_semi"))
+    return wanted.join(pages.select(*PAGE_KEY), PAGE_KEY, "left_anti").groupBy("site", "date").agg(F.min("start_row").alias("start_row"))
 
-    @classmethod
-    def name(cls) -> str:
-        return "recorded_responses"
 
-    def schema(self) -> str:
-        return "url string, status int, content_type string, body string, location string, error_type string"
+def day_counts(pages: DataFrame, *, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """site, date, pages, rows, whole of the days that there are pages of."""
+    sized = _sized(pages)
+    lacking = next_requests(sized, pages, page_rows=page_rows).select("site", "date", F.lit(False).alias("whole"))
+    counts = sized.groupBy("site", "date").agg(F.count("*").alias("pages"), F.sum("n").alias("rows"))
+    return counts.join(lacking, ["site", "date"], "left").withColumn("whole", F.coalesce("whole", F.lit(True)))
 
-    def reader(self, schema) -> DataSourceReader:
-        return _RecordedReader([p for p in self.options["path"].split(",") if p])
 
+def page_rows_of(pages: DataFrame, dimensions: list[str]) -> DataFrame:
+    """site, date, input_order (the row's place in its day), the dimensions and figures of the rows of all pages, each page once."""
+    rows = latest_pages(pages).select("site", "date", "start_row", F.posexplode(F.from_json("body", ANALYTICS)["rows"]).alias("k", "r"))
+    names = [F.get("r.keys", F.lit(i)).alias(d) for i, d in enumerate(dimensions)]
+    return rows.select("site", "date", (F.col("start_row") + F.col("k")).alias("input_order"), *names, "r.clicks", "r.impressions", "r.ctr", "r.position")
 
-class _RecordedReader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
+def write_pages(stream: DataFrame, path: str, checkpoint: str, *, after: Callable[[int], None] | None = None):
+    """Start writing a stream's pages; a micro-batch replaces its own folder, so that one which is repeated adds nothing twice.
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value) as f:
-            for line in f:
-                x = json.loads(line)
-                yield tuple(x.get(k) for k in ("url", "status", "content_type", "body", "location", "error_type"))
+    after is called with a batch's number when it is written. Read the folder with latest_pages(): a page fetched again is there twice.
+    """
 
+    def put(batch: DataFrame, number: int) -> None:
+        latest_pages(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if after:
+            after(number)
 
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(RecordedResponses)
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
