@@ -183,8 +183,8 @@ def workspace_totals(projects: DataFrame, crawls: DataFrame, pages: DataFrame, f
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
 
-def latest_log(events: DataFrame, order: str, most: int) -> DataFrame:
-    return events.orderBy(F.desc(order)).limit(most)
+def latest_log(events: DataFrame, order: str, most: int, *, key: str = "id") -> DataFrame:
+    return events.orderBy(F.desc(order), F.desc(key)).limit(most)
 
 
 def crawl_summary(pages: DataFrame, links: DataFrame, findings: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.seo import SEVERITY_WEIGHTS, half_up, percent
 from .links import inter_group_links
 
@@ -159,6 +162,67 @@ def seo_health(findings: DataFrame, pages: DataFrame) -> DataFrame:
     return both.select("html_pages", "lost", F.greatest(F.lit(0), F.least(F.lit(100), half_up(100 - penalty))).cast("long").alias("seo_health"))
 
 
+#: What pages are counted by, in the order of the grouping's bits.
+SETS = ["status", "depth", "reason", "directory", "resource_type", "cluster"]
+
+
+def page_sets(pages: DataFrame) -> DataFrame:
+    """Counts of pages by status, depth, reason, directory, resource type and community, and all totals: one scan, one shuffle.
+
+    section names the set ('totals' for none) and key its value; n counts all pages, html the HTML pages. The other columns are
+    the totals' figures. Grouping sets are summed where the pages are read, so that each task sends a row for each key it has met.
+    """
+    page, status, image = is_page(), F.col("status_code"), F.col("media_type") == "IMAGE"
+    failed = status.isNull() | (status >= 400)
+    asset = F.col("media_type").isin("IMAGE", "CSS", "JAVASCRIPT", "FONT", "PDF", "OTHER_ASSET")
+    keyed = pages.select(
+        page.alias("page"), status_class(status).alias("status"), F.col("depth").cast("string").alias("depth"), F.col("indexability_reason").alias("reason"), "directory", F.coalesce("resource_type", F.lit("UNKNOWN")).alias("resource_type"),
+        F.col("cluster_id").cast("string").alias("cluster"), F.col("indexable").alias("x_indexable"), failed.alias("failed"), status.alias("code"), image.alias("image"), asset.alias("asset"), "mime_mismatch",
+        *(F.when(page, F.col(c)).alias(f"x_{c}") for c in ("depth", "response_time", "word_count")),
+    )
+    c = F.col
+    summed = keyed.groupingSets([*([k] for k in SETS), []], *SETS).agg(
+        F.grouping_id().alias("gid"), F.count("*").alias("n"), F.count_if("page").alias("html"), F.count_if(c("page") & c("x_indexable")).alias("indexable"), F.count_if(c("page") & (c("code") >= 400)).alias("errors_html"),
+        F.count_if(c("code") >= 400).alias("errors_all"), F.count_if(c("code").between(300, 399)).alias("redirects"), F.round(F.avg("x_depth"), 2).alias("avg_depth"), F.round(F.avg("x_response_time")).alias("avg_response_time"),
+        F.round(F.avg("x_word_count")).alias("avg_word_count"), F.count_if("image").alias("images"), F.count_if(c("image") & c("failed")).alias("broken_images"), F.count_if(c("asset") & c("failed")).alias("broken_assets"), F.count_if("mime_mismatch").alias("mime_mismatches"),
+    )
+    every = (1 << len(SETS)) - 1
+    section, key = F.lit("totals"), F.lit(None).cast("string")
+    for k, name in enumerate(SETS):
+        own = c("gid") == every - (1 << (len(SETS) - 1 - k))
+        section, key = F.when(own, name).otherwise(section), F.when(own, c(name)).otherwise(key)
+    return summed.select(section.alias("section"), key.alias("key"), *(x for x in summed.columns if x not in (*SETS, "gid")))
+
+
+TOTALS = ["indexable", "errors_html", "errors_all", "redirects", "avg_depth", "avg_response_time", "avg_word_count", "images", "broken_images", "broken_assets", "mime_mismatches"]
+
+
+def crawl_stats(pages: DataFrame, links: DataFrame, findings: DataFrame, *, directories: int = 30, codes: int = 25) -> DataFrame:
+    """section, key, value: every figure of a crawl's statistics, from one scan each of its pages, links and findings."""
+    sets = cut(page_sets(pages), "page-sets")
+    issues = findings.groupingSets([["severity"], ["code"]], "severity", "code").agg(F.grouping_id().alias("gid"), F.count("*").alias("n"))
+    issues = cut(issues.select(F.when(F.col("gid") == 1, "severity").otherwise("issue").alias("section"), F.coalesce("severity", "code").alias("key"), "n"), "issue-sets")
+    row = lambda df, section, key, value: df.select(F.lit(section).alias("section"), key.cast("string").alias("key"), value.cast("double").alias("value"))
+    of = lambda name: sets.where(F.col("section") == name)
+    total = of("totals")
+    named = {"requested_urls": F.col("n"), "html_pages": F.col("html"), "discovered": F.greatest(F.lit(0), F.col("n") - F.col("html")), **{k: F.col(k) for k in TOTALS}}
+    named["broken_image_ratio"] = F.when(F.col("images") > 0, F.round(F.col("broken_images") / F.col("images"), 4)).otherwise(0.0)
+    wide = total.select(F.explode(F.array(*(F.struct(F.lit(k).alias("key"), v.cast("double").alias("value")) for k, v in named.items()))).alias("x"))
+    parts = [wide.select(F.lit("totals").alias("section"), "x.key", "x.value"), row(of("status"), "status", F.col("key"), F.col("n")), row(of("resource_type"), "resource_type", F.col("key"), F.col("n"))]
+    parts += [row(of(k).where("html > 0"), k, F.col("key"), F.col("html")) for k in ("depth", "reason")]
+    parts.append(row(of("directory").where("html > 0").orderBy(F.desc("html"), "key").limit(directories), "directory", F.coalesce("key", F.lit("/")), F.col("html")))
+    parts.append(row(of("cluster").where("key is not null"), "cluster", F.col("key"), F.col("n")))
+    parts.append(row(issues.where("section = 'severity'"), "severity", F.col("key"), F.col("n")))
+    parts.append(row(issues.where("section = 'issue'").orderBy(F.desc("n"), "key").limit(codes), "issue", F.col("key"), F.col("n")))
+    sent = link_totals(links)
+    parts += [row(sent, "links", F.lit(k), F.col(k)) for k in sent.columns]
+    weights = F.create_map(*[F.lit(x) for kv in SEVERITY_WEIGHTS.items() for x in kv])
+    lost = issues.where("section = 'severity'").agg(F.coalesce(F.sum(F.element_at(weights, F.col("key")) * F.col("n")), F.lit(0.0)).alias("lost"))
+    penalty = F.when(F.col("html") > 0, F.col("lost") / F.col("html")).otherwise(0.0)
+    parts.append(row(total.join(F.broadcast(lost)), "totals", F.lit("seo_health"), F.greatest(F.lit(0), F.least(F.lit(100), half_up(100 - penalty)))))  # one row each
+    return reduce(DataFrame.unionByName, parts)
+
+
 def requested_urls(stats: DataFrame) -> DataFrame:
     """stats (totals struct, resources and images structs, null in old crawls) with requested_urls and is_legacy."""
     return stats.withColumn("requested_urls", F.coalesce("totals.requested_urls", "totals.pages")).withColumn("is_legacy", F.col("resources").isNull() | F.col("images").isNull())

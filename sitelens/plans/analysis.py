@@ -94,8 +94,10 @@ def _tables(parsed: DataFrame, edges: DataFrame, sitemap: DataFrame | None, craw
     key = F.xxhash64("url")
     made = edges.select(
         F.xxhash64("url", "n").alias("id"), F.lit(crawl_id).alias("crawl_id"), key.alias("source_page_id"), text(F.col("target_url"), 2000).alias("target_url"), url_hash(F.col("target_url")).alias("target_hash"),
-        text(F.col("anchor_text"), 500).alias("anchor_text"), text(F.col("rel"), 190).alias("rel"), "follow", "link_type",
-    ).dropDuplicates(["source_page_id", "target_hash", "anchor_text"])
+        text(F.col("anchor_text"), 500).alias("anchor_text"), text(F.col("rel"), 190).alias("rel"), "follow", "link_type", "n",
+    )
+    once = ["source_page_id", "target_hash", "anchor_text"]  # of the same links of a page the first stays
+    made = made.groupBy(*once).agg(F.min_by(F.struct(*(c for c in made.columns if c not in (*once, "n"))), "n").alias("m")).select(*once, "m.*").select(*(c for c in made.columns if c != "n"))
     child = lambda field: parsed.select(key.alias("page_id"), F.col("url").alias("page_url"), F.explode(f"parsed.{field}").alias("x")).select("page_id", "x.*")
     images = child("images").withColumn("url_hash", url_hash(normalize_url(F.col("src"))))
     hreflangs = child("hreflangs").withColumn("href", normalize_url(F.col("href")))
@@ -112,7 +114,7 @@ def analyze(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "pages": pages, "findings": found, "totals": stats.totals(pages), "statuses": stats.status_distribution(pages), "depths": stats.depth_distribution(pages), "reasons": stats.reason_distribution(pages),
         "severities": stats.severity_distribution(found), "top_issues": stats.top_issues(found), "directories": stats.directory_stats(pages), "links": stats.link_totals(edges), "resources": stats.resource_stats(pages),
         "clusters": stats.cluster_summary(pages), "cluster_inbound": stats.cluster_inbound(edges, pages), "bottlenecks": stats.top_by(pages, "betweenness"), "hubs": stats.top_by(pages, "hub_score"), "authorities": stats.top_by(pages, "authority_score"),
-        "geo": geo, "geo_readiness": stats.geo_readiness(geo), "health": stats.seo_health(found, pages),
+        "stats": stats.crawl_stats(pages, edges, found), "geo": geo, "geo_readiness": stats.geo_readiness(geo), "health": stats.seo_health(found, pages),
     }
     return out | ({"images": stats.image_stats(tables["images"], pages)} if "images" in tables else {})
 

@@ -40,7 +40,7 @@ def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = p.select(
         "*", F.lit("A").alias("crawl_id"), directory_of(F.col("normalized_url")).alias("directory"), F.length("title").alias("title_length"),
         F.when(i % 3 != 0, F.substring(F.repeat(F.concat(F.coalesce("title", F.lit("")), F.lit(" ")), 4), F.lit(1), (40 + i % 150).cast("int"))).alias("meta_description"),
-        F.when(F.length("text") > 0, F.size(F.split("text", " "))).otherwise(0).alias("word_count"), F.when(F.length("text") > 0, F.sha2("text", 256)).alias("content_hash"),
+        F.when(F.length("text") > 0, F.size(F.split("text", " "))).otherwise(0).alias("word_count"), F.when(F.length("text") > 0, F.sha2(F.when(i % 41 == 3, "one text").when(i % 82 == 9, "another").otherwise(F.col("text")), 256)).alias("content_hash"),
         kind.alias("resource_type"), F.when(image, "IMAGE").otherwise("HTML_PAGE").alias("media_type"), F.when(image, "image/webp").otherwise("text/html").alias("mime_type"), (i % 31 == 0).alias("mime_mismatch"),
         F.when(s.isNull(), F.when(i % 60 == 59, "BLOCKED_ROBOTS").when(i % 40 == 19, "TIMEOUT").otherwise("TOO_MANY_REDIRECTS")).alias("error_type"), F.when(s == 301, F.lit("https://example.org/new")).alias("redirect_url"),
         canonical.alias("canonical"), F.when(i % 17 == 0, "noindex, follow").alias("meta_robots"), F.lit(None).cast("string").alias("x_robots_tag"), (100 + i * 37 % 900).cast("int").alias("response_time"),
@@ -137,7 +137,7 @@ raw0 AS (
 ), p2 AS (
   SELECT *, 'A' AS crawl_id, CASE WHEN seg = [''] OR (len(seg) = 1 AND contains(seg[1], '.')) THEN '/' ELSE '/' || seg[1] END AS directory, length(title) AS title_length,
     CASE WHEN id % 3 <> 0 THEN substring(repeat(coalesce(title, '') || ' ', 4), 1, CAST(40 + id % 150 AS INT)) END AS meta_description,
-    CASE WHEN length(text) > 0 THEN len(string_split(text, ' ')) ELSE 0 END AS word_count, CASE WHEN length(text) > 0 THEN sha256(text) END AS content_hash,
+    CASE WHEN length(text) > 0 THEN len(string_split(text, ' ')) ELSE 0 END AS word_count, CASE WHEN length(text) > 0 THEN sha256(CASE WHEN id % 41 = 3 THEN 'one text' WHEN id % 82 = 9 THEN 'another' ELSE text END) END AS content_hash,
     CASE WHEN img THEN 'image/webp' ELSE 'text/html; charset=utf-8' END AS content_type, CASE WHEN img THEN 'image/webp' ELSE 'text/html' END AS mime_type,
     CASE WHEN id % 50 = 11 THEN NULL WHEN status_code IS NULL OR status_code >= 400 THEN 'ERROR' WHEN status_code >= 300 THEN 'REDIRECT' WHEN img THEN 'IMAGE' ELSE 'HTML_PAGE' END AS resource_type,
     CASE WHEN img THEN 'IMAGE' ELSE 'HTML_PAGE' END AS media_type, id % 31 = 0 AS mime_mismatch,

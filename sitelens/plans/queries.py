@@ -112,6 +112,24 @@ def _(spark, d):
     return stats.resource_stats(crawl_pages(spark, d))
 
 
+_STATS_SQL = r"""SELECT 'status' AS section, CASE WHEN status_code IS NULL THEN 'error' WHEN status_code < 300 THEN '2xx' WHEN status_code < 400 THEN '3xx' WHEN status_code < 500 THEN '4xx' ELSE '5xx' END AS key, CAST(count(*) AS DOUBLE) AS value FROM page GROUP BY 2
+  UNION ALL SELECT 'resource_type', coalesce(resource_type, 'UNKNOWN'), count(*) FROM page GROUP BY 2 UNION ALL SELECT 'depth', CAST(depth AS VARCHAR), count(*) FROM page WHERE h GROUP BY 2 UNION ALL SELECT 'reason', indexability_reason, count(*) FROM page WHERE h GROUP BY 2
+  UNION ALL SELECT * FROM (SELECT 'directory', coalesce(directory, '/'), count(*) FROM page WHERE h GROUP BY directory ORDER BY 3 DESC, directory LIMIT 30) UNION ALL SELECT 'cluster', CAST(cluster_id AS VARCHAR), count(*) FROM page WHERE cluster_id IS NOT NULL GROUP BY 2
+  UNION ALL SELECT 'severity', severity, count(*) FROM finding GROUP BY 2 UNION ALL SELECT * FROM (SELECT 'issue', code, count(*) FROM finding GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 25)
+  UNION ALL SELECT 'links', k, v FROM (UNPIVOT (SELECT count_if(link_type = 'INTERNAL') AS internal, count_if(link_type = 'EXTERNAL') AS "external", count_if(NOT follow) AS nofollow FROM link) ON COLUMNS(*) INTO NAME k VALUE v)
+  UNION ALL SELECT 'totals', k, v FROM (UNPIVOT (SELECT CAST(count(*) AS DOUBLE) AS requested_urls, CAST(count_if(h) AS DOUBLE) AS html_pages, CAST(count(*) - count_if(h) AS DOUBLE) AS discovered, CAST(count_if(h AND indexable) AS DOUBLE) AS indexable, CAST(count_if(h AND status_code >= 400) AS DOUBLE) AS errors_html,
+    CAST(count_if(status_code >= 400) AS DOUBLE) AS errors_all, CAST(count_if(status_code BETWEEN 300 AND 399) AS DOUBLE) AS redirects, round(avg(depth) FILTER (WHERE h), 2) AS avg_depth, round(avg(response_time) FILTER (WHERE h)) AS avg_response_time, round(avg(word_count) FILTER (WHERE h)) AS avg_word_count,
+    CAST(count_if(img) AS DOUBLE) AS images, CAST(count_if(img AND f) AS DOUBLE) AS broken_images, CAST(count_if(img AND f) AS DOUBLE) AS broken_assets, CAST(count_if(mime_mismatch) AS DOUBLE) AS mime_mismatches, CASE WHEN count_if(img) > 0 THEN round(count_if(img AND f) / count_if(img), 4) ELSE 0.0 END AS broken_image_ratio,
+    greatest(0, least(100, floor(100 - CASE WHEN count_if(h) > 0 THEN (SELECT sum(CAST(CASE severity WHEN 'CRITICAL' THEN 12 WHEN 'HIGH' THEN 6 WHEN 'MEDIUM' THEN 2.5 WHEN 'LOW' THEN 0.8 ELSE 0 END AS DOUBLE)) FROM finding) / count_if(h) ELSE 0 END + 0.5))) AS seo_health
+    FROM page) ON COLUMNS(*) INTO NAME k VALUE v)""".replace("FROM page", "FROM (SELECT *, coalesce(resource_type, 'HTML_PAGE') = 'HTML_PAGE' AS h, status_code IS NULL OR status_code >= 400 AS f FROM page)")
+
+
+@query("crawl_stats", crawl_sql(_STATS_SQL, True))
+def _(spark, d):
+    pages, edges = _crawl(spark, d)
+    return stats.crawl_stats(pages, edges, cut(rules.page_findings(pages), "findings"))
+
+
 @query("page_inventory", crawl_sql("SELECT id, normalized_url, status_code, resource_type, media_type, content_type, title, title_length, meta_description, meta_description_length, h1, h1_count, canonical, meta_robots, indexable, indexability_reason, word_count, depth, internal_inlinks, internal_outlinks, external_outlinks, internal_page_rank, response_time, error_type, potential_orphan FROM pm WHERE status_code BETWEEN 200 AND 299 AND coalesce(resource_type, 'HTML_PAGE') = 'HTML_PAGE' AND depth >= 1 AND depth <= 5 ORDER BY internal_page_rank DESC, id LIMIT 20 OFFSET 20"))
 def _(spark, d):
     return inventory.page_inventory(_metrics(spark, d), page=2, per_page=20, status="2xx", kind="pages", min_depth=1, max_depth=5)

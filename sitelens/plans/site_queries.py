@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.lineage import cut, shared_dir
-from ..operators import bucket_table, compare, inventory, keywords, links, rules, sinks, stats, trees
-from ..sources import search_api
+from ..operators import bucket_table, compare, inventory, keywords, links, rules, sinks, stats, text_index, trees
+from ..sources import crawl_store, search_api
 from .crawl_view import CHILDREN_SQL, crawl_hreflangs, crawl_images, crawl_links, crawl_pages, crawl_schemas, crawl_sql, second_crawl
 from .registry import query, table
 
@@ -394,3 +395,45 @@ def _(spark, d):
     pages = search_api.read_pages(spark, path)
     found = search_api.page_rows_of(pages, ["query", "event"]).groupBy("date").agg(F.round(F.sum("clicks"), 4).alias("clicks"), F.max("query").alias("last_query"))
     return search_api.day_counts(pages, page_rows=20).join(found, "date").select("date", "pages", "rows", "whole", "clicks", "last_query")
+
+
+# Lookups
+
+
+def _index(spark: SparkSession, d: str) -> text_index.TextIndex:
+    return text_index.TextIndex.build(crawl_pages(spark, d).select("id", "normalized_url", "title"), f"{shared_dir(spark)}/sitelens/index-{uuid.uuid4().hex}", ["normalized_url", "title"])
+
+
+@query("indexed_search", crawl_sql("SELECT id, lower(normalized_url) AS normalized_url, lower(title) AS title FROM page WHERE contains(lower(normalized_url), 'blog') OR contains(lower(title), 'blog') OR contains(lower(normalized_url), 'example.org/')"))
+def _(spark, d):
+    index = _index(spark, d)
+    return index.search("Blog").unionByName(index.search("example.org/")).distinct()
+
+
+@query("find_page", crawl_sql("SELECT id, lower(normalized_url) AS normalized_url FROM page WHERE contains(lower(normalized_url), 'example.net/') ORDER BY lower(normalized_url) = 'example.net/' DESC, id LIMIT 1"))
+def _(spark, d):
+    return text_index.find_page(_index(spark, d), "example.net/").select("id", "normalized_url")
+
+
+@query("page_lookup", crawl_sql("SELECT crawl_id, id, normalized_url FROM (SELECT crawl_id, id, normalized_url, url_hash FROM page UNION ALL SELECT 'B', id, normalized_url, url_hash FROM page WHERE id % 2 = 0) WHERE crawl_id = 'B' AND url_hash = (SELECT url_hash FROM page WHERE id % 2 = 0 ORDER BY id LIMIT 1)"))
+def _(spark, d):
+    pages = crawl_pages(spark, d).select("crawl_id", "id", "url", "normalized_url", "url_hash")
+    path = f"{shared_dir(spark)}/sitelens/crawls-{uuid.uuid4().hex}"
+    crawl_store.write_crawl(pages.unionByName(pages.where("id % 2 = 0").withColumn("crawl_id", F.lit("B"))), path)
+    first = pages.where("id % 2 = 0").orderBy("id").select("url").first()
+    return crawl_store.lookup(spark, path, "B", first["url"] if first else "").select("crawl_id", "id", "normalized_url")
+
+
+@query("audit_context", crawl_sql("""SELECT part, id FROM (
+  SELECT * FROM (SELECT 'top_pages' AS part, id FROM pm WHERE indexable ORDER BY internal_page_rank DESC, id LIMIT 20) UNION ALL SELECT * FROM (SELECT 'low_inlinks', id FROM pm WHERE indexable AND internal_inlinks <= 1 AND depth > 0 ORDER BY internal_inlinks, id LIMIT 25)
+  UNION ALL SELECT * FROM (SELECT 'deep', id FROM pm WHERE coalesce(resource_type, 'HTML_PAGE') = 'HTML_PAGE' AND depth >= 5 ORDER BY depth DESC, id LIMIT 25) UNION ALL SELECT * FROM (SELECT 'redirects', id FROM pm WHERE status_code BETWEEN 300 AND 399 ORDER BY internal_inlinks DESC, id LIMIT 20)
+  UNION ALL SELECT * FROM (SELECT 'canonicalized', id FROM pm WHERE indexability_reason = 'CANONICALIZED' ORDER BY id LIMIT 20) UNION ALL SELECT * FROM (SELECT 'orphans', id FROM pm WHERE potential_orphan ORDER BY id LIMIT 25)
+  UNION ALL SELECT * FROM (SELECT 'broken', source_page_id FROM link l JOIN page t ON t.id = l.target_page_id JOIN page s ON s.id = l.source_page_id WHERE link_type = 'INTERNAL' AND t.status_code >= 400 ORDER BY source_page_id, l.target_page_id LIMIT 25))""", True))
+def _(spark, d):
+    from .analysis import audit_context
+
+    pages, edges = _crawl(spark, d)
+    found = audit_context(pages, edges, rules.page_findings(pages))
+    ids = {"broken": "source_page_id"}
+    parts = [found[k].select(F.lit(k).alias("part"), F.col(ids.get(k, "id")).alias("id")) for k in ("top_pages", "low_inlinks", "deep", "redirects", "canonicalized", "orphans", "broken")]
+    return reduce(DataFrame.unionByName, parts)

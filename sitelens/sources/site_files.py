@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import itertools
 import ipaddress
 import re
 import socket
@@ -71,10 +72,10 @@ def read_sitemap(body: bytes | str) -> tuple[list[str], list[str]]:
     return found["url"], found["sitemap"]
 
 
-def discover(spark: SparkSession, documents: DataFrame, seeds: list[str], *, max_levels: int = 10, max_urls: int | None = None, max_sitemaps: int | None = None) -> DataFrame:
+def discover(spark: SparkSession, documents: DataFrame, seeds: list[str], *, max_levels: int | None = None, max_urls: int | None = None, max_sitemaps: int | None = None) -> DataFrame:
     """url, normalized_url, url_hash, sitemap of all URLs reached from the seed sitemaps; documents has url and body.
 
-    One round for each level of nesting: sitemaps of the level are joined to documents and those seen before left out. A URL that
+    One round for each level of nesting, however many there are: sitemaps of the level are joined to documents and those seen before left out. A URL that
     several sitemaps list is told of the first. max_sitemaps and max_urls are a crawler's own limits: the first by level and name.
     """
     schema = T.StructType([T.StructField("pages", T.ArrayType(T.StringType())), T.StructField("nested", T.ArrayType(T.StringType()))])
@@ -89,7 +90,7 @@ def discover(spark: SparkSession, documents: DataFrame, seeds: list[str], *, max
 
     level = spark.createDataFrame([(s,) for s in seeds], "url string").distinct()
     seen, found = level, None
-    for k in range(max_levels):
+    for k in itertools.count() if max_levels is None else range(max_levels):
         if max_sitemaps is not None:
             level = level.orderBy("url").limit(max(0, max_sitemaps - (seen.count() - level.count())))
         read = cut(documents.join(level, "url", "left_semi").select(F.col("url").alias("sitemap"), parse("body").alias("x")), "sitemaps")
