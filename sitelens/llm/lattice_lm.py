@@ -268,7 +268,11 @@ class Model:
 
 
 def score_documents(docs: DataFrame, model_path: str, *, key: str = "doc_id", text: str = "text", modulus: int = 7, held_out: int = 2) -> DataFrame:
-    """Scores of all docs by a model learned from those whose crc32 remainder isn't held_out."""
+    """Scores of all docs by a model learned from those whose crc32 remainder isn't held_out.
+
+    Rows are numbered by their place in their partition, so docs is a table that is read (cut() others first): a task that runs
+    again must find the same rows in the same order.
+    """
     with open(model_path, "rb") as f:
         pieces = f.read()
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), remainder_is(key, modulus, held_out).alias("held"))

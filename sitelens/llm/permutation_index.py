@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import table
+from .common import cut, table
 from .vectors import as_matrix, packed, usable
 
 PIVOTS = 512
@@ -70,8 +70,9 @@ def _of_length(rows: DataFrame, asked: DataFrame, d: int, n: int, n_queries: int
     prefix = min(PREFIX, len(sample))
     chunks, parts = -(-n // chunk_rows), -(-n_queries // QUERY_ROWS)
     dealt = lambda m: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(m)).cast("int")
-    index = packed(rows, "e", "v").withColumn("chunk", dealt(chunks)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asked = packed(asked, "e", "v").withColumn("part", dealt(parts)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    # Rows are dealt by their place in a written table: a task that runs again finds them where they were.
+    index = cut(packed(rows, "e", "v"), "vectors").withColumn("chunk", dealt(chunks)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = cut(packed(asked, "e", "v"), "queries").withColumn("part", dealt(parts)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "h", "vec_id", "score"]
