@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from ..functions.seo import alt_state
 from .links import image_statuses, link_export
@@ -53,14 +52,16 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def absent(incoming: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of incoming, one for each key, whose key target doesn't hold: what insert-and-skip-duplicates adds."""
-    return incoming.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
+    """Rows of incoming, one for each key (the smallest), whose key target doesn't hold: what insert-and-skip-duplicates adds."""
+    rest = [c for c in incoming.columns if c not in keys]
+    one = incoming.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__m")).select(*keys, "__m.*") if rest else incoming.distinct()
+    return one.select(*incoming.columns).join(target.select(*keys), keys, "left_anti")
 
 
 def upserted(target: DataFrame, incoming: DataFrame, keys: list[str], newest: Column) -> DataFrame:
-    """target with incoming's rows in place of those with their key; of several, the newest."""
-    one = W.Window.partitionBy(*keys).orderBy(newest.desc())
-    fresh = incoming.withColumn("__n", F.row_number().over(one)).where(F.col("__n") == 1).drop("__n")
+    """target with incoming's rows in place of those with their key; of several, the newest (of equally new ones the largest)."""
+    rest = F.struct(*(c for c in incoming.columns if c not in keys)) if len(incoming.columns) > len(keys) else F.lit(0)
+    fresh = incoming.groupBy(*keys).agg(F.max_by(F.struct(*incoming.columns), F.struct(newest.alias("newest"), rest.alias("rest"))).alias("__m")).select("__m.*")
     return target.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
