@@ -5,8 +5,8 @@ pattern looks ahead). A class is a function from states to states of a small aut
 finite monoid, so a scan over the numbers of its elements (pairs are composed by a table, level by level, up and down again) gives the
 state at each place of all texts of a batch at once, and with it where slices begin. No regular expression runs.
 
-Distinct slices are merged once, best rank first, leftmost among equals (a heap over linked places, so that a slice of any length
-costs n log n); results stay in a bounded cache. Offsets are the first byte of each id's bytes; with them decode() gives the bytes,
+Distinct slices are merged once, best rank first, leftmost among equals: short ones side by side in flat arrays, a pair of each in a
+round; long ones by a heap over linked places, at n log n of their length. Results stay in a bounded cache. Offsets are the first byte of each id's bytes; with them decode() gives the bytes,
 or any span of them, back.
 
 The pattern is 's|'t|'re|'ve|'m|'ll|'d| ?letters| ?numbers| ?marks|white space before white space or the end|white space, with the
@@ -33,6 +33,9 @@ from .common import table, utf8_parts
 from .words import parts
 
 CACHE_SLICES = 400_000
+#: Bytes of slices that merge side by side.
+SHORT = 64
+NONE = np.int64(2**31)
 
 # White space; letters and numbers that Unicode 16 adds to 15.1, which this Python has.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -113,9 +116,21 @@ def code_points(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     """Code points of the UTF-8 bytes of some texts and the byte that each begins at; a byte that isn't UTF-8 is one code point, the replacement."""
     n = len(data)
     tail = (data & 0xC0) == 0x80
+    at = np.flatnonzero(~tail)
+    lead = data[at]
+    wide = np.flatnonzero(lead >= 0x80)
+    size = 1 + (lead >= 0xC0).astype(np.int8) + (lead >= 0xE0) + (lead >= 0xF0)
+    begins = offsets[(offsets < n)]
+    if (not n or at.size and at[0] == 0) and (np.diff(at, append=n) == size).all() and not tail[begins].any() and (lead < 0xF8).all():  # all is UTF-8
+        out = lead.astype(np.int64)
+        first, some = at[wide], lead[wide].astype(np.int64)
+        value = some & (np.int64(0xFF) >> (size[wide] + 1))
+        for k in (1, 2, 3):
+            on = size[wide] > k
+            value[on] = value[on] << 6 | (data[first[on] + k] & 0x3F)
+        out[wide] = value
+        return np.where(out < 0x110000, out, 0xFFFD), at
     length = np.select([data < 0x80, tail, data < 0xE0, data < 0xF0, data < 0xF8], [1, 0, 2, 3, 4], 0)
-    if n and int(length.max()) == 1 and not tail.any():
-        return data.astype(np.int64), np.arange(n)
     padded = np.concatenate([tail, np.zeros(4, bool)])
     padded[offsets] = False  # what a text lacks isn't taken from the next one
     good = length > 0
@@ -186,6 +201,21 @@ class Ranks:
         if missing:
             raise ValueError("every byte needs a rank")
         self.raw = {i: b for b, i in self.rank.items()}
+        self.names = {i: str(i) for i in self.raw}
+        self.of_byte = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int64)
+        made = {}
+        for token, i in self.rank.items():
+            for k in range(1, len(token)):
+                left, right = self.rank.get(token[:k]), self.rank.get(token[k:])
+                if left is not None and right is not None:
+                    made[left << 32 | right] = i
+        self.keys, self.made = np.array([*made] or [-1], dtype=np.int64), np.array([*made.values()] or [0], dtype=np.int64)
+        self.bits = max(10, (4 * len(made)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, dtype=np.int64)  # open addressing: a pair's place in keys
+        for i, at in enumerate(self._slot(self.keys).tolist()):
+            while self.slots[at] >= 0:
+                at = (at + 1) & (len(self.slots) - 1)
+            self.slots[at] = i
         self.cache: dict[bytes, tuple[str, bytes, int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -216,22 +246,86 @@ class Ranks:
             i = after[i]
         return out
 
-    def learn(self, piece: bytes) -> tuple[str, bytes, int]:
-        """Ids of a slice joined by commas, what they decode to, and their number."""
-        if len(self.cache) >= CACHE_SLICES:
-            self.cache.clear()
-        ids = self.merge(piece)
-        out = self.cache[piece] = (",".join(map(str, ids)), b"".join([self.raw[i] for i in ids]), len(ids))
+    def merge_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of short slices, merged side by side: their symbols lie in one flat array, and each round merges the best pair of every slice, the leftmost of equals."""
+        out: list[list[int]] = [[]] * len(pieces)
+        symbol = self.of_byte[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        end = np.cumsum([*map(len, pieces)])
+        start = np.append(0, end[:-1])
+        owner = np.arange(len(pieces))
+        shift = int(len(symbol)).bit_length()
+        rank = np.full(len(symbol), NONE)
+        inner = np.ones(len(symbol), dtype=bool)
+        inner[end - 1] = False
+        at = np.flatnonzero(inner)
+        rank[at] = self.look_up(symbol[at], symbol[at + 1])
+        while len(start):
+            best = np.minimum.reduceat((rank << shift) | np.arange(len(symbol)), start)
+            done = best >= NONE << shift
+            if done.any():
+                ids = symbol[np.repeat(done, end - start)].tolist()
+                a = 0
+                for i, size in zip(owner[done].tolist(), (end - start)[done].tolist(), strict=True):
+                    out[i] = ids[a : a + size]
+                    a += size
+            p, go = best[~done] & ((1 << shift) - 1), ~done
+            at_end, at_start = p + 2 == end[go], p == start[go]
+            symbol[p] = rank[p]  # an id is its rank
+            keep = np.repeat(go, end - start)
+            keep[p + 1] = False
+            p = (np.cumsum(keep) - 1)[p]
+            size = (end - start)[go] - 1
+            symbol, rank, owner = symbol[keep], rank[keep], owner[go]
+            end = np.cumsum(size)
+            start = end - size
+            rank[p[at_end]] = NONE
+            at = np.concatenate([p[~at_end], p[~at_start] - 1])
+            rank[at] = self.look_up(symbol[at], symbol[at + 1])
         return out
 
+    def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of what two ids make together, NONE if nothing."""
+        key = left << 32 | right
+        slot = self._slot(key)
+        at = self.slots[slot]
+        while len(more := np.flatnonzero((at >= 0) & (self.keys[at] != key))):
+            slot[more] = (slot[more] + 1) & (len(self.slots) - 1)
+            at[more] = self.slots[slot[more]]
+        return np.where(at >= 0, self.made[at], NONE)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def learn(self, pieces: set[bytes]) -> None:
+        """Take slices that aren't there yet into the cache: ids joined by commas, what they decode to, and their number."""
+        new = [*pieces.difference(self.cache)]
+        if len(self.cache) + len(new) > CACHE_SLICES:
+            self.cache.clear()
+            new = [*pieces]
+        short = [p for p in new if len(p) <= SHORT and p not in self.rank]
+        raw, cache, names = self.raw, self.cache, self.names
+        for p, ids in zip(short, self.merge_all(short) if short else [], strict=True):
+            cache[p] = (",".join([names[i] for i in ids]), b"".join([raw[i] for i in ids]), len(ids))
+        for p in new:
+            if p not in cache:
+                ids = self.merge(p)
+                cache[p] = (",".join([names[i] for i in ids]), b"".join([raw[i] for i in ids]), len(ids))
+
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> Iterator[list[tuple[str, bytes, int]]]:
         """For each text its slices' ids (joined by commas), decoded bytes and number of ids."""
         first, rows = slices(offsets, data)
         flat, edge = data.tobytes(), [*first.tolist(), len(data)]
         pieces = [flat[a:b] for a, b in zip(edge, edge[1:], strict=False)]
-        get = self.cache.get
+        held = 0  # slices up to here are in the cache
         for a, b in zip(rows.tolist(), rows[1:].tolist(), strict=False):
-            yield [get(p) or self.learn(p) for p in pieces[a:b]]
+            found: list[tuple[str, bytes, int]] = []
+            while a < b:
+                if a >= held:
+                    held = min(a + CACHE_SLICES, len(pieces))
+                    self.learn(set(pieces[a:held]))
+                found += map(self.cache.__getitem__, pieces[a : min(b, held)])
+                a = min(b, held)
+            yield found
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.raw[i] for i in ids])
