@@ -45,31 +45,38 @@ def _value(letter: Column) -> Column:
     return code * code * code * code
 
 
-def _entries(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Remainders of each word less one letter, and whole keys; each with a front and a back half, for words of the length left."""
+def _half(word: Column, left: Column, side: Column) -> Column:
+    """The front (side 0) or the back (1) half of a word, for so many letters that are left of it."""
+    half = F.floor(left / 2).cast("int")
+    return F.when(side == 0, F.substring(word, F.lit(1), half)).when(half > 0, F.substring(word, F.length(word) - half + 1, half)).otherwise("")
+
+
+def _entries(counted: DataFrame) -> DataFrame:
+    """word, n, whole, met: two entries (halves) of each word as a whole, and for each of its letters of the word less that letter.
+
+    met is a hash of the remaining key, its length, and the half; its last bit is the side. It is all of an entry that is shuffled
+    beside word and count: what it stands for is looked at again when words have met.
+    """
     letters = F.filter(F.split("word", ""), lambda c: c != "")
     key = F.aggregate("letters", F.lit(0).cast("long"), lambda s, c: s + _value(c))
     keyed = counted.select("word", "n", letters.alias("letters")).select("word", "n", "letters", key.alias("key"), F.size("letters").alias("length"))
-
-    def halved(df: DataFrame, left: Column) -> DataFrame:
-        half = F.floor(left / 2).cast("int")
-        front, back = F.substring("word", F.lit(1), half), F.when(half > 0, F.substring("word", F.col("length") - half + 1, half)).otherwise("")
-        both = F.array(F.struct(F.lit(0).alias("side"), front.alias("half")), F.struct(F.lit(1).alias("side"), back.alias("half")))
-        return df.select("word", "n", "key", left.alias("left"), front.alias("front"), F.explode(both).alias("h")).select("word", "n", "key", "left", "front", "h.side", "h.half")
-
-    removed = keyed.select("word", "n", "length", "key", F.explode(F.array_distinct("letters")).alias("letter"))
-    removed = removed.select("word", "n", "length", (F.col("key") - _value(F.col("letter"))).alias("key"))
-    return halved(removed, F.col("length") - 1), halved(keyed, F.col("length"))
+    less = F.transform(F.array_distinct("letters"), lambda c: F.struct((F.col("key") - _value(c)).alias("key"), (F.col("length") - 1).alias("left"), F.lit(False).alias("whole")))
+    every = keyed.select("word", "n", F.explode(F.concat(F.array(F.struct("key", F.col("length").alias("left"), F.lit(True).alias("whole"))), less)).alias("e")).select("word", "n", "e.*")
+    sides = every.select("word", "n", "key", "left", "whole", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    met = F.shiftleft(F.xxhash64("key", "left", _half(F.col("word"), F.col("left"), F.col("side"))), 1).bitwiseOR(F.col("side").cast("long"))
+    return sides.select("word", "n", "whole", met.alias("met"))
 
 
 def near_pairs(counted: DataFrame) -> DataFrame:
     """word, n, near, near_n: ordered pairs of words of the table (word, n; each word once) that differ by exactly one code point."""
-    removed, whole = _entries(counted)
-    right = removed.withColumn("whole", F.lit(False)).unionByName(whole.withColumn("whole", F.lit(True)))
-    right = right.select("key", "left", "side", "half", F.col("word").alias("near"), F.col("n").alias("near_n"), F.col("front").alias("near_front"), "whole")
-    met = removed.join(right, ["key", "left", "side", "half"]).where(F.col("whole") | (F.col("word") < F.col("near")))
-    once = (F.col("side") == 0) | (F.col("front") != F.col("near_front"))  # what agrees in front has met there
-    pairs = met.where(once & (F.levenshtein("word", "near", 1) == 1)).select("word", "n", "near", "near_n")
+    every = _entries(counted)
+    right = every.select("met", F.col("word").alias("near"), F.col("n").alias("near_n"), "whole")
+    met = every.where(~F.col("whole")).drop("whole").join(right, "met").where(F.col("whole") | (F.col("word") < F.col("near")))
+    left, side = F.length("word") - 1, F.col("met").bitwiseAND(1)
+    as_long = F.length("near") == F.length("word") - F.when(F.col("whole"), 1).otherwise(0)
+    half = lambda s: _half(F.col("word"), left, s) == _half(F.col("near"), left, s)
+    once = F.when(side == 0, half(F.lit(0))).otherwise(half(F.lit(1)) & ~half(F.lit(0)))  # what agrees in front has met there
+    pairs = met.where(as_long & once & (F.levenshtein("word", "near", 1) == 1)).select("word", "n", "near", "near_n")
     both = F.array(F.struct("word", "n", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
     return pairs.select(F.explode(both).alias("p")).select("p.*")
 
