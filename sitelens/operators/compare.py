@@ -6,8 +6,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from ..functions.lineage import cut
+from ..functions.seo import SEVERITY_WEIGHTS, half_up
 from . import stats
 
 #: The metrics of a comparison, and whether more of them is better.
@@ -69,14 +72,27 @@ def latest_two(crawls: DataFrame) -> DataFrame:
 
 
 def crawl_metrics(pages: DataFrame, links: DataFrame, findings: DataFrame) -> DataFrame:
-    """METRICS of one crawl, one row; readiness is 0 where the pages have no geo_signals."""
-    totals = stats.totals(pages).select(
-        F.col("requested_urls").alias("crawled_urls"), "indexable", F.col("errors_html").alias("errors"), "redirects", F.coalesce("avg_depth", F.lit(0.0)).alias("average_depth"),
+    """crawl_id and METRICS of every crawl that pages are of, from one aggregation each of pages, links and findings.
+
+    links and findings belong to the crawl of their page (source_page_id, page_id). Readiness is 0 where pages have no geo_signals.
+    """
+    by, page, status = ["crawl_id"], stats.is_page(), F.col("status_code")
+    totals = pages.groupBy(*by).agg(
+        F.count("*").alias("crawled_urls"), F.count_if(page).alias("__html"), F.count_if(page & F.col("indexable")).alias("indexable"), F.count_if(page & (status >= 400)).alias("errors"),
+        F.count_if(status.between(300, 399)).alias("redirects"), F.coalesce(F.round(F.avg(F.when(page, F.col("depth"))), 2), F.lit(0.0)).alias("average_depth"),
     )
-    ready = stats.geo_readiness(stats.geo_stats(pages)).select(F.col("score").alias("geo_readiness")) if "geo_signals" in pages.columns else None
-    parts = [totals, stats.link_totals(links).select(F.col("internal").alias("internal_links")), stats.seo_health(findings, pages).select("seo_health"), findings.agg(F.count("*").alias("issues"))]
-    one = reduce(lambda a, b: a.join(F.broadcast(b)), [*parts, ready] if ready is not None else parts)  # one row each
-    return one.select(*(F.coalesce(F.col(m), F.lit(0)).alias(m) if m in one.columns else F.lit(0).alias(m) for m in METRICS))
+    of = lambda key: pages.select(F.col("id").alias(key), *by)
+    sent = links.select("source_page_id", "link_type").join(of("source_page_id"), "source_page_id").groupBy(*by).agg(F.count_if(F.col("link_type") == "INTERNAL").alias("internal_links"))
+    weights = F.create_map(*[F.lit(x) for kv in SEVERITY_WEIGHTS.items() for x in kv])
+    found = findings.select("page_id", "severity").join(of("page_id"), "page_id").groupBy(*by, "severity").agg(F.count("*").alias("n"))
+    lost = found.groupBy(*by).agg(F.sum("n").alias("issues"), F.sum(F.element_at(weights, F.col("severity")) * F.col("n")).alias("__lost"))
+    parts = [sent, lost]
+    if "geo_signals" in pages.columns:
+        parts.append(stats.geo_readiness(stats.geo_stats(pages, by), by).select(*by, F.col("score").alias("geo_readiness")))
+    one = reduce(lambda x, y: x.join(y, by, "left"), parts, totals)
+    penalty = F.when(F.col("__html") > 0, F.coalesce("__lost", F.lit(0.0)) / F.col("__html")).otherwise(0.0)
+    one = one.withColumn("seo_health", F.greatest(F.lit(0), F.least(F.lit(100), half_up(100 - penalty))).cast("long"))
+    return one.select(*by, *(F.coalesce(F.col(m), F.lit(0)).alias(m) if m in one.columns else F.lit(0).alias(m) for m in METRICS))
 
 
 def compare_crawls(base_id: object, target_id: object, crawls: DataFrame, pages: DataFrame, links: DataFrame, findings: DataFrame, *, most: int | None = None) -> dict[str, DataFrame]:
@@ -91,7 +107,10 @@ def compare_crawls(base_id: object, target_id: object, crawls: DataFrame, pages:
     a, b = (pages.where(F.col("crawl_id") == x) for x in (base_id, target_id))
     own = lambda df, key, side: df.join(side.select(F.col("id").alias(key)), key, "left_semi")
     found = [own(findings, "page_id", x) for x in (a, b)]
-    measured = [crawl_metrics(x, own(links, "source_page_id", x), f) for x, f in zip((a, b), found, strict=True)]
+    both = pages.where(F.col("crawl_id").isin(base_id, target_id))
+    asked = pages.sparkSession.createDataFrame([(base_id,), (target_id,)], T.StructType([T.StructField("crawl_id", pages.schema["crawl_id"].dataType)]))
+    counted = cut(asked.distinct().join(F.broadcast(crawl_metrics(both, links, findings)), "crawl_id", "left").fillna({"seo_health": 100}).fillna(0), "crawl-metrics")  # a row for each of the two
+    measured = [counted.where(F.col("crawl_id") == x) for x in (base_id, target_id)]
     better = F.create_map(*(F.lit(x) for kv in METRICS.items() for x in kv))
     first = lambda df: df.orderBy("normalized_url").limit(most) if most else df
     url = lambda df: first(df.select("id", "normalized_url", "status_code"))

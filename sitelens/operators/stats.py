@@ -119,13 +119,13 @@ def top_by(pages: DataFrame, metric: str, most: int = 10) -> DataFrame:
     return pages.where(F.col(metric).isNotNull()).orderBy(F.desc(metric), "id").limit(most).select("id", "normalized_url", metric)
 
 
-def geo_stats(pages: DataFrame) -> DataFrame:
-    """Counts of signals over indexable HTML pages (geo_signals struct), and whether about and contact pages exist."""
+def geo_stats(pages: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Counts of signals over indexable HTML pages (geo_signals struct), and whether about and contact pages exist, of all pages or by some columns."""
     g = F.col("geo_signals")
     own = is_page() & F.col("indexable")
     has = lambda c: F.count_if(own & F.coalesce(c, F.lit(False)))
     url = F.lower("normalized_url")
-    return pages.agg(
+    return pages.groupBy(*(by or [])).agg(
         has(F.lit(True)).alias("total_indexable"), has(g["has_structured_data"]).alias("with_structured_data"),
         has(F.exists(g["schema_types"], lambda t: t.rlike("(?i)organization|localbusiness"))).alias("with_organization"), has(g["has_breadcrumbs"]).alias("with_breadcrumbs"),
         has(g["has_author"]).alias("with_author"), has(g["has_published_date"] | g["has_modified_date"]).alias("with_dates"), has(g["heading_structure_ok"]).alias("with_good_headings"),
@@ -134,7 +134,7 @@ def geo_stats(pages: DataFrame) -> DataFrame:
     )
 
 
-def geo_readiness(stats: DataFrame) -> DataFrame:
+def geo_readiness(stats: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Eight categories and their sum (at most 100); shares are rounded to whole per cents first."""
     n = F.col("total_indexable")
     part = lambda c, most: half_up(percent(F.col(c), n) / 100 * most).cast("long")
@@ -145,7 +145,7 @@ def geo_readiness(stats: DataFrame) -> DataFrame:
         "machine_readability": part("with_server_content", 15), "author_transparency": part("with_author", 10), "source_transparency": flag("has_about_page") + flag("has_contact_page"),
         "answerability": F.least(F.lit(10).cast("long"), part("with_dates", 5) + some("with_faq", 5)), "internal_semantic_linking": some("with_breadcrumbs", 5),
     }
-    scored = stats.select(*(c.alias(k) for k, c in cols.items()))
+    scored = stats.select(*(by or []), *(c.alias(k) for k, c in cols.items()))
     total = F.lit(0).cast("long")
     for k in cols:
         total = total + F.col(k)
