@@ -8,6 +8,7 @@ import io
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.seo import half_up
 from ..functions.text import is_valid_keyword, normalize_country, normalize_device, normalize_keyword, parse_ctr, parse_date, parse_number
 
 MAX_ROWS = 50_000
@@ -41,8 +42,8 @@ def separator_of(line: str) -> str:
     return max(",;\t", key=lambda c: line.count(c))
 
 
-def read_keywords(spark: SparkSession, path: str, *, max_rows: int = MAX_ROWS) -> DataFrame:
-    """keyword, normalized, position, clicks, impressions, ctr, url, country, device, date, tags of a file's valid rows.
+def read_rows(spark: SparkSession, path: str, *, max_rows: int = MAX_ROWS) -> DataFrame:
+    """n, keyword, position, clicks, impressions, ctr, url, country, device, date, tags of a file's rows, valid or not; n sorts as the file does.
 
     Headers are matched by name; a file without known headers is read as one keyword in the first column of each line.
     Rows may be ragged. max_rows is the importer's own limit: the file's first rows.
@@ -58,8 +59,15 @@ def read_keywords(spark: SparkSession, path: str, *, max_rows: int = MAX_ROWS) -
     if "keyword" not in places:
         places = {"keyword": 0}
     text = lambda f: F.trim(F.regexp_replace(F.col(f"c{places[f]}"), "﻿", "")) if f in places else F.lit(None).cast("string")
-    rows = raw.orderBy(F.monotonically_increasing_id()).limit(max_rows).select(
-        text("keyword").alias("keyword"), parse_number(text("position")).alias("position"), parse_number(text("clicks")).cast("long").alias("clicks"), parse_number(text("impressions")).cast("long").alias("impressions"),
-        parse_ctr(text("ctr")).alias("ctr"), text("url").alias("url"), normalize_country(text("country")).alias("country"), normalize_device(text("device")).alias("device"), parse_date(text("date")).alias("date"), text("tags").alias("tags"),
+    return raw.withColumn("n", F.monotonically_increasing_id()).orderBy("n").limit(max_rows).select(
+        "n", text("keyword").alias("keyword"), parse_number(text("position")).alias("position"), parse_number(text("clicks")).alias("clicks"), parse_number(text("impressions")).alias("impressions"),
+        parse_ctr(text("ctr")).alias("ctr"), text("url").alias("url"), text("country").alias("country"), text("device").alias("device"), parse_date(text("date")).alias("date"), text("tags").alias("tags"),
     )
-    return rows.withColumn("normalized", normalize_keyword(F.col("keyword"))).where(is_valid_keyword(F.col("normalized")))
+
+
+def read_keywords(spark: SparkSession, path: str, *, max_rows: int = MAX_ROWS) -> DataFrame:
+    """A file's rows that hold a keyword, with normalized; countries and devices are normalised, clicks and impressions whole numbers."""
+    rows = read_rows(spark, path, max_rows=max_rows).withColumns({
+        "country": normalize_country(F.col("country")), "device": normalize_device(F.col("device")), "clicks": half_up(F.col("clicks")).cast("long"), "impressions": half_up(F.col("impressions")).cast("long"), "normalized": normalize_keyword(F.col("keyword")),
+    })
+    return rows.where(is_valid_keyword(F.col("normalized"))).drop("n")
