@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.lineage import cut, shared_dir
-from ..operators import bucket_table, compare, inventory, keywords, links, rules, sinks, stats, text_index, trees
+from ..operators import bucket_table, compare, inventory, keyword_import, keywords, links, rules, sinks, stats, text_index, trees
 from ..sources import crawl_store, search_api
 from .crawl_view import CHILDREN_SQL, crawl_hreflangs, crawl_images, crawl_links, crawl_pages, crawl_schemas, crawl_sql, second_crawl
 from .registry import query, table
@@ -330,6 +330,81 @@ def _(spark, d):
     return keywords.locations(table(spark, d, "customer").select(F.concat("c_name", F.when(F.col("c_custkey") % 2 == 0, ", ES").otherwise("")).alias("name")))
 
 
+def _import_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A third of the part's words as known keywords, and a history of one day of them."""
+    p = table(spark, d, "part").where("p_partkey % 3 = 0")
+    null = lambda t: F.lit(None).cast(t)
+    known = p.select(
+        F.lit("P").alias("project_id"), F.concat("p_name", F.lit(" "), "p_partkey").alias("normalized"), F.lit("esp").alias("country"), F.lit("ALL").alias("device"), F.upper("p_name").alias("keyword"), F.lit("MANUAL").alias("source"), (F.col("p_partkey") % 2 == 0).alias("tracked"),
+        F.col("p_brand").alias("tags"), null("string").alias("target_url"), (F.col("p_size") * 1.0).alias("last_position"), null("double").alias("previous_position"), F.when(F.col("p_partkey") % 2 == 0, F.lit(12.0)).alias("best_position"),
+        *(null(t).alias(c) for c, t in (("last_clicks", "long"), ("last_impressions", "long"), ("last_ctr", "double"), ("last_url", "string"), ("last_checked_at", "date"))),
+    )
+    day = F.to_date(F.lit("1998-01-05"))
+    return known, known.select(*keyword_import.KEYWORD_KEY, day.alias("date"), F.lit(1.0).alias("position"), F.lit(1).cast("long").alias("clicks"), F.lit(1).cast("long").alias("impressions"), F.lit(0.5).alias("ctr"), F.lit("/old").alias("url"), F.lit("GSC").alias("source"))
+
+
+def _imported(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    li = table(spark, d, "lineitem").join(p, "l_partkey")
+    q, odd = F.col("l_quantity"), F.col("l_linenumber") % 3 == 0
+    rows = li.select(
+        F.lit("P").alias("project_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("n"), F.when(F.col("l_suppkey") % 7 != 0, F.concat(F.lit(" "), F.upper("p_name"), F.lit("  "), "l_partkey")).alias("keyword"),
+        F.when(~odd, q).alias("position"), F.when(F.col("l_linenumber") % 2 == 0, q / 4).alias("clicks"), F.when(F.col("l_linenumber") % 2 == 0, q * 10).alias("impressions"), F.when(~odd, F.col("l_tax")).alias("ctr"),
+        F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("/s/"), "l_suppkey")).alias("url"), F.lit("España").alias("country"), F.lit("").alias("device"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("date"), F.when(F.col("l_suppkey") % 3 == 0, "group").alias("tags"),
+    )
+    return keyword_import.import_rows(rows, *_import_tables(spark, d), F.to_date(F.lit("1998-01-05")))
+
+
+_IMPORT = """x AS (SELECT p_name || ' ' || l_partkey AS normalized, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n, upper(p_name) || '  ' || l_partkey AS keyword, l_suppkey % 7 <> 0 AS valid,
+    CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END AS position, CASE WHEN l_linenumber % 2 = 0 THEN CAST(floor(l_quantity / 4 + 0.5) AS BIGINT) END AS clicks, CASE WHEN l_suppkey % 2 = 0 THEN '/s/' || l_suppkey END AS url,
+    CAST(date_trunc('month', l_shipdate) AS DATE) AS date FROM lineitem JOIN part ON p_partkey = l_partkey),
+  v AS (SELECT *, lag(position) OVER (PARTITION BY normalized, position IS NULL ORDER BY n) AS before FROM x WHERE valid),
+  o AS (SELECT normalized, arg_max(keyword, n) AS keyword, arg_max(url, n) FILTER (WHERE url IS NOT NULL) AS target_url, arg_max(position, n) FILTER (WHERE position IS NOT NULL) AS last_position, arg_max(coalesce(before, -1), n) FILTER (WHERE position IS NOT NULL) AS before,
+    min(position) AS best, arg_max(clicks, n) FILTER (WHERE clicks IS NOT NULL) AS last_clicks FROM v GROUP BY 1),
+  k AS (SELECT p_name || ' ' || p_partkey AS normalized, upper(p_name) AS keyword, p_size * 1.0 AS last_position, CASE WHEN p_partkey % 2 = 0 THEN 12.0 END AS best FROM part WHERE p_partkey % 3 = 0)"""
+
+
+@query("keyword_import_keywords", f"""WITH {_IMPORT} SELECT normalized, coalesce(o.keyword, k.keyword) AS keyword, CASE WHEN k.normalized IS NULL THEN 'CSV' ELSE 'MANUAL' END AS source, o.target_url, coalesce(o.last_position, k.last_position) AS last_position,
+    CASE WHEN o.before >= 0 THEN o.before WHEN o.last_position IS NOT NULL THEN k.last_position END AS previous_position, least(o.best, k.best) AS best_position, o.last_clicks FROM o FULL JOIN k USING (normalized)""")
+def _(spark, d):
+    return _imported(spark, d)["keywords"].select("normalized", "keyword", "source", "target_url", "last_position", "previous_position", "best_position", "last_clicks")
+
+
+@query("keyword_import_history", f"""WITH {_IMPORT}, h AS (SELECT normalized, date, arg_max(coalesce(position, -1), n) AS position, arg_max(coalesce(clicks, 0), n) AS clicks, arg_max(coalesce(url, ''), n) AS url FROM v WHERE position IS NOT NULL OR clicks IS NOT NULL GROUP BY 1, 2)
+  SELECT normalized, CAST(date AS VARCHAR) AS date, nullif(position, -1) AS position, clicks, nullif(url, '') AS url, 'CSV' AS source FROM h
+  UNION ALL SELECT normalized, '1998-01-05', 1.0, 1, '/old', 'GSC' FROM k WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.normalized = k.normalized AND h.date = DATE '1998-01-05')""")
+def _(spark, d):
+    return _imported(spark, d)["history"].select("normalized", F.col("date").cast("string").alias("date"), "position", "clicks", "url", "source")
+
+
+@query("keyword_import_counters", f"WITH {_IMPORT}, c AS (SELECT count(DISTINCT normalized) FILTER (WHERE valid AND normalized NOT IN (SELECT normalized FROM k)) AS created, count(*) AS total, count_if(NOT valid) AS skipped FROM x) SELECT 'CSV' AS source, total, created, total - created - skipped AS updated, skipped FROM c")
+def _(spark, d):
+    return _imported(spark, d)["counters"]
+
+
+def _registered(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    li = table(spark, d, "lineitem").join(p, "l_partkey").groupBy(F.concat(F.upper("p_name"), F.lit(" "), "l_partkey").alias("query"), F.col("l_suppkey").alias("input_order"))
+    rows = li.agg(F.avg("l_quantity").alias("position"), F.sum("l_linenumber").cast("double").alias("clicks"), (F.sum("l_linenumber") * 10.0).alias("impressions"), F.lit(0.1).alias("ctr")).withColumn("page", F.concat(F.lit("/s/"), "input_order"))
+    return keyword_import.register_queries(rows, _import_tables(spark, d)[0], "P", F.to_date(F.lit("1998-01-05")), min_impressions=30, limit=1500, track=False)
+
+
+_FOUND = """r AS (SELECT p_name || ' ' || l_partkey AS normalized, l_suppkey AS s, avg(l_quantity) AS position, CAST(sum(l_linenumber) AS BIGINT) AS clicks, sum(l_linenumber) * 10.0 AS impressions FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
+  t AS (SELECT normalized, arg_min((position, s, clicks, impressions), (position, s)) AS b FROM r WHERE impressions >= 30 GROUP BY 1 ORDER BY b[4] DESC, 1 LIMIT 1500), k AS (SELECT p_name || ' ' || p_partkey AS normalized, upper(p_name) AS keyword, p_size * 1.0 AS last, p_partkey % 2 = 0 AS tracked FROM part WHERE p_partkey % 3 = 0)"""
+
+
+@query("discover_keywords", f"""WITH {_FOUND} SELECT normalized, coalesce(k.keyword, upper(normalized)) AS keyword, CASE WHEN k.normalized IS NULL THEN 'GSC' ELSE 'MANUAL' END AS source, coalesce(k.tracked, false) AS tracked, round(coalesce(b[1], k.last), 6) AS last_position,
+    CASE WHEN t.normalized IS NOT NULL THEN k.last END AS previous_position, round(least(b[1], CASE WHEN k.tracked THEN 12.0 END), 6) AS best_position, b[3] AS last_clicks, '/s/' || b[2] AS last_url FROM t FULL JOIN k USING (normalized)""")
+def _(spark, d):
+    found = _registered(spark, d)["keywords"]
+    return found.select("normalized", "keyword", "source", "tracked", F.round("last_position", 6).alias("last_position"), "previous_position", F.round("best_position", 6).alias("best_position"), "last_clicks", "last_url")
+
+
+@query("discover_counters", f"WITH {_FOUND} SELECT 'GSC' AS source, (SELECT count(*) FROM r) AS total, count_if(normalized NOT IN (SELECT normalized FROM k)) AS created, count_if(normalized IN (SELECT normalized FROM k)) AS updated, (SELECT count(*) FROM r) - count(*) AS skipped FROM t")
+def _(spark, d):
+    return _registered(spark, d)["counters"]
+
+
 # Site files
 
 
