@@ -16,6 +16,7 @@ from ..functions.text import match_pattern, with_simhash
 from ..functions.urls import directory_of, is_same_site, normalize_url, url_hash
 from ..operators import graph, inventory, links, rules, sinks, stats
 from ..sources.html import parse_pages
+from ..sources.robots import allowed_urls
 
 
 def _wanted(url: Column, include: Iterable[str], exclude: Iterable[str]) -> Column:
@@ -23,14 +24,22 @@ def _wanted(url: Column, include: Iterable[str], exclude: Iterable[str]) -> Colu
     return yes & ~reduce(Column.__or__, [match_pattern(url, p) for p in exclude], F.lit(False))
 
 
+def _blocked(answered: DataFrame, robots: DataFrame, agent: str, columns: list[str]) -> DataFrame:
+    """answered without the responses of URLs that an agent may not ask for."""
+    judged = allowed_urls(answered, robots, agent)
+    none = {c: F.when(F.col("allowed"), F.col(c)) for c in columns if c not in ("url", "error_type")}
+    return judged.withColumns(none | {"error_type": F.when(F.col("allowed"), F.col("error_type")).otherwise("BLOCKED_ROBOTS")}).drop("allowed", "crawl_delay")
+
+
 def crawl(
     spark: SparkSession, responses: DataFrame, start: str, *, max_depth: int = 10, max_urls: int | None = None, include: list[str] | None = None, exclude: list[str] | None = None,
-    follow_subdomains: bool = False, respect_nofollow: bool = True, sitemap: DataFrame | None = None, crawl_id: str = "A", state: str | None = None,
+    follow_subdomains: bool = False, respect_nofollow: bool = True, sitemap: DataFrame | None = None, robots: DataFrame | None = None, agent: str = "*", crawl_id: str = "A", state: str | None = None,
 ) -> dict[str, DataFrame]:
     """pages, links, images, schemas, hreflangs of a breadth-first crawl from start over responses.
 
     responses: url (normalised), final_url, status, content_type, body, redirect_chain, error_type. Each level is one join of the
-    frontier to responses and one anti-join of the links found to what has been seen; sitemap has normalized_url. With state, a
+    frontier to responses and one anti-join of the links found to what has been seen; sitemap has normalized_url. What robots
+    (origin, text) forbids the agent counts as blocked, whatever its response. With state, a
     shared folder, the tables of each level stay there, and a crawl that broke off goes on after its last whole table.
     """
     def step(df: DataFrame, depth: int, name: str) -> DataFrame:
@@ -46,6 +55,7 @@ def crawl(
     edges: list[DataFrame] = []
     for depth in range(max_depth + 1):
         answered = front.join(responses.withColumnRenamed("url", "asked"), F.col("url") == F.col("asked"), "left").drop("asked")
+        answered = _blocked(answered, robots, agent, responses.columns) if robots is not None else answered
         kind = classify(F.col("url"), F.col("final_url"), F.col("status"), F.col("content_type"), F.col("error_type"), F.col("redirect_chain"))
         read = answered.withColumn("kind", kind)
         read = read.withColumn("html", F.when(F.col("kind.is_html_document"), F.col("body"))).drop("body")

@@ -410,13 +410,40 @@ def _(spark, d):
 
 @query("robots_allowed", "SELECT page_id, NOT starts_with(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/en/') AS allowed FROM pages WHERE regexp_matches(url, '^[A-Za-z]+://[^/?#]+')")
 def _(spark, d):
-    from ..sources.site_files import allowed_urls
+    from ..sources.robots import allowed_urls
 
     p = table(spark, d, "pages").where(F.col("url").rlike("^[A-Za-z]+://[^/?#]+")).select("page_id", "url")
     robots = p.select(F.lower(F.regexp_extract("url", r"^([A-Za-z]+://[^/?#]+)", 1)).alias("origin")).distinct().withColumn("text", F.lit("User-agent: *\nDisallow: /en/\nCrawl-delay: 2"))
     return allowed_urls(p, robots, "bot").select("page_id", "allowed")
 
 
+_PATH = "CASE WHEN p LIKE '/%' THEN p ELSE '/' || p END"
+_ROBOTS = """# rules that overlap
+User-agent: other
+User-agent: Bot
+Disallow: /en/
+Allow: /en/1   # longer
+Disallow: /*.html$
+Allow: /en/1*.html
+Disallow: /*?page=
+Crawl-delay: 0.5
+
+User-agent: *
+Disallow: /
+"""
+
+
+@query("robots_longest_rule", rf"""WITH u AS (SELECT page_id, {_PATH} AS p FROM (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^#]*)', 1) AS p FROM pages)),
+  m AS (SELECT page_id, r.allow, length(rule) AS size FROM u JOIN (VALUES ('/en/', '^/en/', false), ('/en/1', '^/en/1', true), ('/*.html$', '^/.*\.html$', false), ('/en/1*.html', '^/en/1.*\.html', true), ('/*?page=', '^/.*\?page=', false)) r(rule, pattern, allow) ON regexp_matches(p, pattern))
+  SELECT page_id, coalesce((SELECT arg_max(allow, (size, allow)) FROM m WHERE m.page_id = u.page_id), true) AS allowed, 0.5 AS crawl_delay FROM u""")
+def _(spark, d):
+    from ..sources.robots import allowed_urls
+
+    p = table(spark, d, "pages").select("page_id", "url")
+    robots = p.select(F.lower(F.regexp_extract("url", r"^([A-Za-z]+://[^/?#]+)", 1)).alias("origin")).distinct().withColumn("text", F.lit(_ROBOTS))
+    return allowed_urls(p, robots, "bot/1.0 (+https://bot.example)").select("page_id", "allowed", "crawl_delay")
+
+
 @query("sitemap_urls", crawl_sql("SELECT DISTINCT normalized_url, url_hash FROM raw"))
 def _(spark, d):
     from ..sources.site_files import discover

@@ -1,4 +1,4 @@
-"""robots.txt and sitemaps: rules by origin, and URLs listed by (nested) sitemaps."""
+"""Sitemaps and fetches: URLs listed by (nested) sitemaps, and guarded requests."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ import re
 import socket
 from collections.abc import Callable
 from urllib.parse import urlsplit
-from urllib.robotparser import RobotFileParser
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -25,32 +24,6 @@ from ..functions.urls import normalize
 MAX_BODY = 5 * 1024 * 1024
 
 
-def _rules(text: str | None) -> RobotFileParser | None:
-    if text is None:
-        return None
-    rules = RobotFileParser()
-    rules.parse(text.splitlines())
-    return rules
-
-
-def allowed_urls(urls: DataFrame, robots: DataFrame, agent: str, *, url: str = "url") -> DataFrame:
-    """urls with allowed and crawl_delay; robots has origin and text, one row for each origin. Without rules all is allowed."""
-
-    @F.pandas_udf("allowed boolean, crawl_delay double")
-    def judge(where: pd.Series, text: pd.Series) -> pd.DataFrame:
-        known: dict[str, RobotFileParser] = {}
-        out = []
-        for u, t in zip(where, text, strict=True):
-            rules = known.setdefault(t, _rules(t)) if t is not None else None
-            delay = rules.crawl_delay(agent) if rules else None
-            out.append((True if rules is None or u is None else rules.can_fetch(agent, u), float(delay) if delay is not None else None))
-        return pd.DataFrame(out, columns=["allowed", "crawl_delay"])
-
-    origin = F.lower(F.regexp_extract(url, r"^([A-Za-z]+://[^/?#]+)", 1))
-    joined = urls.withColumn("__origin", origin).join(robots.select(F.col("origin").alias("__origin"), F.col("text").alias("__text")), "__origin", "left")
-    return joined.withColumn("__j", judge(F.col(url), F.col("__text"))).select(*urls.columns, "__j.allowed", "__j.crawl_delay")
-
-
 def default_candidates(origin: Column) -> Column:
     """Where a site's sitemaps usually are."""
     return F.transform(F.array(*map(F.lit, ["/sitemap.xml", "/sitemap_index.xml"])), lambda p: F.concat(origin, p))

@@ -79,3 +79,14 @@ def test_reports(spark):
     text = analysis.audit_document("Audit", spark.createDataFrame([("{broken",), (json.dumps(good),)], "output string"))
     assert "all well" in text and text.index("| a |") < text.index("| b |") and "# Audit" in text
     assert "## Metrics" in analysis.comparison_report("C", {"metrics": spark.createDataFrame([("m", 1)], "metric string, delta int")})
+
+
+def test_crawl_keeps_robots(spark):
+    site = "https://r.example"
+    rows = [(f"{site}/{p}", f"{site}/{p}", 200, "text/html", page(f"{site}/{p}", links="".join(f'<a href="/{q}">x</a>' for q in ("a", "no/b", "c"))), [], None) for p in ("", "a", "no/b", "c")]
+    responses = spark.createDataFrame(rows, "url string, final_url string, status int, content_type string, body string, redirect_chain array<string>, error_type string")
+    robots = spark.createDataFrame([(site, "User-agent: *\nDisallow: /no/\nUser-agent: good\nAllow: /")], "origin string, text string")
+    found = {agent: {r["normalized_url"][len(site) :]: (r["status_code"], r["error_type"], r["indexability_reason"]) for r in analysis.crawl(spark, responses, f"{site}/", robots=robots, agent=agent)["pages"].collect()} for agent in ("some", "good/2")}
+    open_ = (200, None, "INDEXABLE")
+    assert found["some"] == {"/": open_, "/a": open_, "/c": open_, "/no/b": (None, "BLOCKED_ROBOTS", "BLOCKED_ROBOTS")}
+    assert found["good/2"] == dict.fromkeys(("/", "/a", "/c", "/no/b"), open_)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import netguard, resources, seo, text, urls
 from sitelens.sources import html, keyword_csv, site_files
+from sitelens.sources import robots as robots_txt
 
 
 def column(spark, values, make, kind="string"):
@@ -167,7 +168,7 @@ def test_audit_report(spark):
 def test_site_files(spark):
     robots = spark.createDataFrame([("https://a.com", "User-agent: *\nDisallow: /private\nCrawl-delay: 2")], "origin string, text string")
     rows = spark.createDataFrame([("https://a.com/private/x",), ("https://a.com/ok",), ("https://b.com/x",)], "url string")
-    got = {r["url"]: (r["allowed"], r["crawl_delay"]) for r in site_files.allowed_urls(rows, robots, "bot").collect()}
+    got = {r["url"]: (r["allowed"], r["crawl_delay"]) for r in robots_txt.allowed_urls(rows, robots, "bot").collect()}
     assert got == {"https://a.com/private/x": (False, 2.0), "https://a.com/ok": (True, 2.0), "https://b.com/x": (True, None)}
     index = "<sitemapindex xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'><sitemap><loc>https://a.com/s1.xml</loc></sitemap></sitemapindex>"
     one = "<urlset><url><loc>https://a.com/x?utm_source=1</loc></url><url><loc>https://a.com/x</loc></url><url><loc>https://a.com/y</loc></url></urlset>"
