@@ -83,20 +83,24 @@ def export_audit(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).withColumn("file", F.lit(name))
 
 
-def markdown_table(df: DataFrame, most: int = 30) -> str:
-    """The first rows of a (sorted, aggregated) table as Markdown."""
-    rows = df.limit(most).collect()
+def markdown_rows(heads: list[str], rows: list) -> str:
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
-    lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+    lines = ["| " + " | ".join(heads) + " |", "|" + " --- |" * len(heads)]
     return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows])
 
 
+def markdown_table(df: DataFrame, most: int = 30) -> str:
+    """The first rows of a (sorted, aggregated) table as Markdown."""
+    return markdown_rows(df.columns, df.limit(most).collect())
+
+
+def markdown(title: str, blocks: list[tuple[str, str]]) -> str:
+    return "\n\n".join([f"# {title}", *(f"## {head}\n\n{body}" for head, body in blocks)]) + "\n"
+
+
 def render_markdown(title: str, blocks: list[tuple[str, DataFrame | str]]) -> str:
     """A report of headed blocks: texts as they are, tables as Markdown."""
-    parts = [f"# {title}"]
-    for head, body in blocks:
-        parts.append(f"## {head}\n\n{body if isinstance(body, str) else markdown_table(body)}")
-    return "\n\n".join(parts) + "\n"
+    return markdown(title, [(head, body if isinstance(body, str) else markdown_table(body)) for head, body in blocks])
 
 
 RENDERERS = {"md": render_markdown}

@@ -17,6 +17,7 @@ from ..functions.urls import directory_of, is_same_site, normalize_url, url_hash
 from ..operators import graph, inventory, links, rules, sinks, stats
 from ..sources.html import parse_pages
 from ..sources.robots import allowed_urls
+from . import crawl_document
 
 
 def _wanted(url: Column, include: Iterable[str], exclude: Iterable[str]) -> Column:
@@ -139,10 +140,9 @@ def audit_context(pages: DataFrame, edges: DataFrame, found: DataFrame, schemas:
     return out | ({"schemas": inventory.schema_coverage(schemas, pages)} if schemas is not None else {})
 
 
-def crawl_report(title: str, analysis: dict[str, DataFrame]) -> str:
-    """The crawl's report in Markdown."""
-    heads = [("Totals", "totals"), ("Health", "health"), ("Status", "statuses"), ("Depth", "depths"), ("Indexability", "reasons"), ("Top issues", "top_issues"), ("Directories", "directories"), ("Resources", "resources"), ("Communities", "clusters"), ("Readiness", "geo_readiness")]
-    return sinks.render_markdown(title, [(head, analysis[key]) for head, key in heads if key in analysis])
+def crawl_report(title: str, analysis: dict[str, DataFrame], meta: DataFrame | None = None) -> str:
+    """The crawl's document in Markdown."""
+    return crawl_document.to_markdown(title, crawl_document.document_rows(analysis, meta))
 
 
 def comparison_report(title: str, compared: dict[str, DataFrame]) -> str:

@@ -12,6 +12,7 @@ from pyspark.sql import window as W
 from ..functions.lineage import cut, shared_dir
 from ..operators import bucket_table, compare, inventory, keyword_import, keywords, links, rules, sinks, stats, text_index, trees
 from ..sources import crawl_store, search_api
+from . import crawl_document
 from .crawl_view import CHILDREN_SQL, crawl_hreflangs, crawl_images, crawl_links, crawl_pages, crawl_schemas, crawl_sql, second_crawl
 from .registry import query, table
 
@@ -247,6 +248,54 @@ def _(spark, d):
 
 # Keyword jobs: parts as keywords, line items as their measurements
 
+def _es(n: str) -> str:
+    return f"CASE WHEN abs({n}) < 10000 THEN CAST(CAST(round({n}) AS BIGINT) AS VARCHAR) ELSE replace(format('{{:,}}', CAST(round({n}) AS BIGINT)), ',', '.') END"
+
+
+def _lines(section: int, source: str, pairs: list[tuple[str, str]]) -> str:
+    return " UNION ALL ".join(f"SELECT {section} AS section, {k} AS place, '{name}' || ' | ' || {value} AS line FROM {source}" for k, (name, value) in enumerate(pairs))
+
+
+def _counts(section: int, source: str) -> str:
+    return f"SELECT {section}, row_number() OVER (ORDER BY n DESC, try_cast(key AS DOUBLE) NULLS FIRST, key NULLS FIRST) - 1, coalesce(key, 'null') || ' | ' || {_es('n')} FROM ({source} GROUP BY 1)"
+
+
+_DOCUMENT = crawl_sql(CHILDREN_SQL + f""", tot AS (SELECT count(*) AS requested, count_if({_HTML}) AS html, count_if({_HTML} AND indexable) AS ok, count_if({_HTML} AND status_code >= 400) AS errors, count_if(status_code BETWEEN 300 AND 399) AS moved, avg(depth) FILTER (WHERE {_HTML}) AS deep,
+    round(avg(response_time) FILTER (WHERE {_HTML})) AS ms, round(avg(word_count) FILTER (WHERE {_HTML})) AS words, (SELECT count_if(link_type = 'INTERNAL') FROM link) AS inner_, (SELECT count_if(link_type = 'EXTERNAL') FROM link) AS outer_,
+    count_if(media_type = 'IMAGE') AS images, count_if(media_type = 'IMAGE' AND (status_code IS NULL OR status_code >= 400)) AS broken, count_if(mime_mismatch) AS odd,
+    (SELECT greatest(0, least(100, floor(100 - sum(CAST(CASE severity WHEN 'CRITICAL' THEN 12 WHEN 'HIGH' THEN 6 WHEN 'MEDIUM' THEN 2.5 WHEN 'LOW' THEN 0.8 ELSE 0 END AS DOUBLE)) / (SELECT count_if({_HTML}) FROM page) + 0.5))) FROM finding) AS health FROM page),
+  im AS (SELECT count(*) AS e, count_if(NOT has_alt) AS missing, count_if(has_alt AND trim(coalesce(alt, '')) = '') AS blank, count_if(has_alt AND trim(coalesce(alt, '')) <> '') AS told, count(DISTINCT CASE WHEN NOT has_alt THEN page_id END) AS on_pages FROM img_ WHERE page_id IN (SELECT id FROM page WHERE {_HTML})),
+  flow AS (SELECT t.cluster_id, count(*) AS n FROM link l JOIN page s ON s.id = l.source_page_id JOIN page t ON t.id = l.target_page_id WHERE link_type = 'INTERNAL' AND s.cluster_id <> t.cluster_id GROUP BY 1),
+  cl AS (SELECT cluster_id, count(*) AS n, avg(depth) AS deep, arg_max(normalized_url, (internal_page_rank, -id)) AS top FROM page WHERE cluster_id IS NOT NULL GROUP BY 1),
+  res AS (SELECT 0 AS a, 0 AS b, 'Recursos (no HTML)' AS k, {_es('requested - html')} AS v FROM tot UNION ALL SELECT 1, -count(*), '· ' || coalesce(resource_type, 'UNKNOWN'), {_es('count(*)')} FROM page WHERE resource_type IS DISTINCT FROM 'HTML_PAGE' GROUP BY resource_type UNION ALL SELECT 2, 0, 'Imágenes solicitadas', {_es('images')} FROM tot
+    UNION ALL SELECT 3, 0, 'Imágenes rotas', {_es('broken')} || format(' ({{:.1f}}% de las imágenes solicitadas)', round(broken / images, 4) * 100) FROM tot UNION ALL SELECT 4, 0, 'Recursos rotos', {_es('broken')} FROM tot UNION ALL SELECT 5, 0, 'Extensión ≠ Content-Type', {_es('odd')} FROM tot)
+  """ + " UNION ALL ".join([
+    _lines(0, "tot", [("Páginas HTML", _es("html")), ("SEO Health", "format('{:.0f}/100', health)")]),
+    _lines(1, "tot", [("Páginas HTML analizadas", _es("html")), ("URLs solicitadas (con recursos)", _es("requested")), ("Indexables", _es("ok")), ("No indexables", _es("html - ok")), ("Errores", _es("errors")), ("Redirecciones", _es("moved")), ("Enlaces internos", _es("inner_")), ("Enlaces externos", _es("outer_")),
+                      ("Profundidad media", "format('{:.1f}', round(round(deep, 2), 1))"), ("Tiempo de respuesta medio", _es("ms") + " || ' ms'"), ("Palabras por página (media)", _es("words"))]),
+    "SELECT 2, row_number() OVER (ORDER BY a, b, k) - 1, k || ' | ' || v FROM res",
+    _lines(3, "im", [("Elementos <img> auditados", _es("e")), ("Sin atributo alt", _es("missing") + " || format(' ({:.1f}% de los <img> auditados)', round(missing / e, 4) * 100)"), ('Decorativas (alt="")', _es("blank") + " || ' · válido, sólo informativo'"), ("Con alt descriptivo", _es("told")), ("Páginas afectadas por imágenes sin alt", _es("on_pages"))]),
+    _counts(4, "SELECT CASE WHEN status_code IS NULL THEN 'error' WHEN status_code < 300 THEN '2xx' WHEN status_code < 400 THEN '3xx' WHEN status_code < 500 THEN '4xx' ELSE '5xx' END AS key, count(*) AS n FROM page"),
+    _counts(5, f"SELECT CAST(depth AS VARCHAR) AS key, count(*) AS n FROM page WHERE {_HTML}"), _counts(6, f"SELECT indexability_reason AS key, count(*) AS n FROM page WHERE {_HTML}"),
+    f"SELECT 7, row_number() OVER (ORDER BY n DESC, code) - 1, severity || ' | ' || code || ' | ' || {_es('n')} FROM (SELECT code, min(severity) AS severity, count(*) AS n FROM finding GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 25)",
+    f"SELECT 8, row_number() OVER (ORDER BY n DESC, directory) - 1, directory || ' | ' || {_es('n')} || ' | ' || {_es('ok')} FROM (SELECT directory, count(*) AS n, count_if(indexable) AS ok FROM page WHERE {_HTML} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25)",
+    f"SELECT 10, 0, {_es('count(*)')} || ' comunidad(es) detectada(s).' FROM cl",
+    f"SELECT 11, row_number() OVER (ORDER BY cl.n DESC, cluster_id) - 1, cluster_id || ' | ' || {_es('cl.n')} || ' | ' || top || ' | ' || format('{{:.1f}}', round(deep, 1)) || ' | ' || {_es('coalesce(flow.n, 0)')} FROM cl LEFT JOIN flow USING (cluster_id)",
+]), findings=True)
+
+
+@query("crawl_document", _DOCUMENT)
+def _(spark, d):
+    p, edges = _crawl(spark, d)
+    found = cut(rules.page_findings(p), "findings")
+    analysis = {
+        "stats": stats.crawl_stats(p, edges, found), "top_issues": stats.top_issues(found), "directories": stats.directory_stats(p), "images": stats.image_stats(crawl_images(p), p), "clusters": stats.cluster_summary(p), "cluster_inbound": stats.cluster_inbound(edges, p),
+    }
+    rows = crawl_document.document_rows(analysis)
+    untitled = F.when(F.col("heading") == "Incidencias detectadas", F.array_remove("cells", F.col("cells")[1])).otherwise(F.col("cells"))  # titles are the rules' own
+    return rows.select("section", "place", F.array_join(untitled, " | ").alias("line"))
+
+
 _RANKS = "r AS (SELECT p_name AS query, l_suppkey, avg(l_quantity) AS position, CAST(sum(l_linenumber) AS DOUBLE) + 0.4 AS clicks, sum(l_linenumber) * 10.0 AS impressions FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey % 5 <> 0 GROUP BY 1, 2)"
 _BEST = "best AS (SELECT query, round(min(position), 6) AS position, arg_min(l_suppkey, (position, l_suppkey)) AS s, CAST(round(arg_min(clicks, (position, l_suppkey))) AS BIGINT) AS clicks FROM r GROUP BY 1)"
 

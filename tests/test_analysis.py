@@ -2,7 +2,7 @@
 
 import pytest
 
-from sitelens.plans import analysis
+from sitelens.plans import analysis, crawl_document
 
 GOOD = '<html lang="es"><head><title>Una página correcta y suficiente</title>{}<link rel="canonical" href="{}"></head><body>{}<p>{}</p>{}</body></html>'
 
@@ -40,6 +40,25 @@ def test_crawl(spark, tables):
     assert all(v != "HTML_PAGE" for k, v in kinds.items() if k.startswith("/up/"))
 
 
+def check_document(spark, out):
+    meta = spark.createDataFrame([("Casa", "site.example", "COMPLETED", "https://site.example/", 33, 12345, 1, 125)], "project string, domain string, status string, start_url string, crawled_urls long, discovered_urls long, failed_urls long, seconds long")
+    got = {}
+    for r in crawl_document.document_rows(out, meta).orderBy("section", "place").collect():
+        got.setdefault(r["heading"], []).append(tuple(r["cells"]))
+    facts = dict(got["Datos"])
+    assert (facts["Proyecto"], facts["URLs descubiertas"], facts["Duración"], facts["Páginas HTML"], facts["Fallidas"]) == ("Casa", "12.345", "2m 5s", "15", "1")
+    assert got["Resumen del rastreo"][0] == ("URL de inicio", "https://site.example/") and ("· IMAGE", "13") in got["Recursos descubiertos"]
+    assert ("Sin atributo alt", "1 (33.3% de los <img> auditados)") in got["Imágenes dentro de páginas HTML"]
+    counts = [int(c) for _, c in got["Códigos de estado"]]
+    assert counts == sorted(counts, reverse=True) and sum(counts) == 33 and [h for h, _ in crawl_document.SECTIONS if h in got] == list(got)
+    assert ("HIGH", "Error 4xx interno", "HTTP_4XX") in [c[:3] for c in got["Incidencias detectadas"]]
+    assert [c[1].split("/")[1] for c in got["GEO Readiness"]] == ["15", "20", "15", "15", "10", "10", "10", "5"] and len(got["Hubs"]) == 10
+    text = analysis.crawl_report("Report", out, meta)
+    assert text.startswith("# Report\n\n## Datos\n\n| Dato | Valor |") and "comunidad(es) detectada(s).\n" in text
+    old = crawl_document.document_rows({k: v for k, v in out.items() if k not in ("images", "clusters", "geo")}).where("section in (0, 2, 3, 9, 10)").collect()
+    assert [r["cells"] for r in old if r["section"] == 2] == [[crawl_document.LEGACY]] and {r["section"] for r in old} == {0, 2}
+
+
 def test_analysis(spark, tables):
     out = analysis.analyze(tables)
     f = out["findings"].cache()
@@ -50,7 +69,7 @@ def test_analysis(spark, tables):
     images, totals = out["images"].first(), out["totals"].first()
     assert (images["elements"], images["missing_alt"], images["decorative_alt"], images["described_alt"]) == (3, 1, 1, 1)
     assert totals["requested_urls"] == 33 and totals["html_pages"] == 15 and out["resources"].first()["broken_images"] == 1
-    assert "# Report" in analysis.crawl_report("Report", out)
+    check_document(spark, out)
     context = analysis.audit_context(out["pages"], tables["links"], f, tables["schemas"])
     assert context["broken"].count() == 2 and context["redirects"].count() == 1
 
