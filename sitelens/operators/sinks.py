@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.seo import alt_state
 from .links import image_statuses, link_export
@@ -37,6 +38,22 @@ def issues_csv(findings: DataFrame) -> DataFrame:
     return as_text(findings.select("code", "severity", "title", "url", "details"))
 
 
+def as_json(df: DataFrame) -> DataFrame:
+    """value: each row as JSON, whole numbers of 64 bits as texts, as readers with floating numbers want them; nulls are written."""
+
+    def safe(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.LongType):
+            return c.cast("string")
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: safe(x, kind.elementType))
+        if isinstance(kind, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*(safe(c[f.name], f.dataType).alias(f.name) for f in kind)))
+        return c
+
+    cells = (safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema)
+    return df.select(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("value"))
+
+
 EXPORTS = {"pages": pages_csv, "images": images_csv, "links": links_csv, "issues": issues_csv}
 
 

@@ -63,6 +63,18 @@ def _(spark, d):
     return parsed.select("page_id", "url", "parsed.title", "parsed.h1", "parsed.h1_count", "parsed.word_count", "parsed.content_hash", F.size("parsed.links").alias("links"), F.size("parsed.images").alias("images"), "parsed.language", "parsed.external_citations", "parsed.text_ratio")
 
 
+_TEXT = r"replace(replace(replace(nullif(trim(regexp_replace(regexp_replace({}, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')), ''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query("html_fields", rf"""SELECT page_id, {_TEXT.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, {_TEXT.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS h1, len(list_filter(regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1), lambda x: trim(x) <> '')) AS h1_count,
+  len(list_filter(regexp_extract_all(html, '(?s)<h2>(.*?)</h2>', 1), lambda x: trim(x) <> '')) AS h2_count, regexp_extract(html, '<html lang="([^"]*)"', 1) AS language, array_to_string(regexp_extract_all(html, '<a href="([^"]+)">[^<]*</a>', 1), ' ') AS hrefs, array_to_string(list_transform(regexp_extract_all(html, '<a href="[^"]+">([^<]*)</a>', 1), lambda x: trim(x)), ' ') AS anchors FROM pages""")
+def _(spark, d):
+    from ..sources.html import parse_pages
+
+    parsed = parse_pages(_t(spark, d, "pages").select("page_id", "url", "html"))
+    return parsed.select("page_id", "parsed.title", "parsed.h1", "parsed.h1_count", "parsed.h2_count", "parsed.language", F.array_join("parsed.links.href", " ").alias("hrefs"), F.array_join("parsed.links.anchor_text", " ").alias("anchors"))
+
+
 @query("page_links", crawl_sql("SELECT id, source_page_id, target_hash, anchor_text, rel, link_type, follow FROM link1"))
 def _(spark, d):
     return crawl_links(spark, d).select("id", "source_page_id", "target_hash", "anchor_text", "rel", "link_type", "follow")

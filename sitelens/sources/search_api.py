@@ -33,6 +33,38 @@ def serp_checks(answers: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
+HISTORY = "data struct<snapshots:array<struct<captured_at:string,rank_absolute:int,rank_group:int,url:string>>>"
+#: Snapshots that one answer holds at most, and what it holds if nothing is asked for.
+MOST_SNAPSHOTS, SNAPSHOTS = 1000, 100
+
+
+def history_requests(tracked: DataFrame, limit: int = SNAPSHOTS) -> DataFrame:
+    """tracked (keyword, target and, each may be null, location_code, language_code, device) with the query string that asks for its recorded ranks."""
+    names = [c for c in ("keyword", "target", "location_code", "language_code", "device") if c in tracked.columns]
+    given = F.array(*(F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.concat(F.lit(f"{c}="), F.url_encode(F.col(c).cast("string")))) for c in names))
+    return tracked.withColumn("request", F.concat_ws("&", F.array_compact(given), F.lit(f"limit={min(limit, MOST_SNAPSHOTS)}")))
+
+
+def rank_history(answers: DataFrame, body: str = "body") -> DataFrame:
+    """answers (keyword, target, ...) with a row for each day of their snapshots: captured_at, rank, rank_url, the last of the day.
+
+    A snapshot without a rank in its group has the rank on the whole page. Answers that are no JSON or hold no snapshots give no rows.
+    """
+    keep = [c for c in answers.columns if c != body]
+    each = answers.select(*keep, F.explode(F.from_json(body, HISTORY)["data"]["snapshots"]).alias("__s"))
+    at = F.to_timestamp("__s.captured_at")
+    rows = each.select(*keep, at.cast("date").alias("date"), at.alias("captured_at"), F.coalesce("__s.rank_group", "__s.rank_absolute").alias("rank"), F.col("__s.url").alias("rank_url")).where(F.col("captured_at").isNotNull())
+    last = F.max(F.struct("captured_at", (-F.col("rank")).alias("better"), "rank", "rank_url"))
+    return rows.groupBy(*keep, "date").agg(last.alias("m")).select(*keep, "date", "m.captured_at", "m.rank", "m.rank_url")
+
+
+def reference_rows(answers: DataFrame, kind: str, body: str = "body") -> DataFrame:
+    """code, name (and country_iso_code) of the latest recorded list of locations or languages; answers has fetched_at."""
+    fields = {"locations": "code:int,name:string,country_iso_code:string", "languages": "code:string,name:string"}[kind]
+    whole = answers.select("fetched_at", F.from_json(body, f"data struct<{kind}:array<struct<{fields}>>>")["data"][kind].alias("rows")).where("rows is not null")
+    return whole.groupBy().agg(F.max_by("rows", "fetched_at").alias("rows")).select(F.inline("rows")).distinct()
+
+
 #: Rows of a full page, as the interface gives them: a shorter one is a day's last.
 PAGE_ROWS = 25_000
 PAGE = "site string, date date, start_row long, fetched_at timestamp, body string"
