@@ -101,11 +101,16 @@ def discover(rows: DataFrame, known: DataFrame, *, min_impressions: float = 1, l
 
 
 def import_counters(incoming: DataFrame, existing: DataFrame, keys: list[str], *, read: int | None = None) -> DataFrame:
-    """created, updated, skipped, total of an import by keys; skipped: of the read lines those that are no row of incoming, and repeats."""
+    """created, updated, skipped, total of an import by keys.
+
+    A key's first row creates it if existing lacks it; every other row updates. skipped: of the read lines those that are no row of
+    incoming. total is the number of keys.
+    """
     known = existing.select(*keys).distinct().withColumn("__known", F.lit(True))
-    lines = F.lit(read) if read is not None else F.sum("__n")
     one = incoming.groupBy(*keys).agg(F.count("*").alias("__n")).join(known, keys, "left")
-    return one.agg(F.count_if(F.col("__known").isNull()).alias("created"), F.count_if("__known").alias("updated"), F.coalesce(lines - F.count("*"), F.lit(0)).cast("long").alias("skipped"), F.count("*").alias("total"))
+    rows = F.coalesce(F.sum("__n"), F.lit(0)).cast("long")
+    created = F.count_if(F.col("__known").isNull())
+    return one.agg(created.alias("created"), (rows - created).alias("updated"), (F.lit(read) - rows if read is not None else F.lit(0)).cast("long").alias("skipped"), F.count("*").alias("total"))
 
 
 KEYWORD_KEY = ["project_id", "normalized", "country", "device"]
