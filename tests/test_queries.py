@@ -45,6 +45,17 @@ def test_query(spark, sf, duck, name):
         assert rows(got) == rows(want)
 
 
+def test_html_fields_of_references(spark, tmp_path):
+    """References other than the SQL's three, ones cut off, ones written twice; in titles, headings, links."""
+    texts = ["a &quot;b&quot; &lt;c&gt; &amp;", "cut &amp", "cut &lt", "&amp;lt; &amp;amp;", "&&& &#39;x&#39; &copy &nbsp; y", "plain"]
+    pages = [(i, "http://a.org/", f'<html lang="en"><head><title>{t}</title></head><body><h1>{t}</h1><a href="/q?a=1&amp;b=2&copy=3">{t}</a></body></html>') for i, t in enumerate(texts)]
+    pd.DataFrame(pages, columns=["page_id", "url", "html"]).to_parquet(tmp_path / "pages.parquet")
+    got = QUERIES["html_fields"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet'")
+    assert rows(got) == rows(con.execute(ORACLE_SQL["html_fields"]).df())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
