@@ -56,6 +56,25 @@ def test_betweenness_is_exact(spark):
     assert graph.betweenness(nodes_of(spark), edges).count() == 0
 
 
+def test_betweenness_holds_a_row_for_each_block_and_node(spark, monkeypatch):
+    """Two blocks of sources, hubs whose links are summed before the shuffle: no table has a row for each pair."""
+    rng = random.Random(9)
+    edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(70)] + [(i, 0) for i in range(30)] + [(0, i) for i in range(30)]
+    rows, write = [], graph.cut
+
+    def counted(df, name="step"):
+        out = write(df, name)
+        rows.extend([out.count()] if name in ("level", "credit") else [])
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    monkeypatch.setattr(graph, "BLOCK", 15, raising=False)
+    monkeypatch.setattr(graph, "HUB", 4, raising=False)
+    got = {r["id"]: r["betweenness"] for r in graph.betweenness(nodes_of(spark, 30), spark.createDataFrame(edges, EDGES)).collect()}
+    assert got == pytest.approx(dict(enumerate(brandes(30, edges))), abs=1e-12)
+    assert rows and max(rows) <= 60
+
+
 def test_betweenness_of_samples(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(400)]
