@@ -154,3 +154,13 @@ def test_louvain_reaches_the_modularity_of_single_moves(spark):
                 reached |= new
                 more += new
             assert reached == {v for v in range(n) if label[v] == c}
+
+
+def test_louvain_joins_pairs_at_once(spark, monkeypatch):
+    """Pairs that want to swap are joined in the first round, so that nobody waits for chance."""
+    rounds, write = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name="step": rounds.append(name) or write(df, name))
+    edges = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(300)], EDGES)
+    rows = graph.louvain(nodes_of(spark, 600), edges).collect()
+    assert {r["id"]: r["community"] for r in rows} == {i: i // 2 for i in range(600)}
+    assert rounds.count("louvain-offers") <= 6
