@@ -164,3 +164,47 @@ def test_louvain_joins_pairs_at_once(spark, monkeypatch):
     rows = graph.louvain(nodes_of(spark, 600), edges).collect()
     assert {r["id"]: r["community"] for r in rows} == {i: i // 2 for i in range(600)}
     assert rounds.count("louvain-offers") <= 6
+
+
+def hits_loop(nodes, edges, rounds):
+    """Hubs and authorities of one graph, each round scaled."""
+    simple = sorted({e for e in edges if e[0] != e[1]})
+    sums = lambda pairs, x: {b: sum(x.get(a, 0.0) for a, c in pairs if c == b) for b in {b for _, b in pairs}}
+    scaled = lambda x: {k: v / sum(x.values()) for k, v in x.items()}
+    hubs = dict.fromkeys((a for a, _ in simple), 1.0)
+    for _ in range(rounds):
+        hubs = scaled(sums([(b, a) for a, b in simple], sums(simple, hubs)))
+    found = scaled(sums(simple, hubs)) if simple else {}
+    return {i: (hubs.get(i, 0.0), found.get(i, 0.0)) for i in nodes}
+
+
+def shuffled_rows(spark):
+    sc, gateway = spark.sparkContext, spark.sparkContext._gateway
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_hits_over_blocks(spark):
+    rng = random.Random(11)
+    one = [(rng.randrange(40), rng.randrange(40)) for _ in range(150)] + [(i, 7) for i in range(40)] + [(3, 3), (9, 7), (9, 7)]
+    two = [(rng.randrange(100, 130), rng.randrange(100, 130)) for _ in range(90)]
+    nodes = spark.createDataFrame([*((i, "A") for i in range(45)), *((i, "B") for i in range(100, 130))], "id long, crawl_id string")
+    edges = spark.createDataFrame([*one, *two], "src long, dst long")
+    want = hits_loop(range(45), one, 10) | hits_loop(range(100, 130), two, 10)
+    for block in (6, 1000):
+        got = {r["id"]: (r["hub"], r["authority"]) for r in graph.hits(nodes, edges, iterations=10, tolerance=0, block=block).collect()}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
+def test_hits_shuffles_blocks(spark):
+    """A round shuffles rows of blocks, not of links: ten more rounds cost less than one shuffle of the links."""
+    nodes = spark.range(2000)
+    edges = nodes.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("n")).select("src", F.pmod(F.col("src") * 31 + F.col("n") * 17, F.lit(2000)).alias("dst"))
+    seen, cost = set(shuffled_rows(spark)), []
+    for rounds in (5, 15):
+        graph.hits(nodes, edges, iterations=rounds, tolerance=0, every=rounds).collect()
+        now = shuffled_rows(spark)
+        cost.append(sum(x for k, x in now.items() if k not in seen))
+        seen |= set(now)
+    assert cost[1] - cost[0] < 20_000
