@@ -113,3 +113,34 @@ def test_register_queries(spark):
     assert (r["keyword"], r["target_url"], r["last_position"], r["previous_position"], r["best_position"], r["last_clicks"], r["last_url"], r["source"], r["tracked"]) == ("A B", "/own", 4.0, 6.0, 3.0, 2, "/2", "MANUAL", False)
     r = out["P", "new"]
     assert (r["keyword"], r["target_url"], r["last_position"], r["previous_position"], r["best_position"], r["source"], r["tracked"], r["last_checked_at"]) == ("new", "/3", 9.0, None, 9.0, "GSC", True, TODAY)
+
+
+def shuffled_rows(spark):
+    sc, gateway = spark.sparkContext, spark.sparkContext._gateway
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_last_but_one_by_few_rows(spark):
+    """A keyword with most rows, written in two ways: what is shuffled are its texts in each task, not its rows."""
+    n = 40_000
+    many = F.col("id") % 10 != 0
+    rows = spark.range(0, n, 1, 4).select(
+        F.lit("P").alias("project_id"), F.col("id").alias("n"), F.when(many, F.when(F.col("id") % 2 == 0, "Red  shoes").otherwise(" red SHOES")).otherwise("blue").alias("keyword"), F.when(F.col("id") % 4 != 3, (F.col("id") % 97 + 1).cast("double")).alias("position"),
+        *(F.lit(None).cast("double").alias(c) for c in ("clicks", "impressions", "ctr")), F.lit(None).cast("string").alias("url"), F.lit("ES").alias("country"), F.lit("").alias("device"), F.lit(None).cast("date").alias("date"), F.lit(None).cast("string").alias("tags"),
+    )
+    want = {}
+    for i in range(n):
+        if i % 4 != 3:
+            key = "blue" if i % 10 == 0 else "red shoes"
+            want[key] = (i % 97 + 1, want.get(key, (None, None))[0])
+    seen = set(shuffled_rows(spark))
+    got = ki.import_rows(rows, spark.createDataFrame([], ki.KEYWORDS), spark.createDataFrame([], ki.HISTORY), F.lit(TODAY))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are too large for it
+    try:
+        assert {r["normalized"]: (r["last_position"], r["previous_position"]) for r in got["keywords"].collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(x for k, x in shuffled_rows(spark).items() if k not in seen) < 1000
+    assert got["counters"].first().asDict() == {"source": "CSV", "total": n, "created": 2, "updated": n - 2, "skipped": 0}
