@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict, deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,33 @@ def test_betweenness_holds_a_row_for_each_block_and_node(spark, monkeypatch):
     assert rows and max(rows) <= 60
 
 
+@pytest.mark.parametrize("task_bytes", [512 << 20, 10_000, 0])
+def test_betweenness_shuffles_links_and_sums_only(spark, monkeypatch, task_bytes):
+    """Blocks of few sources, links in parts, a chain: no level is a table, unless a crawl takes too much for a task."""
+    rng = random.Random(11)
+    one = [(rng.randrange(40), rng.randrange(40)) for _ in range(120)] + [(0, i) for i in range(40)] + [(3, 3), (1, 2)]
+    two = [(i, i + 1) for i in range(12)] + [(20, 21)]
+    edges = spark.createDataFrame([*one, *((a + 1000, b + 1000) for a, b in two), (5, 1003), (1004, 5)], EDGES)
+    want = dict(enumerate(brandes(40, one))) | {1000 + i: x for i, x in enumerate(brandes(22, two))}
+    names, write = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name="step": names.append(name) or write(df, name))
+    for name, value in (("TASK_BYTES", task_bytes), ("TASK_SOURCES", 7), ("PACKED", 9), ("TASKS", 3)):
+        monkeypatch.setattr(graph, name, value, raising=False)
+    got = {r["id"]: r["betweenness"] for r in graph.betweenness(nodes_of(spark, 40, 22), edges).collect()}
+    assert got == pytest.approx(want, abs=1e-12)
+    assert (names.count("level") == 0) == (task_bytes > 10_000)
+
+
+@pytest.mark.parametrize("lanes", [8, 16, 32, 64])
+def test_credits_of_many_sources_at_once(lanes):
+    rng = random.Random(lanes)
+    pairs = sorted({(a, b) for a, b in ((rng.randrange(150), rng.randrange(150)) for _ in range(400)) if a != b} | {(i, i + 1) for i in range(150, 299)})
+    first, dst = np.searchsorted([a for a, _ in pairs], range(301)), np.array([b for _, b in pairs], np.int32)
+    shares = [graph._credits(np.arange(k, min(k + lanes, 300)), first, dst, lanes) for k in range(0, 300, lanes)]
+    assert sum(shares) / (299 * 298) == pytest.approx(np.array(brandes(300, pairs)), abs=1e-12)
+    assert not sum(shares)[[299]].any() and min(map(np.min, shares)) >= 0
+
+
 def test_betweenness_of_samples(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(400)]
